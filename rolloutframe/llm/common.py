@@ -59,6 +59,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
