@@ -113,7 +113,9 @@ def dedup_lines(
     runs = LineRuns(spark, min_docs, fanout)
     for number in reversed(range(len(set(cuts)) + 1)):
         runs.add(index.where(F.col("batch") == number).select("id", "h1", "h2"))
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_id")
+    common = stage(
+        runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_id"), "common-lines"
+    )
     drops = (
         index.join(common, ["h1", "h2"])
         .where(F.col("id") != F.col("keep_id"))
