@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..session import ship_package
 
 #: The six ASCII white-space characters, U+0009 to U+000D and U+0020.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -44,6 +45,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

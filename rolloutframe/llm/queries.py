@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, packing, sharding
+from . import chat, decontaminate, line_dedup, packing, sharding
 from .common import table, vocabulary
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op6_kd_sharding": op6_kd_sharding,
         "op7_line_dedup": op7_line_dedup,
         "op9_chat_formatting": op9_chat_formatting,
@@ -37,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": decontaminate.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op9_chat_formatting": chat.ORACLE_SQL,
     }
