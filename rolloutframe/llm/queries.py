@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, packing, sharding
+from . import chat, decontaminate, line_dedup, packing, sharding, substring_dedup
 from .common import table, vocabulary
 
 
@@ -14,6 +14,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op3_substring_dedup": op3_substring_dedup,
         "op6_kd_sharding": op6_kd_sharding,
         "op7_line_dedup": op7_line_dedup,
         "op9_chat_formatting": op9_chat_formatting,
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontaminate.ORACLE_SQL,
+        "op3_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op9_chat_formatting": chat.ORACLE_SQL,
     }
