@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, packing, sharding, simhash, substring_dedup
+from . import chat, decontaminate, line_dedup, packing, repair, sharding, simhash, substring_dedup
 from .common import table, vocabulary
 
 
@@ -18,6 +18,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_repair_tokens": op4_repair_tokens,
         "op5_simhash": op5_simhash,
         "op6_kd_sharding": op6_kd_sharding,
         "op7_line_dedup": op7_line_dedup,

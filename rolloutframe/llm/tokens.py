@@ -21,7 +21,7 @@ import re
 from array import array
 from functools import lru_cache
 
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 1_000_000
 _PUNCTUATION = ".,!?;:|*$%&#"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")
@@ -51,6 +51,17 @@ def _layout(path: str) -> str:
     return "whole"
 
 
+class _Following(dict):
+    """word -> ids of a space and the word."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.encoder._ids(" " + word)
+        return found
+
+
 class Encoder(dict):
     """chunk -> its ids as little-endian 32-bit integers."""
 
@@ -60,12 +71,16 @@ class Encoder(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.following = _Following(self)
         self.model, self.layout, self.letters = self.tokenizer.model, _layout(path), _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
         found = self[chunk] = self._ids(chunk)
         return found
 
+    def _spaced(self, chunk: str, lead: bool) -> bytes:
+        return self.following[chunk[1:]] if lead else self[chunk]
+
     def _ids(self, chunk: str) -> bytes:
         lead = chunk[0] == " "
         word = chunk[1:] if lead else chunk
@@ -77,18 +92,19 @@ class Encoder(dict):
         if self.layout == "prefix" and "\n" in chunk:
             before, _, after = chunk.partition("\n")
             if before.strip() and after and not before[-1].isspace() and not after[0].isspace():
-                return self[before] + self["\n"] + self[after]
+                return self._spaced(before, lead) + self["\n"] + self[after]
         stem = chunk.rstrip(_PUNCTUATION)
         if len(stem) < len(chunk) and stem[-1:].isalpha():
-            return self[stem] + self[chunk[len(stem) :]]
+            return self._spaced(stem, lead) + self[chunk[len(stem) :]]
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text (none for null)."""
         if not text:
             return b""
-        if len(self) > MEMO_CHUNKS:
+        if len(self) + len(self.following) > MEMO_CHUNKS:
             self.clear()
+            self.following.clear()
             self[""] = b""
         if self.layout == "drop":
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -98,7 +114,7 @@ class Encoder(dict):
             else:
                 chunks = text.split(" ")
             first = self[chunks[0]] if chunks[0] else b""
-            return first + b"".join([self[" " + c] for c in chunks[1:]])
+            return first + b"".join(map(self.following.__getitem__, chunks[1:]))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
