@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, packing, repair, sharding, simhash, substring_dedup
+from . import chat, decontaminate, line_dedup, packing, quality, repair, sharding, simhash, substring_dedup
 from .common import table, vocabulary
 
 
@@ -34,6 +34,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_kd_sharding": op6_kd_sharding,
         "op7_line_dedup": op7_line_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
