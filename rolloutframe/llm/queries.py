@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, packing, quality, repair, sharding, simhash, substring_dedup
+from . import chat, decontaminate, knn_tree, line_dedup, packing, quality, repair, sharding, simhash, substring_dedup
 from .common import table, vocabulary
 
 
+def op1_knn_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_tree.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_knn_tree": op1_knn_tree,
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_repair_tokens": op4_repair_tokens,
