@@ -1,7 +1,73 @@
-"""Placeholder until the stages exist."""
+"""The corpus pipeline: five operators of rolloutframe.llm, one after another.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``, whatever their number and order.
+Each stage works on all that its predecessor kept:
+
+1. quality classifier: documents judged bad or toxic go;
+2. line dedup: lines that many documents share stay in one of them alone
+   (``n_chars`` follows the text);
+3. SimHash near-dedup: one document of each component stays, the one of least
+   id; rows with a null id are components of their own;
+4. benchmark decontamination: contaminated documents go;
+5. best-fit packing: the pieces of what is left and their sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolloutframe.llm import decontaminate, line_dedup, packing, quality, simhash
+from rolloutframe.llm.common import stage, table, vocabulary
+from rolloutframe.session import ship_package
+
+#: Tokenizer ids and packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality.classify(docs, table(spark, sf_dir, "labels")).where("_keep").select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col("_n_dropped") > 0
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = simhash.near_duplicates(docs)
+    gone = stage(found.where(F.col("component_id") < F.col("id")).select("id").distinct(), "copies")
+    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=True)
+    return marked.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -89,7 +89,12 @@ def _short_level(window: int, short: int):
 
 
 def _long_level(window: int, short: int):
-    """Long windows whose short key repeats; equal ones of a slice in one row."""
+    """Runs of long windows whose short key repeats; equal runs of a slice in one row.
+
+    A run is the windows at consecutive words that chose the same short window,
+    with a hash for each. Equal windows have equal short keys, so the pair of
+    both hashes names a window.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(_where(batches, 2)):
@@ -101,21 +106,33 @@ def _long_level(window: int, short: int):
             known = np.asarray(lists.flatten()).view(np.uint64)
             salt = mix(np.arange(len(batch), dtype=np.uint64) + np.uint64(1))
             live = np.isin(mix(key ^ salt[doc]), mix(known ^ salt[known_doc]))
-            starts, doc = starts[live], doc[live]
-            one, two = words.ngrams(window)[starts], words.ngrams(window, _SECOND)[starts]
-            order = np.lexsort((starts, two, one))
-            one, two, starts, doc = one[order], two[order], starts[order], doc[order]
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.empty(0, bool)
-            border = np.append(np.flatnonzero(new), len(one))
+            starts, doc, key = starts[live], doc[live], key[live]
+            if not len(starts):
+                continue
+            own = words.ngrams(window)[starts]
+            new = np.append(True, (starts[1:] != starts[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+            run = np.flatnonzero(new)
+            size = np.diff(np.append(run, len(starts)))
+            place = np.arange(len(starts)) - np.repeat(run, size)
+            whole = np.add.reduceat(mix(own + place.astype(np.uint64) * np.uint64(_SECOND)), run)
+            order = np.lexsort((run, whole, key[run]))
+            run, size, whole = run[order], size[order], whole[order]
+            k = key[run]
+            border = np.append(np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (whole[1:] != whole[:-1]))), len(run))
+            first = border[:-1]
             many = np.diff(border) > 1
-            ids = batch.column(0).take(pa.array(doc))
-            places = pa.array((starts - words.first[doc]).astype(np.int32))
-            alone = pa.array(np.where(many, 0, border[:-1]), mask=many) if len(many) else pa.array([], pa.int64())
-            at = border[:-1]
+            ids = batch.column(0).take(pa.array(doc[run]))
+            places = pa.array((starts[run] - words.first[doc[run]]).astype(np.int32))
+            alone = pa.array(np.where(many, 0, first), mask=many)
+            n = size[first]
+            at = np.repeat(run[first], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hashes = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own[at].view(np.int64))
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), ids.take(alone), places.take(alone),
+                [pa.array(k[first].view(np.int64)), hashes, ids.take(alone), places.take(alone),
                  _lists(ids, border, many), _lists(places, border, many)],
-                ["g1", "g2", "id", "at", "ids", "ats"],
+                ["k", "gs", "id", "at", "ids", "ats"],
             )
 
     return emit
@@ -163,18 +180,20 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     each = F.coalesce(F.col("ids"), F.array("id"))
     live = repeated.select(F.explode(each).alias("id_"), "k").groupBy("id_").agg(F.collect_set("k").alias("keys"))
     found = docs.join(live.hint("shuffle_hash"), F.col("id") == F.col("id_"), "left").select("id", "text", "keys")
-    long = found.mapInArrow(
-        _long_level(window, short), f"g1 long, g2 long, id {kind}, at int, ids array<{kind}>, ats array<int>"
+    runs = found.mapInArrow(
+        _long_level(window, short), f"k long, gs array<long>, id {kind}, at int, ids array<{kind}>, ats array<int>"
     )
-    first = F.min(F.coalesce(F.col("id"), F.array_min("ids"))).over(Window.partitionBy("g1", "g2"))
+    # dealt by the short key, so that the long windows need no exchange of their own
+    each = runs.repartition("k").select("k", "id", "at", "ids", "ats", F.posexplode("gs").alias("off", "g"))
+    first = F.min(F.coalesce(F.col("id"), F.array_min("ids"))).over(Window.partitionBy("k", "g"))
     pairs = F.coalesce(F.arrays_zip("ids", "ats"), F.array(F.struct(F.col("id").alias("ids"), F.col("at").alias("ats"))))
     return (
-        long.withColumn("first", first)
+        each.withColumn("first", first)
         .where(F.col("ids").isNotNull() | (F.col("id") > F.col("first")))
-        .select("first", F.inline(pairs))
+        .select("first", "off", F.inline(pairs))
         .where(F.col("ids") > F.col("first"))
         .groupBy(F.col("ids").alias("id_"))
-        .agg(F.collect_list("ats").alias("starts"))
+        .agg(F.collect_list(F.col("ats") + F.col("off")).alias("starts"))
     )
 
 
