@@ -9,8 +9,10 @@ true neighbours are found against all vectors in blocks, and the number of
 visits is widened until their mean recall reaches ``TARGET``.
 
 Equal vectors are filed once, with the least ids that any query can need, so a
-vector shared by a third of all rows is one entry. Leaves larger than
-``BLOCK_ROWS`` are split into blocks, and so are the queries of a leaf.
+vector shared by a third of all rows is one entry. Neighbouring leaves are read
+together as a group of about ``BLOCK_ROWS`` vectors, in which a query meets
+those of its own leaves alone; larger leaves are split into blocks, and the
+queries of a group into halls of ``HALL_ROWS``.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component,
 or have another dimension than most, take no part; with fewer candidates than
@@ -35,7 +37,7 @@ from pyspark.sql.window import Window
 from .common import stage
 
 SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 32_768, 8, 48, 8
-CALIBRATION, TARGET, BLOCK_ROWS = 200, 0.97, 4096
+CALIBRATION, TARGET, BLOCK_ROWS, HALL_ROWS = 200, 0.97, 4096, 1024
 
 
 @dataclass
@@ -191,23 +193,37 @@ def _visits(tree: Tree, truth: list, queries: np.ndarray, target: float) -> int:
     return int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1 if len(depth) else tree.leaves
 
 
+def _groups(sizes: dict[int, int], leaves: int) -> np.ndarray:
+    """The group of each leaf: neighbours share one while it holds up to ``BLOCK_ROWS`` vectors."""
+    group, held, found = 0, 0, np.zeros(leaves, np.int64)
+    for leaf in range(leaves):
+        size = sizes.get(leaf, 0)
+        if held and held + size > BLOCK_ROWS:
+            group, held = group + 1, 0
+        found[leaf] = group
+        held += size
+    return found
+
+
 def _search(kind: str, keep: int):
     def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(items) and len(queries):
-            x, q = _matrix(items["v"], kind), _matrix(queries["v"], kind)
-            ids = items["ids"].to_numpy()
-            row, at = _best(q @ x.T, keep)
-            score = (x[at] * q[row]).sum(1)  # the same for equal vectors, wherever they stand
-            n = np.array([len(i) for i in ids])[at]
-            frame = pd.DataFrame({
-                "q": np.repeat(queries["q"].to_numpy()[row], n),
-                "vec_id": np.concatenate([ids[i] for i in at]),
-                "score": np.repeat(score, n),
-            })
-            frame = frame.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
-            out.append(frame.groupby("q").head(keep))
-        return out[0] if out else pd.DataFrame({"q": [], "vec_id": [], "score": []})
+        if not (len(items) and len(queries)):
+            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
+        x, q = _matrix(items["v"], kind), _matrix(queries["v"], kind)
+        ids = items["ids"].to_numpy()
+        leaves, leaf = np.unique(items["leaf"].to_numpy(), return_inverse=True)
+        wanted = np.stack([np.isin(leaves, own) for own in queries["leaves"]])[:, leaf]
+        row, at = _best(np.where(wanted, q @ x.T, -np.inf), keep)
+        row, at = row[wanted[row, at]], at[wanted[row, at]]
+        score = (x[at] * q[row]).sum(1)  # the same for equal vectors, wherever they stand
+        n = np.array([len(ids[i]) for i in at], np.int64)
+        frame = pd.DataFrame({
+            "q": np.repeat(queries["q"].to_numpy()[row], n),
+            "vec_id": np.concatenate([np.empty(0, np.int64), *[ids[i] for i in at]]),
+            "score": np.repeat(score, n),
+        })
+        frame = frame.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+        return frame.groupby("q").head(keep)
 
     return run
 
@@ -242,29 +258,35 @@ def nearest(
     some = wanted.where(_share("v", CALIBRATION / max(1, wanted.count()), 2)).select("v").toPandas()
     probe = _matrix(some["v"], kind) if len(some) else np.empty((0, 1))
     visits = _visits(tree, _truth(items, probe, k, kind) if len(some) else [], probe, target)
+    # a row for each leaf, of which the sample bounds the number
+    sizes = {r["leaf"]: r["count"] for r in items.groupBy("leaf").count().collect()}
+    groups = _groups(sizes, tree.leaves)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                leaves = [held.value.visit(x, visits) for x in _matrix(frame["v"], kind)]
-                yield frame.assign(leaf=leaves).explode("leaf").astype({"leaf": "int64"})[["leaf", "q", "v"]]
-
-    steps = stage(wanted.mapInPandas(walk, "leaf long, q long, v binary"), "walks")
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias(name))
-
-    # a row for each leaf, of which the sample bounds the number
-    grid = F.broadcast(parts(items, "blocks").join(parts(steps, "halls"), "leaf"))
-    dealt = items.join(grid, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("halls") - 1)).alias("hall"), "v", "ids",
+            out = []
+            for q, v, x in zip(frame["q"], frame["v"], _matrix(frame["v"], kind) if len(frame) else [], strict=True):
+                leaves = np.array(held.value.visit(x, visits))
+                out += [(g, q, v, leaves[groups[leaves] == g]) for g in np.unique(groups[leaves])]
+            yield pd.DataFrame(out, columns=["grp", "q", "v", "leaves"])
+
+    steps = stage(wanted.mapInPandas(walk, "grp long, q long, v binary, leaves array<long>"), "walks")
+    group_of = table.sparkSession.createDataFrame(list(enumerate(groups.tolist())), "leaf long, grp long")
+    grouped = items.join(F.broadcast(group_of), "leaf")
+
+    def parts(rows: DataFrame, name: str, most: int) -> DataFrame:
+        return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias(name))
+
+    grid = F.broadcast(parts(grouped, "blocks", BLOCK_ROWS).join(parts(steps, "halls", HALL_ROWS), "grp"))
+    dealt = grouped.join(grid, "grp").select(
+        "grp", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("halls") - 1)).alias("hall"), "leaf", "v", "ids",
     )
-    asked_of = steps.join(grid, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("q"), F.col("halls")).alias("hall"), "q", "v",
+    asked_of = steps.join(grid, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("q"), F.col("halls")).alias("hall"), "q", "v", "leaves",
     )
-    key = ["leaf", "block", "hall"]
+    key = ["grp", "block", "hall"]
     hits = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(
         _search(kind, k + 1), "q long, vec_id long, score double"
     )
