@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import itemgetter
 
 MEMO_CHUNKS = 1_000_000
 _PUNCTUATION = ".,!?;:|*$%&#"
@@ -51,10 +52,15 @@ def _layout(path: str) -> str:
     return "whole"
 
 
+def _joined(memo: dict, chunks: list[str]) -> bytes:
+    return b"".join(itemgetter("", "", *chunks)(memo))
+
+
 class _Following(dict):
     """word -> ids of a space and the word."""
 
     def __init__(self, encoder: Encoder):
+        super().__init__({"": b""})
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
@@ -105,16 +111,16 @@ class Encoder(dict):
         if len(self) + len(self.following) > MEMO_CHUNKS:
             self.clear()
             self.following.clear()
-            self[""] = b""
+            self[""] = self.following[""] = b""
         if self.layout == "drop":
-            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return _joined(self, text.replace("\n", " ").split(" "))
         if self.layout == "prefix":
             if _DOUBLE_SPACE.search(text) or text[0] == " " or text[-1] == " ":
                 chunks = _INNER_SPACE.split(text)
             else:
                 chunks = text.split(" ")
             first = self[chunks[0]] if chunks[0] else b""
-            return first + b"".join(map(self.following.__getitem__, chunks[1:]))
+            return first + _joined(self.following, chunks[1:])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
