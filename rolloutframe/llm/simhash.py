@@ -115,7 +115,11 @@ def with_partner(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes whose fingerprints lie within 3 bits: enough to connect them all."""
+    """Edges (a, b) between nodes whose fingerprints lie within 3 bits: enough to connect them all.
+
+    Spark takes the variants of a node to be as small as the node, so the joins
+    ask for a merge join: a broadcast of all variants has no bound.
+    """
     one = _flips([(), *combinations(range(64), 1)])
     two = _flips(list(combinations(range(64), 2)))
     near = nodes.select(
@@ -124,9 +128,9 @@ def links(nodes: DataFrame) -> DataFrame:
     hubs = near.groupBy("v").agg(
         F.min("node").alias("hub"), F.max(~F.col("odd")).alias("even"), F.count(F.lit(1)).alias("n")
     )
-    met = near.join(hubs.where(F.col("n") > 1), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    met = near.hint("merge").join(hubs.where(F.col("n") > 1), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     far = nodes.where(_odd(F.col("fp"))).select("node", F.explode(_variants(F.col("fp"), two)).alias("v"))
-    reached = far.join(hubs.where("even"), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    reached = far.hint("merge").join(hubs.where("even"), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return met.unionByName(reached).where(F.col("a") != F.col("b"))
 
 
