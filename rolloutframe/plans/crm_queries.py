@@ -111,7 +111,7 @@ def crm_shipping_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crm_purchase_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crm.purchase_history(t.order_items(spark, sf_dir), t.orders(spark, sf_dir), 100, status="F")
+    return crm.purchase_history(t.order_items(spark, sf_dir), t.orders(spark, sf_dir), 77, status="F")
 
 
 def crm_order_items_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ WHERE closed IS NOT NULL AND shipping_state <> '' GROUP BY 1""",
     "id_min_value": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity = (SELECT min(l_quantity) FROM lineitem)",
     "crm_shipping_state": f"WITH {STATES} SELECT id, account_id, shipping_state FROM states",
     "crm_purchase_history": """SELECT l_orderkey AS order_id, l_partkey AS product_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-WHERE o_custkey = 100 AND o_orderstatus = 'F'""",
+WHERE o_custkey = 77 AND o_orderstatus = 'F'""",
     "crm_order_items_by_product": "SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem WHERE l_partkey = 17",
     "crm_account_by_contact": "SELECT o_custkey AS account_id FROM orders WHERE o_orderkey = 42 ORDER BY 1 LIMIT 1",
     "crm_issues": "SELECT DISTINCT o_orderpriority AS name FROM orders",
