@@ -1,7 +1,7 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
-Two logistic classifiers over hashed words and a few shape measures give each
-document its evidence: the log odds of "bad" and of "toxic", with the base rate
+Two logistic classifiers over a few shape measures and those hashed words whose
+share differs between both kinds beyond chance give each document its evidence: the log odds of "bad" and of "toxic", with the base rate
 taken out. A site has a rate of its own for each, and so has each path of a
 site. The expected counts are summed per (host, path) in one grouped
 aggregation; a host's rate is shrunk toward the global rate and a path's toward
@@ -32,12 +32,14 @@ from .common import stage
 from .words import ALPHANUMERIC, slices, words_of
 
 SAMPLE_ROWS, FEATURE_BITS, LEAST_DOCS, BROADCAST_ROWS = 20_000, 18, 4, 100_000
-STEPS, RATE, PENALTY = 150, 0.1, 2e-4
+STEPS, RATE, PENALTY, LEAST_Z = 150, 0.1, 1e-5, 5.0
 HEADS = ("bad", "toxic")
+ADDED = ("_bad", "_toxic", "_host", "_path", "_h", "_p", "_bad_rate", "_toxic_rate", "_p_bad", "_p_toxic", "_keep")
 _SYMBOLS = np.isin(np.arange(256), list(b"!*$%&#|=+<>{}[]^~@\\"))
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 _LETTER = (np.arange(256) >= 0x80) | _UPPER | ((np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A))
 SHAPES = 7
+NEVER = -30.0  # log odds of a mark that no sample shows
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,29 +95,39 @@ class Model:
         return np.diff(total[border], axis=0) + _squash(shape, self.mean, self.scale) @ self.shapes + self.bias - self.base
 
 
+def _telling(row: np.ndarray, index: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which hashed words differ between both kinds of documents beyond chance (a test of two shares)."""
+    width, good = 1 << FEATURE_BITS, y.sum()
+    with_mark = np.bincount(index, y[row], width)
+    seen = np.bincount(index, minlength=width)
+    share = seen / len(y)
+    spread = np.sqrt(share * (1 - share) * (1 / good + 1 / (len(y) - good)))
+    apart = np.abs(with_mark / good - (seen - with_mark) / (len(y) - good))
+    return (seen >= LEAST_DOCS) & (apart > LEAST_Z * spread)
+
+
 def fit(border: np.ndarray, index: np.ndarray, shape: np.ndarray, marks: np.ndarray) -> Model:
-    """Logistic regression of both heads by full-batch Adam with an L2 penalty."""
+    """Logistic regression of both heads by full-batch Adam with an L2 penalty, over the telling words."""
     width = 1 << FEATURE_BITS
-    seen = np.bincount(index, minlength=width) >= LEAST_DOCS
-    keep = seen[index]
-    row = np.repeat(np.arange(len(marks)), np.diff(border))[keep]
-    column, index = np.unique(index[keep], return_inverse=True)
+    rows = np.repeat(np.arange(len(marks)), np.diff(border))
     mean, scale = shape.mean(0), shape.std(0) + 1e-9
     dense = np.append(_squash(shape, mean, scale), np.ones((len(marks), 1)), 1)
-    words, own, bias, base = np.zeros((width, 2), np.float32), np.zeros((SHAPES, 2)), np.zeros(2), np.zeros(2)
+    words, own, bias, base = np.zeros((width, 2), np.float32), np.zeros((SHAPES, 2)), np.full(2, NEVER), np.full(2, NEVER)
     for head in range(2):
         y = marks[:, head].astype(np.float64)
         if not 0 < y.sum() < len(y):
             continue
+        keep = _telling(rows, index, y)[index]
+        row, (column, place) = rows[keep], np.unique(index[keep], return_inverse=True)
         base[head] = np.log(y.mean() / (1 - y.mean()))
         w = np.zeros(len(column) + dense.shape[1])
         w[-1] = base[head]
         m, v = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, STEPS + 1):
-            margin = np.bincount(row, w[index], len(y)) + dense @ w[len(column) :]
+            margin = np.bincount(row, w[place], len(y)) + dense @ w[len(column) :]
             miss = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
-            g = np.append(np.bincount(index, miss[row], len(column)), dense.T @ miss) + PENALTY / 10 * w
-            g[-1] -= PENALTY / 10 * w[-1]
+            g = np.append(np.bincount(place, miss[row], len(column)), dense.T @ miss) + PENALTY * w
+            g[-1] -= PENALTY * w[-1]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         words[column, head] = w[: len(column)]
@@ -219,11 +231,15 @@ def classify(
     path: Column | None = None,
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """All columns of ``docs``, ``_p_bad``, ``_p_toxic`` and ``_keep`` (both below one half)."""
+    """All columns of ``docs``, ``_p_bad``, ``_p_toxic`` and ``_keep`` (both below one half).
+
+    Columns of ``docs`` with names in ``ADDED`` are replaced.
+    """
+    docs = docs.drop(*ADDED)
     host = (F.col("source") if host is None else host).cast("string")
     path = (F.col("lang") if path is None else path).cast("string")
     model = train(docs, labels, id_col, text_col, sample_rows)
-    base = dict(zip(HEADS, model.base.tolist() if model else (-30.0, -30.0), strict=True))
+    base = dict(zip(HEADS, model.base.tolist() if model else (NEVER, NEVER), strict=True))
     brief = with_evidence(docs.select(host.alias("_host"), path.alias("_path"), F.col(text_col).alias("_text")), model, "_text")
     rates = stage(site_rates(brief.select("_host", "_path", "_bad", "_toxic"), base), "site-rates")
     scored = with_evidence(docs.withColumns({"_host": host, "_path": path}), model, text_col)
