@@ -26,29 +26,42 @@ from rolloutframe.session import ship_package
 ORACLE_SQL = None
 
 
+#: The columns that stages read; all others go through under names that clash with nothing.
+READ = ("doc_id", "text", "source", "lang", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.toDF(*[c if c in READ else f"_other{i}" for i, c in enumerate(docs.columns)])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("_keep").select(*docs.columns)
+    plain = _plain(docs)
+    kept = quality.classify(plain, table(spark, sf_dir, "labels")).where("_keep")
+    return kept.select(plain.columns).toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
-    changed = F.col("_n_dropped") > 0
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    plain = _plain(docs)
+    out = line_dedup.dedup_lines(plain)
+    if "n_chars" in plain.columns:
+        length = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", length)
+    return out.select(plain.columns).toDF(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = simhash.near_duplicates(docs)
+    plain = _plain(docs)
+    found = simhash.near_duplicates(plain)
     gone = stage(found.where(F.col("component_id") < F.col("id")).select("id").distinct(), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*docs.columns)
+    return plain.join(gone, plain["doc_id"] == gone["id"], "left_anti").toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=True)
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    plain = _plain(docs)
+    marked = decontaminate.mark_contaminated(plain, table(spark, sf_dir, "benchmark"), keep_text=True)
+    return marked.where(~F.col("contaminated")).select(plain.columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

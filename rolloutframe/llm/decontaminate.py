@@ -180,9 +180,11 @@ def mark_contaminated(
     """(id_col, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
 
     ``contaminated``: at least one word in twenty lies in a window. With
-    ``keep_text`` all columns of ``docs`` come first, unchanged.
+    ``keep_text`` all columns of ``docs`` come first, unchanged, but for those
+    named like a result, which are replaced.
     """
-    kept = list(docs.columns) if keep_text else [id_col]
+    results = [x.split()[0] for x in OUT.split(", ")]
+    kept = [c for c in docs.columns if c not in results] if keep_text else [id_col]
     taken = docs.select(F.col(text_col).cast("string").alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[1:])
     parts = []
@@ -237,7 +239,7 @@ def mark_contaminated(
     for k, part in enumerate(parts[:-1]):
         rows = rows.mapInArrow(marker(part, k == 0, False), f"_t string, {carried}, _bits binary, _names array<string>")
     rows = rows.mapInArrow(marker(parts[-1] if parts else None, len(parts) < 2, True), f"{carried}, {OUT}")
-    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *[x.split()[0] for x in OUT.split(", ")])
+    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *results)
 
 
 ORACLE_SQL = r"""

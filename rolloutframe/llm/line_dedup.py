@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, ascii_lower, scratch_path, stage, union_all
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
+ADDED = ("_n_lines", "_n_dropped", "_drop_id", "_drop_positions")
 
 
 def line_key(line: Column) -> Column:
@@ -99,7 +100,9 @@ def dedup_lines(
 
     Keys of at least ``min_chars`` code points found in at least ``min_docs``
     documents lose all their lines except in the document with the largest id.
+    Columns of ``docs`` with names in ``ADDED`` are replaced.
     """
+    docs = docs.drop(*ADDED)
     spark = docs.sparkSession
     cuts = docs.select(
         F.percentile_approx(id_col, [i / batches for i in range(1, batches)], 1000).alias("cuts")
