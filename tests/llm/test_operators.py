@@ -485,7 +485,7 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_columns_named_like_results(docs, spark):
-    labels, bench = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "x y")], "item_id long, text string")
+    labels, bench = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "never seen")], "item_id long, text string")
     odd = docs.withColumns({c: F.lit("z") for c in (*quality.ADDED, *line_dedup.ADDED, "n_words", "contaminated")})
     assert quality.classify(odd, labels).where("_keep").count() == len(TEXTS)
     assert line_dedup.dedup_lines(odd).agg(F.sum("_n_dropped")).first()[0] == sum(x[2] for x in lines_brute(TEXTS))
