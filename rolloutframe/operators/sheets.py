@@ -81,7 +81,11 @@ def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles
         return rows.join(other, [*same, sheet], "left").drop(*[f"_{name}_{k}" for k in [*keys, "sheet", "sheet_idx"]])
 
     both = joined(joined(wanted, truth, "t"), output, "o")
-    equal = comparable(F.col("t_value")).eqNullSafe(comparable(F.col("o_value")))
+    # values of the same text need no rounding; NaN equals nothing
+    same = F.col("t_value").eqNullSafe(F.col("o_value"))
+    nan = F.lower("t_value").contains("nan") & F.isnan(number(F.col("t_value")))
+    a, b = (comparable(F.when(~same, F.col(c))) for c in ("t_value", "o_value"))
+    equal = F.when(same, ~F.coalesce(nan, F.lit(False))).otherwise(F.coalesce(a == b, F.lit(False)))
     for c in checks[1:]:
         equal = equal & F.col(f"t_{c}").eqNullSafe(F.col(f"o_{c}"))
     equal = equal & F.col("row").isNotNull()

@@ -182,6 +182,8 @@ def test_workbooks(spark, book):
     assert compare("'Sheet1'!D3:H6", other) == (False, "H3")
     assert compare("Other!H3", other) == (True, None)  # both miss it
     assert compare("A:A", cells)[0] is False
+    nans = cells.withColumn("value", F.lit("nan"))
+    assert tuple(sheets.compare_cells(sheets.expand_ranges(spark.createDataFrame([("w.xlsx", "D3")], "workbook string, position string"), "position"), nans, nans).first())[1:] == (False, "D3")
     plain = cells.withColumn("fill_fg", F.lit(None).cast("string"))
     assert compare("E6", plain) == (True, None) and compare("E6", plain, styles=True) == (False, "E6")
 
