@@ -6,11 +6,13 @@ such a border. Two layouts are known:
 
 * ``drop``: white space is dropped; every space or line feed is a border;
 * ``prefix``: a space joins the word after it; a single space between two
-  characters that are not white space is a border, before the space.
+  characters that are not white space is a border, before the space, and a
+  single line feed between two such characters has borders on both sides.
 
 A tokenizer of any other layout encodes each text whole. Each distinct chunk
-is encoded once per worker by the tokenizers library; the memo is emptied when
-it holds ``MEMO_CHUNKS`` chunks.
+is encoded once per worker by the tokenizers library; chunks of more than
+``MEMO_CHARS`` characters are not kept, and the memo is emptied when it holds
+``MEMO_CHUNKS`` chunks.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from array import array
 from functools import lru_cache
 from operator import itemgetter
 
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 64
 _PUNCTUATION = ".,!?;:|*$%&#"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_INNER_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
@@ -64,7 +67,9 @@ class _Following(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.encoder._ids(" " + word)
+        found = self.encoder._ids(" " + word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = found
         return found
 
 
@@ -81,7 +86,9 @@ class Encoder(dict):
         self.model, self.layout, self.letters = self.tokenizer.model, _layout(path), _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = self._ids(chunk)
+        found = self._ids(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = found
         return found
 
     def _spaced(self, chunk: str, lead: bool) -> bytes:
@@ -96,9 +103,9 @@ class Encoder(dict):
             word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             return array("I", [t.id for t in self.model.tokenize("Ġ" + word if lead else word)]).tobytes()
         if self.layout == "prefix" and "\n" in chunk:
-            before, _, after = chunk.partition("\n")
-            if before.strip() and after and not before[-1].isspace() and not after[0].isspace():
-                return self._spaced(before, lead) + self["\n"] + self[after]
+            first, *lines = _INNER_FEED.split(chunk)
+            if lines:
+                return self["\n"].join([self._spaced(first, lead), *[self[line] for line in lines]])
         stem = chunk.rstrip(_PUNCTUATION)
         if len(stem) < len(chunk) and stem[-1:].isalpha():
             return self._spaced(stem, lead) + self[chunk[len(stem) :]]

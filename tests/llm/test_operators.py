@@ -27,6 +27,7 @@ from rolloutframe.llm import (
     substring_dedup,
 )
 from rolloutframe.llm.common import vocabulary
+from rolloutframe.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, id int, row string, part string, k int, fp string, node int, line string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -438,6 +439,18 @@ def test_packing(docs):
     assert n <= -(-sum(map(len, ids.values())) // 1024) + 2
 
 
+def test_many_lines_without_spaces(spark):
+    """One word a line, thousands of them: no recursion, and a memo no larger than the text."""
+    odd = ["\n".join(f"w{i}" for i in range(5000)), "\n".join("长文本没有空格" for _ in range(5000)), " a\nb\n\nc\n d\n\te\x1c\nf.\ng\n" * 700]
+    tokenizer = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    own = Encoder(vocabulary(BYTE_BPE))
+    for text in odd:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, own)) + sum(map(len, own.following)) <= sum(map(len, odd))
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(odd)}
+    check_packing(packing.pack_documents(table(spark, odd), vocabulary(BYTE_BPE)).collect(), ids)
+
+
 def test_gaps_are_repacked(spark):
     r = np.random.default_rng(1)
     lengths = r.integers(1, 1025, 3000)
