@@ -7,8 +7,8 @@ Each stage works on all that its predecessor kept:
 1. quality classifier: documents judged bad or toxic go;
 2. line dedup: lines that many documents share stay in one of them alone
    (``n_chars`` follows the text);
-3. SimHash near-dedup: one document of each component stays, the one of least
-   id; rows with a null id are components of their own;
+3. SimHash near-dedup: one row of each component stays, the one of least id,
+   the first of those that repeat it; rows with a null id are components of their own;
 4. benchmark decontamination: contaminated documents go;
 5. best-fit packing: the pieces of what is left and their sequences.
 """
@@ -53,9 +53,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     plain = _plain(docs)
-    found = simhash.near_duplicates(plain)
-    gone = stage(found.where(F.col("component_id") < F.col("id")).select("id").distinct(), "copies")
-    return plain.join(gone, plain["doc_id"] == gone["id"], "left_anti").toDF(*docs.columns)
+    # ids may repeat: rows are told apart by a number of their own, which staging keeps
+    numbered = stage(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = simhash.near_duplicates(numbered, row_col="_row").where(F.col("id").isNotNull()).select("id", "row", "root")
+    first = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = stage(
+        found.join(first.where(F.col("n") > 1), "root").where(F.col("row") != F.col("first.row")).select("row"), "copies"
+    )
+    return numbered.join(gone, numbered["_row"] == gone["row"], "left_anti").select(plain.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,16 +67,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row, in a mapped scan."""
-    kind = dict(docs.dtypes)[id_col]
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, row_col: str | None = None
+) -> DataFrame:
+    """(id, fp) of every row, in a mapped scan; with ``row_col`` (id, fp, row)."""
+    kinds = dict(docs.dtypes)
+    rows = [F.col(row_col).alias("row")] if row_col else []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            columns = [batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "row"][: len(columns)])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(emit, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), *rows).mapInArrow(
+        emit, f"id {kinds[id_col]}, fp long" + (f", row {kinds[row_col]}" if row_col else "")
+    )
 
 
 def _flips(positions: list[tuple[int, ...]]) -> list[int]:
@@ -134,9 +140,19 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.unionByName(reached).where(F.col("a") != F.col("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id) of every row; the least id reachable names a component."""
-    prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    row_col: str | None = None,
+) -> DataFrame:
+    """(id, fp, component_id) of every row; the least id reachable names a component.
+
+    With ``row_col``, a number of each row, also ``row`` and ``root``, a
+    fingerprint of the component: where ids repeat, components may share an id.
+    """
+    prints = stage(fingerprints(docs, id_col, text_col, shingle, row_col), "fingerprints")
     nodes = stage(
         prints.groupBy("fp").agg(F.min("id").alias("node")).where(F.col("node").isNotNull()), "nodes"
     )
@@ -148,11 +164,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes.join(roots, nodes["fp"] == roots["node"])
         .groupBy("root").agg(F.min(nodes["node"]).alias("least"))
     )
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
+    named = roots.join(least, "root").select(F.col("node").alias("fp"), "least", "root")
+    root = [F.coalesce("root", "fp").alias("root")] if row_col else []
     named = stage(
-        nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id")), "components"
+        nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id"), *root), "components"
     )
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("id", "fp", "component_id", *(["row", "root"] if row_col else []))
 
 
 def digest(docs: DataFrame) -> DataFrame:

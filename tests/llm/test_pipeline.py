@@ -66,5 +66,14 @@ def test_odd_rows_pass_every_stage(spark):
         assert {"doc_id", "piece", "sequence_id"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns)
 
 
+def test_simhash_stage_keeps_one_row_of_each_component(spark):
+    """Rows that repeat an id: a clean text stays, and repeated rows leave one."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = table(spark, [a, a, b, c, c, d, d, d, b], [1, 2, 2, 3, 3, 2, 1, 1, None])
+    found = corpus_pipeline.simhash_dedup(spark, rows, SF)
+    assert found.columns == rows.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect()) == [(0, b), (1, a), (1, d), (2, b), (3, c)]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
