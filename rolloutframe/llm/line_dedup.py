@@ -12,8 +12,8 @@ changes again and the anti-join drops it from all later batches.
 Only DataFrame functions run here: no Python on the executors.
 
 Defined cases: a null text is one empty line; a null id neither causes nor
-suffers a drop (its lines stay); rows that repeat an id count as one document;
-an empty table gives an empty result.
+suffers a drop (its lines stay); rows that repeat an id count as one document,
+but each text has its own line positions; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, ascii_lower, scratch_path, stage, union_all
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
-ADDED = ("_n_lines", "_n_dropped", "_drop_id", "_drop_positions")
+ADDED = ("_n_lines", "_n_dropped", "_drop_id", "_drop_text", "_drop_positions")
 
 
 def line_key(line: Column) -> Column:
@@ -74,17 +74,21 @@ class LineRuns:
 
 
 def line_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, h1, h2, positions): a row for each document and key that counts."""
+    """(id, t, h1, h2, positions): a row for each document, text and key that counts.
+
+    ``t`` is the hash of the whole text. It tells rows that repeat an id apart
+    as far as needed: those of equal texts drop the same positions.
+    """
     lines = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
     )
-    keys = lines.select("id", "pos", line_key(F.col("line")).alias("key")).where(
+    keys = lines.select("id", "t", "pos", line_key(F.col("line")).alias("key")).where(
         F.length("key") >= min_chars
     )
     hashed = keys.select(
-        "id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")
+        "id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")
     )
-    return hashed.groupBy("id", "h1", "h2").agg(F.collect_set("pos").alias("positions"))
+    return hashed.groupBy("id", "t", "h1", "h2").agg(F.collect_set("pos").alias("positions"))
 
 
 def dedup_lines(
@@ -115,17 +119,18 @@ def dedup_lines(
     )
     runs = LineRuns(spark, min_docs, fanout)
     for number in reversed(range(len(set(cuts)) + 1)):
-        runs.add(index.where(F.col("batch") == number).select("id", "h1", "h2"))
+        runs.add(index.where(F.col("batch") == number).select("id", "h1", "h2").distinct())
     common = stage(
         runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_id"), "common-lines"
     )
     drops = (
         index.join(common, ["h1", "h2"])
         .where(F.col("id") != F.col("keep_id"))
-        .groupBy(F.col("id").alias("_drop_id"))
+        .groupBy(F.col("id").alias("_drop_id"), F.col("t").alias("_drop_text"))
         .agg(F.flatten(F.collect_list("positions")).alias("_drop_positions"))
     )
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col] == drops["_drop_id"], "left")
+    own = (docs[id_col] == drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"])
+    joined = docs.join(drops.hint("shuffle_hash"), own, "left")
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop_positions"))
     hit = F.col("_drop_positions").isNotNull()

@@ -343,6 +343,18 @@ def test_lines_of_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in found) == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 0)]
 
 
+def test_lines_of_different_texts_under_one_id(spark):
+    line = "the very same long line of text"
+    values = [line + "\nown", "only here, at the same place\nown two", line, "x\n" + line, line]
+    found = line_dedup.dedup_lines(table(spark, values, [1, 1, 2, 1, 3])).collect()
+    assert sorted((r["doc_id"], r["text"], r["_n_dropped"]) for r in found) == [
+        (1, "only here, at the same place\nown two", 0), (1, "own", 1), (1, "x", 1), (2, "", 1), (3, line, 0),
+    ]
+    # the repeats count as one document: two of them are too few
+    few = line_dedup.dedup_lines(table(spark, values[:4], [1, 1, 1, 2])).collect()
+    assert sum(r["_n_dropped"] for r in few) == 0
+
+
 # quality
 
 
