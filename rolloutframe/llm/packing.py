@@ -6,8 +6,8 @@ their own. The others are dealt into partitions of about ``part_rows`` rows
 by a hash of the row; each partition runs best-fit decreasing and computes a
 lower bound from dual feasible functions. A partition that meets its bound is
 certified and done. Those with a gap exchange the documents of their unfilled
-sequences: these are pooled, dealt anew and packed again, for up to ``rounds``
-rounds or until a round saves nothing.
+sequences: these are pooled, dealt anew and packed again, until the pool is
+empty or a round saves nothing (or for ``rounds`` rounds, where given).
 
 Defined cases: a null text is an empty one, which is the end id alone; a null
 or repeated id is a row like any other; an empty table gives an empty result.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .tokens import encoder
 
-CAPACITY, PART_ROWS, ROUNDS, END_ID = 1024, 20_000, 3, 2
+CAPACITY, PART_ROWS, END_ID = 1024, 20_000, 2
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -111,9 +112,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capa
     )
 
 
-def _pack(rows: DataFrame, salt: int, part_rows: int, capacity: int) -> DataFrame:
-    """(row, length, round, part, bin, offset, fill, gap)."""
-    parts = max(1, -(-rows.count() // part_rows))
+def _pack(rows: DataFrame, salt: int, first: int, parts: int, capacity: int) -> DataFrame:
+    """(row, length, part, bin, offset, fill, gap); ``parts`` partitions, numbered from ``first``."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row")
@@ -122,37 +122,44 @@ def _pack(rows: DataFrame, salt: int, part_rows: int, capacity: int) -> DataFram
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         return frame.assign(
             bin=bins, offset=offsets, fill=fill[bins], gap=len(fill) - lower_bound(lengths, capacity)
-        )[["row", "length", "round", "part", "bin", "offset", "fill", "gap"]]
+        )[["row", "length", "part", "bin", "offset", "fill", "gap"]]
 
     return (
         rows.select("row", "length")
-        .withColumn("round", F.lit(salt))
-        .withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(parts)))
+        .withColumn("part", F.lit(first).cast("long") + F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(parts)))
         .groupBy("part")
-        .applyInPandas(
-            pack, "row long, length long, round int, part long, bin long, offset long, fill long, gap long"
-        )
+        .applyInPandas(pack, "row long, length long, part long, bin long, offset long, fill long, gap long")
     )
 
 
-def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int | None = None) -> DataFrame:
     """(row, sequence_id, offset) for ``rows`` (row, length), row unique."""
-    state = stage(_pack(rows.where(F.col("length") < capacity), 0, part_rows, capacity), "packed")
+
+    def parts_of(some: DataFrame) -> int:
+        return max(1, -(-some.count() // part_rows))
+
+    short = rows.where(F.col("length") < capacity)
+    parts = parts_of(short)
+    state = stage(_pack(short, 0, 0, parts, capacity), "packed")
     done = [
         rows.where(F.col("length") == capacity).select(
             "row", (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
         )
     ]
-    keep = ["row", (F.shiftleft(F.col("round").cast("long"), 56) + F.shiftleft("part", 24) + F.col("bin")).alias("sequence_id"), "offset"]
+    # partitions are numbered on from round to round, so any number of rounds has ids of its own
+    keep = ["row", (F.shiftleft("part", 24) + F.col("bin")).alias("sequence_id"), "offset"]
     gapped = (F.col("gap") > 0) & (F.col("fill") < capacity)
-    for salt in range(1, rounds + 1):
+    used = parts
+    for salt in count(1) if rounds is None else range(1, rounds + 1):
         pool = state.where(gapped)
         before = pool.where(F.col("offset") == 0).count()
         if before < 2:
             break
-        again = stage(_pack(pool, salt, part_rows, capacity), "repacked")
+        parts = parts_of(pool)
+        again = stage(_pack(pool, salt, used, parts, capacity), "repacked")
         if again.where(F.col("offset") == 0).count() >= before:
             break
+        used += parts
         done.append(state.where(~gapped).select(*keep))
         state = again
     done.append(state.select(*keep))
@@ -170,7 +177,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     part_rows: int = PART_ROWS,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     pieces = stage(

@@ -473,6 +473,21 @@ def test_gaps_are_repacked(spark):
     assert len(places) == 3000 and packing.lower_bound(lengths) <= count(places) < count(alone)
 
 
+def test_gaps_are_repacked_until_nothing_is_saved(spark):
+    r = np.random.default_rng(1)
+    lengths = r.integers(200, 500, 6000)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row long, length long")
+    places = packing.pack_pieces(rows, part_rows=20).collect()
+    capped = packing.pack_pieces(rows, part_rows=20, rounds=3).collect()
+    rooms = {}
+    for p in places:
+        rooms.setdefault(p["sequence_id"], []).append((p["offset"], int(lengths[p["row"]])))
+    for own in rooms.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and sum(own[-1]) <= 1024
+    assert len(places) == 6000 and packing.lower_bound(lengths) <= len(rooms) < len({p["sequence_id"] for p in capped})
+
+
 def test_bounds_hold():
     r = np.random.default_rng(0)
     for _ in range(20):
