@@ -4,9 +4,12 @@ The tree is fitted to a bounded sample (about ``SAMPLE_ROWS`` distinct vectors,
 chosen by a hash); every vector is then filed under its leaf. A query walks the
 tree best bin first: a priority queue holds the nodes met so far by the inner
 product with their centres, and the best is opened next, until enough leaves
-are visited. How many are enough is calibrated: for ``CALIBRATION`` queries the
-true neighbours are found against all vectors in blocks, and the number of
-visits is widened until their mean recall reaches ``TARGET``.
+are visited. A query's own leaf, which holds all its copies, is always among
+them. How many are enough is calibrated: for ``CALIBRATION`` queries the true
+neighbours are found against all vectors in blocks, and the number of visits is
+widened until the mean recall reaches ``TARGET``, both of all query rows (a
+probe weighs as many as share its vector) and of the neighbours that are no
+copies, whatever their rows.
 
 Equal vectors are filed once, with the least ids that any query can need, so a
 vector shared by a third of all rows is one entry. Neighbouring leaves are read
@@ -113,7 +116,7 @@ def fit(sample: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_SAMP
     return tree
 
 
-def _matrix(column: pd.Series, kind: str) -> np.ndarray:
+def _matrix(column: pd.Series | list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
@@ -169,28 +172,47 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.nonzero(scores >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
 
 
-def _truth(items: DataFrame, queries: np.ndarray, k: int, kind: str) -> list:
-    """Leaves and query numbers of the true ``k`` nearest of a bounded query set."""
+def _truth(items: DataFrame, probes: list[bytes], k: int, kind: str) -> list:
+    """(q, leaf, copy, n): where the true ``k`` nearest rows of each probe, itself left out, are filed."""
+    queries = _matrix(probes, kind)
+    number = {v: i for i, v in enumerate(probes)}
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                scores = queries @ _matrix(frame["v"], kind).T
-                scores[scores >= (queries * queries).sum(1)[:, None] * (1 - 1e-12)] = -np.inf  # not itself
-                q, at = _best(scores, k)
-                ok = np.isfinite(scores[q, at])
-                yield pd.DataFrame({"q": q[ok], "leaf": frame["leaf"].to_numpy()[at[ok]], "score": scores[q[ok], at[ok]]})
+                q, at = _best(queries @ _matrix(frame["v"], kind).T, k + 1)
+                copy = frame["v"].map(lambda v: number.get(v, -1)).to_numpy()[at] == q
+                yield pd.DataFrame({
+                    "q": q, "leaf": frame["leaf"].to_numpy()[at], "copy": copy, "n": frame["n"].to_numpy()[at] - copy,
+                    "score": (_matrix(frame["v"], kind)[at] * queries[q]).sum(1),
+                })
+
+    found = items.select("leaf", "v", F.size("ids").cast("long").alias("n")).mapInPandas(
+        emit, "q long, leaf long, copy boolean, n long, score double"
+    )
+    nearer = Window.partitionBy("q").orderBy(F.desc("score"), "leaf").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(k) - F.coalesce(F.sum("n").over(nearer), F.lit(0))
+    return found.withColumn("n", F.least("n", room)).where(F.col("n") > 0).select("q", "leaf", "copy", "n").collect()
 
-    found = items.select("leaf", "v").mapInPandas(emit, "q long, leaf long, score double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaf"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "leaf").collect()
 
+def _visits(tree: Tree, truth: list, queries: np.ndarray, rows: np.ndarray, own: np.ndarray, target: float) -> int:
+    """The least number of visits with a mean recall of ``target``, own leaves being free.
 
-def _visits(tree: Tree, truth: list, queries: np.ndarray, target: float) -> int:
-    """The least number of visits with a mean recall of ``target``."""
+    ``rows``: the query rows of each probe; ``own``: the leaf it is filed under.
+    """
     order = [{leaf: i for i, leaf in enumerate(tree.visit(q, tree.leaves))} for q in queries]
-    depth = np.sort([order[r["q"]][r["leaf"]] for r in truth])
-    return int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1 if len(depth) else tree.leaves
+    depth = np.array([0 if r["leaf"] == own[r["q"]] else order[r["q"]][r["leaf"]] for r in truth], np.int64)
+    n = np.array([r["n"] for r in truth], np.int64)
+    weight = n * rows[[r["q"] for r in truth]] if truth else n
+    other = n * ~np.array([r["copy"] for r in truth], bool)
+    by = np.argsort(depth, kind="stable")
+    found = []
+    for share in (weight[by], other[by]):
+        reached = np.cumsum(share)
+        if len(by) and reached[-1]:
+            at = np.searchsorted(reached, target * reached[-1], "right")
+            found.append(int(depth[by][min(len(by) - 1, at)]) + 1)
+    return max(found, default=tree.leaves)
 
 
 def _groups(sizes: dict[int, int], leaves: int) -> np.ndarray:
@@ -254,10 +276,16 @@ def nearest(
 
     items = stage(items.mapInPandas(file, "leaf long, v binary, ids array<long>"), "leaves")
     asked = clean.join(rows.where("is_query").select("id").distinct(), "id", "left_semi")
-    wanted = stage(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
-    some = wanted.where(_share("v", CALIBRATION / max(1, wanted.count()), 2)).select("v").toPandas()
-    probe = _matrix(some["v"], kind) if len(some) else np.empty((0, 1))
-    visits = _visits(tree, _truth(items, probe, k, kind) if len(some) else [], probe, target)
+    hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+    filed = items.select(*hashes, F.col("leaf").alias("own"))  # shuffled by hash, without the vectors
+    wanted = asked.groupBy("v").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("n"))
+    wanted = stage(wanted.select("v", "q", "n", *hashes).join(filed, ["h1", "h2"]).select("v", "q", "n", "own"), "queries")
+    some = wanted.where(_share("v", CALIBRATION / max(1, wanted.count()), 2)).select("v", "n", "own").toPandas()
+    probes = [bytes(v) for v in some["v"]]
+    truth = _truth(items, probes, k, kind) if probes else []
+    visits = _visits(
+        tree, truth, _matrix(probes, kind) if probes else np.empty((0, 1)), some["n"].to_numpy(), some["own"].to_numpy(), target
+    )
     # a row for each leaf, of which the sample bounds the number
     sizes = {r["leaf"]: r["count"] for r in items.groupBy("leaf").count().collect()}
     groups = _groups(sizes, tree.leaves)
@@ -265,8 +293,10 @@ def nearest(
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for q, v, x in zip(frame["q"], frame["v"], _matrix(frame["v"], kind) if len(frame) else [], strict=True):
-                leaves = np.array(held.value.visit(x, visits))
+            vectors = _matrix(frame["v"], kind) if len(frame) else []
+            for q, v, own, x in zip(frame["q"], frame["v"], frame["own"], vectors, strict=True):
+                leaves = held.value.visit(x, visits)
+                leaves = np.array(leaves if own in leaves else [*leaves, own])
                 out += [(g, q, v, leaves[groups[leaves] == g]) for g in np.unique(groups[leaves])]
             yield pd.DataFrame(out, columns=["grp", "q", "v", "leaves"])
 

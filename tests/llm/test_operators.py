@@ -114,6 +114,33 @@ def test_recall(spark):
     assert len(found) == 3000 and len(found & true) / len(true) >= 0.9
 
 
+def test_copies_are_found_in_a_leaf_not_visited(spark):
+    """Unit vectors filed under a wide cluster, whose tight neighbour has the larger product."""
+    r = np.random.default_rng(0)
+    side = r.normal(size=(60, 15))
+    side *= np.sin(1.1) / np.linalg.norm(side, axis=1)[:, None]
+    wide = np.column_stack([np.full(60, np.cos(1.1)), side])
+    tight = np.column_stack([np.ones(60), r.normal(scale=0.01, size=(60, 15))])
+    x = np.concatenate([wide, tight / np.linalg.norm(tight, axis=1)[:, None], np.repeat(wide[:1], 60, 0)]).astype(np.float32)
+    rows = [(i + 1000, v.tolist(), 0, 0, 0, 0) for i, v in enumerate(x)]
+    hot = [1000, *range(1120, 1180)]
+    found = knn_tree.nearest(vectors(spark, rows), F.col("vec_id") >= 1060, target=0.001).where(F.col("query_id") >= 1120)
+    copies = {(a, b) for a, b in found.select("query_id", "vec_id").collect()}
+    assert copies == {(q, v) for q in hot[1:] for v in [h for h in hot if h != q][:20]}
+
+
+def test_calibration_counts_copies_and_larger_vectors(spark):
+    x = np.array([[1.0, 0.0], [3.0, 0.0], [0.5, 0.0], [-1.0, 0.0]], np.float32)
+    rows = [(n, v.tobytes(), ids) for n, (v, ids) in enumerate(zip(x, ([1, 2, 3], [4], [5, 6], [7]), strict=True))]
+    items = spark.createDataFrame(rows, "leaf long, v binary, ids array<long>")
+    truth = {(r["leaf"], r["copy"], r["n"]) for r in knn_tree._truth(items, [x[0].tobytes()], 4, "<f4")}
+    assert truth == {(1, False, 1), (0, True, 2), (2, False, 1)}
+    tree = knn_tree.Tree([np.array([[2.0, 0.0], [1.0, 0.0], [0.0, 0.0]])], [[-1, -2, -3]], 3)
+    found = [{"q": 0, "leaf": 0, "copy": False, "n": 1}, {"q": 1, "leaf": 2, "copy": False, "n": 1}]
+    visits = [knn_tree._visits(tree, found, x[:2], np.array(n), np.array([1, 1]), 0.6) for n in ([1, 1], [1, 9], [9, 1])]
+    assert visits == [3, 3, 3] and knn_tree._visits(tree, found[:1], x[:1], np.array([1]), np.array([0]), 0.6) == 1
+
+
 def test_groups_of_leaves():
     groups = knn_tree._groups({0: 3000, 1: 3000, 2: 10_000, 4: 5}, 5)
     assert groups.tolist() == [0, 1, 2, 2, 3] or groups.tolist() == [0, 1, 2, 3, 3]
