@@ -15,19 +15,28 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set.
+    """The shared folder of the cluster, which ``spark.checkpoint.dir`` names.
 
-    A cluster names the folder in ``spark.checkpoint.dir``. The fallback is
-    for single-machine tests only.
+    Where it is unset, a session on one machine (master ``local``) gets a
+    temporary folder; any other fails, since executors would write to disks of
+    their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def on_workers(rows: DataFrame) -> DataFrame:
+    """``rows``, with this package sent to the Python workers that will map them."""
+    ship_package(rows.sparkSession)
+    return rows
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +54,6 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

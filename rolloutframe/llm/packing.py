@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import on_workers, stage
 from .tokens import encoder
 
 CAPACITY, PART_ROWS, END_ID = 1024, 20_000, 2
@@ -107,7 +107,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capa
                 ["id", "piece", "start", "length", "crc"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(
+    return on_workers(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))).mapInArrow(
         cut, f"id {kind}, piece int, start long, length long, crc long"
     )
 
@@ -125,7 +125,7 @@ def _pack(rows: DataFrame, salt: int, first: int, parts: int, capacity: int) ->
         )[["row", "length", "part", "bin", "offset", "fill", "gap"]]
 
     return (
-        rows.select("row", "length")
+        on_workers(rows.select("row", "length"))
         .withColumn("part", F.lit(first).cast("long") + F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(parts)))
         .groupBy("part")
         .applyInPandas(pack, "row long, length long, part long, bin long, offset long, fill long, gap long")
