@@ -2,9 +2,10 @@
 
 Documents are dealt by ranges of their ids and encoded in that order. Each run
 of about ``shard_tokens`` tokens is one shard. In a shard frequent pairs of
-neighbouring symbols are replaced by nonterminals, round after round; a round
-replaces all pairs above a count at once and never two that overlap. The end
-id of a document starts no pair, so no symbol crosses documents.
+neighbouring symbols are replaced by nonterminals, round after round, until no
+pair occurs ``MIN_COUNT`` times or the ids of a symbol's width run out; a round
+replaces all frequent pairs at once and never two that overlap. The end id of a
+document starts no pair, so no symbol crosses documents.
 
 A shard is one row of a Parquet file:
 
@@ -22,11 +23,12 @@ tokens      how many tokens the shard holds
 =========== =====================================================================
 
 Any document is decoded on its own: ``n_symbols`` gives its symbols, and the
-lengths say which of them hold a wanted token range.
+lengths say which of them hold a wanted token range (:func:`read_ranges`).
 
 Defined cases: a null text is the end id alone; null ids come first; rows that
-repeat an id stand side by side, by the hash of their texts; an empty table
-gives no shard.
+repeat an id stand side by side, by the hash of their texts, and may be dealt to
+several ranges; a very long text is one document of one shard, however large
+that makes it; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -41,18 +43,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path
+from .common import on_workers, scratch_path
 from .tokens import encoder
 
-END_ID, SHARD_TOKENS, ROUNDS, MIN_COUNT, MOST_RULES = 1, 1_000_000, 4, 24, 16_000
+END_ID, SHARD_TOKENS, MIN_COUNT = 1, 1_000_000, 24
+#: Symbols take two bytes where so many rules fit beside the tokens, else four.
+LEAST_RULES = 16_000
 _HASH_BITS = 18
 
 
 def _frequent(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, pair number) of frequent pairs; at most ``most`` pairs, the most frequent.
 
-    Pairs are counted by hash slot, so nothing is sorted; of pairs that share a
-    slot one is exact in this round and the others wait for a later one.
+    Pairs are counted by hash slot, so little is sorted; of pairs that share a
+    slot one is exact in this round and the others wait for a later one. Where
+    that leaves none, the pairs of frequent slots are counted one by one.
     """
     slots = 1 << _HASH_BITS
     if left.dtype == np.uint16:
@@ -69,8 +74,13 @@ def _frequent(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int
     owner = np.zeros(slots, key.dtype)
     owner[slot] = key
     own = owner[slot] == key
-    at, slot = at[own], slot[own]
-    count = np.bincount(slot, minlength=slots)
+    count = np.bincount(slot[own], minlength=slots)
+    if len(at) and count.max() < MIN_COUNT:
+        slot = np.unique(key, return_inverse=True)[1]
+        slots = int(slot.max()) + 1
+        count = np.bincount(slot)
+    else:
+        at, slot = at[own], slot[own]
     chosen = np.flatnonzero(count >= MIN_COUNT)
     if len(chosen) > most:
         chosen = chosen[np.argsort(-count[chosen], kind="stable")[:most]]
@@ -82,14 +92,14 @@ def _frequent(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int
 
 def compress(tokens: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols before each document end, rules, lengths). ``ends``: last token of each document."""
-    symbols = tokens.astype(np.uint16 if base + MOST_RULES <= 1 << 16 else np.uint32)
+    width = 16 if base + LEAST_RULES <= 1 << 16 else 32
+    most = (1 << width) - base
+    symbols = tokens.astype(np.uint16 if width == 16 else np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends] = True
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or len(rules) >= MOST_RULES:
-            break
-        at, number = _frequent(symbols[:-1], symbols[1:], ~last[:-1], MOST_RULES - len(rules))
+    while len(symbols) > 1 and len(rules) < most:
+        at, number = _frequent(symbols[:-1], symbols[1:], ~last[:-1], most - len(rules))
         if not len(at):
             break
         run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # overlapping places: take every other one
@@ -125,13 +135,25 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
 
 
 def token_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
-    """Tokens start to stop of a document, expanding only the symbols that hold them."""
-    known = np.append(np.ones(base, np.int64), lengths)
-    before = np.append(0, np.cumsum(known[symbols]))
-    first = max(0, int(np.searchsorted(before, start, "right")) - 1)
-    to = int(np.searchsorted(before, stop, "left"))
-    skip = start - int(before[first])
-    return expand(symbols[first:to], rules, lengths, base)[skip : skip + stop - start]
+    """Tokens start to stop of a document, expanding only the symbols that hold them.
+
+    Those are opened level by level; at each level what lies outside the range
+    goes, so no other rule of the grammar is read.
+    """
+    some, at = np.asarray(symbols, np.int64), 0
+    while True:
+        size = np.where(some < base, 1, lengths[np.maximum(some - base, 0)] if len(lengths) else 1).astype(np.int64)
+        border = at + np.append(0, np.cumsum(size))
+        inside = (border[1:] > start) & (border[:-1] < stop)
+        some, at = some[inside], int(border[:-1][inside][0]) if inside.any() else start
+        deep = some >= base
+        if not deep.any():
+            return some.astype(np.uint32)
+        wide = np.repeat(some, np.where(deep, 2, 1))
+        first = np.cumsum(np.where(deep, 2, 1)) - np.where(deep, 2, 1)
+        pairs = rules[some[deep] - base]
+        wide[first[deep]], wide[first[deep] + 1] = pairs[:, 0], pairs[:, 1]
+        some = wide
 
 
 def _shards(vocabulary: str, kind: pa.DataType, end_id: int, shard_tokens: int):
@@ -188,10 +210,12 @@ def write_tokens(
 
     ordered = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id", F.xxhash64("text"))
+        .withColumn("h", F.xxhash64("text"))  # rows that share an id need not share a range
+        .repartitionByRange("id", "h")
+        .sortWithinPartitions("id", "h")
+        .select("id", "text")
     )
-    ordered.mapInArrow(
+    on_workers(ordered).mapInArrow(
         _shards(vocabulary, to_arrow_type(kind), end_id, shard_tokens),
         f"part int, no int, doc_ids array<{kind.simpleString()}>, n_tokens binary, n_symbols binary, base int,"
         " rules binary, lengths binary, width int, symbols binary, tokens long",
@@ -221,7 +245,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, crc) of every document, decoded from the files."""
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    found = files.select(*NAMES[:10]).mapInArrow(
+    found = on_workers(files.select(*NAMES[:10])).mapInArrow(
         _decoded, f"part int, no int, id {kind}, at long, n_tokens long, crc long"
     )
     sizes = files.select("part", "no", F.col("tokens").alias("n"))
@@ -233,6 +257,48 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return found.join(base, ["part", "no"]).select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "crc")
 
 
+def _ranges(kind: pa.DataType):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, n, base, rules, lengths, width, symbols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                border = np.append(0, np.cumsum(np.frombuffer(n, "<u4").astype(np.int64)))
+                pairs = np.frombuffer(rules, "<u4").reshape(-1, 2).astype(np.int64)
+                known = np.frombuffer(lengths, "<u4").astype(np.int64)
+                held = np.frombuffer(symbols, f"<u{width}")
+                found = [
+                    token_range(held[border[x["place"]] : border[x["place"] + 1]], pairs, known, base, x["from_token"], x["to_token"])
+                    for x in asked
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["id"] for x in asked], kind), pa.array([x["from_token"] for x in asked], pa.int64()),
+                     pa.array([x["to_token"] for x in asked], pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))],
+                    ["id", "from_token", "to_token", "tokens"],
+                )
+
+    return decode
+
+
+def read_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(id, from_token, to_token, tokens) for each row of ``wanted`` (id, from_token, to_token).
+
+    Only shards that hold a wanted document are decoded, and in them only the
+    symbols of the range; what lies past the document's end is not returned.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    files = spark.read.parquet(path)
+    kind = files.schema["doc_ids"].dataType.elementType
+    placed = files.select("part", "no", F.posexplode("doc_ids").alias("place", "id"))
+    asked = (
+        placed.join(wanted.select("id", F.col("from_token").cast("long"), F.col("to_token").cast("long")), "id")
+        .groupBy("part", "no").agg(F.collect_list(F.struct("id", "place", "from_token", "to_token")).alias("asked"))
+    )
+    shards = files.select("part", "no", "n_symbols", "base", "rules", "lengths", "width", "symbols")
+    return on_workers(asked.join(shards, ["part", "no"]).drop("part", "no")).mapInArrow(
+        _ranges(to_arrow_type(kind)), f"id {kind.simpleString()}, from_token long, to_token long, tokens array<long>"
+    )
+
+
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     path = scratch_path(docs.sparkSession, "token-shards")
     write_tokens(docs, path, vocabulary)

@@ -9,6 +9,10 @@ such a border. Two layouts are known:
   characters that are not white space is a border, before the space, and a
   single line feed between two such characters has borders on both sides.
 
+Punctuation at the end of a chunk is cut off where the letter before it, as the
+tokenizer normalizes it, does not share a pre-token with it; the tokenizer's
+own parts answer that, once for each letter.
+
 A tokenizer of any other layout encodes each text whole. Each distinct chunk
 is encoded once per worker by the tokenizers library; chunks of more than
 ``MEMO_CHARS`` characters are not kept, and the memo is emptied when it holds
@@ -84,6 +88,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.following = _Following(self)
         self.model, self.layout, self.letters = self.tokenizer.model, _layout(path), _byte_letters()
+        self.borders: dict[str, bool] = {"": False}
 
     def __missing__(self, chunk: str) -> bytes:
         found = self._ids(chunk)
@@ -94,6 +99,21 @@ class Encoder(dict):
     def _spaced(self, chunk: str, lead: bool) -> bytes:
         return self.following[chunk[1:]] if lead else self[chunk]
 
+    def _ends_before_punctuation(self, letter: str) -> bool:
+        """Whether a pre-token that ends in ``letter`` ends before punctuation.
+
+        Some letters do not: one may normalize to a letter and a mark, and marks
+        and punctuation share a pre-token.
+        """
+        found = self.borders.get(letter)
+        if found is None:
+            text = letter + "."
+            if self.tokenizer.normalizer:
+                text = self.tokenizer.normalizer.normalize_str(text)
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            found = self.borders[letter] = letter.isalpha() and pieces[-1][0] == "."
+        return found
+
     def _ids(self, chunk: str) -> bytes:
         lead = chunk[0] == " "
         word = chunk[1:] if lead else chunk
@@ -107,7 +127,7 @@ class Encoder(dict):
             if lines:
                 return self["\n"].join([self._spaced(first, lead), *[self[line] for line in lines]])
         stem = chunk.rstrip(_PUNCTUATION)
-        if len(stem) < len(chunk) and stem[-1:].isalpha():
+        if self.layout != "whole" and len(stem) < len(chunk) and self._ends_before_punctuation(stem[-1:]):
             return self._spaced(stem, lead) + self[chunk[len(stem) :]]
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
