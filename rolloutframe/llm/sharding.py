@@ -3,10 +3,17 @@
 The documents are points in a space of normalised metadata dimensions. The
 tree splits a node at the byte-weighted median along the dimension in which
 its rows spread widest, again and again, until each leaf holds its share of
-the bytes. A median is found without sorting: bytes are summed per node and
-histogram bin, the bin that holds the median is divided again, and a tie among
-equal coordinates is cut the same way along a hash of the row. The driver sees
-only these sums (at most ``BINS`` a node), the tree and its cuts.
+the bytes. All nodes of a level are split together. A median is found without
+sorting: bytes are summed per node and histogram bin, and the bin that holds
+the median is divided again. Rows that share even the last bin are cut along
+``tie``, a hash of their place in the input, so repeated rows are cut as well:
+that histogram counts bins of the coordinate and, within each, of the tie.
+
+A node is known by its first shard and the number of its shards, which its rows
+carry; so the levels are as many as ``shards`` needs, and nothing is collected.
+Each level is written, and the next one reads it. The cuts of a level, a row a
+node, are broadcast up to ``BROADCAST_NODES``; beyond that they are joined by
+shuffle, when no node holds more than a small part of the bytes.
 
 Slots are dense numbers within a shard. They come from small hash buckets,
 each numbered on its own and shifted by the count of the buckets before it, so
@@ -17,8 +24,9 @@ texts may lie in different shards, since a group of copies may hold a third of
 all bytes and the law is equal bytes.
 
 Defined cases: a null text has size 1 and CRC 0; nulls in a dimension take
-coordinate 0; a null or repeated id is a row like any other; an empty table
-gives an empty result; fewer rows than shards leave shards empty.
+coordinate 0; a null or repeated id, or a row that repeats another in full, is a
+row like any other; one very long text makes its shard as large as it is; an
+empty table gives an empty result; fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
-BINS, ROUNDS, SLOT_ROWS = 1024, 2, 50_000
+BINS, TIES, SLOT_ROWS, BROADCAST_NODES = 256, 1024, 50_000, 1_000_000
 SHARDS = 16
 DIMENSIONS = ("source", "lang", "n_chars", "doc_id")
 
@@ -41,7 +49,7 @@ def _unit(value: Column) -> Column:
 
 
 def _points(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> DataFrame:
-    """(id, size, crc, tie, m0, m1, ...) with raw numeric coordinates."""
+    """(id, size, crc, row, m0, m1, ...) with raw numeric coordinates; written, ``row`` is a fixed number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     coordinates = [
@@ -53,47 +61,58 @@ def _points(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> Dat
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         crc.alias("crc"),
-        (F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(1 << 30)).cast("double") / float(1 << 30)).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
         *[c.alias(f"m{i}") for i, c in enumerate(coordinates)],
     )
 
 
-def _by_node(rows: DataFrame, **columns: dict) -> DataFrame:
-    """``rows`` of the given nodes with a value for each, by a broadcast of one row a node."""
-    first = next(iter(columns.values()))
-    values = F.array(*[
-        F.struct(F.lit(n).alias("node"), *[F.lit(v[n]).alias(k) for k, v in columns.items()]) for n in first
-    ])
-    small = rows.sparkSession.range(1).select(F.inline(values))
-    return rows.join(F.broadcast(small), "node")
+def _cuts_of(rows: DataFrame, cuts: DataFrame, nodes: int) -> DataFrame:
+    """``rows`` with the columns of their node's cut, by (shard, k)."""
+    return rows.join(F.broadcast(cuts) if nodes <= BROADCAST_NODES else cuts, ["shard", "k"])
 
 
-def _cut(rows: DataFrame, goal: dict[int, float], low: dict[int, float], high: dict[int, float]):
-    """Per node, the last interval [low, high) of ``x`` in which ``goal`` bytes are reached.
+def _crossing(sums: DataFrame) -> DataFrame:
+    """The bin of each node in which ``goal`` bytes are reached: (shard, k, bin, bytes, goal, ...), goal left inside it.
 
-    Returns (low, high, goal left inside), after ``ROUNDS`` refinements.
+    ``sums``: (shard, k, goal, bin, bytes, ...), at most ``BINS * TIES`` rows a node.
     """
-    for _ in range(ROUNDS):
-        at = _by_node(rows, lo=low, hi=high).where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-        position = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
-        sums: dict[int, list[tuple[int, int]]] = {}
-        for r in (
-            at.groupBy("node", F.greatest(F.lit(0), F.least(position, F.lit(BINS - 1))).alias("bin"))
-            .agg(F.sum("size").alias("bytes"))
-            .collect()
-        ):
-            sums.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
-        low, high, goal = dict(low), dict(high), dict(goal)
-        for node, found in sums.items():
-            width = (high[node] - low[node]) / BINS
-            left = goal[node]
-            for number, size in sorted(found):
-                if size > left or number == max(found)[0]:
-                    low[node], high[node] = low[node] + number * width, low[node] + (number + 1) * width
-                    goal[node] = left
-                    break
-                left -= size
-    return low, high, goal
+    order = Window.partitionBy("shard", "k").orderBy("bin")
+    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lead("bin").over(order).isNull()
+    reached = sums.withColumn("before", upto - F.col("bytes")).withColumn("last", last)
+    held = reached.where((F.col("before") <= F.col("goal")) & ((F.col("before") + F.col("bytes") > F.col("goal")) | F.col("last")))
+    return held.withColumn("goal", F.col("goal") - F.col("before")).drop("before", "last")
+
+
+def _cuts(rows: DataFrame, width: int, nodes: int) -> DataFrame:
+    """(shard, k, dim, lo, hi, cut) of every node: left of ``lo``, or inside up to the tie ``cut``, is its first half."""
+    sides = [f(F.col("m")[i]).alias(f"{name}{i}") for i in range(width) for name, f in (("lo", F.min), ("hi", F.max))]
+    low, high = (F.array(*[F.col(f"{name}{i}") for i in range(width)]) for name in ("lo", "hi"))
+    spread = F.array(*[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(width)])
+    half = F.floor(F.col("k") / 2)
+    cuts = (
+        rows.groupBy("shard", "k").agg(F.sum("size").alias("bytes"), *sides)
+        .withColumn("dim", (F.array_position(spread, F.array_max(spread)) - 1).cast("int"))
+        .select("shard", "k", "dim", F.get(low, F.col("dim")).alias("lo"), F.get(high, F.col("dim")).alias("hi"),
+                (F.col("bytes") * half / F.col("k")).alias("goal"))
+    )
+    x = F.get("m", F.col("dim"))
+
+    def inside(cuts: DataFrame) -> DataFrame:
+        """The rows from lo to hi of their node, and the bin in which they lie."""
+        found = _cuts_of(rows, cuts, nodes).withColumn("x", x).where(F.col("x").between(F.col("lo"), F.col("hi")))
+        step = (F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * BINS
+        return found.withColumn("bin", F.least(F.coalesce(F.floor(step), F.lit(0)), F.lit(BINS - 1)))
+
+    edges = [F.sum("size").alias("bytes"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    coarse = _crossing(inside(cuts).groupBy("shard", "k", "dim", "goal", "bin").agg(*edges))
+    fine = inside(coarse.select("shard", "k", "dim", "lo", "hi", "goal")).withColumn("tie_bin", F.floor(F.col("tie") * TIES))
+    sums = fine.groupBy("shard", "k", "dim", "goal", (F.col("bin") * TIES + F.col("tie_bin")).alias("bin")).agg(*edges)
+    # a tie cuts a whole bin of the coordinate, whose edges all its parts know
+    whole = Window.partitionBy("shard", "k", F.floor(F.col("bin") / TIES))
+    sums = sums.withColumns({"lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole)})
+    cut = (F.col("bin") % TIES + F.least(F.col("goal") / F.col("bytes"), F.lit(1.0))) / TIES
+    return _crossing(sums).select("shard", "k", "dim", "lo", "hi", cut.alias("cut"))
 
 
 def kd_shards(
@@ -117,8 +136,8 @@ def kd_shards(
     ).first()
     if target_bytes:
         shards = max(1, -(-(bounds["bytes"] or 0) // target_bytes))
-    scaled = points.select(
-        "id", "size", "crc", "tie", F.lit(1).alias("node"),
+    rows = points.select(
+        "id", "size", "crc", "row", _unit(F.col("row")).alias("tie"), F.lit(0).alias("shard"), F.lit(shards).alias("k"),
         F.array(*[
             F.coalesce(
                 (F.col(f"m{i}") - bounds[f"lo{i}"]) / (bounds[f"hi{i}"] - bounds[f"lo{i}"])
@@ -128,55 +147,26 @@ def kd_shards(
             for i in range(len(dims))
         ] + ([F.lit(0.0)] if not dims else [])).alias("m"),
     )
-    width = max(1, len(dims))
-    leaves = {1: shards}
-    while any(k > 1 for k in leaves.values()):
-        spread = (
-            scaled.where(F.col("node").isin([n for n, k in leaves.items() if k > 1]))
-            .groupBy("node")
-            .agg(
-                F.sum("size").alias("bytes"),
-                *[f(F.col("m")[i]).alias(f"{name}{i}") for i in range(width) for name, f in (("lo", F.min), ("hi", F.max))],
-            )
-            .collect()
-        )
-        wide = {r["node"]: max(range(width), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"], -i)) for r in spread}
-        if not wide:
-            break
-        goal = {r["node"]: r["bytes"] * (leaves[r["node"]] // 2) / leaves[r["node"]] for r in spread}
-        low = {r["node"]: r[f"lo{wide[r['node']]}"] for r in spread}
-        high = {r["node"]: r[f"hi{wide[r['node']]}"] + 1e-9 for r in spread}
-        at = _by_node(scaled, dim=wide).select("node", "size", "tie", F.get("m", F.col("dim")).alias("x"))
-        low, high, goal = _cut(at, goal, low, high)
-        # what still shares the last bin is cut along the hash of the row
-        inside = _by_node(at, lo=low, hi=high).where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-        tie, _, _ = _cut(
-            inside.select("node", "size", F.col("tie").alias("x")),
-            goal, dict.fromkeys(low, 0.0), dict.fromkeys(low, 1.0),
-        )
-        x = F.get("m", F.col("dim"))
-        right = (x >= F.col("hi")) | ((x >= F.col("lo")) & (F.col("tie") >= F.col("cut")))
-        whole = [n for n in leaves if n not in wide]
-        split = _by_node(scaled, dim=wide, lo=low, hi=high, cut=tie).select(
-            "id", "size", "crc", "tie", "m", (F.col("node") * 2 + right.cast("int")).alias("node")
-        )
-        kept = scaled.where(F.col("node").isin(whole)).select(split.columns)
-        scaled = split.unionByName(kept) if whole else split
-        leaves = {
-            child: k
-            for n, whole in leaves.items()
-            for child, k in (((2 * n, whole // 2), (2 * n + 1, whole - whole // 2)) if n in wide else ((n, 1),))
-        }
-    number = {n: i for i, n in enumerate(sorted(leaves, key=lambda n: bin(n)[2:]))}
-    placed = stage(_by_node(scaled, shard=number).select("id", "size", "crc", "shard"), "kd-leaves")
+    columns = rows.columns
+    for level in range((shards - 1).bit_length()):
+        nodes = min(shards, 1 << level)
+        cuts = _cuts(rows.where("k > 1"), max(1, len(dims)), nodes)
+        x, half = F.get("m", F.col("dim")), F.floor(F.col("k") / 2).cast("int")
+        right = (x > F.col("hi")) | ((x >= F.col("lo")) & (F.col("tie") >= F.col("cut")))
+        split = _cuts_of(rows.where("k > 1"), cuts, nodes).withColumn("right", right)
+        split = split.withColumns({
+            "shard": F.col("shard") + F.when(F.col("right"), half).otherwise(0),
+            "k": F.when(F.col("right"), F.col("k") - half).otherwise(half),
+        })
+        rows = stage(split.select(columns).unionByName(rows.where("k = 1")), "kd-level")
     parts = max(1, bounds["n"] // SLOT_ROWS)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "crc"), F.lit(parts)))
+    placed = rows.select("id", "size", "crc", "row", "shard", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
     before = (
         placed.groupBy("shard", "part").count()
         .withColumn("first", F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count"))
         .select("shard", "part", "first")
     )
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc", "size", "row"))
     return (
         placed.withColumn("rank", rank)
         .join(before, ["shard", "part"])
