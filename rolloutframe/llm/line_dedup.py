@@ -3,25 +3,31 @@
 Every line of every document is reduced to a 128-bit hash of its key (the line
 stripped of ASCII white space, A-Z lower-cased). A :class:`LineRuns` store
 holds, per line hash, the number of documents seen with it and the largest of
-their ids, in sorted Parquet runs: each batch of documents is merge-anti-joined
-with the runs, what it adds becomes a run of level 0, and ``fanout`` runs of
-one level are compacted into one of the next. Batches come in falling id
-order, so that a key that already has enough documents, and its keeper, never
-changes again and the anti-join drops it from all later batches.
+their ids, in sorted runs: each batch of documents is merge-anti-joined with
+the runs, what it adds becomes a run of level 0, and ``fanout`` runs of one
+level are compacted into one of the next. Runs are tables bucketed and sorted
+by hash, so merging them and joining a batch moves the batch alone: runs meet
+bucket by bucket, in merge joins without an exchange. Batches come in falling
+id order, so that a key that already has enough documents, and its keeper,
+never changes again and the anti-join drops it from all later batches.
 
 Only DataFrame functions run here: no Python on the executors.
 
 Defined cases: a null text is one empty line; a null id neither causes nor
 suffers a drop (its lines stay); rows that repeat an id count as one document,
-but each text has its own line positions; an empty table gives an empty result.
+but each text has its own line positions; a very long text is split once, in
+time linear in its lines, and rebuilt as one value; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, scratch_path, stage, union_all
+from .common import ASCII_SPACE, ascii_lower, scratch_path, shuffle_parts, stage
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 ADDED = ("_n_lines", "_n_dropped", "_drop_id", "_drop_text", "_drop_positions")
@@ -36,41 +42,75 @@ def _lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of (h1, h2, n_docs, keep_id), each sorted by hash."""
+    """Levelled runs of (h1, h2, n_docs, keep_id), bucketed and sorted by hash.
+
+    A run's rows count all batches up to its own, so of two runs that hold a
+    line the newer one, with the larger count, is right. The runs are tables of
+    the session's catalogue while the store is open; their files lie in the
+    shared folder. All have as many buckets as the session has shuffle
+    partitions when the store is made.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: dict[int, list[DataFrame]] = {}
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"line-run-l{level}")
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels.setdefault(level, []).append(self.spark.read.schema(run.schema).parquet(path))
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return union_all(runs).groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id")
-        )
-
-    def merged(self) -> DataFrame | None:
-        """All runs as one relation, a row for each line hash."""
-        runs = [run for level in self.levels.values() for run in level]
-        return self._merged(runs) if runs else None
+        self.buckets = shuffle_parts(spark)
+        self.levels: dict[int, list[str]] = {}
+        self.tables: list[str] = []
+
+    def _write(self, run: DataFrame, level: int) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = run.write.format("parquet").option("path", scratch_path(self.spark, f"line-run-l{level}"))
+        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def _run(self, name: str, number: int) -> DataFrame:
+        return self.spark.table(name).select("h1", "h2", F.col("n_docs").alias(f"n{number}"), F.col("keep_id").alias(f"k{number}"))
+
+    def _merged(self, names: list[str], level: int) -> str:
+        """The runs as one, two at a time, for the result of a full join is no longer known to be bucketed."""
+        while len(names) > 1:
+            both = self._run(names[0], 0).hint("merge").join(self._run(names[1], 1), ["h1", "h2"], "full")
+            whole = both.select("h1", "h2", F.greatest("n0", "n1").alias("n_docs"), F.greatest("k0", "k1").alias("keep_id"))
+            names = [self._write(whole, level), *names[2:]]
+        return names[0]
+
+    def merged(self) -> DataFrame:
+        """All runs compacted into one: a row for each line hash. There is a run at least."""
+        names = [name for level in sorted(self.levels) for name in self.levels[level]]
+        top = max(self.levels)
+        self.levels = {top: [self._merged(names, top)]}
+        return self.spark.table(self.levels[top][0])
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: distinct (id, h1, h2); its ids are below all earlier ones."""
+        """``batch``: distinct (id, h1, h2); its ids are below all earlier ones.
+
+        The batch meets each run in a left merge join, and lines with enough
+        documents go by a filter: an anti-join would sink below the aggregation,
+        and all rows of a hot line would meet in one task before they are counted.
+        """
         own = batch.groupBy("h1", "h2").agg(
             F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keep_id")
         )
-        if (seen := self.merged()) is not None:
-            settled = seen.where(F.col("n_docs") >= self.min_docs)
-            own = own.join(settled.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._write(own, 0)
+        names = [name for level in self.levels.values() for name in level]
+        for number, name in enumerate(names):
+            own = own.hint("merge").join(self._run(name, number), ["h1", "h2"], "left")
+        before = F.greatest(F.lit(0), F.lit(0), *[f"n{i}" for i in range(len(names))])
+        keep = F.greatest("keep_id", "keep_id", *[f"k{i}" for i in range(len(names))])
+        new = own.where(before < self.min_docs).select(
+            "h1", "h2", (F.col("n_docs") + before).alias("n_docs"), keep.alias("keep_id")
+        )
+        self.levels.setdefault(0, []).append(self._write(new, 0))
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            runs = self.levels.pop(level)
-            self._write(self._merged(runs), level + 1)
+            whole = self._merged(self.levels.pop(level), level + 1)
             level += 1
+            self.levels.setdefault(level, []).append(whole)
+
+    def close(self) -> None:
+        """Forget the tables."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def line_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -79,9 +119,11 @@ def line_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
     ``t`` is the hash of the whole text. It tells rows that repeat an id apart
     as far as needed: those of equal texts drop the same positions.
     """
-    lines = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
+    # the hash is a column before the lines are exploded, or each line would hash the whole text
+    texts = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), _lines(F.col(text_col)).alias("lines")
     )
+    lines = texts.select("id", "t", F.posexplode("lines").alias("pos", "line"))
     keys = lines.select("id", "t", "pos", line_key(F.col("line")).alias("key")).where(
         F.length("key") >= min_chars
     )
@@ -123,6 +165,7 @@ def dedup_lines(
     common = stage(
         runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_id"), "common-lines"
     )
+    runs.close()
     drops = (
         index.join(common, ["h1", "h2"])
         .where(F.col("id") != F.col("keep_id"))
@@ -132,13 +175,19 @@ def dedup_lines(
     own = (docs[id_col] == drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"])
     joined = docs.join(drops.hint("shuffle_hash"), own, "left")
     lines = _lines(F.col(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop_positions"))
     hit = F.col("_drop_positions").isNotNull()
+
+    def without(text: Column) -> Column:
+        """The lines left; bound to a name, the array is split once and not for each line."""
+        places = F.array_except(F.sequence(F.lit(0), F.size(text["lines"]) - 1), text["drops"])
+        return F.array_join(F.transform(places, lambda i: F.get(text["lines"], i)), "\n")
+
+    bound = F.array(F.struct(lines.alias("lines"), F.col("_drop_positions").alias("drops")))
     return joined.select(
         *[F.col(c) for c in docs.columns if c != text_col],
         F.size(lines).cast("long").alias("_n_lines"),
         F.when(hit, F.size("_drop_positions")).otherwise(0).cast("long").alias("_n_dropped"),
-        F.when(hit, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+        F.when(hit, F.get(F.transform(bound, without), F.lit(0)))
         .otherwise(F.coalesce(F.col(text_col), F.lit("")))
         .alias(text_col),
     )
