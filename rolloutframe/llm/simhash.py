@@ -20,6 +20,12 @@ hashing on 32-bit halves: of two fingerprints within 3 bits, one half differs
 in at most one bit, so the halves share a variant if those of odd parity emit
 their radius-1 balls and the even ones themselves. One that shares none of its
 half variants with another fingerprint has no partner and emits nothing more.
+This pays while fingerprints are few against the 2^32 halves; beyond some 2^27
+most meet another half by chance, and all odd ones emit their radius-2 spheres.
+
+Groups are met by grouped aggregation joined back, so no task holds a group;
+rows of a hot variant are spread by Spark's skew join. Before they expand,
+partners are dealt to as many tasks as their variants need.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; a row with a null id gets the component of its fingerprint, null where
@@ -37,12 +43,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import stage
+from .common import on_workers, shuffle_parts, stage
 from .components import components
 
-SHINGLE, SEED = 3, 42
+SHINGLE, SEED, TASK_VARIANTS = 3, 42, 1_000_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -80,7 +85,7 @@ def fingerprints(
             columns = [batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "row"][: len(columns)])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), *rows).mapInArrow(
+    return on_workers(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), *rows)).mapInArrow(
         emit, f"id {kinds[id_col]}, fp long" + (f", row {kinds[row_col]}" if row_col else "")
     )
 
@@ -110,14 +115,15 @@ def with_partner(nodes: DataFrame) -> DataFrame:
     own = F.array("half")
     keys = F.explode(F.when(_odd(F.col("half")), F.concat(own, _variants(F.col("half"), ball))).otherwise(own))
     emitted = halves.select("fp", "node", "side", keys.alias("key"))
-    group = Window.partitionBy("side", "key")
-    return (
-        emitted.withColumn("least", F.min("fp").over(group))
-        .withColumn("most", F.max("fp").over(group))
-        .where(F.col("least") != F.col("most"))
-        .select("fp", "node")
-        .distinct()
-    )
+    shared = emitted.groupBy("side", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
+    shared = stage(shared.select("side", "key"), "shared-halves")
+    return emitted.join(shared, ["side", "key"], "left_semi").select("fp", "node").distinct()
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """``nodes`` in tasks of about ``TASK_VARIANTS`` variants: Spark would read the small table as one split."""
+    variants = nodes.count() * (64 * 63 // 2)
+    return nodes.repartition(max(shuffle_parts(nodes.sparkSession), -(-variants // TASK_VARIANTS)), "fp")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -126,6 +132,7 @@ def links(nodes: DataFrame) -> DataFrame:
     Spark takes the variants of a node to be as small as the node, so the joins
     ask for a merge join: a broadcast of all variants has no bound.
     """
+    nodes = _dealt(nodes)
     one = _flips([(), *combinations(range(64), 1)])
     two = _flips(list(combinations(range(64), 2)))
     near = nodes.select(
