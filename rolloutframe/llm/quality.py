@@ -1,8 +1,9 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
 Two logistic classifiers over a few shape measures and those hashed words whose
-share differs between both kinds beyond chance give each document its evidence: the log odds of "bad" and of "toxic", with the base rate
-taken out. A site has a rate of its own for each, and so has each path of a
+share differs between both kinds beyond chance give each document its evidence:
+the log odds of "bad" and of "toxic", with the base rate taken out. It is
+computed once and written with the rows. A site has a rate of its own for each, and so has each path of a
 site. The expected counts are summed per (host, path) in one grouped
 aggregation; a host's rate is shrunk toward the global rate and a path's toward
 its host's, by a weight that the spread between sites sets (method of moments).
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import on_workers, stage
 from .words import ALPHANUMERIC, slices, words_of
 
 SAMPLE_ROWS, FEATURE_BITS, LEAST_DOCS, BROADCAST_ROWS = 20_000, 18, 4, 100_000
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
             yield pa.RecordBatch.from_arrays([lists, shapes, batch.column(1), batch.column(2)], ["f", "s", "bad", "toxic"])
 
     found = (
-        rows.select("_t", F.col("bad").cast("int"), F.col("toxic").cast("int"))
+        on_workers(rows.select("_t", F.col("bad").cast("int"), F.col("toxic").cast("int")))
         .mapInArrow(emit, "f array<int>, s array<double>, bad int, toxic int")
         .toArrow()
     )
@@ -188,7 +189,7 @@ def with_evidence(docs: DataFrame, model: Model | None, text_col: str) -> DataFr
             )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields)
-    return renamed.mapInArrow(emit, f"{kinds}, b double, t double").toDF(*docs.columns, "_bad", "_toxic")
+    return on_workers(renamed).mapInArrow(emit, f"{kinds}, b double, t double").toDF(*docs.columns, "_bad", "_toxic")
 
 
 def _chance(logit: Column) -> Column:
@@ -230,19 +231,22 @@ def classify(
     host: Column | None = None,
     path: Column | None = None,
     sample_rows: int = SAMPLE_ROWS,
+    keep_text: bool = True,
 ) -> DataFrame:
     """All columns of ``docs``, ``_p_bad``, ``_p_toxic`` and ``_keep`` (both below one half).
 
-    Columns of ``docs`` with names in ``ADDED`` are replaced.
+    Columns of ``docs`` with names in ``ADDED`` are replaced. Without
+    ``keep_text`` the text is left out, and not written with the evidence.
     """
     docs = docs.drop(*ADDED)
     host = (F.col("source") if host is None else host).cast("string")
     path = (F.col("lang") if path is None else path).cast("string")
     model = train(docs, labels, id_col, text_col, sample_rows)
     base = dict(zip(HEADS, model.base.tolist() if model else (NEVER, NEVER), strict=True))
-    brief = with_evidence(docs.select(host.alias("_host"), path.alias("_path"), F.col(text_col).alias("_text")), model, "_text")
-    rates = stage(site_rates(brief.select("_host", "_path", "_bad", "_toxic"), base), "site-rates")
     scored = with_evidence(docs.withColumns({"_host": host, "_path": path}), model, text_col)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    scored = stage(scored.select(*kept, "_host", "_path", *[f"_{h}" for h in HEADS]), "evidence")
+    rates = stage(site_rates(scored.select("_host", "_path", "_bad", "_toxic"), base), "site-rates")
     small = rates.count() <= BROADCAST_ROWS
     rates = rates.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_bad_rate", "_toxic_rate")
     joined = scored.join(
@@ -252,11 +256,11 @@ def classify(
     )
     posterior = {f"_p_{h}": _chance(F.col(f"_{h}") + _logit(F.col(f"_{h}_rate"))) for h in HEADS}
     return joined.withColumns(posterior).select(
-        *docs.columns, "_p_bad", "_p_toxic", ((F.col("_p_bad") < 0.5) & (F.col("_p_toxic") < 0.5)).alias("_keep")
+        *kept, "_p_bad", "_p_toxic", ((F.col("_p_bad") < 0.5) & (F.col("_p_toxic") < 0.5)).alias("_keep")
     )
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs.select("doc_id", "text", "source", "lang"), labels).select(
+    return classify(docs.select("doc_id", "text", "source", "lang"), labels, keep_text=False).select(
         "doc_id", F.round("_p_bad", 6).alias("p_bad"), F.round("_p_toxic", 6).alias("p_toxic"), F.col("_keep").alias("keep")
     )
