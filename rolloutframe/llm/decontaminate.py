@@ -8,29 +8,37 @@ shingle that equals one is a candidate; its place and the shingle's place in the
 window fix where the window would start. It must start inside the document and
 end there (the positional and the length bound); then every word is compared.
 
-The benchmark is broadcast in parts of at most ``part_bytes`` of text, checked
-before it is read; further parts are further mapped scans of the same rows. No
-document is shuffled: both the count and the join are scans.
-
-Defined cases: a null text has no words; a null or repeated document id is a
-row like any other; rows that repeat an item id are one item; an item without
-words or id is none; an empty benchmark marks nothing.
+The benchmark is broadcast in parts of at most ``part_bytes`` of text, measured
+before it is read (a larger single item is a part of its own). A benchmark of
+one part takes two scans of the documents, one to count and one to mark, and no
+document is shuffled. Of more parts, each is read, used and released in turn:
+the documents are written once with row numbers, every part writes the hits it
+finds (row, hit words, items), and these few rows are joined at the end.
+
+Defined cases: a null text has no words; a very long text is marked whole; a
+null or repeated document id is a row like any other; rows that repeat an item
+id are one item; an item without words or id is none; an empty benchmark marks
+nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import on_workers, stage, union_all
 from .words import ALPHANUMERIC, Words, slices, words_of
 
-WINDOW, SHINGLE, PART_BYTES = 13, 5, 16 << 20
+WINDOW, SHINGLE, PART_BYTES, BUCKETS = 13, 5, 16 << 20, 8
 _FILTER_BITS = 20
+HITS = "row long, bits binary, names array<string>"
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -133,21 +141,47 @@ class _Items:
         return begin[ok], window[ok]
 
 
-def _parts(items: DataFrame, item_id: str, item_text: str, part_bytes: int) -> list[list]:
-    """The benchmark's rows in parts of about ``part_bytes`` of text."""
+def _parts(items: DataFrame, item_id: str, item_text: str, part_bytes: int) -> Iterator[list]:
+    """The benchmark's distinct rows in parts of at most ``part_bytes`` of text, one at a time.
+
+    Rows are dealt to hash buckets, more of them than parts; their sizes are
+    measured, and whole buckets fill a part. A bucket that is too large is dealt again.
+    """
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(
         F.col("i").isNotNull() & F.col("t").isNotNull()
     )
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = -(-total // part_bytes)
-    part = F.pmod(F.xxhash64("i"), F.lit(max(1, parts)))
-    return [rows.where(part == k).collect() for k in range(parts)]
+    todo = [(rows.distinct(), 0)]
+    while todo:
+        some, salt = todo.pop()
+        size = F.sum(F.octet_length("t"))
+        total, n = some.agg(F.coalesce(size, F.lit(0)), F.count(F.lit(1))).first()
+        if not n:
+            continue
+        if total <= part_bytes or n == 1:
+            yield some.collect()
+            continue
+        bucket = F.pmod(F.xxhash64(F.lit(salt), "i", "t"), F.lit(max(2, BUCKETS * total // part_bytes)))
+        held: list[int] = []
+        room = part_bytes
+        for number, used in sorted(map(tuple, some.groupBy(bucket).agg(size).collect())):
+            if used > part_bytes:
+                todo.append((some.where(bucket == number), salt + 1))
+                continue
+            if used > room:
+                yield some.where(bucket.isin(held)).collect()
+                held, room = [], part_bytes
+            held.append(number)
+            room -= used
+        if held:
+            yield some.where(bucket.isin(held)).collect()
 
 
 def _key_counts(docs: DataFrame, part: _Items) -> dict[tuple[int, int], int]:
     """How often the corpus holds each shingle of the benchmark part."""
+    held = docs.sparkSession.sparkContext.broadcast(part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = held.value
         seen = {s: np.zeros(len(part.keys[s].keys), np.int64) for s in part.sizes}
         for batch in slices(batches, 0):
             words = words_of(batch.column(0), ALPHANUMERIC, lower=True)
@@ -161,8 +195,68 @@ def _key_counts(docs: DataFrame, part: _Items) -> dict[tuple[int, int], int]:
                 [pa.array(np.full(len(key), s)), pa.array(key), pa.array(seen[s][key])], ["size", "key", "n"]
             )
 
-    found = docs.mapInArrow(count, "size long, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
-    return {(r["size"], r["key"]): r["n"] for r in found.collect()}
+    found = on_workers(docs).mapInArrow(count, "size long, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
+    counts = {(r["size"], r["key"]): r["n"] for r in found.collect()}
+    held.destroy()
+    return counts
+
+
+def _found(part: _Items | None, words: Words, n: int) -> tuple[np.ndarray, list[set]]:
+    """(hit words, items of each of the ``n`` documents) of one part."""
+    cover = np.zeros(len(words.starts) + 1, np.int64)
+    names: list[set] = [set() for _ in range(n)]
+    if part is not None:
+        begin, window = part.matches(words)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + part.length[window], -1)
+        pairs = np.unique(np.stack([words.doc_of()[begin], part.item[window]]), axis=1)
+        for d, i in zip(*pairs.tolist(), strict=True):
+            names[d].add(part.ids[i])
+    return np.cumsum(cover[:-1]) > 0, names
+
+
+def _hits(held: Broadcast):
+    """(row, bits, names) of the documents in which the part occurs; bits: which words are hit."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            words = words_of(batch.column(0), ALPHANUMERIC, lower=True)
+            hit, names = _found(held.value, words, len(batch))
+            some = [d for d, x in enumerate(names) if x]
+            bits = [np.packbits(hit[words.first[d] : words.first[d + 1]]).tobytes() for d in some]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(pa.array(some, pa.int64())), pa.array(bits, pa.binary()),
+                 pa.array([sorted(names[d]) for d in some], pa.list_(pa.string()))],
+                ["row", "bits", "names"],
+            )
+
+    return emit
+
+
+def _marker(held: Broadcast | None, kept: int, known: bool):
+    """The result columns, from one part or from ``known`` hits in the last two columns."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            words = words_of(batch.column(0), ALPHANUMERIC, lower=True)
+            hit, names = _found(held.value if held else None, words, len(batch))
+            if known:
+                bits, lists = batch.column(1 + kept).to_pylist(), batch.column(2 + kept).to_pylist()
+                for d in [d for d, x in enumerate(bits) if x]:
+                    own = hit[words.first[d] : words.first[d + 1]]
+                    for packed in bits[d]:
+                        own |= np.unpackbits(np.frombuffer(packed, np.uint8), count=len(own)).astype(bool)
+                    names[d] = {name for part in lists[d] for name in part}
+            total = np.append(0, np.cumsum(hit))
+            n_hit = total[words.first[1:]] - total[words.first[:-1]]
+            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1 : 1 + kept], pa.array(words.counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+                 pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= words.counts))],
+                [*batch.schema.names[1 : 1 + kept], "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            )
+
+    return mark
 
 
 def mark_contaminated(
@@ -187,58 +281,35 @@ def mark_contaminated(
     kept = [c for c in docs.columns if c not in results] if keep_text else [id_col]
     taken = docs.select(F.col(text_col).cast("string").alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[1:])
-    parts = []
-    for rows in _parts(items, item_id, item_text, part_bytes):
+    spark = docs.sparkSession
+    on_workers(taken)
+    parts = _parts(items, item_id, item_text, part_bytes)
+
+    def prepared(rows: list, texts: DataFrame) -> _Items:
         part = _Items([r["i"] for r in rows], [r["t"] for r in rows], window, shingle)
         if len(part.item):
-            part.choose(_key_counts(taken.select("_t"), part))
-            parts.append(part)
-
-    def marker(part: _Items | None, fresh: bool, last: bool):
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 0):
-                words = words_of(batch.column(0), ALPHANUMERIC, lower=True)
-                n = len(batch)
-                doc = words.doc_of()
-                cover = np.zeros(len(words.starts) + 1, np.int64)
-                names: list[set] = [set() for _ in range(n)]
-                if not fresh:
-                    bits = batch.column(batch.num_columns - 2).to_pylist()
-                    earlier = [np.unpackbits(np.frombuffer(b, np.uint8), count=c) for b, c in zip(bits, words.counts, strict=True)]
-                    names = [set(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-                if part is not None:
-                    begin, window_number = part.matches(words)
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, begin + part.length[window_number], -1)
-                    pairs = np.unique(np.stack([doc[begin], part.item[window_number]]), axis=1)
-                    for d, i in zip(*pairs.tolist(), strict=True):
-                        names[d].add(part.ids[i])
-                hit = np.cumsum(cover[:-1]) > 0
-                if not fresh and len(hit):
-                    hit |= np.concatenate(earlier).astype(bool)
-                own = batch.columns[: 1 + len(kept)]
-                if not last:
-                    packed = [np.packbits(h).tobytes() for h in np.split(hit, words.first[1:-1])]
-                    yield pa.RecordBatch.from_arrays(
-                        [*own, pa.array(packed, pa.binary()), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                        [*batch.schema.names[: 1 + len(kept)], "_bits", "_names"],
-                    )
-                    continue
-                total = np.append(0, np.cumsum(hit))
-                n_hit = total[words.first[1:]] - total[words.first[:-1]]
-                sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-                yield pa.RecordBatch.from_arrays(
-                    [*own[1:], pa.array(words.counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
-                     pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= words.counts))],
-                    [*batch.schema.names[1 : 1 + len(kept)], "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-        return mark
-
-    rows = taken
-    for k, part in enumerate(parts[:-1]):
-        rows = rows.mapInArrow(marker(part, k == 0, False), f"_t string, {carried}, _bits binary, _names array<string>")
-    rows = rows.mapInArrow(marker(parts[-1] if parts else None, len(parts) < 2, True), f"{carried}, {OUT}")
+            part.choose(_key_counts(texts, part))
+        return part
+
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        part = prepared(first, taken.select("_t")) if first else None
+        held = spark.sparkContext.broadcast(part) if part and len(part.item) else None
+        rows = taken.mapInArrow(_marker(held, len(kept), False), f"{carried}, {OUT}")
+    else:
+        numbered = stage(taken.withColumn("_r", F.monotonically_increasing_id()), "numbered")
+        found = []
+        for some in chain((first, second), parts):
+            part = prepared(some, numbered.select("_t"))
+            if len(part.item):
+                held = spark.sparkContext.broadcast(part)
+                found.append(stage(numbered.select("_t", "_r").mapInArrow(_hits(held), HITS), "hits"))
+                held.destroy()
+        hits = (union_all(found) if found else spark.createDataFrame([], HITS)).groupBy("row").agg(
+            F.collect_list("bits").alias("_bits"), F.collect_list("names").alias("_names")
+        )
+        rows = numbered.join(hits, numbered["_r"] == hits["row"], "left").select(*taken.columns, "_bits", "_names")
+        rows = rows.mapInArrow(_marker(None, len(kept), True), f"{carried}, {OUT}")
     return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *results)
 
 
