@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from rolloutframe.llm import (
     chat,
+    common,
     components,
     decontaminate,
     knn_tree,
@@ -253,6 +254,45 @@ def test_grammar(seed):
         assert (repair.token_range(own, rules.astype(np.int64), lengths.astype(np.int64), 100, cut, b - a) == tokens[a + cut : b]).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    r = np.random.default_rng(8)
+    tokens = r.integers(0, 40, 30_000).astype(np.uint32)
+    ends = np.unique(np.append(r.integers(0, 30_000, 90), 29_999))
+    symbols, borders, rules, _ = repair.compress(tokens, ends, 100)
+    inner = np.ones(len(symbols) - 1, bool)
+    inner[borders[:-1] - 1] = False
+    pairs = np.stack([symbols[:-1], symbols[1:]], 1)[inner]
+    assert len(rules) and np.unique(pairs, axis=0, return_counts=True)[1].max() < repair.MIN_COUNT
+
+
+def test_token_ranges(docs, word_ids, spark, tmp_path):
+    """Any range of any document, without the rest of its shard."""
+    path = str(tmp_path / "r")
+    repair.write_tokens(docs, path, vocabulary(WORD_BPE), shard_tokens=2000)
+    r = random.Random(1)
+    asked = [(0, 0, 1), (2, 0, 9), (3, 5, 9)]
+    for i in range(len(TEXTS)):
+        a = r.randrange(len(word_ids[i]))
+        asked += [(i, a, r.randint(a, len(word_ids[i]) + 3))]
+    wanted = spark.createDataFrame([*asked, (10_000, 0, 1)], "id long, from_token int, to_token int")
+    found = [(x["id"], x["from_token"], x["to_token"], x["tokens"]) for x in repair.read_ranges(spark, path, wanted).collect()]
+    assert sorted(found) == sorted((i, a, b, word_ids[i][a:b]) for i, a, b in asked)
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_every_letter_before_punctuation(name):
+    """A letter may normalize to one with a mark, which shares a pre-token with punctuation."""
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    values = [f"{c}. a{c},! x" for c in letters]
+    r = random.Random(3)
+    odd = [chr(c) for c in range(0x3100) if chr(c).isprintable()]
+    values += ["".join(r.choice(odd) if r.random() < 0.6 else r.choice(" .,!?'|\n\ta") for _ in range(9)) for _ in range(20_000)]
+    values += ["पेड़.", "İ.", "\u0958! x"]
+    own = Encoder(vocabulary(name))
+    wanted = Tokenizer.from_file(vocabulary(name)).encode_batch(values, add_special_tokens=False)
+    assert [v for v, w in zip(values, wanted, strict=True) if np.frombuffer(own.encode(v), "<u4").tolist() != w.ids] == []
+
+
 # fingerprints
 
 
@@ -328,6 +368,25 @@ def test_shards_are_near_equal(spark):
     assert len(sizes) == 16 and max(sizes) <= 1.05 * min(sizes)
 
 
+@pytest.mark.parametrize(("n", "shards"), [(3200, 16), (40_000, 37)])
+def test_repeated_rows_are_shared_out(spark, n, shards):
+    """Rows alike in every column, ids null: the law and gapless slots hold."""
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("s").alias("source"))
+    found = sharding.kd_shards(docs, shards=shards).groupBy("shard").agg(F.sum("size").alias("b"), F.count("slot").alias("n"), F.max("slot").alias("m")).collect()
+    sizes = [r["b"] for r in found]
+    assert len(sizes) == shards and max(sizes) <= 1.05 * min(sizes) and all(r["m"] + 1 == r["n"] for r in found)
+
+
+def test_hot_rows_among_others(spark):
+    docs = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"),
+    )
+    sizes = [r["b"] for r in sharding.digest(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) <= 1.05 * min(sizes)
+
+
 def test_target_bytes(spark):
     docs = table(spark, ["x" * 99] * 200)
     assert sharding.kd_shards(docs, target_bytes=5000).select("shard").distinct().count() == 4
@@ -364,6 +423,27 @@ def test_line_runs_do_not_depend_on_batches(docs, batches, fanout):
     assert sorted(map(tuple, got)) == lines_brute(TEXTS)
 
 
+def test_lines_of_very_long_texts(spark):
+    """A hundred thousand lines, of which some go: linear time, right result."""
+    values = ["\n".join([f"line {k} of the text numbered {i}" if k % 3 else "a line that all the texts share" for k in range(100_000)]) for i in range(3)]
+    assert sorted(map(tuple, line_dedup.digest(table(spark, values)).collect())) == lines_brute(values)
+
+
+def test_line_runs_are_merged_without_moving_them(docs, spark):
+    index = line_dedup.line_index(docs, "doc_id", "text").cache()
+    runs = line_dedup.LineRuns(spark)
+    for low in (40, 20, 10, 0):
+        runs.add(index.where((F.col("id") >= low) & (F.col("id") < {40: 999, 20: 40, 10: 20, 0: 10}[low])).select("id", "h1", "h2").distinct())
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["keep_id"]) for r in runs.merged().collect()}
+    true = index.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("k")).collect()
+    # settled lines are not counted on: from three documents on the count only says so
+    assert {k: (min(n, 3), i) for k, (n, i) in got.items()} == {(r["h1"], r["h2"]): (min(r["n"], 3), r["k"]) for r in true}
+    both = runs._run(runs._write(runs.merged(), 0), 0).join(runs._run(runs._write(runs.merged(), 0), 1).hint("merge"), ["h1", "h2"])
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    runs.close()
+    index.unpersist()
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     line = "the very same long line of text"
     found = line_dedup.digest(table(spark, [line] * 6, [None, None, 1, 1, 2, 3])).collect()
@@ -406,6 +486,48 @@ def test_quality_of_odd_rows(docs, empty, spark):
     assert quality.digest(empty, odd).count() == 0
 
 
+def shrunk_brute(sites, base):
+    """The rate of every (host, path): sums of expected marks, shrunk to the host's rate and that to the global one."""
+    expected = {s: [1 / (1 + np.exp(-(e + base))) for e in own] for s, own in sites.items()}
+    hosts = {}
+    for (host, _), own in expected.items():
+        hosts.setdefault(host, []).extend(own)
+    n = sum(map(len, hosts.values()))
+    rate = min(1 - 1e-6, max(1e-6, sum(map(sum, hosts.values())) / n))
+    noise = rate * (1 - rate)
+    between = sum(len(h) * (sum(h) / len(h)) ** 2 for h in hosts.values())
+    between = max(0.0, (between - n * rate**2 - (len(hosts) - 1) * noise) / n)
+    weight = min(1e4, max(20.0, noise / between - 1 if between else 1e4))
+    host_rate = {h: (sum(own) + weight * rate) / (len(own) + weight) for h, own in hosts.items()}
+    return {s: (sum(own) + weight * host_rate[s[0]]) / (len(own) + weight) for s, own in expected.items()}
+
+
+def test_posteriors_equal_brute_force(spark):
+    """Shrunk rates, posteriors and verdicts of all rows, from the same evidence."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.withColumns({"source": F.when(F.col("doc_id") % 11 > 0, F.col("source")), "lang": F.when(F.col("doc_id") % 7 > 0, F.col("lang"))})
+    model = quality.train(docs, labels, "doc_id", "text")
+    rows = quality.with_evidence(docs.select("doc_id", "source", "lang", "text"), model, "text").drop("text").collect()
+    rates = {}
+    for h, name in enumerate(quality.HEADS):
+        sites = {}
+        for r in rows:
+            sites.setdefault((r["source"], r["lang"]), []).append(r[f"_{name}"])
+        rates[name] = shrunk_brute(sites, model.base[h])
+    found = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        chance = {}
+        for name in quality.HEADS:
+            p = rates[name][r["source"], r["lang"]]
+            chance[name] = 1 / (1 + np.exp(-(r[f"_{name}"] + np.log(p / (1 - p)))))
+            assert found[r["doc_id"]][f"_p_{name}"] == pytest.approx(chance[name], abs=1e-9)
+        assert found[r["doc_id"]]["_keep"] == (chance["bad"] < 0.5 and chance["toxic"] < 0.5)
+    digest = {r["doc_id"]: r for r in quality.digest(docs, labels).collect()}
+    assert {i: (round(r["_p_bad"], 6), r["_keep"]) for i, r in found.items()} == {i: (r["p_bad"], r["keep"]) for i, r in digest.items()}
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", -2.0, -9.0)] * 500 + [("foul", "p", 2.0, -9.0)] * 200 + [("small", "p", 2.0, -9.0)] + [(None, None, 0.0, 0.0)]
     scored = spark.createDataFrame(rows, "_host string, _path string, _bad double, _toxic double")
@@ -529,6 +651,23 @@ def test_bounds_hold():
 # all of them
 
 
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+
+
+def test_benchmark_parts_are_bounded(spark):
+    rows = [(i % 50, "w" * (i % 90)) for i in range(400)] + [(7, "long " * 300), (None, "x"), (8, None)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    parts = list(decontaminate._parts(bench, "item_id", "text", 700))
+    assert all(len(p) == 1 or sum(len(r["t"]) for r in p) <= 700 for p in parts)
+    assert sorted((r["i"], r["t"]) for p in parts for r in p) == sorted({(str(i), t) for i, t in rows if i is not None and t is not None})
+    assert list(decontaminate._parts(bench.where("false"), "item_id", "text", 700)) == []
+
+
 def test_empty_tables(empty, spark):
     bench = spark.createDataFrame([(1, "x y")], "item_id long, text string")
     for found in (
