@@ -49,3 +49,52 @@ def start_date(end: Column, unit: str, count: int) -> Column:
 def micros_between(start: Column, end: Column) -> Column:
     """Microseconds from start to end, as a whole number (UTC session)."""
     return F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+
+
+# The layouts of timestamps in parameters and in records, and the day from which sheets count.
+PARAMETER = r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}Z$"
+RECORD = r"^(\d{4}-\d{1,2}-\d{1,2})T(\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6})(Z|[+-]\d{2}:?\d{2})$"
+SERIAL_START = "1899-12-30"
+
+
+def parameter_timestamp(text: Column) -> Column:
+    """The timestamp of a parameter, ``YYYY-MM-DDTHH:MM:SSZ``; null for any other text."""
+    plain = F.when(text.rlike(PARAMETER), F.translate(text, "TZ", " "))
+    return F.try_to_timestamp(F.trim(plain), F.lit("yyyy-M-d H:m:s"))
+
+
+def parameter_error(text: Column, name: str) -> Column:
+    """Why a parameter is no timestamp, null where it is one."""
+    message = f"Error: {name} must be in format 'YYYY-MM-DDTHH:MM:SSZ'"
+    return F.when(parameter_timestamp(text).isNull(), F.lit(message))
+
+
+def _record_local(text: Column) -> Column:
+    """The wall-clock time that a record states, in its own offset."""
+    digits = F.rpad(F.regexp_extract(text, r"\.(\d+)", 1), 6, "0")
+    second = F.concat_ws(" ", F.regexp_extract(text, RECORD, 1), F.regexp_extract(text, r"T([\d:]+)\.", 1))
+    return F.try_to_timestamp(F.when(text.rlike(RECORD), F.concat(second, F.lit("."), digits)), F.lit("yyyy-M-d H:m:s.SSSSSS"))
+
+
+def record_timestamp(text: Column) -> Column:
+    """The instant of a record, ``YYYY-MM-DDTHH:MM:SS.fff+HHMM``; null for any other text (UTC session)."""
+    zone = F.translate(F.regexp_extract(text, RECORD, 3), ":", "")
+    minutes = F.coalesce(F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"), F.lit(0))
+    ahead = F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes)
+    return _record_local(text) - F.make_dt_interval(mins=ahead)
+
+
+def record_month(text: Column) -> Column:
+    """The name of the month that a record states, in its own offset."""
+    return F.date_format(_record_local(text), "MMMM")
+
+
+def serial_days(moment: Column) -> Column:
+    """A timestamp as whole spreadsheet days since the end of 1899, half to even."""
+    seconds = F.unix_micros(moment.cast("timestamp")) - F.unix_micros(F.lit(SERIAL_START).cast("timestamp"))
+    return F.rint(F.floor(seconds / 1_000_000) / F.lit(86400.0))
+
+
+def clock_text(time: Column) -> Column:
+    """A time's text without its last three characters: the seconds go."""
+    return F.substring(time, F.lit(1), F.length(time) - 3)

@@ -12,11 +12,14 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from ..functions.calendar import micros_between
+from ..functions.calendar import micros_between, record_month, record_timestamp
 
 Ids = Sequence | DataFrame | None
+# Fixed value: the field of a history row that assigns an owner.
+OWNER_FIELD = "Owner Assignment"
 
 
 def among(rows: DataFrame, column: str, ids: Ids) -> DataFrame:
@@ -39,30 +42,36 @@ def created_in(rows: DataFrame, start: date | datetime | None, end: date | datet
 
 def get_cases(
     cases: DataFrame, start: date | None = None, end: date | None = None, *,
-    owner_id: Ids = None, id: Ids = None, issue_id: Ids = None, status: Ids = None,
+    owner_id: Ids = None, id: Ids = None, order_item_id: Ids = None, issue_id: Ids = None, status: Ids = None,
 ) -> DataFrame:
-    """The cases that meet every filter given."""
+    """The cases that meet every filter given, created in [start, end)."""
     rows = created_in(cases, start, end)
-    for column, ids in (("owner_id", owner_id), ("id", id), ("issue_id", issue_id), ("status", status)):
+    wanted = {"owner_id": owner_id, "id": id, "order_item_id": order_item_id, "issue_id": issue_id, "status": status}
+    for column, ids in wanted.items():
         rows = among(rows, column, ids)
     return rows.select("owner_id", "created", "closed", "account_id")
 
 
+def owner_assignments(history: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The owner assignments of [start, end]; other fields of a case do not count."""
+    return created_in(history.where(F.col("field") == OWNER_FIELD), start, end, closed=True)
+
+
 def non_transferred(history: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Cases assigned exactly once in the period."""
-    counts = created_in(history, start, end, closed=True).groupBy("case_id").agg(F.count("id").alias("n"))
+    counts = owner_assignments(history, start, end).groupBy("case_id").agg(F.count("id").alias("n"))
     return counts.where("n = 1").select("case_id")
 
 
 def handled_by_agent(history: DataFrame, start: datetime, end: datetime) -> DataFrame:
     return (
-        created_in(history, start, end, closed=True)
+        owner_assignments(history, start, end)
         .groupBy(F.col("new_value").alias("agent")).agg(F.count("id").alias("n_cases"))
     )
 
 
 def transferred_by_agent(history: DataFrame, start: datetime, end: datetime, agents: Ids = None) -> DataFrame:
-    moved = created_in(history, start, end, closed=True).where(F.col("old_value").isNotNull())
+    moved = owner_assignments(history, start, end).where(F.col("old_value").isNotNull())
     return among(moved, "old_value", agents).groupBy(F.col("old_value").alias("agent")).agg(F.count("id").alias("n_cases"))
 
 
@@ -71,9 +80,11 @@ def qualified_agents(counts: DataFrame, n_cases: int) -> DataFrame:
     return counts.where(F.col("n_cases") > n_cases).select("agent")
 
 
-def issue_counts(cases: DataFrame, start: date, end: date, items: Ids = None) -> DataFrame:
-    """Cases of each issue, the most frequent first."""
-    rows = among(created_in(cases, start, end), "id", items)
+def issue_counts(cases: DataFrame, start: date, end: date, items: Sequence | DataFrame) -> DataFrame:
+    """Cases of each issue, the most frequent first: those about one of the order items, created in [start, end]."""
+    if not isinstance(items, DataFrame) and not items:
+        raise ValueError("issue counts need order items")
+    rows = among(created_in(cases, start, end, closed=True), "order_item_id", items)
     return rows.groupBy("issue_id").agg(F.count("id").alias("n_cases")).orderBy(F.desc("n_cases"), "issue_id")
 
 
@@ -111,8 +122,13 @@ def closure_seconds_by_region(cases: DataFrame, accounts: DataFrame) -> DataFram
 
 
 def month_counts(cases: DataFrame) -> DataFrame:
-    """Cases of each month's name, of all years together."""
-    return cases.groupBy(F.date_format("created", "MMMM").alias("month")).agg(F.count(F.lit(1)).alias("n_cases"))
+    """Cases of each month's name, of all years together.
+
+    A creation time that is a record's text counts in the month of its own offset.
+    """
+    own = isinstance(cases.schema["created"].dataType, StringType)
+    month = record_month(F.col("created")) if own else F.date_format("created", "MMMM")
+    return cases.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n_cases"))
 
 
 def extremes(values: DataFrame, value: str, largest: bool = True) -> DataFrame:
@@ -152,14 +168,22 @@ def transcript_of_case(transcripts: DataFrame, case_id: int | str) -> DataFrame:
     return transcripts.where(F.col("case_id") == case_id).select("body", "end_time")
 
 
-def case_errors(cases: DataFrame, required: Sequence[str], order: Column) -> DataFrame:
-    """The first row, in order, that lacks a required value: (position, missing)."""
-    missing = F.filter(
-        F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull()
-    )
-    bad = cases.withColumn("_order", order).where(F.size(missing) > 0)
-    return bad.agg(F.min(F.struct("_order", missing.alias("missing"))).alias("m")).select(
-        F.col("m._order").alias("position"), F.col("m.missing").alias("missing")
+def case_errors(cases: DataFrame, required: Sequence[str], order: Column, times: Sequence[str] = ()) -> DataFrame:
+    """The first row, in order, with an error: (position, missing, malformed).
+
+    ``missing``: required columns that are null; ``malformed``: those of
+    ``times``, texts, that are no timestamps of records.
+    """
+    def listed(marks: dict[str, Column]) -> Column:
+        names = F.array(*[F.when(bad, F.lit(c)) for c, bad in marks.items()]).cast("array<string>")
+        return F.filter(names, lambda x: x.isNotNull())
+
+    missing = listed({c: F.col(c).isNull() for c in required})
+    malformed = listed({c: F.col(c).isNotNull() & record_timestamp(F.col(c)).isNull() for c in times})
+    marked = cases.select(order.alias("_order"), missing.alias("missing"), malformed.alias("malformed"))
+    bad = marked.where((F.size("missing") > 0) | (F.size("malformed") > 0))
+    return bad.agg(F.min(F.struct("_order", "missing", "malformed")).alias("m")).select(
+        F.col("m._order").alias("position"), F.col("m.missing").alias("missing"), F.col("m.malformed").alias("malformed")
     )
 
 

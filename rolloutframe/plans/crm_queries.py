@@ -17,15 +17,18 @@ DAYS = (datetime(2024, 1, 1), datetime(2024, 1, 3))
 
 CASES = """cases AS (
   SELECT o_orderkey AS id, o_custkey AS account_id, o_custkey % 20 AS owner_id, o_orderdate AS created, c.closed,
-         o_orderstatus AS status, o_orderpriority AS issue_id
+         o_orderstatus AS status, o_orderpriority AS issue_id, o_orderkey * 8 + o_orderkey % 3 + 1 AS order_item_id
   FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS closed FROM lineitem GROUP BY 1) c ON l_orderkey = o_orderkey)"""
-HISTORY = """history AS (
+HISTORY = """changes AS (
   SELECT event_id AS id, user_id AS case_id, ts AS created, event_type AS new_value,
-         lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events)"""
+         CASE WHEN event_id % 5 = 0 THEN 'Status' ELSE 'Owner Assignment' END AS field,
+         lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events),
+history AS (SELECT * FROM changes WHERE field = 'Owner Assignment')"""
 STATES = f"""{CASES},
 states AS (SELECT cases.*, n_name AS shipping_state FROM cases
   LEFT JOIN customer ON c_custkey = account_id LEFT JOIN nation ON n_nationkey = c_nationkey)"""
 IN_YEAR = "created >= TIMESTAMP '1997-01-01' AND created < TIMESTAMP '1998-01-01'"
+IN_YEAR_CLOSED = "created >= TIMESTAMP '1997-01-01' AND created <= TIMESTAMP '1998-01-01'"
 IN_QUARTER = "created >= TIMESTAMP '1997-04-01' AND created < TIMESTAMP '1997-07-01'"
 IN_DAYS = "created >= TIMESTAMP '2024-01-01' AND created <= TIMESTAMP '2024-01-03'"
 
@@ -53,6 +56,12 @@ def crm_get_cases_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.get_cases(t.cases(spark, sf_dir), *YEAR, owner_id=[3, 7], issue_id=["1-URGENT"], status=["F", "O"])
 
 
+def crm_get_cases_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases about any item of one product: ids found by one question filter the next."""
+    items = crm.items_of_product(t.order_items(spark, sf_dir), 17)
+    return crm.get_cases(t.cases(spark, sf_dir), *YEAR, order_item_id=items)
+
+
 def crm_non_transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.non_transferred(t.case_history(spark, sf_dir), *DAYS)
 
@@ -74,7 +83,7 @@ def crm_qualified_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crm_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, products = t.order_items(spark, sf_dir), t.products(spark, sf_dir)
     wanted = crm.among(items, "product_id", products.where(F.col("description").startswith("Brand#1")).select("id"))
-    return crm.issue_counts(t.cases(spark, sf_dir), *YEAR, items=wanted.select("order_id"))
+    return crm.issue_counts(t.cases(spark, sf_dir), *YEAR, items=wanted.select("id"))
 
 
 def crm_avg_handle_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +98,43 @@ def crm_month_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.month_counts(t.cases(spark, sf_dir))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, created): the orders' times as texts of records, near midnight in several offsets, some malformed."""
+    key = F.col("o_orderkey")
+    zone = F.when(key % 3 == 0, "+0000").when(key % 3 == 1, "-0830").otherwise("+05:30")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T23:59:30.250"), zone)
+    return t.load(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 7 == 5, F.substring(text, 1, 19)).otherwise(text).alias("created"))
+
+
+def crm_record_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir)
+    return crm.month_counts(rows.where(calendar.record_timestamp(F.col("created")).isNotNull()))
+
+
+def cal_record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moment = calendar.record_timestamp(F.col("created"))
+    return _records(spark, sf_dir).select(
+        "id", F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("utc"), F.date_format(F.to_date(F.substring("created", 1, 10)), "yyyy-MM-dd").alias("day")
+    )
+
+
+def crm_case_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).withColumn("owner", F.when(F.col("id") % 9 > 0, F.col("id")))
+    found = crm.case_errors(rows.where("id > 5"), ["owner"], F.col("id"), times=["created"])
+    return found.select("position", F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", "malformed").alias("malformed"))
+
+
+def cal_parameter_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters as texts, of which some lack the zone or name a day that is none."""
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .when(key % 4 == 1, F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-31T00:00:00Z")))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    )
+    return t.load(spark, sf_dir, "orders").select(key.alias("id"), calendar.parameter_error(text, "start_date").alias("error"))
+
+
 def crm_agents_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.agents_by_cases(t.cases(spark, sf_dir), most=True)
 
@@ -114,6 +160,14 @@ def crm_purchase_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.purchase_history(t.order_items(spark, sf_dir), t.orders(spark, sf_dir), 77, status="F")
 
 
+def crm_purchase_history_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of one brand that an account bought on the day of its first order."""
+    orders, products = t.orders(spark, sf_dir), t.products(spark, sf_dir)
+    day = orders.where("account_id = 77").agg(F.min("effective_date")).first()[0]
+    wanted = products.where(F.col("description").startswith("Brand#")).select("id")
+    return crm.purchase_history(t.order_items(spark, sf_dir), orders, 77, on=day or date(1900, 1, 1), products=wanted)
+
+
 def crm_order_items_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.items_of_product(t.order_items(spark, sf_dir), 17)
 
@@ -154,13 +208,17 @@ def cal_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship_region_closure, crm_get_cases_range, crm_get_cases_lists, crm_non_transferred, crm_handled_by_agent,
+        flagship_region_closure, crm_get_cases_range, crm_get_cases_lists, crm_get_cases_items, crm_record_months,
+        cal_record_times, crm_case_errors, cal_parameter_errors, crm_non_transferred, crm_handled_by_agent,
         crm_transferred_by_agent, crm_qualified_agents, crm_issue_counts, crm_avg_handle_time, crm_region_closure,
         crm_month_counts, crm_agents_max, crm_agents_min, id_max_value, id_min_value, crm_shipping_state,
-        crm_purchase_history, crm_order_items_by_product, crm_account_by_contact, crm_issues, crm_transcripts,
+        crm_purchase_history, crm_purchase_history_filtered, crm_order_items_by_product, crm_account_by_contact, crm_issues, crm_transcripts,
         cal_start_date, cal_periods,
     )
 }
+_RECORDS = """records AS (
+  SELECT o_orderkey AS id, o_orderdate AS d, o_orderkey % 7 = 5 AS bad, [0, -510, 330][o_orderkey % 3 + 1] AS ahead FROM orders)"""
+_NO_DATE = "'Error: start_date must be in format ' || chr(39) || 'YYYY-MM-DDTHH:MM:SSZ' || chr(39)"
 _OWNERS = f"WITH {CASES}, n AS (SELECT owner_id, count(*) AS n FROM cases GROUP BY 1)"
 _VALUES = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in calendar.PERIODS.items())
 ORACLES = {
@@ -171,13 +229,22 @@ SELECT * FROM r WHERE seconds = (SELECT min(seconds) FROM r)""",
     "crm_get_cases_range": f"WITH {CASES} SELECT owner_id, created, closed, account_id FROM cases WHERE {IN_QUARTER}",
     "crm_get_cases_lists": f"""WITH {CASES} SELECT owner_id, created, closed, account_id FROM cases
 WHERE {IN_YEAR} AND owner_id IN (3, 7) AND issue_id = '1-URGENT' AND status IN ('F', 'O')""",
+    "crm_get_cases_items": f"""WITH {CASES} SELECT owner_id, created, closed, account_id FROM cases
+WHERE {IN_YEAR} AND order_item_id IN (SELECT l_orderkey * 8 + l_linenumber FROM lineitem WHERE l_partkey = 17)""",
+    "crm_record_months": f"WITH {_RECORDS} SELECT monthname(d) AS month, count(*) AS n_cases FROM records WHERE NOT bad GROUP BY 1",
+    "cal_record_times": f"""WITH {_RECORDS} SELECT id, strftime(d, '%Y-%m-%d') AS day, CASE WHEN NOT bad THEN
+  strftime(date_trunc('day', d) + INTERVAL '23 hours 59 minutes 30 seconds' - to_minutes(ahead), '%Y-%m-%d %H:%M:%S') END AS utc FROM records""",
+    "crm_case_errors": f"""WITH {_RECORDS} SELECT id AS position, CASE WHEN id % 9 = 0 THEN 'owner' ELSE '' END AS missing,
+  CASE WHEN bad THEN 'created' ELSE '' END AS malformed FROM records WHERE id > 5 AND (bad OR id % 9 = 0) ORDER BY id LIMIT 1""",
+    "cal_parameter_errors": f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND day(last_day(o_orderdate)) < 31)
+  THEN {_NO_DATE} END AS error FROM orders""",
     "crm_non_transferred": f"WITH {HISTORY} SELECT case_id FROM history WHERE {IN_DAYS} GROUP BY 1 HAVING count(*) = 1",
     "crm_handled_by_agent": f"WITH {HISTORY} SELECT new_value AS agent, count(*) AS n_cases FROM history WHERE {IN_DAYS} GROUP BY 1",
     "crm_transferred_by_agent": f"""WITH {HISTORY} SELECT old_value AS agent, count(*) AS n_cases FROM history
 WHERE {IN_DAYS} AND old_value IN (SELECT new_value FROM history WHERE {IN_DAYS} GROUP BY 1 HAVING count(*) > 10) GROUP BY 1""",
     "crm_qualified_agents": f"WITH {HISTORY} SELECT new_value AS agent FROM history WHERE {IN_DAYS} GROUP BY 1 HAVING count(*) > 100",
     "crm_issue_counts": f"""WITH {CASES} SELECT issue_id, count(*) AS n_cases FROM cases
-WHERE {IN_YEAR} AND id IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand LIKE 'Brand#1%') GROUP BY 1""",
+WHERE {IN_YEAR_CLOSED} AND order_item_id IN (SELECT l_orderkey * 8 + l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand LIKE 'Brand#1%') GROUP BY 1""",
     "crm_avg_handle_time": f"""WITH {CASES} SELECT owner_id, round({mean_sql('6e7')}, 6) AS minutes FROM cases
 WHERE closed >= created GROUP BY 1""",
     "crm_region_closure": f"""WITH {STATES} SELECT shipping_state, round({mean_sql('1e6')}, 6) AS seconds FROM states
@@ -190,6 +257,9 @@ WHERE closed IS NOT NULL AND shipping_state <> '' GROUP BY 1""",
     "crm_shipping_state": f"WITH {STATES} SELECT id, account_id, shipping_state FROM states",
     "crm_purchase_history": """SELECT l_orderkey AS order_id, l_partkey AS product_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 WHERE o_custkey = 77 AND o_orderstatus = 'F'""",
+    "crm_purchase_history_filtered": """SELECT l_orderkey AS order_id, l_partkey AS product_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+JOIN part ON p_partkey = l_partkey WHERE o_custkey = 77 AND p_brand LIKE 'Brand#%'
+AND CAST(o_orderdate AS DATE) = (SELECT min(CAST(o_orderdate AS DATE)) FROM orders WHERE o_custkey = 77)""",
     "crm_order_items_by_product": "SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem WHERE l_partkey = 17",
     "crm_account_by_contact": "SELECT o_custkey AS account_id FROM orders WHERE o_orderkey = 42 ORDER BY 1 LIMIT 1",
     "crm_issues": "SELECT DISTINCT o_orderpriority AS name FROM orders",

@@ -39,7 +39,7 @@ def drop_null_columns(rows: DataFrame) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as cases; a case closes when its last line item ships."""
+    """Orders as cases, each about one of its line items; a case closes when its last line item ships."""
     closed = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
     return (
         load(spark, sf_dir, "orders")
@@ -48,16 +48,18 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"),
             (F.col("o_custkey") % 20).alias("owner_id"), F.col("o_orderdate").alias("created"), "closed",
             F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("issue_id"),
+            (F.col("o_orderkey") * 8 + F.col("o_orderkey") % 3 + 1).alias("order_item_id"),
         )
     )
 
 
 def case_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as owner assignments; the old owner is the one before."""
+    """Events as changes of a case's fields: most assign an owner; the old value is the one before."""
     earlier = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return load(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.col("ts").alias("created"),
         F.lag("event_type").over(earlier).alias("old_value"), F.col("event_type").alias("new_value"),
+        F.when(F.col("event_id") % 5 == 0, "Status").otherwise("Owner Assignment").alias("field"),
     )
 
 
@@ -93,8 +95,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("publish_status"), F.col("lang").alias("language"),
-        F.col("text").alias("faq_answer"),
+        F.col("doc_id").alias("id"), F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"),
+        F.col("source").alias("publish_status"), F.col("lang").alias("language"), F.col("text").alias("faq_answer"),
     )
 
 
