@@ -8,7 +8,7 @@ import operator
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 _SUMS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
 _SIGNS = {ast.UAdd: operator.pos, ast.USub: operator.neg}
@@ -25,6 +25,12 @@ def py_round(value: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if v != v else round(v, int(d)) for v, d in zip(value, digits, strict=True)], dtype="float64")
 
 
+@pandas_udf(ArrayType(BooleanType()))
+def equal_when_rounded(a: pd.Series, b: pd.Series) -> pd.Series:
+    """For arrays of numbers, which pairs are equal after round() to two places; Python's, not numpy's."""
+    return pd.Series([[round(float(x), 2) == round(float(y), 2) for x, y in zip(own, other, strict=True)] for own, other in zip(a, b, strict=True)])
+
+
 def arithmetic(expression: str, names: dict[str, float]) -> float | None:
     """The value of sums and products of numbers and names; None for anything else."""
 

@@ -63,13 +63,31 @@ def truncated(text: Column, most: int = 10_000, mark: str = "...") -> Column:
 
 def number(text: Column) -> Column:
     """The double that Python's float() reads, null where it reads none."""
-    bare = strip(text)
     digits = r"\d+(_\d+)*"
     shape = rf"^[+-]?({digits}\.?({digits})?|\.{digits})([eE][+-]?{digits})?$"
-    named = F.regexp_replace(F.lower(bare), "^[+]", "")
-    return (
-        F.when(bare.rlike(shape), F.regexp_replace(bare, "_", "").try_cast("double"))
-        .when(named.isin("inf", "infinity"), F.lit(float("inf")))
-        .when(named.isin("-inf", "-infinity"), F.lit(float("-inf")))
-        .when(named.isin("nan", "-nan"), F.lit(float("nan")))
-    )
+
+    def read(bare: Column) -> Column:
+        sign = F.when(bare.startswith("-"), -1.0).otherwise(1.0)
+        name = F.lower(F.regexp_replace(bare, "^[+-]", ""))
+        return (
+            F.when(bare.rlike(shape), F.regexp_replace(bare, "_", "").try_cast("double"))
+            .when(name.isin("inf", "infinity"), sign * float("inf"))
+            .when(name == "nan", F.lit(float("nan")))
+        )
+
+    # bound to a name, the text is stripped once
+    return F.get(F.transform(F.array(strip(text)), read), F.lit(0))
+
+
+def text_parts(parts: Column) -> Column:
+    """The text parts of (type, text), a line feed between; other types are left out."""
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")
+
+
+def is_name(text: Column) -> Column:
+    """Whether a text names a variable: a letter or ``_`` first, then letters, digits or ``_``."""
+    return F.coalesce(text.rlike(r"^[\p{L}_][\p{L}\p{N}_]*\z"), F.lit(False))
+
+
+def greeting(name: Column) -> Column:
+    return F.concat(F.lit("Hello, "), name, F.lit("!"))

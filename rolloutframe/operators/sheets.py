@@ -1,18 +1,25 @@
 """Ranges, comparison and rendering of spreadsheet cells.
 
-Cells are rows of (workbook, sheet, sheet_idx, row, col, ref, value, ...).
+Cells are rows of (workbook, sheet, sheet_idx, row, col, ref, value, ...). A row
+without ``row`` says that its sheet is there, though it may have no cells; one
+of the type ``unreadable`` says that its workbook could not be read. A workbook
+is one file, so its cells fit a task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.exact import py_round
+from ..functions.calendar import SERIAL_START, clock_text
+from ..functions.exact import equal_when_rounded
 from ..functions.text import number
 
-# Fills that count as white.
+# Fills that count as white, and the colour of a cell without a fill.
 WHITE_FILLS = ("00000000", "FFFFFFFF", "FFFFFF00")
+NO_FILL = "00000000"
+UNREADABLE = "unreadable"
 
 
 def column_number(letters: Column) -> Column:
@@ -32,9 +39,10 @@ def column_letters(n: Column) -> Column:
 
 
 def expand_ranges(rows: DataFrame, position: str) -> DataFrame:
-    """``rows``, one for each cell of the comma-separated ranges: sheet (null: the first), row, col, ord.
+    """``rows``, one for each cell of the comma-separated ranges: sheet (null: the first), row, col, ord, state.
 
-    Cells run down each column; a malformed range gives one row without a cell.
+    Cells run down each column. ``state`` is ``cell``; a malformed range and one
+    that ends before it starts give one row without a cell, ``bad`` and ``none``.
     """
     each = rows.select(*rows.columns, F.posexplode(F.split(F.col(position), ",")).alias("_part", "_range"))
     pattern = r"^(?:'?([^'!]+)'?!)?([A-Za-z]+)(\d+)(?::([A-Za-z]+)(\d+))?$"
@@ -42,57 +50,126 @@ def expand_ranges(rows: DataFrame, position: str) -> DataFrame:
     ok = F.col("_range").rlike(pattern)
     to_col, to_row = (F.when(part[a] == "", part[b]).otherwise(part[a]) for a, b in ((4, 2), (5, 3)))
 
+    low, high = part[3].try_cast("int"), to_row.try_cast("int")
+    left, right = column_number(part[2]), column_number(to_col)
+    some = ok & (low <= high) & (left <= right)
+
     def span(a: Column, b: Column) -> Column:
-        return F.when(ok & (a <= b), F.sequence(a, F.greatest(a, b)))
+        return F.when(some, F.sequence(a, F.greatest(a, b)))
 
-    low, high = part[3].try_cast("int"), to_row.try_cast("int")
     columns = each.select(
         *rows.columns, "_part", F.when(part[1] != "", part[1]).alias("sheet"), span(low, high).alias("_rows"),
-        F.explode_outer(span(column_number(part[2]), column_number(to_col))).alias("col"),
+        F.when(some, "cell").when(ok & low.isNotNull() & high.isNotNull(), "none").otherwise("bad").alias("state"),
+        F.explode_outer(span(left, right)).alias("col"),
     )
-    cells = columns.select(*rows.columns, "_part", "sheet", "col", F.explode_outer("_rows").alias("row"))
-    return cells.select(*rows.columns, "sheet", "row", "col", F.struct("_part", "col", "row").alias("ord"))
+    cells = columns.select(*rows.columns, "_part", "sheet", "col", F.explode_outer("_rows").alias("row"), "state")
+    return cells.select(*rows.columns, "sheet", "row", "col", F.struct("_part", "col", "row").alias("ord"), "state")
+
+
+def time_text(serial: Column) -> Column:
+    """A fraction of a day as Python shows a time: microseconds only where there are any."""
+    millis = F.rint(serial % 1 * 86_400_000).cast("long")
+    clock = F.date_format(F.timestamp_millis(millis), "HH:mm:ss")
+    return F.when(millis % 1000 == 0, clock).otherwise(F.concat(clock, F.date_format(F.timestamp_millis(millis), ".SSSSSS")))
+
+
+def date_text(serial: Column) -> Column:
+    """A serial date as Python shows a datetime."""
+    millis = F.unix_millis(F.lit(SERIAL_START).cast("timestamp")) + F.rint(serial * 86_400_000).cast("long")
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd HH:mm:ss")
+
+
+def _number(raw: Column, kind: Column) -> Column:
+    """The number that a cell compares by, from its value as one: whole days of a date, null for times and other texts."""
+    return F.when(kind == "date", F.rint(raw)).when(kind == "time", F.lit(None)).otherwise(raw)
 
 
-def comparable(value: Column) -> Column:
-    """Numbers rounded to two places as text, other values as they are."""
-    n = number(value)
-    rounded = py_round(F.when(n.isNotNull(), n), F.lit(2))
-    return F.when(n.isNotNull(), F.concat(F.lit("n:"), rounded.cast("string"))).otherwise(F.concat(F.lit("s:"), value))
+def _text(value: Column, raw: Column, kind: Column) -> Column:
+    """The text that a cell compares by where it is no number: hours and minutes of a time."""
+    return F.when(kind == "time", clock_text(time_text(raw))).otherwise(value)
 
 
 def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles: bool = False) -> DataFrame:
-    """(workbook, matches, first_mismatch) for the cells ``wanted`` (workbook, sheet, row, col, ord).
+    """(workbook, matches, first_mismatch, message) for the cells ``wanted`` (workbook, sheet, row, col, ord, state).
 
-    A missing cell equals an empty one. ``styles`` also compares fill and font colours.
+    Numbers, also as text, are equal when they are rounded to two places; dates
+    are their whole days, times their hours and minutes; a missing cell equals an
+    empty one. A range without a sheet means the truth's first one. Nothing
+    matches in a sheet that either side lacks, a malformed range, or a workbook
+    that could not be read. ``styles`` also compares fills and font colours.
+
+    All three inputs meet in one exchange by workbook; rounding, which is
+    Python's own, sees one row a workbook, with the few numbers that it decides.
     """
-    checks = ["value", *(["fill_fg", "font_rgb"] if styles else [])]
-    keys = ["workbook", "row", "col"]
+    shown = ["value", "value_type", *(["fill_fg", "fill_bg", "font_rgb"] if styles else [])]
+    keys = ["workbook", "sheet", "row", "col"]
 
     def side(cells: DataFrame, name: str) -> DataFrame:
-        return cells.select(
-            *[F.col(k).alias(f"_{name}_{k}") for k in [*keys, "sheet", "sheet_idx"]], *[F.col(c).alias(f"{name}_{c}") for c in checks]
-        )
-
-    def joined(rows: DataFrame, cells: DataFrame, name: str) -> DataFrame:
-        other = side(cells, name)
-        same = [F.col(k) == F.col(f"_{name}_{k}") for k in keys]
-        sheet = F.when(F.col("sheet").isNull(), F.col(f"_{name}_sheet_idx") == 0).otherwise(F.col("sheet") == F.col(f"_{name}_sheet"))
-        return rows.join(other, [*same, sheet], "left").drop(*[f"_{name}_{k}" for k in [*keys, "sheet", "sheet_idx"]])
-
-    both = joined(joined(wanted, truth, "t"), output, "o")
-    # values of the same text need no rounding; NaN equals nothing
-    same = F.col("t_value").eqNullSafe(F.col("o_value"))
-    nan = F.lower("t_value").contains("nan") & F.isnan(number(F.col("t_value")))
-    a, b = (comparable(F.when(~same, F.col(c))) for c in ("t_value", "o_value"))
-    equal = F.when(same, ~F.coalesce(nan, F.lit(False))).otherwise(F.coalesce(a == b, F.lit(False)))
-    for c in checks[1:]:
-        equal = equal & F.col(f"t_{c}").eqNullSafe(F.col(f"o_{c}"))
-    equal = equal & F.col("row").isNotNull()
+        fills = [F.coalesce(F.col(c), F.lit(NO_FILL)).alias(c) if c.startswith("fill") else F.col(c) for c in shown]
+        return cells.select(*keys, F.lit(name).alias("side"), "sheet_idx", F.struct(*fills).alias("cell"), F.lit(None).cast(wanted.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("state"))
+
+    nothing = F.lit(None).cast(side(truth, "t").schema["cell"].dataType)
+    asked = wanted.select(*keys, F.lit("w").alias("side"), F.lit(None).cast("int").alias("sheet_idx"), nothing.alias("cell"), "ord", "state")
+    book = Window.partitionBy("workbook")
+    own = Window.partitionBy("workbook", "sheet")
+    first = F.max(F.when((F.col("side") == "t") & (F.col("sheet_idx") == 0), F.col("sheet"))).over(book)
+    unread = F.max((F.col("side") != "w") & (F.col("cell.value_type") == UNREADABLE)).over(book)
+    rows = (
+        asked.unionByName(side(truth, "t")).unionByName(side(output, "o"))
+        .withColumns({"_first": first, "_unread": F.coalesce(unread, F.lit(False))})
+        .withColumn("sheet", F.when(F.col("side") == "w", F.coalesce("sheet", "_first")).otherwise(F.col("sheet")))
+        .withColumns({f"_in_{x}": F.max(F.col("side") == x).over(own) for x in ("t", "o")})
+    )
+    pairs = rows.groupBy(*keys).agg(
+        F.min("ord").alias("ord"), F.max("state").alias("state"), F.max("_unread").alias("unread"), F.max("_in_t").alias("in_t"), F.max("_in_o").alias("in_o"),
+        *[F.max(F.when(F.col("side") == x, F.col("cell"))).alias(x) for x in ("t", "o")],
+    ).where(F.col("ord").isNotNull())
+    # cells of the same text need no number, but for NaN, which equals nothing; each column is computed once
+    pairs = pairs.withColumn("same", F.col("t.value").eqNullSafe(F.col("o.value")) & F.col("t.value_type").eqNullSafe(F.col("o.value_type")))
+    differs = {x: F.when(~F.col("same") | F.lower(f"{x}.value").contains("nan"), F.col(f"{x}.value")) for x in ("t", "o")}
+    pairs = pairs.withColumns({f"raw_{x}": number(v) for x, v in differs.items()})
+    pairs = pairs.withColumns({
+        name: made for name, x in (("a", "t"), ("b", "o"))
+        for name, made in ((name, _number(F.col(f"raw_{x}"), F.col(f"{x}.value_type"))), (f"text_{name}", _text(F.col(f"{x}.value"), F.col(f"raw_{x}"), F.col(f"{x}.value_type"))))
+    })
+    numbers = [F.col("a"), F.col("b")]
+    nan = F.coalesce(F.isnan("a") | F.isnan("b"), F.lit(False))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    neither = F.col("a").isNull() & F.col("b").isNull()
+    alike = F.when(nan, False).when(F.col("same"), True).when(both, F.col("a") == F.col("b")).when(neither, F.col("text_a").eqNullSafe(F.col("text_b")))
+    alike = F.coalesce(alike, F.lit(False))
+    close = both & ~nan & ~alike & (F.abs(numbers[0] - numbers[1]) <= 0.011)  # rounding alone can tell
     ref = F.concat(column_letters(F.col("col")), F.col("row").cast("string"))
-    marked = both.select("workbook", "ord", equal.alias("equal"), ref.alias("ref"))
-    return marked.groupBy("workbook").agg(
-        F.bool_and("equal").alias("matches"), F.min_by("ref", F.when(~F.col("equal"), F.col("ord"))).alias("first_mismatch")
+    fill = F.lit(True)
+    font = F.lit(True)
+    if styles:
+        for c in ("fill_fg", "fill_bg"):
+            fill = fill & F.coalesce(f"t.{c}", F.lit(NO_FILL)).eqNullSafe(F.coalesce(f"o.{c}", F.lit(NO_FILL)))
+        font = F.col("t.font_rgb").eqNullSafe(F.col("o.font_rgb"))
+    value_message = F.concat(
+        F.lit("Value mismatch at "), ref, F.lit(": expected "), F.coalesce("t.value", F.lit("None")), F.lit(", got "), F.coalesce("o.value", F.lit("None"))
+    )
+    message = (
+        F.when(F.col("unread"), "A workbook could not be read.")
+        .when(F.col("state") == "bad", "A range is malformed.")
+        .when(~F.col("in_o"), F.concat(F.lit("Worksheet '"), F.coalesce("sheet", F.lit("")), F.lit("' not found in output workbook.")))
+        .when(~F.col("in_t"), F.concat(F.lit("Worksheet '"), F.coalesce("sheet", F.lit("")), F.lit("' not found.")))
+        .when(F.col("state") == "none", F.lit(None))
+        .when(~alike & ~close, value_message)
+        .when(~fill, F.concat(F.lit("Fill color mismatch at "), ref))
+        .when(~font, F.concat(F.lit("Font color mismatch at "), ref))
+    )
+    ref = F.when((F.col("state") == "cell") & F.col("in_o") & F.col("in_t") & ~F.col("unread"), ref)
+    judged = pairs.select("workbook", "ord", ref.alias("ref"), message.alias("message"), *[n.alias(x) for n, x in zip(numbers, "ab", strict=True)], close.alias("close"), value_message.alias("unequal"))
+    failed = F.when(F.col("message").isNotNull(), F.struct("ord", "ref", "message"))
+    unsure = F.when(F.col("close") & F.col("message").isNull(), F.struct("ord", "ref", F.col("unequal").alias("message"), "a", "b"))
+    found = judged.groupBy("workbook").agg(F.min(failed).alias("failed"), F.array_sort(F.collect_list(unsure)).alias("unsure"))
+    found = found.withColumn("same", equal_when_rounded(F.col("unsure.a"), F.col("unsure.b")))
+    open_ = F.filter(F.arrays_zip("unsure", "same"), lambda x: ~x["same"])
+    late = F.get(open_, F.lit(0))["unsure"]
+    worst = F.least("failed", F.when(late.isNotNull(), F.struct(late["ord"].alias("ord"), late["ref"].alias("ref"), late["message"].alias("message"))))
+    return found.select(
+        "workbook", worst.isNull().alias("matches"), worst["ref"].alias("first_mismatch"), F.coalesce(worst["message"], F.lit("All comparisons passed.")).alias("message")
     )
 
 
@@ -114,10 +191,16 @@ def render(cells: DataFrame) -> DataFrame:
     falsy = F.col("value").isNull() | (F.col("value") == "") | (
         F.col("value_type").isin("number", "boolean") & F.coalesce(number(F.col("value")) == 0, F.lit(False))
     )
+    value = (
+        F.when(F.col("value_type") == "date", date_text(number(F.col("value"))))
+        .when(F.col("value_type") == "time", time_text(number(F.col("value"))))
+        .when(F.col("value_type") == "boolean", F.when(F.col("value") == "1", "True").otherwise("False"))
+        .otherwise(F.col("value"))
+    )
     shown = (
-        F.when(F.col("formula").isNotNull(), F.concat("formula", F.lit(" -> "), F.coalesce("value", F.lit("None"))))
+        F.when(F.col("formula").isNotNull(), F.concat("formula", F.lit(" -> "), F.coalesce(value, F.lit("None"))))
         .when(F.col("value").isNull() & filled, F.lit("null"))
-        .when(~falsy, F.col("value"))
+        .when(~falsy, value)
     )
     lines = cells.select(
         "workbook", "sheet", "sheet_idx", "row", "col", F.concat("ref", F.lit(": "), shown, style).alias("line")
@@ -130,3 +213,21 @@ def render(cells: DataFrame) -> DataFrame:
     return rows.groupBy("workbook", "sheet", "sheet_idx").agg(
         F.array_join(F.transform(ordered, lambda r: F.concat(r["text"], F.lit("\n"))), "\n").alias("text")
     )
+
+
+def render_books(cells: DataFrame) -> DataFrame:
+    """(workbook, text): each sheet's name on a line, its cells below; a sheet without cells is its name."""
+    named = cells.where(F.col("sheet").isNotNull()).select("workbook", "sheet", "sheet_idx").distinct()
+    keys = ["workbook", "sheet", "sheet_idx"]
+    parts = named.join(render(cells.where(F.col("row").isNotNull())), keys, "left")
+    text = F.concat_ws("\n", F.concat(F.lit("Sheet Name: "), "sheet"), "text")
+    ordered = F.array_sort(F.collect_list(F.struct("sheet_idx", text.alias("text"))))
+    return parts.groupBy("workbook").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+
+
+def spreadsheet_reward(examples: DataFrame, truth: DataFrame, output: DataFrame) -> DataFrame:
+    """``examples`` (workbook, position, ...) with ``reward``: 1 where the output's cells match, 0 otherwise and without one."""
+    wanted = expand_ranges(examples.select("workbook", "position").distinct(), "position")
+    found = compare_cells(wanted, truth, output).select(F.col("workbook").alias("_w"), "matches")
+    joined = examples.join(found, F.col("workbook") == F.col("_w"), "left")
+    return joined.withColumn("reward", F.coalesce("matches", F.lit(False)).cast("double")).drop("_w", "matches")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.calendar import clock_text, serial_days
 from ..operators import datasets, rollouts, sheets
 from ..sources import tables as t
 from ..sources import workspace
@@ -54,7 +55,8 @@ def _cells(spark: SparkSession, sf_dir: str, output: bool = False) -> DataFrame:
     ).select(
         "*", F.concat(sheets.column_letters(F.col("col")), F.col("row").cast("string")).alias("ref"),
         F.when(F.col("col") < 3, "number").otherwise("string").alias("value_type"), F.lit(None).cast("string").alias("formula"),
-        F.when((F.col("col") == 3) & (F.col("row") == 1), "FFFFC000").alias("fill_fg"), F.lit(None).cast("string").alias("font_rgb"),
+        F.when((F.col("col") == 3) & (F.col("row") == 1), "FFFFC000").alias("fill_fg"), F.lit(None).cast("string").alias("fill_bg"),
+        F.lit(None).cast("string").alias("font_rgb"),
         (F.col("row") == 1).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"),
     )
 
@@ -74,6 +76,48 @@ def cells_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.compare_cells(wanted, _cells(spark, sf_dir), _cells(spark, sf_dir, True))
 
 
+def cells_compare_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named, missing, reversed and malformed ranges; outputs that lack the sheet or have another first one."""
+    key = F.col("workbook").cast("long")
+    truth, output = _cells(spark, sf_dir), _cells(spark, sf_dir, True)
+    position = (
+        F.when(key % 5 == 0, "B2:A1,A1").when(key % 5 == 1, "Other!A1").when(key % 5 == 2, "A:A").when(key % 5 == 3, "'Sheet1'!A1:B1").otherwise("A1:B1")
+    )
+    output = output.withColumns({
+        "sheet": F.when(key % 3 == 0, "Sheet0").otherwise(F.col("sheet")), "value": F.when((key % 7 == 0) & (F.col("col") == 2), F.concat("value", F.lit("04"))).otherwise(F.col("value")),
+    })
+    orders = t.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("workbook")).distinct()
+    return sheets.compare_cells(sheets.expand_ranges(orders.withColumn("position", position), "position"), truth, output)
+
+
+def sheet_render_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of two sheets: the line items, and an empty one."""
+    cells = _cells(spark, sf_dir)
+    empty = cells.select("workbook").distinct().withColumns({"sheet": F.lit("Notes"), "sheet_idx": F.lit(1)})
+    return sheets.render_books(cells.unionByName(empty, allowMissingColumns=True))
+
+
+def sheet_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values under other fills and font colours."""
+    cells = _cells(spark, sf_dir)
+    key = F.col("workbook").cast("long")
+    other = cells.withColumns({
+        "fill_bg": F.when((key % 4 == 0) & (F.col("ref") == "A1"), "FF00FF00"), "font_rgb": F.when((key % 4 == 1) & (F.col("ref") == "B1"), "FFFF0000"),
+    })
+    orders = t.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("workbook")).distinct()
+    return sheets.compare_cells(sheets.expand_ranges(orders.withColumn("position", F.lit("A1:C1")), "position"), cells, other, styles=True)
+
+
+def sheet_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and times of a day as sheets hold and show them."""
+    moment = F.col("ts").cast("timestamp")
+    day = F.unix_seconds(moment) % 86400 / F.lit(86400.0)
+    return t.load(spark, sf_dir, "events").select(
+        "event_id", serial_days(moment).alias("days"), sheets.time_text(F.round(day * 1440) / 1440).alias("time"),
+        clock_text(sheets.time_text(F.round(day * 1440) / 1440)).alias("clock"), sheets.date_text(serial_days(moment)).alias("shown"),
+    )
+
+
 def sheet_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.render(_cells(spark, sf_dir)).select("workbook", "text")
 
@@ -124,7 +168,8 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        std_crm, split_tail, split_concat, range_expand, cells_compare, sheet_render, rollout_outcomes, rollout_variables,
+        std_crm, split_tail, split_concat, range_expand, cells_compare, cells_compare_sheets, sheet_styles,
+        sheet_serials, sheet_render, sheet_render_book, rollout_outcomes, rollout_variables,
         workspace_logs, rollout_success_rate, stream_windowed_counts,
     )
 }
@@ -150,9 +195,31 @@ FROM documents, (SELECT count(*) AS n FROM documents)""",
 FROM (SELECT p_partkey, unnest(range(2, p_size % 5 + 3)) AS r FROM part), (SELECT unnest(range(25, 29)) AS c)
 UNION ALL SELECT p_partkey, 'In', 7, 3, 'C7' FROM part""",
     "cells_compare": f"""WITH {_ITEMS}, o AS (SELECT DISTINCT l_orderkey FROM lineitem),
-bad AS (SELECT DISTINCT l_orderkey FROM i WHERE l_orderkey % 5 = 0 AND n = 2)
-SELECT CAST(o.l_orderkey AS VARCHAR) AS workbook, bad.l_orderkey IS NULL AS matches, CASE WHEN bad.l_orderkey IS NOT NULL THEN 'B2' END AS first_mismatch
+bad AS (SELECT l_orderkey, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM i WHERE l_orderkey % 5 = 0 AND n = 2)
+SELECT CAST(o.l_orderkey AS VARCHAR) AS workbook, bad.l_orderkey IS NULL AS matches, CASE WHEN bad.l_orderkey IS NOT NULL THEN 'B2' END AS first_mismatch,
+  CASE WHEN bad.l_orderkey IS NOT NULL THEN 'Value mismatch at B2: expected ' || q || ', got ?' ELSE 'All comparisons passed.' END AS message
 FROM o LEFT JOIN bad ON o.l_orderkey = bad.l_orderkey""",
+    "cells_compare_sheets": f"""WITH {_ITEMS}, w AS (SELECT l_orderkey AS k, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM i WHERE n = 1),
+m AS (SELECT k, CASE WHEN k % 5 = 1 THEN 'Worksheet ' || chr(39) || 'Other' || chr(39) || ' not found in output workbook.'
+  WHEN k % 5 = 2 THEN 'A range is malformed.'
+  WHEN k % 3 = 0 THEN 'Worksheet ' || chr(39) || 'Sheet1' || chr(39) || ' not found in output workbook.'
+  WHEN k % 7 = 0 AND k % 5 IN (3, 4) THEN 'Value mismatch at B1: expected ' || q || ', got ' || q || '.004' END AS x FROM w),
+f AS (SELECT k, CASE WHEN x LIKE 'Value%' THEN NULL ELSE x END AS x FROM m)
+SELECT CAST(k AS VARCHAR) AS workbook, x IS NULL AS matches, CAST(NULL AS VARCHAR) AS first_mismatch, coalesce(x, 'All comparisons passed.') AS message FROM f""",
+    "sheet_styles": """SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS workbook, l_orderkey % 4 > 1 AS matches,
+  CASE l_orderkey % 4 WHEN 0 THEN 'A1' WHEN 1 THEN 'B1' END AS first_mismatch,
+  CASE l_orderkey % 4 WHEN 0 THEN 'Fill color mismatch at A1' WHEN 1 THEN 'Font color mismatch at B1' ELSE 'All comparisons passed.' END AS message FROM lineitem""",
+    "sheet_serials": """WITH e AS (SELECT event_id, ts, CAST(round((epoch_us(date_trunc('second', ts)) // 1000000 % 86400) / 86400.0 * 1440) AS BIGINT) AS minute,
+  date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) + CASE WHEN extract(hour FROM ts) >= 12 THEN 1 ELSE 0 END AS d FROM events)
+SELECT event_id, CAST(d AS DOUBLE) AS days, strftime(TIMESTAMP '2000-01-01' + to_minutes(minute), '%H:%M:%S') AS time,
+  strftime(TIMESTAMP '2000-01-01' + to_minutes(minute), '%H:%M') AS clock, strftime(DATE '1899-12-30' + CAST(d AS INTEGER), '%Y-%m-%d 00:00:00') AS shown FROM e""",
+    "sheet_render_book": f"""WITH {_ITEMS},
+lines AS (SELECT l_orderkey, n, CASE WHEN l_partkey <> 0 THEN 'A' || n || ': ' || l_partkey || CASE WHEN n = 1 THEN ' [bold]' ELSE '' END || chr(10) ELSE '' END
+  || CASE WHEN l_quantity <> 0 THEN 'B' || n || ': ' || CAST(l_quantity AS INTEGER) || CASE WHEN n = 1 THEN ' [bold]' ELSE '' END || chr(10) ELSE '' END
+  || CASE WHEN l_returnflag <> 'N' THEN 'C' || n || ': ' || l_returnflag || CASE WHEN n = 1 THEN ' [bg:FFFFC000, bold]' ELSE '' END || chr(10)
+     WHEN n = 1 THEN 'C1: null [bg:FFFFC000, bold]' || chr(10) ELSE '' END AS t FROM i)
+SELECT CAST(l_orderkey AS VARCHAR) AS workbook, 'Sheet Name: Sheet1' || chr(10) || string_agg(t, chr(10) ORDER BY n) || chr(10) || 'Sheet Name: Notes' AS text
+FROM lines GROUP BY 1""",
     "sheet_render": f"""WITH {_ITEMS},
 lines AS (SELECT l_orderkey, n, CASE WHEN l_partkey <> 0 THEN 'A' || n || ': ' || l_partkey || CASE WHEN n = 1 THEN ' [bold]' ELSE '' END || chr(10) ELSE '' END
   || CASE WHEN l_quantity <> 0 THEN 'B' || n || ': ' || CAST(l_quantity AS INTEGER) || CASE WHEN n = 1 THEN ' [bold]' ELSE '' END || chr(10) ELSE '' END

@@ -1,7 +1,10 @@
 """Cells of .xlsx workbooks: one row a cell, with cached value, formula and style.
 
 Files are read by Spark as binary rows; one task parses one workbook at a time
-with the standard library. A file that cannot be parsed gives no cells.
+with the standard library. A sheet without cells gives one row without a cell; a
+file that cannot be parsed gives one row of the type ``unreadable``, with the
+reason as its value. Numbers in a date format are of the type ``date``, or
+``time`` below one day; their values stay serial numbers.
 """
 
 from __future__ import annotations
@@ -12,15 +15,21 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 SCHEMA = (
     "workbook string, sheet string, sheet_idx int, row int, col int, ref string, value string, value_type string, "
-    "formula string, fill_fg string, font_rgb string, bold boolean, italic boolean, underline boolean"
+    "formula string, fill_fg string, fill_bg string, font_rgb string, bold boolean, italic boolean, underline boolean"
 )
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# Built-in number formats that show dates or times; what is no format code in a custom one.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+NO_CODE = r'"[^"]*"|\\.|_.|\[(?!h|hh|m|mm|s|ss)[^\]]*\]|(?i:general)'
+NO_STYLE = {"fill_fg": None, "fill_bg": None, "font_rgb": None, "bold": False, "italic": False, "underline": False, "dated": False}
 _KINDS = {"s": "string", "inlineStr": "string", "str": "string", "b": "boolean", "e": "error"}
 
 
@@ -38,12 +47,19 @@ def _styles(book: zipfile.ZipFile) -> list[dict]:
         found = node.find(f".//{_MAIN}{tag}") if node is not None else None
         return found.get("rgb") if found is not None else None
 
+    own = {int(x.get("numFmtId")): x.get("formatCode", "") for x in root.iter(f"{_MAIN}numFmt")}
+
+    def dated(number: int) -> bool:
+        code = re.sub(NO_CODE, "", own[number]).split(";")[0] if number in own else ""
+        return bool(re.search("[dmhysDMHYS]", code)) if number in own else number in DATE_FORMATS
+
     fonts, fills = root.findall(f"{_MAIN}fonts/{_MAIN}font"), root.findall(f"{_MAIN}fills/{_MAIN}fill")
     out = []
     for xf in root.findall(f"{_MAIN}cellXfs/{_MAIN}xf"):
         font, fill = fonts[int(xf.get("fontId", 0))] if fonts else None, fills[int(xf.get("fillId", 0))] if fills else None
         marks = {k: font is not None and font.find(f"{_MAIN}{t}") is not None for k, t in (("bold", "b"), ("italic", "i"), ("underline", "u"))}
-        out.append({"fill_fg": rgb(fill, "fgColor"), "font_rgb": rgb(font, "color"), **marks})
+        colours = {"fill_fg": rgb(fill, "fgColor"), "fill_bg": rgb(fill, "bgColor"), "font_rgb": rgb(font, "color")}
+        out.append({**colours, **marks, "dated": dated(int(xf.get("numFmtId", 0)))})
     return out
 
 
@@ -58,6 +74,9 @@ def cells_of(content: bytes, name: str) -> list[dict]:
         for number, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")):
             target = links[sheet.get(_LINK)].lstrip("/")
             root = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
+            place = {"workbook": name, "sheet": sheet.get("name"), "sheet_idx": number}
+            if root.find(f".//{_MAIN}c") is None:
+                out.append(place)
             for cell in root.iter(f"{_MAIN}c"):
                 letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
                 col = 0
@@ -68,27 +87,32 @@ def cells_of(content: bytes, name: str) -> list[dict]:
                 if kind == "s" and value is not None:
                     value = shared[int(value)]
                 style = int(cell.get("s", 0))
-                own = styles[style] if style < len(styles) else {"fill_fg": None, "font_rgb": None, "bold": False, "italic": False, "underline": False}
+                own = dict(styles[style] if style < len(styles) else NO_STYLE)
+                shown = _KINDS.get(kind, "number")
+                if own.pop("dated") and shown == "number" and value is not None:
+                    shown = "time" if 0 <= float(value) < 1 else "date"
                 out.append({
-                    "workbook": name, "sheet": sheet.get("name"), "sheet_idx": number, "row": int(row), "col": col,
-                    "ref": cell.get("r"), "value": value, "value_type": _KINDS.get(kind, "number") if value is not None else None,
-                    "formula": None if formula is None else f"={formula}", **own,
+                    **place, "row": int(row), "col": col, "ref": cell.get("r"), "value": value,
+                    "value_type": shown if value is not None else None, "formula": None if formula is None else f"={formula}", **own,
                 })
     return out
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """The cells of every workbook below ``path``."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
+    ship_package(spark)
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                book = name.rsplit("/", 1)[-1]
                 try:
-                    cells = cells_of(content, name.rsplit("/", 1)[-1])
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError):
-                    continue
-                yield pd.DataFrame(cells, columns=names)
+                    cells = cells_of(content, book)
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, AttributeError) as reason:
+                    cells = [{"workbook": book, "value": repr(reason), "value_type": "unreadable"}]
+                yield pa.RecordBatch.from_pylist(cells, schema)
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
-    return found.select("path", "content").mapInPandas(parse, SCHEMA)
+    return found.select("path", "content").mapInArrow(parse, SCHEMA)

@@ -55,7 +55,16 @@ def test_filters(spark, cases):
     with pytest.raises(ValueError):
         crm.created_in(cases, at(2), at(1))
     bad = crm.case_errors(cases, ["closed"], F.col("id")).first()
-    assert (bad["position"], bad["missing"]) == (4, ["closed"])
+    assert (bad["position"], bad["missing"], bad["malformed"]) == (4, ["closed"], [])
+    texts = spark.createDataFrame([(1, "2024-01-05T00:30:00.000+0000"), (2, "2024-01-32T00:30:00.000+0000"), (3, "soon")], "i int, created string")
+    assert tuple(crm.case_errors(texts, [], F.col("i"), times=["created"]).first()) == (2, [], ["created"])
+    items = [(1, 5, "Owner Assignment"), (2, 5, "Status")]
+    history = spark.createDataFrame([(i, c, f, at(0), "b", "a") for i, c, f in items], "id int, case_id int, field string, created timestamp_ntz, new_value string, old_value string")
+    assert [r[0] for r in crm.non_transferred(history, at(0), at(0)).collect()] == [5]
+    about = cases.withColumns({"issue_id": F.lit("x"), "order_item_id": F.col("id") * 8})
+    assert [tuple(r) for r in crm.issue_counts(about, at(0), at(0, month=11), [8, 24, 99]).collect()] == [("x", 2)]  # both bounds count
+    with pytest.raises(ValueError):
+        crm.issue_counts(about, at(0), at(1), [])
 
 
 def test_drop_null_columns(spark):
@@ -169,6 +178,7 @@ def book(tmp_path):
 
 def test_workbooks(spark, book):
     cells = xlsx.read_cells(spark, book)
+    cells = cells.where(F.col("workbook") == "w.xlsx")
     assert sheets.render(cells).first()["text"] == "D3: 1\nH3: D\n\nD6: =SUM(D3:D5) -> 2\nE6: null [bg:FFFF0000, bold]\n"
     assert workspace.files(spark, book).count() == 2
 
@@ -180,12 +190,40 @@ def test_workbooks(spark, book):
     assert compare("D3:H6", cells) == (True, None)
     assert compare("D6", other) == (True, None)
     assert compare("'Sheet1'!D3:H6", other) == (False, "H3")
-    assert compare("Other!H3", other) == (True, None)  # both miss it
+    assert compare("Other!H3", other) == (False, None)  # neither has the sheet
     assert compare("A:A", cells)[0] is False
+    assert compare("H6:D3", other) == (True, None)  # no cells
+    first = cells.withColumn("sheet", F.lit("Another"))
+    assert compare("D3", first) == (False, None)  # the truth's first sheet counts
+    lost = spark.createDataFrame([("w.xlsx", "reason", "unreadable")], "workbook string, value string, value_type string")
+    assert compare("A1", cells.where("false").unionByName(lost, allowMissingColumns=True))[0] is False
     nans = cells.withColumn("value", F.lit("nan"))
-    assert tuple(sheets.compare_cells(sheets.expand_ranges(spark.createDataFrame([("w.xlsx", "D3")], "workbook string, position string"), "position"), nans, nans).first())[1:] == (False, "D3")
+    wanted = sheets.expand_ranges(spark.createDataFrame([("w.xlsx", "D3")], "workbook string, position string"), "position")
+    assert tuple(sheets.compare_cells(wanted, nans, nans).first())[1:3] == (False, "D3")
     plain = cells.withColumn("fill_fg", F.lit(None).cast("string"))
     assert compare("E6", plain) == (True, None) and compare("E6", plain, styles=True) == (False, "E6")
+    back = cells.withColumn("fill_bg", F.lit("FF00FF00"))
+    assert compare("E6", back) == (True, None) and compare("E6", back, styles=True) == (False, "E6")
+    broken = xlsx.read_cells(spark, book).where(F.col("workbook") == "broken.xlsx").collect()
+    assert [(r["value_type"], r["sheet"]) for r in broken] == [("unreadable", None)]
+
+
+def test_rounding_dates_and_times(spark):
+    def cell(value, kind):
+        return spark.createDataFrame([("w", "S", 0, 1, 1, "A1", value, kind)], "workbook string, sheet string, sheet_idx int, row int, col int, ref string, value string, value_type string")
+
+    wanted = sheets.expand_ranges(spark.createDataFrame([("w", "A1")], "workbook string, position string"), "position")
+    cases = [
+        (("2.674", "number"), ("2.67", "string"), True), (("2.675", "number"), ("2.68", "number"), False), (("1.005", "number"), ("1.0", "string"), True),
+        (("45000.4", "date"), ("45000", "number"), True), (("45000.6", "date"), ("45000", "date"), False), (("0.5", "time"), ("12:00", "string"), True),
+        (("0.5003472222", "time"), ("0.5", "time"), True), (("0.51", "time"), ("0.5", "time"), False), (("1", "boolean"), ("1.0", "number"), True),
+        ((None, None), ("", "string"), False), (("a", "string"), ("A", "string"), False), (("inf", "string"), ("inf", "string"), True),
+    ]
+    for a, b, same in cases:
+        assert sheets.compare_cells(wanted, cell(*a), cell(*b)).first()["matches"] is same, (a, b)
+    shown = sheets.render_books(cell("45000.5", "date").unionByName(cell("0.25", "time").withColumns({"col": F.lit(2), "ref": F.lit("B1")}))
+                                .withColumns({**{c: F.lit(None).cast("string") for c in ("formula", "fill_fg", "font_rgb")}, **{c: F.lit(False) for c in ("bold", "italic", "underline")}}))
+    assert shown.first()["text"] == "Sheet Name: S\nA1: 2023-03-15 12:00:00\nB1: 06:00:00\n"
 
 
 def test_columns(spark):
