@@ -67,3 +67,45 @@ def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
 def shuffled(rows: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """A reproducible order that does not depend on the layout of the input."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+
+
+def train_and_test(splits: dict[str, DataFrame], order: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """All rows with ``split``: splits named train and test are kept, others joined, shuffled and cut anew.
+
+    A single split is cut in its own order, several are shuffled first.
+    """
+    if set(splits) == {"train", "test"}:
+        return concatenated({name: rows.withColumn("split", F.lit(name)) for name, rows in splits.items()})
+    rows = concatenated(splits)
+    if len(splits) < 2:
+        return split_tail(rows, order, test)
+    mixed = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col(order)))
+    return split_tail(mixed, "_order", test).drop("_order")
+
+
+def without_nulls(values: Column) -> Column:
+    """A map without the keys whose value is null."""
+    return F.map_filter(values, lambda _, v: v.isNotNull())
+
+
+def extras(values: Column) -> Column:
+    """What a reward function gets besides rollout id, completion and truth."""
+    return F.map_filter(values, lambda k, _: ~k.isin("rollout_id", "completion", "ground_truth"))
+
+
+def required_note(metadata: Column) -> Column:
+    """The ``required`` text of a metadata JSON, null where there is none."""
+    return F.get_json_object(metadata, "$.required")
+
+
+def environment(metadata: Column, version: str = "engine_version") -> Column:
+    """An environment's metadata from JSON, with what is missing filled in."""
+    kinds = f"struct<pip_dependencies:array<string>,python_version:string,{version}:string,constructor_args:string,constructor_args_pickled:boolean,format_version:int>"
+    read = F.from_json(metadata, kinds)
+    return F.struct(
+        F.coalesce(read["pip_dependencies"], F.array().cast("array<string>")).alias("pip_dependencies"),
+        *[F.coalesce(read[c], F.lit("unknown")).alias(c) for c in ("python_version", version)],
+        read["constructor_args"].alias("constructor_args"),
+        F.coalesce(read["constructor_args_pickled"], F.lit(False)).alias("constructor_args_pickled"),
+        F.coalesce(read["format_version"], F.lit(1)).alias("format_version"),
+    )

@@ -2,10 +2,19 @@
 
 A completion is a text or an array of (role, content) messages, of which the
 last one counts. A reward that has no value (a null truth or metric) is NaN.
+
+Rewards given as Python functions are called row by row, in Arrow batches: they
+are the user's own code, and one that fails costs a NaN and no job.
 """
 
 from __future__ import annotations
 
+import asyncio
+import inspect
+from collections.abc import Callable
+from importlib import import_module
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +49,16 @@ def numeric_match(text: Column, truth: Column) -> Column:
 
 def token_iou(text: Column, truths: Column) -> Column:
     """Shared over all distinct tokens of the answer and the truths."""
-    own = tokens(answer(text))
     theirs = F.array_distinct(F.flatten(F.transform(F.filter(truths, lambda t: t.isNotNull()), tokens)))
-    both, either = F.size(F.array_intersect(own, theirs)), F.size(F.array_union(own, theirs))
-    return F.when(truths.isNull(), NAN).when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1)))
+
+    def score(pair: Column) -> Column:
+        both = F.size(F.array_intersect(pair["own"], pair["theirs"]))
+        either = F.size(pair["own"]) + F.size(pair["theirs"]) - both  # each side is distinct
+        return F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1)))
+
+    # bound to a name, the token arrays are made once
+    pair = F.array(F.struct(tokens(answer(text)).alias("own"), theirs.alias("theirs")))
+    return F.when(truths.isNull(), NAN).otherwise(F.get(F.transform(pair, score), F.lit(0)))
 
 
 def token_f1(text: Column, truth: Column) -> Column:
@@ -105,3 +120,94 @@ def first_of_group(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     """One row of each group of equal ``keys``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def named_rewards(module: str, attribute: str = "reward_functions") -> dict[str, Callable]:
+    """The reward functions that a module lists by name."""
+    found = getattr(import_module(module), attribute)
+    if not isinstance(found, dict) or not all(callable(f) for f in found.values()):
+        raise TypeError(f"{module}.{attribute} must map names to functions")
+    return found
+
+
+def _value(function: Callable, arguments: dict) -> float:
+    """A function's reward; NaN where it fails or gives no number."""
+    try:
+        found = function(**arguments)
+        if inspect.isawaitable(found):
+            found = asyncio.run(_awaited(found))
+        return float(found) if isinstance(found, (int, float)) else NAN
+    except Exception:  # the user's code may fail in any way
+        return NAN
+
+
+async def _awaited(value):
+    return await value
+
+
+def call_rewards(
+    rows: DataFrame, functions: dict[str, Callable], completion: str = "completion", truth: str = "ground_truth", extras: tuple[str, ...] = ()
+) -> DataFrame:
+    """``rows`` with ``rewards``, a map of what each function returns, and their sum.
+
+    A function takes completion, ground_truth and the ``extras`` by keyword; it
+    may be a coroutine function. A null completion or truth is an empty text.
+    """
+    names = {"completion": completion, "ground_truth": truth, **{e: e for e in extras}}
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
+    def call(given: pd.DataFrame) -> pd.Series:
+        records = given.to_dict("records")
+        return pd.Series([{name: _value(f, record) for name, f in functions.items()} for record in records], dtype=object)
+
+    def argument(name: str, column: str) -> Column:
+        empty = name in ("completion", "ground_truth") and isinstance(rows.schema[column].dataType, T.StringType)
+        return (F.coalesce(F.col(column), F.lit("")) if empty else F.col(column)).alias(name)
+
+    given = F.struct(*[argument(name, column) for name, column in names.items()])
+    total = F.aggregate(F.map_values("rewards"), F.lit(0.0), lambda a, b: a + b)
+    # Arrow turns a NaN of pandas into a null
+    return rows.withColumn("rewards", F.transform_values(call(given), lambda _, v: F.coalesce(v, F.lit(NAN)))).withColumn("total_reward", total)
+
+
+def variable_reward(asked: DataFrame, variables: DataFrame) -> DataFrame:
+    """``asked`` (rollout_id, name, expected, ...) with ``reward``: 1 where the variable ends as expected, else 0."""
+    held = variables.select(F.col("rollout_id").alias("_r"), F.col("name").alias("_n"), F.col("value").cast("double").alias("_v"))
+    joined = asked.join(held, (F.col("rollout_id") == F.col("_r")) & (F.col("name") == F.col("_n")), "left")
+    expected = F.col("expected").cast("double")
+    hit = (F.col("name") != "") & (F.col("_v") == expected) & ~F.isnan("_v")
+    return joined.withColumn("reward", _score(hit)).drop("_r", "_n", "_v")
+
+
+def log_reward(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """``asked`` (rollout_id, filename, expected, ...) with ``reward``: 1 where the file holds the expected text, else 0.
+
+    White space at both ends does not count; a null expectation is an empty text.
+    """
+    content = F.col("content").cast("string")
+    held = files.select(F.col("rollout_id").alias("_r"), F.col("filename").alias("_f"), content.alias("_c"))
+    joined = asked.join(held, (F.col("rollout_id") == F.col("_r")) & (F.col("filename") == F.col("_f")), "left")
+    hit = (F.col("filename") != "") & (strip(F.col("_c")) == strip(F.coalesce(F.col("expected"), F.lit(""))))
+    return joined.withColumn("reward", _score(hit)).drop("_r", "_f", "_c")
+
+
+def group_rewards(
+    rows: DataFrame, group: str, function: Callable | None = None, rollout: str = "rollout_id",
+    completion: str = "completion", truth: str = "ground_truth",
+) -> DataFrame:
+    """(group, rollout, rewards): ``function`` of all rollouts of a group at once.
+
+    It takes lists rollout_ids, completions and ground_truths and returns a map
+    for each rollout; none means empty maps. A group is the rollouts of one
+    prompt, whose number the sampler sets, so it fits a task.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, rollout)}
+    schema = f"`{group}` {kinds[group]}, `{rollout}` {kinds[rollout]}, rewards map<string,double>"
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(rollout)
+        given = {"rollout_ids": frame[rollout].tolist(), "completions": frame[completion].tolist(), "ground_truths": frame[truth].tolist()}
+        found = function(**given) if function else [{} for _ in given["rollout_ids"]]
+        return pd.DataFrame({group: frame[group], rollout: frame[rollout], "rewards": [{k: float(v) for k, v in x.items()} for x in found]})
+
+    return rows.select(group, rollout, completion, truth).groupBy(group).applyInPandas(score, schema)

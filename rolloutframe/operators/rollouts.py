@@ -10,6 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import truncated
+from .toolcalls import first_call
+
+
+def steps(turns: DataFrame, max_chars: int = 10_000) -> DataFrame:
+    """The steps of rollouts from their raw turns: (rollout_id, turn, action, name, arguments, observation, reward, done).
+
+    ``turns``: (rollout_id, turn, action, result, reward), where ``action`` is
+    the model's text, ``result`` what its first tool call gave (null where the
+    tool, or the rollout's start, failed) and ``reward`` what its final text
+    earns. A text without calls is the last step and gets the reward; a call that
+    fails latches the error: that step is done with reward 0. Later turns do not
+    count. Of several calls only the first runs; a malformed call's error, or the
+    result cut to ``max_chars``, is the observation.
+    """
+    parsed = first_call(turns, "action")
+    observed = F.coalesce(F.col("error"), truncated(F.col("result"), max_chars))
+    over = ~F.col("has_call") | observed.isNull()
+    # a row each for the ends, by partial aggregation: a hot rollout is never one task's
+    ends = parsed.groupBy(F.col("rollout_id").alias("_r")).agg(F.min(F.when(over, F.col("turn"))).alias("_end"))
+    live = parsed.join(ends, F.col("rollout_id") == F.col("_r")).where(F.col("_end").isNull() | (F.col("turn") <= F.col("_end")))
+    return live.select(
+        "rollout_id", "turn", "action", "name", "arguments", F.when(F.col("has_call"), observed).alias("observation"),
+        F.when(F.col("has_call"), 0.0).otherwise(F.col("reward").cast("double")).alias("reward"), over.alias("done"),
+    )
+
+
+def histories(stepped: DataFrame) -> DataFrame:
+    """(rollout_id, messages, total_reward): the chat of each rollout, actions as assistant, observations as user."""
+    said = F.array(
+        F.struct(F.lit("assistant").alias("role"), F.col("action").alias("content")),
+        F.struct(F.lit("user").alias("role"), F.col("observation").alias("content")),
+    )
+    own = F.array_sort(F.collect_list(F.struct("turn", F.filter(said, lambda m: m["content"].isNotNull()).alias("said"))))
+    return stepped.groupBy("rollout_id").agg(F.flatten(F.transform(own, lambda x: x["said"])).alias("messages"), F.sum("reward").alias("total_reward"))
+
 
 def _ends(log: DataFrame) -> DataFrame:
     """(rollout_id, end, failed, turns): where each rollout ends, by one partial aggregation."""

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_html, truncated
 
 
+SNIPPET, BEFORE = 120, 30
+
+
 def _needle(term: str) -> Column:
     if not term or not term.strip():
         raise ValueError("a search needs a term")
@@ -26,24 +29,28 @@ def search_products(products: DataFrame, term: str) -> DataFrame:
 
 
 def search_knowledge(articles: DataFrame, term: str, status: str = "Online", language: str = "en_US") -> DataFrame:
-    """Published articles of one language; a missing answer is empty."""
+    """Published articles of one language whose title or answer holds the term; a missing one is empty."""
     own = articles.where((F.col("publish_status") == status) & (F.col("language") == language))
-    return matching(own, term, "faq_answer").select("id", F.coalesce("faq_answer", F.lit("")).alias("content"))
+    shown = [F.coalesce(c, F.lit("")).alias(name) for c, name in (("title", "title"), ("faq_answer", "content"))]
+    return matching(own, term, "title", "faq_answer").select("id", *shown)
 
 
 def search_articles(articles: DataFrame, term: str, limit: int = 10) -> DataFrame:
-    """The ``limit`` articles that hold the term most often: (rank, id, title, hits).
+    """The ``limit`` articles that hold the term most often: (rank, id, title, hits, snippet).
 
-    Spark keeps the top rows of each partition alone; only those meet for the ranks.
+    A snippet is ``SNIPPET`` code points of the text, from a little before the first hit on. Spark keeps the top rows of each partition alone; only those meet for the ranks.
     """
     needle = _needle(term)
-    text = F.lower(clean_html(F.col("extract")))
+    plain = articles.select("id", clean_html(F.col("title")).alias("title"), clean_html(F.col("extract")).alias("plain"))
+    text = F.lower("plain")
+    at = F.greatest(F.lit(1), F.instr(text, term.strip().lower()) - BEFORE)
     hits = ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("long")
-    found = articles.select("id", clean_html(F.col("title")).alias("title"), hits.alias("hits")).where("hits > 0")
+    snippet = F.substring("plain", at, F.lit(SNIPPET))
+    found = plain.select("id", "title", hits.alias("hits"), snippet.alias("snippet")).where("hits > 0")
     top = found.orderBy(F.desc("hits"), "id").limit(limit)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("lost"), "id", "title", "hits")))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("lost"), "id", "title", "hits", "snippet")))
     return top.agg(order.alias("found")).select(F.posexplode("found").alias("at", "x")).select(
-        (F.col("at") + 1).alias("rank"), "x.id", "x.title", "x.hits"
+        (F.col("at") + 1).alias("rank"), "x.id", "x.title", "x.hits", "x.snippet"
     )
 
 
@@ -58,5 +65,33 @@ def hit_list(hits: DataFrame) -> DataFrame:
     )
 
 
+def search_text(articles: DataFrame, term: str, limit: int = 10) -> DataFrame:
+    """(text): the hits as a model reads them, or why there are none."""
+    if not term:
+        return articles.sparkSession.createDataFrame([("Error: Missing required parameter: 'q'",)], "text string")
+    return hit_list(search_articles(articles, term, limit))
+
+
+def article_texts(asked: DataFrame, articles: DataFrame, max_chars: int = 10_000, redirects: DataFrame | None = None) -> DataFrame:
+    """``asked`` (title, ...) with ``text``: the article of each title, or why there is none.
+
+    ``redirects``: (title, target), followed once.
+    """
+    named = asked.withColumn("_wanted", F.col("title"))
+    if redirects is not None:
+        moved = redirects.select(F.col("title").alias("_from"), F.col("target").alias("_to"))
+        named = named.join(moved, F.col("title") == F.col("_from"), "left").withColumn("_wanted", F.coalesce("_to", "title")).drop("_from", "_to")
+    pages = articles.groupBy(F.col("title").alias("_title")).agg(F.min_by(F.struct("extract"), "id").alias("_page"))
+    found = named.join(pages, F.col("_wanted") == F.col("_title"), "left")
+    extract = F.col("_page.extract")
+    text = (
+        F.when(F.coalesce(F.col("title"), F.lit("")) == "", "Error: Missing required parameter: 'title'")
+        .when(F.col("_title").isNull(), F.format_string("Error: No pages found for title '%s'", F.col("title")))
+        .when(extract.isNull(), F.format_string("Error: No extract found for '%s'", F.col("title")))
+        .otherwise(truncated(extract, max_chars, ""))
+    )
+    return found.withColumn("text", text).drop("_wanted", "_title", "_page")
+
+
 def get_article(articles: DataFrame, title: str, max_chars: int = 10_000) -> DataFrame:
     return articles.where(F.col("title") == title).select("id", truncated(F.col("extract"), max_chars, "").alias("extract"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +40,49 @@ def call_texts(text: Column) -> Column:
     return F.when(broken, F.array().cast("array<string>")).otherwise(found)
 
 
-def calls(rows: DataFrame, text: str) -> DataFrame:
-    """``rows``, one for each call: its number from 0, its name, its arguments as JSON, its error."""
-    each = rows.select(*rows.columns, F.posexplode(call_texts(F.col(text))).alias("call", "_json"))
-    kind = F.schema_of_variant(F.try_parse_json("_json"))
-    name = F.get_json_object("_json", "$.name")
-    arguments = F.get_json_object("_json", "$.arguments")
+def described(text: Column) -> list[Column]:
+    """name, arguments and error of a call's JSON text; all null for a null text."""
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    name = F.get_json_object(text, "$.name")
+    arguments = F.get_json_object(text, "$.arguments")
     is_object, has_object = kind.startswith("OBJECT<"), F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT<")
     nameless = name.isNull() | (name == "")
-    return each.select(
-        *rows.columns, "call",
+    return [
         F.when(is_object, name).alias("name"),
         F.when(is_object, F.coalesce(arguments, F.lit("{}"))).alias("arguments"),
-        F.when(~is_object, NOT_AN_OBJECT).when(nameless, NO_NAME)
+        F.when(text.isNull(), F.lit(None)).when(~is_object, NOT_AN_OBJECT).when(nameless, NO_NAME)
         .when(arguments.isNotNull() & ~F.coalesce(has_object, F.lit(False)), F.format_string(BAD_ARGUMENTS, name))
         .alias("error"),
-    )
+    ]
+
+
+def calls(rows: DataFrame, text: str) -> DataFrame:
+    """``rows``, one for each call: its number from 0, its name, its arguments as JSON, its error."""
+    each = rows.select(*rows.columns, F.posexplode(call_texts(F.col(text))).alias("call", "_json"))
+    return each.select(*rows.columns, "call", *described(F.col("_json")))
+
+
+def first_call(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``has_call`` and the first call's name, arguments and error: the only call that runs."""
+    found = rows.withColumn("_json", F.get(call_texts(F.col(text)), F.lit(0)))
+    return found.select(*rows.columns, F.col("_json").isNotNull().alias("has_call"), *described(F.col("_json")))
+
+
+def run_tools(
+    rows: DataFrame, tools: dict[str, Callable[[Column], Column]], parsers: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
+    """``rows`` (name, arguments, error, ...) with ``output``, the text that each call gives.
+
+    ``tools``: for each name, the text of a tool as a Column of its arguments'
+    JSON, null where it fails; ``parsers`` change the text of a tool by name.
+    Errors are texts too, and nothing is raised.
+    """
+    cases = F.when(F.col("error").isNotNull(), F.col("error"))
+    for name, tool in tools.items():
+        text = tool(F.col("arguments")).cast("string")
+        parsed = (parsers or {}).get(name, lambda x: x)(text)
+        cases = cases.when(F.col("name") == name, F.coalesce(parsed, F.format_string("Error: %s failed.", F.lit(name))))
+    return rows.withColumn("output", cases.otherwise(F.format_string("Error: Unknown tool: %s", F.col("name"))))
 
 
 def allowed(tools: DataFrame, names: list[str] | None = None) -> DataFrame:

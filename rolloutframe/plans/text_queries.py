@@ -183,8 +183,8 @@ SELECT event_id, call, name, arguments, CASE WHEN name = '' THEN 'Error: Missing
 UNION ALL SELECT event_id, 1, NULL, NULL, 'Error: Tool command must be a JSON object.' FROM events WHERE event_id % 13 <> 2 AND event_id % 3 = 0""",
     "search_products": """SELECT p_partkey AS id, p_name AS name, p_brand || ' ' || p_type AS description FROM part
 WHERE lower(p_name || chr(10) || p_brand || ' ' || p_type) LIKE '%brand#12%'""",
-    "search_knowledge": """SELECT doc_id AS id, coalesce(text, '') AS content FROM documents
-WHERE source = 'src6' AND lang = 'en' AND contains(lower(text), 'the')""",
+    "search_knowledge": """SELECT doc_id AS id, 'Note ' || doc_id AS title, coalesce(text, '') AS content FROM documents
+WHERE source = 'src6' AND lang = 'en' AND contains(lower(concat_ws(chr(10), 'Note ' || doc_id, text)), 'the')""",
     "wiki_search_topk": f"""WITH c AS (SELECT page_id AS id, lower({_XML.format(_BARE)}) AS x FROM pages),
 h AS (SELECT id, CAST((length(x) - length(replace(x, 'the', ''))) // 3 AS BIGINT) AS hits FROM c)
 SELECT CAST(row_number() OVER (ORDER BY hits DESC, id) AS INTEGER) AS rank, id, hits FROM h WHERE hits > 0 ORDER BY hits DESC, id LIMIT 10""",

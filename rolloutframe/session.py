@@ -21,6 +21,14 @@ def builder(app: str = "rolloutframe") -> SparkSession.Builder:
     return SparkSession.builder.appName(app).config(map=SETTINGS)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one on one machine alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return (found or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")).rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors, once for each context."""
     context = spark.sparkContext

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,25 @@ def joined_logs(rows: DataFrame) -> DataFrame:
 def write_splits(rows: DataFrame, path: str) -> None:
     """One folder for each value of ``split``."""
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def download(rows: DataFrame, folder: str) -> DataFrame:
+    """Write (rollout_id, filename, content) below a folder that all executors share; (rollout_id, filename, path) of each.
+
+    Names that would leave the rollout's own folder are errors.
+    """
+    def write(frames):
+        for frame in frames:
+            paths = []
+            for rollout, name, content in zip(frame["rollout_id"], frame["filename"], frame["content"], strict=True):
+                own = Path(folder) / str(rollout)
+                target = (own / name).resolve()
+                if own.resolve() not in target.parents:
+                    raise ValueError(f"no file name: {name}")
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_bytes(content)
+                paths.append(str(target))
+            yield frame[["rollout_id", "filename"]].assign(path=paths)
+
+    kind = rows.schema["rollout_id"].dataType.simpleString()
+    return rows.select("rollout_id", "filename", "content").mapInPandas(write, f"rollout_id {kind}, filename string, path string")

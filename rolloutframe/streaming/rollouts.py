@@ -1,22 +1,19 @@
 """Rollout logs as streams: windowed counts with late data.
 
 Each micro-batch writes the windows it changed; the newest version of a window
-is its count. So a finished stream equals the batch aggregation, whatever its
-watermark still holds open.
+is its count. A finished stream equals the batch aggregation of the rows that
+were not late: a row more than ``late`` behind the newest of the batches before
+its own is lost, where its window is closed. Rows of one batch are never late.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+from ..session import shared_folder
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -34,7 +31,7 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 da
 def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
     """All that is there now, through the stream, as a table: the newest row of each key."""
     spark = stream.sparkSession
-    out = f"{_shared(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/_b={number}")
