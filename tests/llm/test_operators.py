@@ -188,18 +188,18 @@ def test_decontamination(spark):
 # substrings
 
 
-def substrings_brute(values):
+def substrings_brute(values, width=13):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in values]
     first = {}
     for i, w in enumerate(words):
-        for a in range(len(w) - 12):
-            first.setdefault(tuple(w[a : a + 13]), i)
+        for a in range(len(w) - width + 1):
+            first.setdefault(tuple(w[a : a + width]), i)
     out = []
     for i, w in enumerate(words):
         gone = set()
-        for a in range(len(w) - 12):
-            if first[tuple(w[a : a + 13])] < i:
-                gone |= set(range(a, a + 13))
+        for a in range(len(w) - width + 1):
+            if first[tuple(w[a : a + width])] < i:
+                gone |= set(range(a, a + width))
         out.append((i, len(w), len(gone), sha(" ".join(x for n, x in enumerate(w) if n not in gone))))
     return out
 
@@ -211,6 +211,33 @@ def test_substrings(docs, spark):
     assert sorted(r["n_removed"] for r in substring_dedup.digest(odd).collect()) == [0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("window", [1, 4, 9, 30])
+def test_substring_levels(docs, window):
+    """One level, two, and a loop of several."""
+    assert len(substring_dedup.levels(window)) == {1: 1, 4: 1, 9: 2, 30: 3}[window]
+    found = substring_dedup.dedup_substrings(docs, window=window).select("id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, found.collect())) == substrings_brute(TEXTS, window)
+
+
+def test_no_candidate_survives(spark):
+    values = [" ".join(f"{c}{i}" for i in range(90)) for c in "abc"]
+    found = substring_dedup.dedup_substrings(table(spark, values), window=50).collect()
+    assert [r["n_removed"] for r in found] == [0, 0, 0]
+
+
+def test_hot_passages(spark):
+    """A passage in most documents, over many slices and tasks, also under names as ids."""
+    r = random.Random(6)
+    hot, some = (" ".join(f"{c}{i}" for i in range(40)) for c in "hs")
+    values = [" ".join(r.choices([f"w{i}" for i in range(300)], k=20)) + f" {hot} x{i % 5} " + (some if i % 9 == 4 else "") for i in range(900)]
+    expected = substrings_brute(values)
+    for size in (3000, 1 << 20):
+        found = substring_dedup.dedup_substrings(table(spark, values), slice_bytes=size).select("id", "n_words", "n_removed", "kept_sha256")
+        assert sorted(map(tuple, found.collect())) == expected
+    named = table(spark, values).select(F.lpad(F.col("doc_id").cast("string"), 4, "0").alias("doc_id"), "text")
+    assert [r[1:] for r in sorted(map(tuple, substring_dedup.digest(named).collect()))] == [x[1:] for x in expected]
+
+
 # tokens
 
 
@@ -333,7 +360,7 @@ def test_simhash_finds_every_distance(spark):
         prints.append(prints[r.randrange(len(prints))] ^ sum(1 << f for f in flips))
     prints = list(dict.fromkeys(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    nodes = spark.createDataFrame([(p, p) for p in signed], "fp long, node long")
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
     found = {r["node"]: r["root"] for r in components.components(simhash.links(simhash.with_partner(nodes))).collect()}
     brute = roots_brute(prints)
     assert len({brute[i] for i in range(len(prints))}) == len({found.get(p, p) for p in signed})
