@@ -1,11 +1,19 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted to a bounded sample (about ``SAMPLE_ROWS`` distinct vectors,
-chosen by a hash); every vector is then filed under its leaf. A query walks the
-tree best bin first: a priority queue holds the nodes met so far by the inner
-product with their centres, and the best is opened next, until enough leaves
-are visited. A query's own leaf, which holds all its copies, is always among
-them. How many are enough is calibrated: for ``CALIBRATION`` queries the true
+The top of the tree is fitted to a bounded sample (about ``SAMPLE_ROWS`` distinct
+vectors, chosen by a hash). Every vector is filed under its leaf, and leaves of
+more than twice ``LEAF_ROWS`` vectors are split by k-means again, all of a level
+at once in one grouped job that sees a bounded sample of each, until none is
+left. So a leaf's size does not grow with the table, up to ``MOST_LEAVES``
+leaves; beyond that (some 2^28 vectors) leaves grow, and the tree, which is
+broadcast, does not.
+
+A query walks the tree best bin first: a priority queue holds the nodes met so
+far by the inner product with their centres, plus a share (the lean) of the
+query's length times the node's radius, which suits vectors of unequal length.
+The best is opened next, until enough leaves are visited. A query's own leaf,
+which holds all its copies, is always among them. How many are enough, and which
+lean needs the fewest, is calibrated: for ``CALIBRATION`` queries the true
 neighbours are found against all vectors in blocks, and the number of visits is
 widened until the mean recall reaches ``TARGET``, both of all query rows (a
 probe weighs as many as share its vector) and of the neighbours that are no
@@ -28,43 +36,65 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import on_workers, stage
 
 SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 32_768, 8, 48, 8
-CALIBRATION, TARGET, BLOCK_ROWS, HALL_ROWS = 200, 0.97, 4096, 1024
+CALIBRATION, TARGET, BLOCK_ROWS, HALL_ROWS = 200, 0.95, 4096, 1024
+LEAF_ROWS, SPLIT_ROWS, MOST_LEAVES, LEANS = 2048, 8192, 1 << 17, (0.0, 0.25, 0.5, 1.0)
 
 
 @dataclass
 class Tree:
-    """Centres of the inner nodes' children; a child below zero is leaf ``-1 - child``."""
+    """Centres and radii of the inner nodes' children; a child below zero is leaf ``-1 - child``."""
 
     centres: list[np.ndarray] = field(default_factory=list)
     children: list[list[int]] = field(default_factory=list)
     leaves: int = 0
+    radii: list[np.ndarray] = field(default_factory=list)
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
-        if not self.centres:
-            return [0]
-        queue: list[tuple[float, int]] = [(0.0, 0)]
-        found: list[int] = []
-        while queue and len(found) < most:
+    def walk(self, query: np.ndarray, lean: float = 0.0) -> Iterator[int]:
+        """The leaves, best bin first."""
+        queue: list[tuple[float, int]] = [(0.0, 0 if self.centres else -1)]
+        reach = lean * float(np.linalg.norm(query))
+        while queue:
             _, node = heapq.heappop(queue)
             if node < 0:
-                found.append(-1 - node)
+                yield -1 - node
                 continue
-            for score, child in zip((self.centres[node] @ query).tolist(), self.children[node], strict=True):
-                heapq.heappush(queue, (-score, child))
-        return found
+            score = self.centres[node] @ query
+            if reach:
+                score = score + reach * self.radii[node]
+            for value, child in zip(score.tolist(), self.children[node], strict=True):
+                heapq.heappush(queue, (-value, child))
+
+    def visit(self, query: np.ndarray, most: int, lean: float = 0.0) -> list[int]:
+        """The first ``most`` leaves, best bin first."""
+        return list(islice(self.walk(query, lean), most))
+
+    def graft(self, below: dict[int, Tree]) -> None:
+        """Put a tree in the place of each leaf named; its first leaf keeps the number, the others are new."""
+        roots = {}
+        for leaf, tree in below.items():
+            at, names = len(self.centres), [leaf, *range(self.leaves, self.leaves + tree.leaves - 1)]
+            roots[leaf] = at
+            self.leaves += tree.leaves - 1
+            self.centres += tree.centres
+            self.radii += tree.radii
+            self.children += [[c + at if c >= 0 else -1 - names[-1 - c] for c in own] for own in tree.children]
+        first = min(roots.values(), default=len(self.centres))
+        for own in self.children[:first]:
+            own[:] = [roots.get(-1 - c, c) if c < 0 else c for c in own]
 
     def file(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector: the nearest centre at each level."""
@@ -72,7 +102,7 @@ class Tree:
         todo = [(0, np.arange(len(vectors)))] if self.centres else []
         while todo:
             node, rows = todo.pop()
-            near = _nearest(vectors[rows], self.centres[node])
+            near = _nearest(vectors[rows], self.centres[node].astype(np.float64))
             for i, child in enumerate(self.children[node]):
                 some = rows[near == i]
                 if child < 0:
@@ -97,14 +127,16 @@ def fit(sample: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_SAMP
             centres = vectors[np.sort(random.choice(len(rows), k, replace=False))]
             for _ in range(ITERATIONS):
                 near = _nearest(vectors, centres)
-                count = np.bincount(near, minlength=k)
+                held = np.bincount(near, minlength=k)
                 sums = np.stack([np.bincount(near, vectors[:, j], k) for j in range(vectors.shape[1])], 1)
-                centres = np.where(count[:, None] > 0, sums / np.maximum(1, count)[:, None], centres)
+                centres = np.where(held[:, None] > 0, sums / np.maximum(1, held)[:, None], centres)
             near = _nearest(vectors, centres)
             used = np.flatnonzero(np.bincount(near, minlength=k))
             if len(used) >= 2:
                 node = len(tree.centres)
-                tree.centres.append(centres[used])
+                apart = ((vectors - centres[near]) ** 2).sum(1)
+                tree.centres.append(centres[used].astype(np.float32))
+                tree.radii.append(np.sqrt([apart[near == i].mean() for i in used]))
                 tree.children.append([])
                 tree.children[node] = [grow(rows[near == i]) for i in used]
                 return node
@@ -138,7 +170,7 @@ def _clean(rows: DataFrame, kind: str) -> DataFrame:
                 [batch.column(0).take(pa.array(rows[good])), pa.array([x.tobytes() for x in numbers], pa.binary())], ["id", "v"]
             )
 
-    return rows.where(F.col("id").isNotNull()).mapInArrow(emit, "id long, v binary")
+    return on_workers(rows.where(F.col("id").isNotNull())).mapInArrow(emit, "id long, v binary")
 
 
 def _distinct(clean: DataFrame, most: int) -> DataFrame:
@@ -195,13 +227,26 @@ def _truth(items: DataFrame, probes: list[bytes], k: int, kind: str) -> list:
     return found.withColumn("n", F.least("n", room)).where(F.col("n") > 0).select("q", "leaf", "copy", "n").collect()
 
 
-def _visits(tree: Tree, truth: list, queries: np.ndarray, rows: np.ndarray, own: np.ndarray, target: float) -> int:
-    """The least number of visits with a mean recall of ``target``, own leaves being free.
+def _visits(
+    tree: Tree, truth: list, queries: np.ndarray, rows: np.ndarray, own: np.ndarray, target: float, lean: float = 0.0
+) -> tuple[int, float]:
+    """The least number of visits with a mean recall of ``target``, own leaves being free, and that recall.
 
     ``rows``: the query rows of each probe; ``own``: the leaf it is filed under.
     """
-    order = [{leaf: i for i, leaf in enumerate(tree.visit(q, tree.leaves))} for q in queries]
-    depth = np.array([0 if r["leaf"] == own[r["q"]] else order[r["q"]][r["leaf"]] for r in truth], np.int64)
+    wanted: list[set[int]] = [set() for _ in queries]
+    for r in truth:
+        if r["leaf"] != own[r["q"]]:
+            wanted[r["q"]].add(r["leaf"])
+    at: list[dict[int, int]] = [{} for _ in queries]
+    for q, query in enumerate(queries):
+        if wanted[q]:
+            for place, leaf in enumerate(tree.walk(query, lean)):
+                if leaf in wanted[q]:
+                    at[q][leaf] = place
+                    if len(at[q]) == len(wanted[q]):
+                        break
+    depth = np.array([at[r["q"]].get(r["leaf"], 0) for r in truth], np.int64)
     n = np.array([r["n"] for r in truth], np.int64)
     weight = n * rows[[r["q"] for r in truth]] if truth else n
     other = n * ~np.array([r["copy"] for r in truth], bool)
@@ -210,9 +255,36 @@ def _visits(tree: Tree, truth: list, queries: np.ndarray, rows: np.ndarray, own:
     for share in (weight[by], other[by]):
         reached = np.cumsum(share)
         if len(by) and reached[-1]:
-            at = np.searchsorted(reached, target * reached[-1], "right")
-            found.append(int(depth[by][min(len(by) - 1, at)]) + 1)
-    return max(found, default=tree.leaves)
+            place = np.searchsorted(reached, target * reached[-1], "right")
+            found.append(int(depth[by][min(len(by) - 1, place)]) + 1)
+    most = max(found, default=tree.leaves)
+    return most, float(other[depth < most].sum() / max(1, other.sum())) if len(by) else 1.0
+
+
+def _split(items: DataFrame, big: dict[int, int], kind: str, leaf_rows: int, salt: int) -> dict[int, Tree]:
+    """A tree below each of the large leaves, fitted to a bounded sample of its vectors; a grouped job."""
+    shares = [(leaf, min(1.0, SPLIT_ROWS / n), leaf_rows / n) for leaf, n in big.items()]
+    small = items.sparkSession.createDataFrame(shares, "leaf long, share double, part double")
+    some = items.join(F.broadcast(small), "leaf").where(
+        F.pmod(F.xxhash64(F.lit(salt), "v"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    )
+
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        vectors = _matrix(frame["v"], kind)
+        tree = fit(vectors, leaf_rows=max(LEAF_SAMPLE, int(len(vectors) * frame["part"].iloc[0])))
+        return pd.DataFrame({
+            "leaf": frame["leaf"].iloc[0], "node": range(len(tree.centres)), "leaves": tree.leaves, "children": tree.children,
+            "centres": [c.tobytes() for c in tree.centres], "radii": [r.tolist() for r in tree.radii],
+        })
+
+    found: dict[int, Tree] = {}
+    kinds = "leaf long, node int, leaves int, children array<long>, centres binary, radii array<double>"
+    for r in some.select("leaf", "v", "part").groupBy("leaf").applyInPandas(grow, kinds).orderBy("leaf", "node").collect():
+        tree = found.setdefault(r["leaf"], Tree(leaves=r["leaves"]))
+        tree.children.append(list(r["children"]))
+        tree.centres.append(np.frombuffer(r["centres"], np.float32).reshape(len(r["children"]), -1))
+        tree.radii.append(np.array(r["radii"]))
+    return found
 
 
 def _groups(sizes: dict[int, int], leaves: int) -> np.ndarray:
@@ -258,8 +330,14 @@ def nearest(
     k: int = 20,
     target: float = TARGET,
     sample_rows: int = SAMPLE_ROWS,
+    leaf_rows: int = LEAF_ROWS,
+    report: dict | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for rows where ``queries`` holds, the ``k`` nearest other rows found."""
+    """(query_id, rank, vec_id, score): for rows where ``queries`` holds, the ``k`` nearest other rows found.
+
+    ``report``, where given, gets the leaves, the largest one, the visits, the
+    lean and the recall of the calibration.
+    """
     kind = "<f4" if "float" in dict(table.dtypes)[vector_col] else "<f8"
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("is_query"))
     clean = stage(_clean(rows.select("id", "vector"), kind), "vectors")
@@ -267,14 +345,25 @@ def nearest(
     n = items.count()
     sample = items.where(_share("v", sample_rows / max(1, n), 1)).select("v").toPandas()
     tree = fit(_matrix(sample["v"], kind) if len(sample) else np.empty((0, 1)))
-    held = table.sparkSession.sparkContext.broadcast(tree)
-
-    def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield frame.assign(leaf=held.value.file(_matrix(frame["v"], kind)))[["leaf", "v", "ids"]]
-
-    items = stage(items.mapInPandas(file, "leaf long, v binary, ids array<long>"), "leaves")
+    leaf_rows = max(leaf_rows, -(-n // MOST_LEAVES))
+    spark, final = table.sparkSession, set()
+    for level in count(1):
+        held = spark.sparkContext.broadcast(tree)
+
+        def file(frames: Iterator[pd.DataFrame], held: Broadcast = held) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    yield frame.assign(leaf=held.value.file(_matrix(frame["v"], kind)))[["leaf", "v", "ids"]]
+
+        items = stage(items.select("v", "ids").mapInPandas(file, "leaf long, v binary, ids array<long>"), "leaves")
+        # a row for each leaf, of which there are MOST_LEAVES or so at most
+        sizes = {r["leaf"]: r["count"] for r in items.groupBy("leaf").count().collect()}
+        big = {leaf: size for leaf, size in sizes.items() if size > 2 * leaf_rows and leaf not in final}
+        below = _split(items, big, kind, leaf_rows, level) if big else {}
+        final |= big.keys() - below.keys()  # these cannot be told apart
+        if not below:
+            break
+        tree.graft(below)
     asked = clean.join(rows.where("is_query").select("id").distinct(), "id", "left_semi")
     hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
     filed = items.select(*hashes, F.col("leaf").alias("own"))  # shuffled by hash, without the vectors
@@ -283,11 +372,10 @@ def nearest(
     some = wanted.where(_share("v", CALIBRATION / max(1, wanted.count()), 2)).select("v", "n", "own").toPandas()
     probes = [bytes(v) for v in some["v"]]
     truth = _truth(items, probes, k, kind) if probes else []
-    visits = _visits(
-        tree, truth, _matrix(probes, kind) if probes else np.empty((0, 1)), some["n"].to_numpy(), some["own"].to_numpy(), target
-    )
-    # a row for each leaf, of which the sample bounds the number
-    sizes = {r["leaf"]: r["count"] for r in items.groupBy("leaf").count().collect()}
+    given = (tree, truth, _matrix(probes, kind) if probes else np.empty((0, 1)), some["n"].to_numpy(), some["own"].to_numpy(), target)
+    (visits, recall), lean = min(((_visits(*given, lean), lean) for lean in LEANS), key=lambda x: (x[0][0], x[1]))
+    if report is not None:
+        report.update(leaves=tree.leaves, largest=max(sizes.values(), default=0), visits=visits, lean=lean, recall=recall)
     groups = _groups(sizes, tree.leaves)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +383,7 @@ def nearest(
             out = []
             vectors = _matrix(frame["v"], kind) if len(frame) else []
             for q, v, own, x in zip(frame["q"], frame["v"], frame["own"], vectors, strict=True):
-                leaves = held.value.visit(x, visits)
+                leaves = held.value.visit(x, visits, lean)
                 leaves = np.array(leaves if own in leaves else [*leaves, own])
                 out += [(g, q, v, leaves[groups[leaves] == g]) for g in np.unique(groups[leaves])]
             yield pd.DataFrame(out, columns=["grp", "q", "v", "leaves"])

@@ -139,7 +139,35 @@ def test_calibration_counts_copies_and_larger_vectors(spark):
     tree = knn_tree.Tree([np.array([[2.0, 0.0], [1.0, 0.0], [0.0, 0.0]])], [[-1, -2, -3]], 3)
     found = [{"q": 0, "leaf": 0, "copy": False, "n": 1}, {"q": 1, "leaf": 2, "copy": False, "n": 1}]
     visits = [knn_tree._visits(tree, found, x[:2], np.array(n), np.array([1, 1]), 0.6) for n in ([1, 1], [1, 9], [9, 1])]
-    assert visits == [3, 3, 3] and knn_tree._visits(tree, found[:1], x[:1], np.array([1]), np.array([0]), 0.6) == 1
+    assert visits == [(3, 1.0)] * 3 and knn_tree._visits(tree, found[:1], x[:1], np.array([1]), np.array([0]), 0.6) == (1, 1.0)
+
+
+def test_large_leaves_are_split_level_by_level(spark):
+    """A sample far too small for the table: leaves still end bounded, every vector filed once, recall as asked."""
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(60, 12)) * 3
+    x = (centre[r.integers(0, 60, 6000)] + r.normal(size=(6000, 12)) * r.uniform(0.2, 1.5, (6000, 1))).astype(np.float32)
+    rows = [(i, v.tolist(), 0, 0, 0, 0) for i, v in enumerate(x)] + [(6000 + 20 * i, [1.0] * 12, 0, 0, 0, 0) for i in range(50)]
+    report = {}
+    found = knn_tree.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, sample_rows=150, leaf_rows=60, report=report)
+    got = {(a, c) for a, _, c, _ in map(tuple, found.collect())}
+    true = {(a, c) for a, _, c, _ in nearest_brute(rows)}
+    assert report["largest"] <= 120 and report["leaves"] >= 50 and report["visits"] < report["leaves"] and 0.9 <= report["recall"] <= 1
+    assert len(got) == len(true) and len({g for g in got if g[0] < 6000} & true) / len({t for t in true if t[0] < 6000}) >= 0.9
+
+
+def test_graft():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(900, 5))
+    tree = knn_tree.fit(x, leaf_rows=200)
+    parts = tree.file(x)
+    below = {leaf: knn_tree.fit(x[parts == leaf], leaf_rows=20) for leaf in range(tree.leaves)}
+    below = {leaf: t for leaf, t in below.items() if t.centres}
+    n = tree.leaves + sum(t.leaves - 1 for t in below.values())
+    tree.graft(below)
+    assert tree.leaves == n == len(set(tree.visit(x[0], n))) and set(tree.file(x)) <= set(range(n))
+    for leaf, sub in below.items():
+        assert np.array_equal(tree.file(x[parts == leaf]) == leaf, sub.file(x[parts == leaf]) == 0)
 
 
 def test_groups_of_leaves():
