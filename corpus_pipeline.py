@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from rolloutframe.llm import decontaminate, line_dedup, packing, quality, simhash
 from rolloutframe.llm.common import stage, table, vocabulary
-from rolloutframe.session import ship_package
 
 #: Tokenizer ids and packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -35,7 +34,6 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     plain = _plain(docs)
     kept = quality.classify(plain, table(spark, sf_dir, "labels")).where("_keep")
     return kept.select(plain.columns).toDF(*docs.columns)
@@ -51,7 +49,6 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     plain = _plain(docs)
     # ids may repeat: rows are told apart by a number of their own, which staging keeps
     numbered = stage(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
@@ -70,7 +67,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
