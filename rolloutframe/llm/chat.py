@@ -9,7 +9,9 @@ ones collapse onto the smallest id, and what is left is rendered.
 
 A conversation may hold a third of all rows: places and prefix hashes are
 windowed over runs of ``RUN`` turn numbers and shifted by small per-run sums,
-so no window holds a whole conversation. Only the rendered text is one value.
+so no window holds a whole conversation. :func:`render_runs` gives the text of
+each run, so that no value holds a whole conversation either; joined to one
+value by :func:`format_chats`, a conversation may have 2 GB of text at most.
 
 Only DataFrame functions run here.
 
@@ -76,13 +78,14 @@ def marked(value: Column) -> Column:
     return F.replace(value, F.lit("<|"), F.lit("< |"))
 
 
-def format_chats(
-    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
-) -> DataFrame:
-    """(conv, n_turns, n_copies, rendered) of every maximal conversation.
+def _rendered(rows: DataFrame, within: str | None, order: str, line: Column) -> DataFrame:
+    """(c, within, rendered): ``line`` of all rows joined, in ``order``."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, line.alias("line"))))
+    return rows.groupBy("c", *([within] if within else [])).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("rendered"))
 
-    ``n_copies`` counts the logged conversations equal to it, itself included.
-    """
+
+def _maximal(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(c, n_turns, n_copies) of every maximal conversation, and (c, run, rendered) of its runs."""
     placed = stage(_placed(turns, conv, turn, role, text), "chat-turns")
     prefixes = stage(_prefixes(placed), "chat-prefixes")
     whole = prefixes.groupBy("c").agg(F.max(F.struct("place", "p1", "p2")).alias("w")).select("c", "w.*")
@@ -99,13 +102,27 @@ def format_chats(
     line = F.concat(
         F.lit("<|im_start|>"), marked(F.col("role")), F.lit("\n"), marked(F.col("text")), F.lit("<|im_end|>\n")
     )
-    rendered = (
-        placed.join(maximal.select("c"), "c", "left_semi")
-        .select("c", F.struct("place", line.alias("line")).alias("at"))
-        .groupBy("c")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["line"]), "").alias("rendered"))
-    )
-    return maximal.join(rendered, "c").select(F.col("c").alias(conv), "n_turns", "n_copies", "rendered")
+    return maximal, _rendered(placed.join(maximal.select("c"), "c", "left_semi"), "run", "place", line)
+
+
+def render_runs(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """(conv, run, rendered): the maximal conversations in runs of turns; in order of ``run`` they make the whole text."""
+    _, runs = _maximal(turns, conv, turn, role, text)
+    return runs.select(F.col("c").alias(conv), "run", "rendered")
+
+
+def format_chats(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """(conv, n_turns, n_copies, rendered) of every maximal conversation.
+
+    ``n_copies`` counts the logged conversations equal to it, itself included.
+    """
+    maximal, runs = _maximal(turns, conv, turn, role, text)
+    whole = _rendered(runs, None, "run", F.col("rendered"))
+    return maximal.join(whole, "c").select(F.col("c").alias(conv), "n_turns", "n_copies", "rendered")
 
 
 ORACLE_SQL = r"""
