@@ -38,6 +38,13 @@ def standardised(rows: DataFrame, prompt: Column, truth: Column, env: str, sourc
     )
 
 
+def question_answer(rows: DataFrame, question: str, answer: str, env: str, source: str, system: str | None = None) -> DataFrame:
+    """Examples of a question and an answer, standardised; a missing question or answer is empty."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (question, answer)]
+    named = rows.withColumns({"_q": own[0], "_a": own[1]}).drop(question, answer)
+    return standardised(named, F.col("_q"), F.col("_a"), env, source, system).drop("_q", "_a")
+
+
 def split_tail(rows: DataFrame, order: str, test: float = 0.2, buckets: int = 256) -> DataFrame:
     """``rows`` with ``split``: the last ``ceil(test * n)`` in order are test, the others train.
 

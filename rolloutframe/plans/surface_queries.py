@@ -191,6 +191,16 @@ def std_spreadsheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", F.size("prompt").cast("long").alias("n_messages"), "env_class").join(prompts, "p_partkey")
 
 
+def std_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with answers, of which some are missing, and other columns kept."""
+    rows = t.load(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("Question"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_size")).alias("Answer"), F.col("p_brand").alias("extra")
+    )
+    out = datasets.question_answer(rows, "Question", "Answer", "math", "parts", "Think.")
+    said = F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|")
+    return out.select("p_partkey", said.alias("said"), "ground_truth", "extra", "env_class", "data_source")
+
+
 def split_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits named train and test stay; any others are joined and cut anew, and only their sizes are fixed."""
     docs = t.load(spark, sf_dir, "documents").select("doc_id")
@@ -274,7 +284,7 @@ QUERIES = {
     for f in (
         reward_callable, reward_variable, reward_log, reward_group_hook, reward_stripped, reward_by_metric, reward_spreadsheet,
         rollout_steps, rollout_histories, rollout_cut, rollout_repeated_ids, tool_run, tool_catalogue, tool_text_parts,
-        variable_names, example_extras, example_metadata, std_spreadsheet, split_kept, dataset_round_trip, drop_null_columns,
+        variable_names, example_extras, example_metadata, std_spreadsheet, std_question_answer, split_kept, dataset_round_trip, drop_null_columns,
         adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text,
     )
 }
@@ -332,6 +342,8 @@ SELECT CAST(k AS VARCHAR) AS workbook, CAST(k NOT IN (SELECT k FROM bad) AS DOUB
     "std_spreadsheet": """SELECT p_partkey, CAST(1 AS BIGINT) AS n_messages, 'sheet' AS env_class, 'Instruction: ' || p_name || chr(10) || 'Spreadsheet Path: 1_' || p_partkey
   || '_input.xlsx' || chr(10) || 'Spreadsheet Content: ' || p_brand || chr(10) || 'Instruction Type: Cell-Level ' || chr(10) || 'Answer Position: A1:B2' || chr(10)
   || 'Output Path: 1_' || p_partkey || '_output.xlsx' AS content FROM part""",
+    "std_question_answer": """SELECT p_partkey, 'system: Think.|user: ' || p_name AS said, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS ground_truth,
+  p_brand AS extra, 'math' AS env_class, 'parts' AS data_source FROM part""",
     "split_kept": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, CAST(ceil(0.2 * n) AS BIGINT) AS n_cut_test
 FROM documents, (SELECT count(*) AS n FROM documents)""",
     "dataset_round_trip": """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status,

@@ -19,7 +19,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A dataset of examples in any format that Spark reads; an ``id`` column becomes a string."""
+    """A dataset of examples in any format that Spark reads; an ``id`` column becomes a string.
+
+    JSON is one document that may span lines, unless ``multiLine`` says otherwise.
+    """
+    options = {"multiLine": "true", **options} if fmt == "json" else options
     found = spark.read.format(fmt).options(**options).load(path)
     return found.withColumn("id", F.col("id").cast("string")) if "id" in found.columns else found
 

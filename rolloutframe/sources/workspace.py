@@ -18,8 +18,10 @@ def files(spark: SparkSession, path: str, rollout: Column | None = None) -> Data
 
 
 def text_content(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Text uploads as workspace rows, encoded as UTF-8."""
-    return rows.select("rollout_id", "filename", F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("content"))
+    """Uploads as workspace rows: texts encoded as UTF-8, bytes as they are."""
+    raw = rows.schema[text].dataType.typeName() == "binary"
+    content = F.col(text) if raw else F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    return rows.select("rollout_id", "filename", content.alias("content"))
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -2,8 +2,9 @@
 
 Each micro-batch writes the windows it changed; the newest version of a window
 is its count. A finished stream equals the batch aggregation of the rows that
-were not late: a row more than ``late`` behind the newest of the batches before
-its own is lost, where its window is closed. Rows of one batch are never late.
+were not late: a row whose window closed more than ``late`` before the newest
+row of earlier batches is lost (Spark may let the next batch pass). Rows of one
+batch are never late.
 """
 
 from __future__ import annotations

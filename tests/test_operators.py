@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import math
+import os
 import zipfile
 from datetime import datetime
 
@@ -252,3 +254,87 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = streams.run_to_end(streams.windowed_counts(stream, late="60 days"), ["window_start", "event_type"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streams.windowed_counts(rows).collect()))
+
+
+def failing(completion, **_):
+    raise RuntimeError(completion)
+
+
+async def slow_length(completion, ground_truth, note):
+    return len(completion) + len(note)
+
+
+def test_rewards_by_name(spark):
+    rows = spark.createDataFrame([("abc", "abc", "n"), (None, "x", "nn")], "completion string, ground_truth string, note string")
+    found = rewards.call_rewards(rows, {"fails": failing, "length": slow_length, "same": lambda completion, ground_truth, **_: completion == ground_truth}, extras=("note",))
+    got = [(r["rewards"]["length"], r["rewards"]["same"], math.isnan(r["rewards"]["fails"]), math.isnan(r["total_reward"])) for r in found.collect()]
+    assert got == [(4.0, 1.0, True, True), (2.0, 0.0, True, True)]
+    with pytest.raises(TypeError):
+        rewards.named_rewards("rolloutframe.operators.rewards", "NAN")
+
+
+def test_rewards_over_state_files_and_groups(spark):
+    asked = spark.createDataFrame([(1, "x", 2.0), (2, "x", 2.0), (3, "", 1.0), (4, "x", None)], "rollout_id int, name string, expected double")
+    held = spark.createDataFrame([(1, "x", 2.0), (2, "x", 3.0), (3, "", 1.0), (4, "x", None)], "rollout_id int, name string, value double")
+    assert {r["rollout_id"]: r["reward"] for r in rewards.variable_reward(asked, held).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    wanted = spark.createDataFrame([(1, "a", " hi\n"), (2, "a", "hi"), (3, "b", None), (4, "a", "hi")], "rollout_id int, filename string, expected string")
+    files = spark.createDataFrame([(1, "a", b"hi"), (2, "a", b"ho"), (3, "b", b" "), (5, "a", b"hi")], "rollout_id int, filename string, content binary")
+    assert {r["rollout_id"]: r["reward"] for r in rewards.log_reward(wanted, files).collect()} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0}
+    rows = spark.createDataFrame([("g", 1, "a", "t"), ("g", 2, "abc", "t"), ("h", 3, "b", "t")], "g string, rollout_id int, completion string, ground_truth string")
+    best = rewards.group_rewards(rows, "g", lambda rollout_ids, completions, ground_truths: [{"best": c == max(completions, key=len)} for c in completions])
+    assert {r["rollout_id"]: r["rewards"] for r in best.collect()} == {1: {"best": 0.0}, 2: {"best": 1.0}, 3: {"best": 1.0}}
+    assert {tuple(r["rewards"]) for r in rewards.group_rewards(rows, "g").collect()} == {()}
+
+
+def test_steps_of_raw_turns(spark):
+    call = "<tool_call>{}</tool_call>".format
+    turns = spark.createDataFrame(
+        [(1, 1, call('{"name": "f"}') + call('{"name": "g"}'), "a" * 12, 5.0), (1, 2, call("[1]"), None, 5.0), (1, 3, "the end", None, 5.0), (1, 4, call('{"name": "f"}'), "x", 5.0),
+         (2, 1, call('{"name": "f"}'), None, 1.0), (2, 2, "late", None, 1.0), (3, 1, call('{"name": "f"}'), "r", 1.0)],
+        "rollout_id int, turn int, action string, result string, reward double",
+    )
+    stepped = rollouts.steps(turns, max_chars=10)
+    got = {(r["rollout_id"], r["turn"]): (r["name"], r["observation"], r["reward"], r["done"]) for r in stepped.collect()}
+    assert got == {
+        (1, 1): ("f", "a" * 10 + "...", 0.0, False), (1, 2): (None, toolcalls.NOT_AN_OBJECT, 0.0, False), (1, 3): (None, None, 5.0, True),
+        (2, 1): ("f", None, 0.0, True), (3, 1): ("f", "r", 0.0, False),
+    }
+    talk = {r["rollout_id"]: ([m["role"] for m in r["messages"]], r["total_reward"]) for r in rollouts.histories(stepped).collect()}
+    assert talk[1] == (["assistant", "user", "assistant", "user", "assistant"], 5.0) and talk[2] == (["assistant"], 0.0)
+
+
+def test_workspace_files(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "a.txt", "hé"), ("s", "a.txt", None)], "rollout_id string, filename string, text string")
+    found = workspace.download(workspace.text_content(rows), str(tmp_path / "w")).collect()
+    assert len(found) == 2 and (tmp_path / "w" / "r" / "a.txt").read_bytes() == "hé".encode()
+    outside = spark.createDataFrame([("r", "../../x", b"1")], "rollout_id string, filename string, content binary")
+    assert workspace.text_content(outside, "content").first()["content"] == b"1"
+    with pytest.raises(Exception, match="no file name"):
+        workspace.download(outside, str(tmp_path / "w")).collect()
+
+
+def test_datasets_of_documents(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([{"id": 7, "x": "a"}, {"id": 8, "x": "b"}], indent=2))
+    assert sorted(tuple(r) for r in tables.load_dataset(spark, str(tmp_path / "d.json"), "json").select("id", "x").collect()) == [("7", "a"), ("8", "b")]
+    rows = {n: spark.range(i, i + 5).withColumnRenamed("id", "k") for n, i in (("train", 0), ("test", 5))}
+    assert {r["k"] for r in datasets.train_and_test(rows, "k").where("split = 'test'").collect()} == {5, 6, 7, 8, 9}
+    again = datasets.train_and_test({"a": rows["train"], "b": rows["test"]}, "k").collect()
+    assert sorted(r["k"] for r in again) == list(range(10)) and sum(r["split"] == "test" for r in again) == 2
+
+
+def test_late_rows_are_lost(spark, tmp_path):
+    """A row behind the watermark of earlier batches does not count; one within it does."""
+    schema = "ts timestamp_ntz, event_type string, value double"
+    for n, day in enumerate((1, 20, 21, 2)):
+        spark.createDataFrame([(datetime(2024, 1, day), "a", 1.0)], schema).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    paths = [str(next((tmp_path / f"in{n}").glob("*.parquet"))) for n in range(4)]
+    (tmp_path / "all").mkdir()
+    for n, path in enumerate(paths):
+        target = tmp_path / "all" / f"{n}.parquet"
+        target.write_bytes(open(path, "rb").read())
+        os.utime(target, (1_700_000_000 + n, 1_700_000_000 + n))
+    def counted(late):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+        return streams.run_to_end(streams.windowed_counts(stream, late=late), ["window_start", "event_type"]).count()
+
+    assert counted("60 days") == 4 and counted("1 day") == 3
