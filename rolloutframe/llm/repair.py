@@ -49,74 +49,84 @@ from .tokens import encoder
 END_ID, SHARD_TOKENS, MIN_COUNT = 1, 1_000_000, 24
 #: Symbols take two bytes where so many rules fit beside the tokens, else four.
 LEAST_RULES = 16_000
-_HASH_BITS = 18
+_HASH_BITS, SORT_PLACES = 18, 100_000
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, pair number) of frequent pairs; at most ``most`` pairs, the most frequent.
+def _frequent(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair number of each place, or -1; which places may hold a frequent pair that is not counted yet).
 
-    Pairs are counted by hash slot, so little is sorted; of pairs that share a
-    slot one is exact in this round and the others wait for a later one. Where
-    that leaves none, the pairs of frequent slots are counted one by one.
+    At most ``most`` pairs are numbered, the most frequent. Many places are
+    counted by hash slot, so nothing is sorted; of pairs that share a slot one is
+    exact and the others wait for a later round. Few are counted one by one.
     """
-    slots = 1 << _HASH_BITS
-    if left.dtype == np.uint16:
-        key = left.astype(np.uint32) << np.uint32(16) | right
-        slot = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
-    else:
-        key = left.astype(np.uint64) << np.uint64(32) | right
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-    slot[~usable] = slots
-    many = np.bincount(slot, minlength=slots + 1) >= MIN_COUNT
-    many[slots] = False
-    at = np.flatnonzero(many[slot])
-    slot, key = slot[at], key[at]
-    owner = np.zeros(slots, key.dtype)
-    owner[slot] = key
-    own = owner[slot] == key
-    count = np.bincount(slot[own], minlength=slots)
-    if len(at) and count.max() < MIN_COUNT:
-        slot = np.unique(key, return_inverse=True)[1]
-        slots = int(slot.max()) + 1
-        count = np.bincount(slot)
-    else:
+    number, waiting = np.full(len(key), -1, np.int64), np.zeros(len(key), bool)
+    if len(key) > SORT_PLACES:
+        bits = key.dtype.itemsize * 8
+        factor = key.dtype.type(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15)
+        slot = ((key * factor) >> key.dtype.type(bits - _HASH_BITS)).astype(np.int64)
+        at = np.flatnonzero((np.bincount(slot) >= MIN_COUNT)[slot])
+        slot = slot[at]
+        owner = np.zeros(1 << _HASH_BITS, key.dtype)
+        owner[slot] = key[at]
+        own = owner[slot] == key[at]
+        waiting[at[~own]] = True
         at, slot = at[own], slot[own]
+    else:
+        at, slot = np.arange(len(key)), np.unique(key, return_inverse=True)[1]
+    count = np.bincount(slot)
     chosen = np.flatnonzero(count >= MIN_COUNT)
     if len(chosen) > most:
         chosen = chosen[np.argsort(-count[chosen], kind="stable")[:most]]
-    number = np.full(slots, -1, np.int32)
-    number[chosen] = np.arange(len(chosen), dtype=np.int32)
-    number = number[slot]
-    return at[number >= 0], number[number >= 0]
+    order = np.full(len(count), -1, np.int64)
+    order[chosen] = np.arange(len(chosen))
+    number[at] = order[slot]
+    return number, waiting
 
 
 def compress(tokens: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols before each document end, rules, lengths). ``ends``: last token of each document."""
+    """(symbols, symbols before each document end, rules, lengths). ``ends``: last token of each document.
+
+    After the first round only these places can start a frequent pair: those at
+    a new symbol or just before one, those of a frequent pair that overlapped
+    another, and those that waited. The others were counted, and counts only fall.
+    """
     width = 16 if base + LEAST_RULES <= 1 << 16 else 32
     most = (1 << width) - base
     symbols = tokens.astype(np.uint16 if width == 16 else np.uint32)
+    wide = np.uint32 if width == 16 else np.uint64
     last = np.zeros(len(symbols), bool)
     last[ends] = True
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    while len(symbols) > 1 and len(rules) < most:
-        at, number = _frequent(symbols[:-1], symbols[1:], ~last[:-1], most - len(rules))
+    places = np.flatnonzero(~last[:-1])
+    while len(places) and len(rules) < most:
+        key = symbols[places].astype(wide) << wide(width) | symbols[places + 1]
+        number, waiting = _frequent(key, most - len(rules))
+        at, number = places[number >= 0], number[number >= 0]
         if not len(at):
-            break
+            if len(places) <= SORT_PLACES or waiting.all():
+                break
+            places = places[waiting]
+            continue
         run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # overlapping places: take every other one
         taken = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
-        at, number = at[taken], number[taken]
+        left, at, number = at[~taken], at[taken], number[taken]
         used, number = np.unique(number, return_inverse=True)
         where = np.empty(len(used), np.int64)
         where[number] = at
         new = np.stack([symbols[where], symbols[where + 1]], 1)
         known = np.append(np.ones(base, np.uint32), lengths)
-        symbols = symbols.copy()
         symbols[at] = base + len(rules) + number
         rules, lengths = np.concatenate([rules, new]), np.append(lengths, known[new[:, 0]] + known[new[:, 1]])
         last[at] |= last[at + 1]
+        open_ = np.zeros(len(symbols) + 1, bool)
+        open_[at] = open_[left] = open_[places[waiting]] = True
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols, last, open_ = symbols[stay], last[stay], open_[:-1][stay]
+        open_[:-1] |= symbols[1:] >= base + len(rules) - len(new)
+        open_ &= ~last
+        open_[-1:] = False
+        places = np.flatnonzero(open_)
     return symbols, np.flatnonzero(last) + 1, rules, lengths
 
 
