@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import crm, datasets, rewards, rollouts, search, sheets, toolcalls
+from ..operators.environments import Environment, Tool
 from ..session import shared_folder
 from ..sources import tables as t
 from ..sources import workspace, xlsx
@@ -142,6 +143,33 @@ def tool_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.run_tools(called, tools, {"signup": F.upper}).select("turn", "output")
 
 
+def _shop() -> Environment:
+    """Tools over the arguments' ``id``; answers are scored as texts and as numbers."""
+    number = lambda a: F.get_json_object(a, "$.id").cast("long")
+    return Environment(
+        tools={
+            "click": Tool(lambda a: text.greeting(F.get_json_object(a, "$.id")), "Greets."),
+            "view": Tool(lambda a: F.when(number(a) % 2 == 0, number(a) * 2), parse=lambda x: F.concat(F.lit("= "), x)),
+        },
+        scores={"text": rewards.text_match, "number": rewards.numeric_match}, system="Shop.",
+    )
+
+
+def environment_play(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw turns played through an environment: tools run, unknown ones answered, final answers scored."""
+    key = F.col("event_id")
+    call = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "arguments": {"id": '), key.cast("string"), F.lit("}}</tool_call>"))
+    turns = t.load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("rollout_id"), key.alias("turn"), (key % 4).cast("string").alias("truth"),
+        F.when(key % 6 == 5, F.concat(F.lit("<answer>"), (key % 3).cast("string"), F.lit("</answer>"))).otherwise(call).alias("action"),
+    )
+    return _shop().play(turns).select("rollout_id", "turn", "name", "observation", "reward", "done")
+
+
+def environment_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shop().catalogue(spark).withColumn("has_prompt", F.lit(_shop().prompt()).startswith("Shop.\n\n# Tools"))
+
+
 def tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whitelisted tools by name, and the prompt that lists them."""
     kinds = t.load(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
@@ -283,7 +311,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reward_callable, reward_variable, reward_log, reward_group_hook, reward_stripped, reward_by_metric, reward_spreadsheet,
-        rollout_steps, rollout_histories, rollout_cut, rollout_repeated_ids, tool_run, tool_catalogue, tool_text_parts,
+        rollout_steps, rollout_histories, rollout_cut, rollout_repeated_ids, environment_play, environment_tools, tool_run, tool_catalogue, tool_text_parts,
         variable_names, example_extras, example_metadata, std_spreadsheet, std_question_answer, split_kept, dataset_round_trip, drop_null_columns,
         adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text,
     )
@@ -326,6 +354,14 @@ SELECT CAST(k AS VARCHAR) AS workbook, CAST(k NOT IN (SELECT k FROM bad) AS DOUB
   sum(CASE WHEN has_call THEN 0.0 ELSE CAST(r AS DOUBLE) END) AS total_reward FROM steps GROUP BY 1""",
     "rollout_cut": f"""WITH {_LOG} SELECT rollout_id, least(n_turns, 3) AS n_turns, CASE WHEN n_turns > 3 THEN 'cut' ELSE status END AS status FROM out""",
     "rollout_repeated_ids": "SELECT o_custkey AS rollout_id FROM orders GROUP BY 1 HAVING count(*) > 1",
+    "environment_play": """WITH turns AS (SELECT user_id AS rollout_id, event_id AS turn, event_id % 6 <> 5 AS has_call, event_type,
+  CAST(event_id % 3 = event_id % 4 AS DOUBLE) * 2 AS score,
+  CASE WHEN event_type = 'click' THEN 'Hello, ' || event_id || '!' WHEN event_type = 'view' AND event_id % 2 = 0 THEN '= ' || (event_id * 2)
+    WHEN event_type = 'view' THEN 'Error: view failed.' ELSE 'Error: Unknown tool: ' || event_type END AS seen FROM events),
+stops AS (SELECT rollout_id, min(turn) AS e FROM turns WHERE NOT has_call GROUP BY 1)
+SELECT rollout_id, turn, CASE WHEN has_call THEN event_type END AS name, CASE WHEN has_call THEN seen END AS observation,
+  CASE WHEN has_call THEN 0.0 ELSE score END AS reward, NOT has_call AS done FROM turns LEFT JOIN stops USING (rollout_id) WHERE e IS NULL OR turn <= e""",
+    "environment_tools": "SELECT * FROM (VALUES ('click', 'Greets.', true), ('view', '', true)) v(name, description, has_prompt)",
     "tool_run": """SELECT event_id AS turn, CASE WHEN event_id % 7 = 3 THEN 'Error: Missing ' || chr(39) || 'name' || chr(39) || ' field in tool command.'
   WHEN event_type = 'click' THEN 'Hello, ' || event_id || '!' WHEN event_type = 'view' AND event_id % 2 = 0 THEN CAST(event_id * 2 AS VARCHAR)
   WHEN event_type = 'view' THEN 'Error: view failed.' WHEN event_type = 'signup' THEN 'ID ' || event_id

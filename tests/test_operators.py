@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolloutframe.operators import crm, datasets, rewards, rollouts, search, sheets, toolcalls
+from rolloutframe.operators.environments import Environment, Tool
 from rolloutframe.sources import tables, workspace, xlsx
 from rolloutframe.streaming import rollouts as streams
 
@@ -338,3 +339,19 @@ def test_late_rows_are_lost(spark, tmp_path):
         return streams.run_to_end(streams.windowed_counts(stream, late=late), ["window_start", "event_type"]).count()
 
     assert counted("60 days") == 4 and counted("1 day") == 3
+
+
+def test_environment(spark):
+    call = '<tool_call>{"name": "%s", "arguments": {"n": 2}}</tool_call>'
+    env = Environment({"twice": Tool(lambda a: F.get_json_object(a, "$.n").cast("int") * 2), "never": Tool(lambda a: F.lit(None).cast("string"))},
+                      {"same": rewards.text_match}, "Hi", required=("path",))
+    turns = spark.createDataFrame(
+        [(1, 1, call % "twice", "x", "p"), (1, 2, call % "never", "x", "p"), (1, 3, "<answer>X</answer>", "x", "p"), (1, 4, "late", "x", "p"), (2, 1, "<answer>x</answer>", "x", None), (3, 1, call % "twice", "x", None), (3, 2, "late", "x", None)],
+        "rollout_id int, turn int, action string, truth string, path string",
+    )
+    got = {(r["rollout_id"], r["turn"]): (r["observation"], r["reward"], r["done"]) for r in env.play(turns).collect()}
+    assert got[1, 1] == ("4", 0.0, False) and got[1, 2] == ("Error: never failed.", 0.0, False) and got[1, 3] == (None, 1.0, True)
+    assert got[2, 1] == (None, 0.0, True) and got[3, 1] == (None, 0.0, True) and len(got) == 5
+    assert [r["name"] for r in env.catalogue(spark).collect()] == ["never", "twice"] and env.prompt().startswith("Hi\n\n# Tools")
+    with pytest.raises(NotImplementedError):
+        env.workspace(turns)
