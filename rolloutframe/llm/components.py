@@ -32,7 +32,8 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node reachable.
 
-    Each round is written to the shared folder; no task holds a component.
+    Each round is written to the shared folder; no task holds a component, and
+    Spark's skew join spreads the edges of a hub.
     """
     edges = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

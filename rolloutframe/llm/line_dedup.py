@@ -172,6 +172,7 @@ def dedup_lines(
         .groupBy(F.col("id").alias("_drop_id"), F.col("t").alias("_drop_text"))
         .agg(F.flatten(F.collect_list("positions")).alias("_drop_positions"))
     )
+    # the text's hash in the key also spreads the rows without an id
     own = (docs[id_col] == drops["_drop_id"]) & (F.xxhash64(docs[text_col]) == drops["_drop_text"])
     joined = docs.join(drops.hint("shuffle_hash"), own, "left")
     lines = _lines(F.col(text_col))
