@@ -299,9 +299,10 @@ def dedup_substrings(
     removed = removed_windows(dealt, window, slice_bytes)
     joined = dealt.join(removed.hint("shuffle_hash"), F.col("id") == F.col("id_"), "left").select("id", "text", "starts")
     whole = docs.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast(joined.schema["starts"].dataType).alias("starts"))
-    return on_workers(joined.unionByName(whole)).mapInArrow(
-        _kept(window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary"
-    )
+    # a union below the maps would name the columns of one reader's exchange apart, and it would not be shared
+    kinds = f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary"
+    kept, untouched = (on_workers(rows).mapInArrow(_kept(window), kinds) for rows in (joined, whole))
+    return kept.unionByName(untouched)
 
 
 def digest(docs: DataFrame) -> DataFrame:
