@@ -20,6 +20,8 @@ hashing on 32-bit halves: of two fingerprints within 3 bits, one half differs
 in at most one bit, so the halves share a variant if those of odd parity emit
 their radius-1 balls and the even ones themselves. One that shares none of its
 half variants with another fingerprint has no partner and emits nothing more.
+Where just two share a variant, that pair is verified at once and is a link or
+none; only those in larger groups go on to the balls and spheres of the whole.
 This pays while fingerprints are few against the 2^32 halves; beyond some 2^27
 most meet another half by chance, and all odd ones emit their radius-2 spheres.
 
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import on_workers, shuffle_parts, stage
 from .components import components
 
-SHINGLE, SEED, TASK_VARIANTS = 3, 42, 1_000_000
+SHINGLE, SEED, RADIUS, TASK_VARIANTS = 3, 42, 3, 1_000_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -104,45 +106,48 @@ def _odd(value: Column) -> Column:
     return F.bit_count(value) % 2 == 1
 
 
-def with_partner(nodes: DataFrame) -> DataFrame:
-    """The distinct fingerprints that share a half variant with another one."""
-    ball = _flips([(i,) for i in range(32)])
-    half = F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")),
-        F.struct(F.lit(1).alias("side"), F.shiftrightunsigned(F.col("fp"), 32).alias("half")),
-    ))
-    halves = nodes.select("fp", "node", half.alias("h")).select("fp", "node", "h.side", "h.half")
-    own = F.array("half")
-    keys = F.explode(F.when(_odd(F.col("half")), F.concat(own, _variants(F.col("half"), ball))).otherwise(own))
-    emitted = halves.select("fp", "node", "side", keys.alias("key"))
-    shared = emitted.groupBy("side", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    shared = stage(shared.select("side", "key"), "shared-halves")
-    return emitted.join(shared, ["side", "key"], "left_semi").select("fp", "node").distinct()
+def _dealt(nodes: DataFrame, variants: int) -> DataFrame:
+    """``nodes`` in tasks of about ``TASK_VARIANTS`` variants: Spark would read the small table as a few splits."""
+    tasks = -(-nodes.count() * variants // TASK_VARIANTS)
+    return nodes.repartition(max(shuffle_parts(nodes.sparkSession), tasks), "fp")
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """``nodes`` in tasks of about ``TASK_VARIANTS`` variants: Spark would read the small table as one split."""
-    variants = nodes.count() * (64 * 63 // 2)
-    return nodes.repartition(max(shuffle_parts(nodes.sparkSession), -(-variants // TASK_VARIANTS)), "fp")
+def half_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of fingerprints alone with each other at a half variant, and the fingerprints (fp) of larger groups.
+
+    All links of ``nodes`` are among the first or between the second.
+    """
+    ball = _flips([(i,) for i in range(32)])
+    halves = _dealt(nodes, 34).select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).select(
+        "fp", "side", F.when(F.col("side") == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned(F.col("fp"), 32)).alias("half")
+    )
+    own = F.array("half")
+    variant = F.explode(F.when(_odd(F.col("half")), F.concat(own, _variants(F.col("half"), ball))).otherwise(own))
+    emitted = halves.select("fp", "side", variant.alias("v")).select("fp", F.shiftleft("v", 1).bitwiseOR(F.col("side")).alias("key"))
+    groups = emitted.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n"))
+    shared = stage(groups.where("n > 1"), "shared-halves")
+    near = F.bit_count(F.col("least").bitwiseXOR(F.col("most"))) <= RADIUS
+    pairs = shared.where((F.col("n") == 2) & near).select(F.col("most").alias("a"), F.col("least").alias("b")).distinct()
+    return pairs, emitted.join(shared.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes whose fingerprints lie within 3 bits: enough to connect them all.
+    """Edges (a, b) between fingerprints within 3 bits: enough to connect them all.
 
     Spark takes the variants of a node to be as small as the node, so the joins
     ask for a merge join: a broadcast of all variants has no bound.
     """
-    nodes = _dealt(nodes)
+    nodes = _dealt(nodes, 64 * 63 // 2)
     one = _flips([(), *combinations(range(64), 1)])
     two = _flips(list(combinations(range(64), 2)))
     near = nodes.select(
-        "node", _odd(F.col("fp")).alias("odd"), F.explode(_variants(F.col("fp"), one)).alias("v")
+        F.col("fp").alias("node"), _odd(F.col("fp")).alias("odd"), F.explode(_variants(F.col("fp"), one)).alias("v")
     )
     hubs = near.groupBy("v").agg(
         F.min("node").alias("hub"), F.max(~F.col("odd")).alias("even"), F.count(F.lit(1)).alias("n")
     )
     met = near.hint("merge").join(hubs.where(F.col("n") > 1), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    far = nodes.where(_odd(F.col("fp"))).select("node", F.explode(_variants(F.col("fp"), two)).alias("v"))
+    far = nodes.where(_odd(F.col("fp"))).select(F.col("fp").alias("node"), F.explode(_variants(F.col("fp"), two)).alias("v"))
     reached = far.hint("merge").join(hubs.where("even"), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return met.unionByName(reached).where(F.col("a") != F.col("b"))
 
@@ -163,10 +168,9 @@ def near_duplicates(
     nodes = stage(
         prints.groupBy("fp").agg(F.min("id").alias("node")).where(F.col("node").isNotNull()), "nodes"
     )
-    # two fingerprints of one repeated id share a node: the fingerprint itself keeps them apart
-    keyed = nodes.select("fp", F.col("fp").alias("node"))
-    partners = stage(with_partner(keyed), "partners")
-    roots = components(links(partners))
+    # two fingerprints of one repeated id share an id: the fingerprint itself keeps them apart
+    pairs, crowded = half_groups(nodes.select("fp"))
+    roots = components(links(stage(crowded, "partners")).unionByName(pairs))
     least = (
         nodes.join(roots, nodes["fp"] == roots["node"])
         .groupBy("root").agg(F.min(nodes["node"]).alias("least"))
