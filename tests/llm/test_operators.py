@@ -247,6 +247,15 @@ def test_substring_levels(docs, window):
     assert sorted(map(tuple, found.collect())) == substrings_brute(TEXTS, window)
 
 
+def test_texts_are_dealt_once(spark, docs, tmp_path):
+    """All three readers of the texts share one exchange, also where ids are null."""
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    found = substring_dedup.digest(spark.read.parquet(str(tmp_path / "d")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2
+
+
 def test_no_candidate_survives(spark):
     values = [" ".join(f"{c}{i}" for i in range(90)) for c in "abc"]
     found = substring_dedup.dedup_substrings(table(spark, values), window=50).collect()
@@ -383,13 +392,16 @@ def test_simhash(docs):
 def test_simhash_finds_every_distance(spark):
     r = random.Random(2)
     prints = [r.getrandbits(64) for _ in range(40)]
+    lone = [r.getrandbits(64) for _ in range(30)]  # pairs that no third one is near
+    prints += lone + [p ^ sum(1 << f for f in r.sample(range(64), n % 5)) for n, p in enumerate(lone)]
     for n in range(160):
         flips = r.sample(range(64), n % 5)
-        prints.append(prints[r.randrange(len(prints))] ^ sum(1 << f for f in flips))
+        prints.append(prints[r.randrange(40)] ^ sum(1 << f for f in flips))
     prints = list(dict.fromkeys(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
-    found = {r["node"]: r["root"] for r in components.components(simhash.links(simhash.with_partner(nodes))).collect()}
+    pairs, crowded = simhash.half_groups(nodes)
+    found = {r["node"]: r["root"] for r in components.components(simhash.links(crowded).unionByName(pairs)).collect()}
     brute = roots_brute(prints)
     assert len({brute[i] for i in range(len(prints))}) == len({found.get(p, p) for p in signed})
     assert all((brute[i] == brute[0]) == (found.get(p, p) == found.get(signed[0], signed[0])) for i, p in enumerate(signed))
@@ -557,11 +569,8 @@ def shrunk_brute(sites, base):
     return {s: (sum(own) + weight * host_rate[s[0]]) / (len(own) + weight) for s, own in expected.items()}
 
 
-def test_posteriors_equal_brute_force(spark):
-    """Shrunk rates, posteriors and verdicts of all rows, from the same evidence."""
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    docs = docs.withColumns({"source": F.when(F.col("doc_id") % 11 > 0, F.col("source")), "lang": F.when(F.col("doc_id") % 7 > 0, F.col("lang"))})
+def verdicts_brute(docs, labels):
+    """id -> (chance of bad, chance of toxic, kept), from the model's evidence alone."""
     model = quality.train(docs, labels, "doc_id", "text")
     rows = quality.with_evidence(docs.select("doc_id", "source", "lang", "text"), model, "text").drop("text").collect()
     rates = {}
@@ -570,15 +579,25 @@ def test_posteriors_equal_brute_force(spark):
         for r in rows:
             sites.setdefault((r["source"], r["lang"]), []).append(r[f"_{name}"])
         rates[name] = shrunk_brute(sites, model.base[h])
-    found = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
-    assert len(found) == len(rows)
+    out = {}
     for r in rows:
-        chance = {}
-        for name in quality.HEADS:
-            p = rates[name][r["source"], r["lang"]]
-            chance[name] = 1 / (1 + np.exp(-(r[f"_{name}"] + np.log(p / (1 - p)))))
-            assert found[r["doc_id"]][f"_p_{name}"] == pytest.approx(chance[name], abs=1e-9)
-        assert found[r["doc_id"]]["_keep"] == (chance["bad"] < 0.5 and chance["toxic"] < 0.5)
+        sites = [rates[name][r["source"], r["lang"]] for name in quality.HEADS]
+        chance = [1 / (1 + np.exp(-(r[f"_{name}"] + np.log(p / (1 - p))))) for name, p in zip(quality.HEADS, sites, strict=True)]
+        out[r["doc_id"]] = (*chance, max(chance) < 0.5)
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    """Shrunk rates, posteriors and verdicts of all rows, from the same evidence."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.withColumns({"source": F.when(F.col("doc_id") % 11 > 0, F.col("source")), "lang": F.when(F.col("doc_id") % 7 > 0, F.col("lang"))})
+    found = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    wanted = verdicts_brute(docs, labels)
+    assert found.keys() == wanted.keys() and 0 < sum(keep for *_, keep in wanted.values()) < len(wanted)
+    for i, (bad, toxic, keep) in wanted.items():
+        assert (found[i]["_p_bad"], found[i]["_p_toxic"]) == (pytest.approx(bad, abs=1e-9), pytest.approx(toxic, abs=1e-9))
+        assert found[i]["_keep"] == keep
     digest = {r["doc_id"]: r for r in quality.digest(docs, labels).collect()}
     assert {i: (round(r["_p_bad"], 6), r["_keep"]) for i, r in found.items()} == {i: (r["p_bad"], r["keep"]) for i, r in digest.items()}
 
@@ -618,6 +637,11 @@ def test_chats(spark):
     rows += [(102, None, "user", "x"), (102, None, "user", "x"), (102, 5, "a", "y"), (102, 5, "b", "x"), (None, 1, "user", "lost"), (101, 0, "user", "t0")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit(1), "place": F.lit(2)})
     assert sorted(map(tuple, chat.format_chats(turns).collect())) == chats_brute(rows)
+    runs = {}
+    for r in chat.render_runs(turns).orderBy("conv_id", "run").collect():
+        runs.setdefault(r["conv_id"], []).append(r["rendered"])
+    assert sorted((c, "".join(parts)) for c, parts in runs.items()) == [(c, shown) for c, _, _, shown in chats_brute(rows)]
+    assert len(runs[100]) == 3
     assert chat.format_chats(turns.where("false")).count() == 0
 
 
