@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import on_workers, stage
+from .common import on_workers, shuffle_parts, stage
 
 SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE, ITERATIONS = 32_768, 8, 48, 8
 CALIBRATION, TARGET, BLOCK_ROWS, HALL_ROWS = 200, 0.95, 4096, 1024
@@ -369,7 +369,8 @@ def nearest(
     filed = items.select(*hashes, F.col("leaf").alias("own"))  # shuffled by hash, without the vectors
     wanted = asked.groupBy("v").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("n"))
     wanted = stage(wanted.select("v", "q", "n", *hashes).join(filed, ["h1", "h2"]).select("v", "q", "n", "own"), "queries")
-    some = wanted.where(_share("v", CALIBRATION / max(1, wanted.count()), 2)).select("v", "n", "own").toPandas()
+    asked_for = wanted.count()
+    some = wanted.where(_share("v", CALIBRATION / max(1, asked_for), 2)).select("v", "n", "own").toPandas()
     probes = [bytes(v) for v in some["v"]]
     truth = _truth(items, probes, k, kind) if probes else []
     given = (tree, truth, _matrix(probes, kind) if probes else np.empty((0, 1)), some["n"].to_numpy(), some["own"].to_numpy(), target)
@@ -388,7 +389,9 @@ def nearest(
                 out += [(g, q, v, leaves[groups[leaves] == g]) for g in np.unique(groups[leaves])]
             yield pd.DataFrame(out, columns=["grp", "q", "v", "leaves"])
 
-    steps = stage(wanted.mapInPandas(walk, "grp long, q long, v binary, leaves array<long>"), "walks")
+    # dealt anew: Spark would read the small table as one split, and one task would walk for all
+    dealt_out = wanted.repartition(max(shuffle_parts(spark), -(-asked_for // HALL_ROWS)), "q")
+    steps = stage(dealt_out.mapInPandas(walk, "grp long, q long, v binary, leaves array<long>"), "walks")
     group_of = table.sparkSession.createDataFrame(list(enumerate(groups.tolist())), "leaf long, grp long")
     grouped = items.join(F.broadcast(group_of), "leaf")
 
