@@ -20,8 +20,6 @@ hashing on 32-bit halves: of two fingerprints within 3 bits, one half differs
 in at most one bit, so the halves share a variant if those of odd parity emit
 their radius-1 balls and the even ones themselves. One that shares none of its
 half variants with another fingerprint has no partner and emits nothing more.
-Where just two share a variant, that pair is verified at once and is a link or
-none; only those in larger groups go on to the balls and spheres of the whole.
 This pays while fingerprints are few against the 2^32 halves; beyond some 2^27
 most meet another half by chance, and all odd ones emit their radius-2 spheres.
 
@@ -49,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import on_workers, shuffle_parts, stage
 from .components import components
 
-SHINGLE, SEED, RADIUS, TASK_VARIANTS = 3, 42, 3, 1_000_000
+SHINGLE, SEED, TASK_VARIANTS = 3, 42, 1_000_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -106,19 +104,15 @@ def _odd(value: Column) -> Column:
     return F.bit_count(value) % 2 == 1
 
 
-def _dealt(nodes: DataFrame, variants: int) -> DataFrame:
-    """``nodes`` in tasks of about ``TASK_VARIANTS`` variants: Spark would read the small table as a few splits."""
-    tasks = -(-nodes.count() * variants // TASK_VARIANTS)
-    return nodes.repartition(max(shuffle_parts(nodes.sparkSession), tasks), "fp")
+def with_partner(nodes: DataFrame) -> DataFrame:
+    """The distinct fingerprints that share a half variant with another one.
 
-
-def half_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of fingerprints alone with each other at a half variant, and the fingerprints (fp) of larger groups.
-
-    All links of ``nodes`` are among the first or between the second.
+    Where just two share one, the least and the largest of its group are both;
+    only the variants of larger groups, which are few, are joined back.
     """
     ball = _flips([(i,) for i in range(32)])
-    halves = _dealt(nodes, 34).select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).select(
+    side = F.explode(F.array(F.lit(0), F.lit(1)))
+    halves = nodes.select("fp", side.alias("side")).select(
         "fp", "side", F.when(F.col("side") == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned(F.col("fp"), 32)).alias("half")
     )
     own = F.array("half")
@@ -126,9 +120,15 @@ def half_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     emitted = halves.select("fp", "side", variant.alias("v")).select("fp", F.shiftleft("v", 1).bitwiseOR(F.col("side")).alias("key"))
     groups = emitted.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n"))
     shared = stage(groups.where("n > 1"), "shared-halves")
-    near = F.bit_count(F.col("least").bitwiseXOR(F.col("most"))) <= RADIUS
-    pairs = shared.where((F.col("n") == 2) & near).select(F.col("most").alias("a"), F.col("least").alias("b")).distinct()
-    return pairs, emitted.join(shared.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    two = shared.where("n = 2").select(F.explode(F.array("least", "most")).alias("fp"))
+    crowded = emitted.join(shared.where("n > 2").select("key"), "key", "left_semi").select("fp")
+    return two.unionByName(crowded).distinct()
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """``nodes`` in tasks of about ``TASK_VARIANTS`` variants: Spark would read the small table as one split."""
+    variants = nodes.count() * (64 * 63 // 2)
+    return nodes.repartition(max(shuffle_parts(nodes.sparkSession), -(-variants // TASK_VARIANTS)), "fp")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def links(nodes: DataFrame) -> DataFrame:
     Spark takes the variants of a node to be as small as the node, so the joins
     ask for a merge join: a broadcast of all variants has no bound.
     """
-    nodes = _dealt(nodes, 64 * 63 // 2)
+    nodes = _dealt(nodes)
     one = _flips([(), *combinations(range(64), 1)])
     two = _flips(list(combinations(range(64), 2)))
     near = nodes.select(
@@ -169,8 +169,8 @@ def near_duplicates(
         prints.groupBy("fp").agg(F.min("id").alias("node")).where(F.col("node").isNotNull()), "nodes"
     )
     # two fingerprints of one repeated id share an id: the fingerprint itself keeps them apart
-    pairs, crowded = half_groups(nodes.select("fp"))
-    roots = components(links(stage(crowded, "partners")).unionByName(pairs))
+    partners = stage(with_partner(nodes.select("fp")), "partners")
+    roots = components(links(partners))
     least = (
         nodes.join(roots, nodes["fp"] == roots["node"])
         .groupBy("root").agg(F.min(nodes["node"]).alias("least"))
