@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 #: The columns that stages read; all others go through under names that clash with nothing.
 READ = ("doc_id", "text", "source", "lang", "n_chars")
+HOT = 1000
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -53,10 +54,16 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # ids may repeat: rows are told apart by a number of their own, which staging keeps
     numbered = stage(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = simhash.near_duplicates(numbered, row_col="_row").where(F.col("id").isNotNull()).select("id", "row", "root")
-    first = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
-    gone = stage(
-        found.join(first.where(F.col("n") > 1), "root").where(F.col("row") != F.col("first.row")).select("row"), "copies"
-    )
+    found = stage(found, "components")
+    groups = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = stage(groups.where("n > 1"), "groups")
+    # a group with more than one in HOT of all rows is one of at most HOT, which a broadcast holds; the others fit a task
+    is_hot = F.col("n") * HOT > numbered.count()
+    hot = F.broadcast(groups.where(is_hot))
+    others = found.join(hot.select("root"), "root", "left_anti").join(groups.where(~is_hot), "root")
+    later = F.col("row") != F.col("first.row")
+    gone = found.join(hot, "root").where(later).select("row").unionByName(others.where(later).select("row"))
+    gone = stage(gone, "copies")
     return numbered.join(gone, numbered["_row"] == gone["row"], "left_anti").select(plain.columns).toDF(*docs.columns)
 
 
