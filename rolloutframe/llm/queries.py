@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, knn_tree, line_dedup, packing, quality, repair, sharding, simhash, substring_dedup
+from . import (
+    chat,
+    decontaminate,
+    fill_middle,
+    knn_tree,
+    line_dedup,
+    packing,
+    quality,
+    repair,
+    sharding,
+    simhash,
+    substring_dedup,
+)
 from .common import table, vocabulary
 
 
@@ -50,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_tree": op1_knn_tree,
@@ -62,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -71,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op9_chat_formatting": chat.ORACLE_SQL,
+        "op11_fill_in_middle": fill_middle.ORACLE_SQL,
     }
