@@ -14,6 +14,7 @@ from . import (
     line_dedup,
     packing,
     quality,
+    ranked_search,
     repair,
     sharding,
     simhash,
@@ -66,6 +67,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_tree": op1_knn_tree,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
@@ -89,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op9_chat_formatting": chat.ORACLE_SQL,
         "op11_fill_in_middle": fill_middle.ORACLE_SQL,
+        "op12_ranked_search": ranked_search.ORACLE_SQL,
     }

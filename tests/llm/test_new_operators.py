@@ -1,15 +1,19 @@
-"""Fill-in-the-middle against brute force."""
+"""Fill-in-the-middle, ranked search and archives against brute force."""
 
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
-from rolloutframe.llm import fill_middle, queries
-from tests.llm.test_operators import TEXTS, docs, empty, sha, table  # noqa: F401
+from rolloutframe.llm import fill_middle, queries, ranked_search
+from tests.llm.test_operators import LOWER, TEXTS, docs, empty, sha, table  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +73,122 @@ def test_fill_in_middle_digest(spark, empty):
 def test_fill_in_middle_equals_its_sql(spark):
     found, expected = against_oracle(spark, "op11_fill_in_middle")
     assert found == expected
+
+
+# ranked search
+
+ITEM = "item_id long, text string, doc_id string, id int, item string, score int, rank int"
+
+
+def terms_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def ranked_brute(docs, items, k=10):
+    held = [(i, Counter(terms_of(t)), len(terms_of(t))) for i, t in docs if terms_of(t)]
+    n_docs, n_terms = len(held), sum(n for *_, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    wanted = {}
+    for i, t in items:
+        if i is not None and t is not None:
+            wanted.setdefault(i, set()).update(terms_of(t))
+    out = []
+    for item, terms in wanted.items():
+        found = []
+        for i, c, n in held:
+            m = 100 - 90 + (90 * n * n_docs) // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1_000_000_000 * c[t]) // (1000 * c[t] + 8 * m))
+                for t in terms if t in c
+            )
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, r, i, -s) for r, (s, _, _, i) in enumerate(sorted(found, key=lambda x: x[:3])[:k], 1)]
+    return sorted(map(repr, out))
+
+
+def ranked_items(values):
+    rows = [(i, t, "d", 1, "i", 2, 3) for i, t in values]
+    return rows
+
+
+ITEMS = [(1, "w1 w2 W3 w3 x-y été"), (2, None), (3, "nothing matches zzz"), (4, ""), (5, "the one two words"), (5, "w7 naïve"),
+         (None, "w1"), (6, "w1"), (6, "w1"), (7, " ".join(f"w{i}" for i in range(60))), (8, "ab a 42 don't ÜBER")]
+
+
+@pytest.mark.parametrize(("k", "part_bytes", "block_docs", "block_postings"), [(10, 1 << 20, 1 << 16, 1 << 22), (3, 20, 7, 50), (1, 1, 1, 1), (200, 64, 16, 200)])
+def test_ranked_search_is_the_brute_force(spark, k, part_bytes, block_docs, block_postings):
+    ids = [None if i in (3, 25) else i if i != 21 else 20 for i in range(len(TEXTS))]
+    rows = table(spark, TEXTS, ids)
+    items = spark.createDataFrame(ranked_items(ITEMS), ITEM)
+    found = ranked_search.search(rows, items, k=k, part_bytes=part_bytes, block_docs=block_docs, block_postings=block_postings)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"] and found.schema["item_id"].dataType.typeName() == "long"
+    assert sorted(repr(tuple(r)) for r in found.collect()) == ranked_brute(zip(ids, TEXTS, strict=True), ITEMS, k)
+
+
+def test_ranked_search_without_rows(spark, empty):
+    items = spark.createDataFrame(ranked_items(ITEMS), ITEM)
+    assert ranked_search.search(empty, items).collect() == []
+    assert ranked_search.search(table(spark, [None, "", " - "]), items).collect() == []
+    assert ranked_search.search(table(spark, TEXTS[:9]), items.limit(0)).collect() == []
+
+
+def test_equal_scores_go_by_id(spark):
+    """A third of all rows are copies: the ten least ids of them are found, in order."""
+    values = ["rare word here"] * 90 + [f"other text {i}" for i in range(180)]
+    items = spark.createDataFrame(ranked_items([(1, "rare here"), (2, "text")]), ITEM)
+    found = [tuple(r) for r in ranked_search.search(table(spark, values, [5 * i for i in range(270)]), items, block_docs=13).collect()]
+    assert [(r, d) for i, r, d, _ in sorted(found) if i == 1] == [(n + 1, 5 * n) for n in range(10)]
+    assert len(found) == 20
+
+
+def test_the_walk_stops_early_and_stays_exact():
+    """One rare term decides: postings of the common terms are left unread."""
+    r = np.random.default_rng(1)
+    n = 4000
+    sizes = np.full(n, 4)
+    term = np.stack([np.zeros(n, int), np.ones(n, int), np.full(n, 2), np.full(n, 3)], 1)
+    term[:30, 3] = 4
+    tf = r.integers(1, 9, (n, 4))
+    tf[:30, 3] = np.arange(1, 31)
+    weight = np.array([30, 40, 50, 60, 90_000])
+    length = r.integers(50, 150, n)
+    block = ranked_search.Block(length, sizes, term.ravel(), tf.ravel(), weight, n, int(length.sum()))
+    own = np.array([0, 1, 2, 4])
+    docs, score, read = block.search(own, 10)
+    m = 10 + 90 * length * n // int(length.sum())
+    whole = np.zeros(n, np.int64)
+    for j in range(4):
+        gain = weight[term[:, j]] * ((1_000_000_000 * tf[:, j]) // (1000 * tf[:, j] + 8 * m))
+        whole += np.where(term[:, j] != 3, gain, 0)
+    assert read < 3 * n and (whole[docs] == score).all()
+    best = np.argsort(-whole, kind="stable")[:10]
+    assert set(best) <= set(docs.tolist())
+
+
+def test_random_corpora_are_ranked_exactly():
+    r = random.Random(2)
+    for _ in range(30):
+        n, v = r.randint(1, 300), r.randint(1, 30)
+        rows = [sorted(r.sample(range(v), r.randint(0, v))) for _ in range(n)]
+        sizes = np.array([len(x) for x in rows])
+        term = np.array([t for x in rows for t in x], dtype=np.int64)
+        tf = np.array([r.randint(1, 4) for _ in term], dtype=np.int64)
+        length = np.array([r.randint(1, 60) for _ in rows])
+        weight = np.array([r.choice([0, 5, 100, 4000]) for _ in range(v)])
+        block = ranked_search.Block(length, sizes, term, tf, weight, n, int(length.sum()))
+        own = np.array(sorted(r.sample(range(v), r.randint(1, v))))
+        docs, score, _ = block.search(own, 5)
+        m = 10 + 90 * length * n // int(length.sum())
+        whole, at = [], 0
+        for d, x in enumerate(rows):
+            whole.append(sum(int(weight[t]) * int(1_000_000_000 * tf[at + j] // (1000 * tf[at + j] + 8 * m[d])) for j, t in enumerate(x) if t in own))
+            at += len(x)
+        edge = sorted(whole, reverse=True)[:5][-1]
+        assert {d for d, s in enumerate(whole) if s >= max(1, edge)} <= set(docs.tolist())
+        assert all(whole[d] == s for d, s in zip(docs, score, strict=True))
+
+
+def test_ranked_search_equals_its_sql(spark):
+    found, expected = against_oracle(spark, "op12_ranked_search")
+    assert found == expected
