@@ -19,6 +19,7 @@ from . import (
     sharding,
     simhash,
     substring_dedup,
+    warc,
 )
 from .common import table, vocabulary
 
@@ -71,6 +72,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_knn_tree": op1_knn_tree,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_ranked_search": op12_ranked_search,
+        "op13_warc": op13_warc,
     }
 
 
@@ -96,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_formatting": chat.ORACLE_SQL,
         "op11_fill_in_middle": fill_middle.ORACLE_SQL,
         "op12_ranked_search": ranked_search.ORACLE_SQL,
+        "op13_warc": warc.ORACLE_SQL,
     }
