@@ -28,7 +28,10 @@ queries of a group into halls of ``HALL_ROWS``.
 Defined cases: vectors that are null, zero, hold a null or non-finite component,
 or have another dimension than most, take no part; with fewer candidates than
 asked for all are returned; an empty table gives an empty result; ids are whole
-numbers, and rows that repeat an id are candidates on their own.
+numbers. Every row is a query and a candidate on its own: a query leaves out one
+row, its own, and rows that repeat its id, with its vector or another one, are
+found like any others, so an id that stands in several query rows is answered as
+often.
 """
 
 from __future__ import annotations
@@ -153,7 +156,7 @@ def _matrix(column: pd.Series | list[bytes], kind: str) -> np.ndarray:
 
 
 def _clean(rows: DataFrame, kind: str) -> DataFrame:
-    """(id, v): usable vectors of (id, vector) as bytes."""
+    """(id, is_query, v): usable vectors of (id, vector, is_query) as bytes."""
     sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("d")).count()
     found = sizes.orderBy(F.desc("count"), "d").first()
     d = found["d"] if found else 0
@@ -166,11 +169,13 @@ def _clean(rows: DataFrame, kind: str) -> DataFrame:
             numbers = np.asarray(values.fill_null(np.nan)).astype(kind).reshape(len(rows), d) if d else np.empty((0, 0), kind)
             good = np.isfinite(numbers).all(1) & (numbers != 0).any(1)
             numbers = numbers[good] + 0  # one zero, not two
+            at = pa.array(rows[good])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows[good])), pa.array([x.tobytes() for x in numbers], pa.binary())], ["id", "v"]
+                [batch.column(0).take(at), batch.column(2).take(at), pa.array([x.tobytes() for x in numbers], pa.binary())],
+                ["id", "is_query", "v"],
             )
 
-    return on_workers(rows.where(F.col("id").isNotNull())).mapInArrow(emit, "id long, v binary")
+    return on_workers(rows.where(F.col("id").isNotNull())).mapInArrow(emit, "id long, is_query boolean, v binary")
 
 
 def _distinct(clean: DataFrame, most: int) -> DataFrame:
@@ -186,7 +191,7 @@ def _distinct(clean: DataFrame, most: int) -> DataFrame:
             )
 
     return (
-        clean.mapInArrow(emit, "v binary, ids array<long>")
+        clean.select("id", "v").mapInArrow(emit, "v binary, ids array<long>")
         .groupBy("v", F.pmod(F.spark_partition_id(), F.lit(32)).alias("salt")).agg(least.alias("ids"))
         .groupBy("v").agg(least.alias("ids"))
     )
@@ -204,6 +209,13 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.nonzero(scores >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
 
 
+def _leading(q: np.ndarray, score: np.ndarray, tie: np.ndarray, most: int) -> np.ndarray:
+    """The places of each query's ``most`` largest scores, equal ones by ``tie``."""
+    order = np.lexsort((tie, -score, q))
+    own = q[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+
+
 def _truth(items: DataFrame, probes: list[bytes], k: int, kind: str) -> list:
     """(q, leaf, copy, n): where the true ``k`` nearest rows of each probe, itself left out, are filed."""
     queries = _matrix(probes, kind)
@@ -212,12 +224,13 @@ def _truth(items: DataFrame, probes: list[bytes], k: int, kind: str) -> list:
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                q, at = _best(queries @ _matrix(frame["v"], kind).T, k + 1)
+                vectors, leaf = _matrix(frame["v"], kind), frame["leaf"].to_numpy()
+                q, at = _best(queries @ vectors.T, k + 1)
+                score = (vectors[at] * queries[q]).sum(1)
+                some = _leading(q, score, leaf[at], k + 2)  # of equal scores no more than can count; the probe itself may not
+                q, at, score = q[some], at[some], score[some]
                 copy = frame["v"].map(lambda v: number.get(v, -1)).to_numpy()[at] == q
-                yield pd.DataFrame({
-                    "q": q, "leaf": frame["leaf"].to_numpy()[at], "copy": copy, "n": frame["n"].to_numpy()[at] - copy,
-                    "score": (_matrix(frame["v"], kind)[at] * queries[q]).sum(1),
-                })
+                yield pd.DataFrame({"q": q, "leaf": leaf[at], "copy": copy, "n": frame["n"].to_numpy()[at] - copy, "score": score})
 
     found = items.select("leaf", "v", F.size("ids").cast("long").alias("n")).mapInPandas(
         emit, "q long, leaf long, copy boolean, n long, score double"
@@ -302,7 +315,7 @@ def _groups(sizes: dict[int, int], leaves: int) -> np.ndarray:
 def _search(kind: str, keep: int):
     def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not (len(items) and len(queries)):
-            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"q": [], "vec_id": [], "score": [], "own": []})
         x, q = _matrix(items["v"], kind), _matrix(queries["v"], kind)
         ids = items["ids"].to_numpy()
         leaves, leaf = np.unique(items["leaf"].to_numpy(), return_inverse=True)
@@ -310,11 +323,14 @@ def _search(kind: str, keep: int):
         row, at = _best(np.where(wanted, q @ x.T, -np.inf), keep)
         row, at = row[wanted[row, at]], at[wanted[row, at]]
         score = (x[at] * q[row]).sum(1)  # the same for equal vectors, wherever they stand
+        some = _leading(row, score, np.array([i[0] for i in ids], np.int64)[at], keep)
+        row, at, score = row[some], at[some], score[some]
         n = np.array([len(ids[i]) for i in at], np.int64)
+        same = items["v"].to_numpy()[at] == queries["v"].to_numpy()[row]
         frame = pd.DataFrame({
             "q": np.repeat(queries["q"].to_numpy()[row], n),
             "vec_id": np.concatenate([np.empty(0, np.int64), *[ids[i] for i in at]]),
-            "score": np.repeat(score, n),
+            "score": np.repeat(score, n), "own": np.repeat(same, n),
         })
         frame = frame.sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
         return frame.groupby("q").head(keep)
@@ -340,7 +356,7 @@ def nearest(
     """
     kind = "<f4" if "float" in dict(table.dtypes)[vector_col] else "<f8"
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("is_query"))
-    clean = stage(_clean(rows.select("id", "vector"), kind), "vectors")
+    clean = stage(_clean(rows.select("id", "vector", "is_query"), kind).withColumn("row", F.monotonically_increasing_id()), "vectors")
     items = stage(_distinct(clean, k + 1), "distinct-vectors")
     n = items.count()
     sample = items.where(_share("v", sample_rows / max(1, n), 1)).select("v").toPandas()
@@ -364,11 +380,12 @@ def nearest(
         if not below:
             break
         tree.graft(below)
-    asked = clean.join(rows.where("is_query").select("id").distinct(), "id", "left_semi")
+    asked = clean.where("is_query")
     hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
     filed = items.select(*hashes, F.col("leaf").alias("own"))  # shuffled by hash, without the vectors
-    wanted = asked.groupBy("v").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("n"))
-    wanted = stage(wanted.select("v", "q", "n", *hashes).join(filed, ["h1", "h2"]).select("v", "q", "n", "own"), "queries")
+    wanted = asked.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    wanted = wanted.select("v", "n", *hashes).join(filed, ["h1", "h2"])
+    wanted = stage(wanted.select("v", F.monotonically_increasing_id().alias("q"), "n", "own"), "queries")
     asked_for = wanted.count()
     some = wanted.where(_share("v", CALIBRATION / max(1, asked_for), 2)).select("v", "n", "own").toPandas()
     probes = [bytes(v) for v in some["v"]]
@@ -409,14 +426,17 @@ def nearest(
     )
     key = ["grp", "block", "hall"]
     hits = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(
-        _search(kind, k + 1), "q long, vec_id long, score double"
+        _search(kind, k + 1), "q long, vec_id long, score double, own boolean"
     )
     order = [F.desc("score"), F.asc("vec_id")]
     top = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("r") <= k + 1)
-    members = asked.join(wanted, "v").select(F.col("id").alias("query_id"), "q")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    # rows of equal id and vector are alike: the first of them stands for the query's own
+    again = F.row_number().over(Window.partitionBy("q", "own", "vec_id").orderBy("r"))
+    top = top.withColumn("own", F.col("own") & (again == 1))
+    members = asked.join(wanted, "v").select("row", F.col("id").alias("query_id"), "q")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("r"))
     return (
-        members.join(top, "q").where(F.col("query_id") != F.col("vec_id"))
+        members.join(top, "q").where(~(F.col("own") & (F.col("query_id") == F.col("vec_id"))))
         .withColumn("rank", rank).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

@@ -104,6 +104,32 @@ def test_nearest_is_exact_within_one_leaf(spark, n):
     assert found == nearest_brute(rows)
 
 
+@pytest.mark.parametrize(("times", "others"), [(31, 80), (3, 0), (50, 4)])
+def test_repeated_rows_are_rows_of_their_own(spark, times, others):
+    """A query id repeated in full, and one that stands with two vectors: each row leaves out itself alone."""
+    r = np.random.default_rng(times)
+    rows = [(i + 1, r.integers(-9, 9, 5).astype(float).tolist(), 1, 2, 3, 4) for i in range(others)]
+    rows += [(20, [9.0, 9.0, 1.0, 0.0, 1.0], 1, 2, 3, 4)] * times
+    rows += [(40, [1.0, 0.0, 2.0, 3.0, 1.0], 1, 2, 3, 4), (40, [0.0, 5.0, -2.0, 3.0, 1.0], 1, 2, 3, 4)]
+    found = sorted((a, b, c, round(s, 9)) for a, b, c, s in map(tuple, knn_tree.digest(vectors(spark, rows)).collect()))
+    held = [(i, np.array(v)) for i, v, *_ in rows if any(v)]
+    expected = []
+    for at, (i, q) in enumerate(held):
+        if i % 20 == 0:
+            near = sorted((-float(q @ x), j) for n, (j, x) in enumerate(held) if n != at)[:20]
+            expected += [(i, n, j, round(-s, 9) + 0.0) for n, (s, j) in enumerate(near, 1)]
+    assert found == sorted(expected)
+
+
+def test_vectors_with_many_equal_products(spark):
+    """One-hot vectors: most products are 0, and no more rows than can count leave a block."""
+    rows = [(i, [float(i % 50 == j) for j in range(50)], 1, 2, 3, 4) for i in range(400)]
+    found = {(a, b, c, round(s, 9)) for a, b, c, s in map(tuple, knn_tree.digest(vectors(spark, rows)).collect())}
+    for q in range(0, 400, 20):
+        near = sorted((-float(q % 50 == i % 50), i) for i in range(400) if i != q)[:20]
+        assert {(q, n, i, -s + 0.0) for n, (s, i) in enumerate(near, 1)} == {x for x in found if x[0] == q}
+
+
 def test_recall(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(3000, 16)).astype(np.float32)
