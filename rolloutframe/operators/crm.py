@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
 
 from ..functions.calendar import micros_between, record_month, record_timestamp
+from .positions import numbered
 
 Ids = Sequence | DataFrame | None
 # Fixed value: the field of a history row that assigns an owner.
@@ -168,11 +170,19 @@ def transcript_of_case(transcripts: DataFrame, case_id: int | str) -> DataFrame:
     return transcripts.where(F.col("case_id") == case_id).select("body", "end_time")
 
 
-def case_errors(cases: DataFrame, required: Sequence[str], order: Column, times: Sequence[str] = ()) -> DataFrame:
-    """The first row, in order, with an error: (position, missing, malformed).
+# Fixed value: the layout of record timestamps, as errors name it.
+RECORD_LAYOUT = "%Y-%m-%dT%H:%M:%S.%f%z"
+
+
+def case_errors(
+    cases: DataFrame, required: Sequence[str], order: Column, times: Sequence[str] = (), not_before: tuple[str, str] | None = None
+) -> DataFrame:
+    """The first row, in order, with an error: (position, index, missing, malformed, message); nulls without one.
 
     ``missing``: required columns that are null; ``malformed``: those of
-    ``times``, texts, that are no timestamps of records.
+    ``times``, texts, that are no timestamps of records; an error is also a first
+    column of ``not_before`` that is earlier than the second. ``index`` counts the
+    rows that sort before, so nothing is sorted for it; ``order`` is unique.
     """
     def listed(marks: dict[str, Column]) -> Column:
         names = F.array(*[F.when(bad, F.lit(c)) for c, bad in marks.items()]).cast("array<string>")
@@ -180,13 +190,38 @@ def case_errors(cases: DataFrame, required: Sequence[str], order: Column, times:
 
     missing = listed({c: F.col(c).isNull() for c in required})
     malformed = listed({c: F.col(c).isNotNull() & record_timestamp(F.col(c)).isNull() for c in times})
-    marked = cases.select(order.alias("_order"), missing.alias("missing"), malformed.alias("malformed"))
-    bad = marked.where((F.size("missing") > 0) | (F.size("malformed") > 0))
-    return bad.agg(F.min(F.struct("_order", "missing", "malformed")).alias("m")).select(
-        F.col("m._order").alias("position"), F.col("m.missing").alias("missing"), F.col("m.malformed").alias("malformed")
+    late, soon = (record_timestamp(F.col(c)) if c in times else F.col(c) for c in not_before) if not_before else (F.lit(0), F.lit(0))
+    marked = cases.select(order.alias("_order"), missing.alias("missing"), malformed.alias("malformed"), F.coalesce(late < soon, F.lit(False)).alias("early"))
+    bad = marked.where((F.size("missing") > 0) | (F.size("malformed") > 0) | F.col("early"))
+    first = bad.agg(F.min(F.struct("_order", "missing", "malformed", "early")).alias("m"))
+    before = cases.where(order < first.select("m._order").scalar()).agg(F.count(F.lit(1)).alias("n"))
+    found = first.select("m.*", before.scalar().alias("index"))
+    place = F.col("index").cast("string")
+    message = (
+        F.when(F.size("missing") > 0, F.concat(F.lit("Error: '"), F.get("missing", F.lit(0)), F.lit("' not found in case record at index "), place))
+        .when(F.size("malformed") > 0, F.concat(F.lit("Error: Invalid date format at index "), place, F.lit(f". Expected format: '{RECORD_LAYOUT}'")))
+        .when(F.col("early"), F.concat(F.lit("Error: {} is earlier than {} at index ".format(*(not_before or ("", "")))), place))
+    )
+    return found.select(
+        F.col("_order").alias("position"), F.when(F.col("_order").isNotNull(), F.col("index")).alias("index"), "missing", "malformed", message.alias("message")
     )
 
 
 def ranked(rows: DataFrame, by: str, *keys: str) -> DataFrame:
-    """``rows`` with their dense rank by ``by`` within ``keys``."""
-    return rows.withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(by))))
+    """``rows`` with their dense rank by ``by`` within ``keys``.
+
+    The distinct values are ranked, within ranges of their order, and joined
+    back: no task holds the rows of a key, nor all values where there is no key.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    values = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(by).alias("_v")).distinct()
+    placed = numbered(values, *names, F.col("_v").isNull(), -F.col("_v"), name="_at")
+    firsts = placed.groupBy(*names).agg(F.min("_at").alias("_first"))
+    if names:
+        firsts = firsts.toDF(*[f"_f{n}" for n in names], "_first")
+        placed = placed.join(firsts, reduce(and_, [F.col(n).eqNullSafe(F.col(f"_f{n}")) for n in names]))
+    else:
+        placed = placed.withColumn("_first", F.lit(0))
+    ranks = placed.select(*names, "_v", (F.col("_at") - F.col("_first") + 1).cast("int").alias("rank"))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, by], [*names, "_v"], strict=True)]
+    return rows.join(ranks, reduce(and_, on)).drop(*names, "_v")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .positions import numbered, permuted
 
 
 def chat(user: Column, system: str | None = None) -> Column:
@@ -45,25 +47,19 @@ def question_answer(rows: DataFrame, question: str, answer: str, env: str, sourc
     return standardised(named, F.col("_q"), F.col("_a"), env, source, system).drop("_q", "_a")
 
 
-def split_tail(rows: DataFrame, order: str, test: float = 0.2, buckets: int = 256) -> DataFrame:
+def split_tail(rows: DataFrame, order: str, test: float = 0.2) -> DataFrame:
     """``rows`` with ``split``: the last ``ceil(test * n)`` in order are test, the others train.
 
-    Places are counted per range of ``order`` and shifted by the counts of the
-    ranges before, so no task sorts all rows. ``order`` is unique.
+    ``order`` may be of any kind that sorts; equal values keep some order.
     """
-    cuts = rows.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = rows.withColumn("_bucket", bucket)
-    counts = {r["_bucket"]: r["count"] for r in dealt.groupBy("_bucket").count().collect()}  # at most ``buckets`` rows
-    total, before = sum(counts.values()), 0
-    shifts = []
-    for number in sorted(counts):
-        shifts.append(F.when(F.col("_bucket") == number, F.lit(before)))
-        before += counts[number]
-    train = total - int(-(-total * test // 1))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) + (F.coalesce(*shifts) if shifts else F.lit(0))
-    return dealt.withColumn("split", F.when(place <= train, "train").otherwise("test")).drop("_bucket")
+    return _cut(numbered(rows, order, name="_place"), test)
+
+
+def _cut(placed: DataFrame, test: float) -> DataFrame:
+    """``split`` in the place of ``_place``, dense from 0."""
+    n = placed.count()
+    train = n - math.ceil(n * test)
+    return placed.withColumn("split", F.when(F.col("_place") < train, "train").otherwise("test")).drop("_place")
 
 
 def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
@@ -71,9 +67,10 @@ def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), splits.values())
 
 
-def shuffled(rows: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """A reproducible order that does not depend on the layout of the input."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+def shuffled(rows: DataFrame, order: str, seed: int = 42, name: str = "place") -> DataFrame:
+    """``rows`` with their ``name`` in a permutation of the order by ``order``: reproducible, whatever the layout of the input."""
+    placed = numbered(rows, order, name="_position")
+    return permuted(placed, placed.count(), "_position", name, seed).drop("_position")
 
 
 def train_and_test(splits: dict[str, DataFrame], order: str, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -86,8 +83,7 @@ def train_and_test(splits: dict[str, DataFrame], order: str, test: float = 0.2,
     rows = concatenated(splits)
     if len(splits) < 2:
         return split_tail(rows, order, test)
-    mixed = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col(order)))
-    return split_tail(mixed, "_order", test).drop("_order")
+    return _cut(shuffled(rows, order, seed, "_place"), test)
 
 
 def without_nulls(values: Column) -> Column:

@@ -57,8 +57,9 @@ def crm_get_cases_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crm_get_cases_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cases about any item of one product: ids found by one question filter the next."""
-    items = crm.items_of_product(t.order_items(spark, sf_dir), 17)
+    """The cases about any item of a brand's products: ids found by one question filter the next."""
+    products = t.products(spark, sf_dir).where(F.col("description").startswith("Brand#1")).select("id")
+    items = crm.among(t.order_items(spark, sf_dir), "product_id", products).select("id")
     return crm.get_cases(t.cases(spark, sf_dir), *YEAR, order_item_id=items)
 
 
@@ -121,7 +122,13 @@ def cal_record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crm_case_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).withColumn("owner", F.when(F.col("id") % 9 > 0, F.col("id")))
     found = crm.case_errors(rows.where("id > 5"), ["owner"], F.col("id"), times=["created"])
-    return found.select("position", F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", "malformed").alias("malformed"))
+    return found.select("position", "index", F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", "malformed").alias("malformed"), "message")
+
+
+def crm_case_errors_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest closed case, seen from the end, that closed before some day after its creation; no case lacks anything."""
+    rows = t.cases(spark, sf_dir).where("closed IS NOT NULL").withColumn("due", F.col("created") + F.expr("INTERVAL 90 DAYS"))
+    return crm.case_errors(rows, ["owner_id", "closed"], -F.col("id"), not_before=("closed", "due")).select("position", "index", "message")
 
 
 def cal_parameter_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship_region_closure, crm_get_cases_range, crm_get_cases_lists, crm_get_cases_items, crm_record_months,
-        cal_record_times, crm_case_errors, cal_parameter_errors, crm_non_transferred, crm_handled_by_agent,
+        cal_record_times, crm_case_errors, crm_case_errors_late, cal_parameter_errors, crm_non_transferred, crm_handled_by_agent,
         crm_transferred_by_agent, crm_qualified_agents, crm_issue_counts, crm_avg_handle_time, crm_region_closure,
         crm_month_counts, crm_agents_max, crm_agents_min, id_max_value, id_min_value, crm_shipping_state,
         crm_purchase_history, crm_purchase_history_filtered, crm_order_items_by_product, crm_account_by_contact, crm_issues, crm_transcripts,
@@ -230,12 +237,18 @@ SELECT * FROM r WHERE seconds = (SELECT min(seconds) FROM r)""",
     "crm_get_cases_lists": f"""WITH {CASES} SELECT owner_id, created, closed, account_id FROM cases
 WHERE {IN_YEAR} AND owner_id IN (3, 7) AND issue_id = '1-URGENT' AND status IN ('F', 'O')""",
     "crm_get_cases_items": f"""WITH {CASES} SELECT owner_id, created, closed, account_id FROM cases
-WHERE {IN_YEAR} AND order_item_id IN (SELECT l_orderkey * 8 + l_linenumber FROM lineitem WHERE l_partkey = 17)""",
+WHERE {IN_YEAR} AND order_item_id IN (SELECT l_orderkey * 8 + l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand LIKE 'Brand#1%')""",
     "crm_record_months": f"WITH {_RECORDS} SELECT monthname(d) AS month, count(*) AS n_cases FROM records WHERE NOT bad GROUP BY 1",
     "cal_record_times": f"""WITH {_RECORDS} SELECT id, strftime(d, '%Y-%m-%d') AS day, CASE WHEN NOT bad THEN
   strftime(date_trunc('day', d) + INTERVAL '23 hours 59 minutes 30 seconds' - to_minutes(ahead), '%Y-%m-%d %H:%M:%S') END AS utc FROM records""",
-    "crm_case_errors": f"""WITH {_RECORDS} SELECT id AS position, CASE WHEN id % 9 = 0 THEN 'owner' ELSE '' END AS missing,
-  CASE WHEN bad THEN 'created' ELSE '' END AS malformed FROM records WHERE id > 5 AND (bad OR id % 9 = 0) ORDER BY id LIMIT 1""",
+    "crm_case_errors": f"""WITH {_RECORDS}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS index FROM records WHERE id > 5)
+SELECT id AS position, index, CASE WHEN id % 9 = 0 THEN 'owner' ELSE '' END AS missing, CASE WHEN bad THEN 'created' ELSE '' END AS malformed,
+  CASE WHEN id % 9 = 0 THEN 'Error: ' || chr(39) || 'owner' || chr(39) || ' not found in case record at index ' || index
+    ELSE 'Error: Invalid date format at index ' || index || '. Expected format: ' || chr(39) || '%Y-%m-%dT%H:%M:%S.%f%z' || chr(39) END AS message
+FROM numbered WHERE bad OR id % 9 = 0 ORDER BY id LIMIT 1""",
+    "crm_case_errors_late": f"""WITH {CASES}, numbered AS (SELECT *, row_number() OVER (ORDER BY id DESC) - 1 AS index FROM cases WHERE closed IS NOT NULL)
+SELECT -id AS position, index, 'Error: closed is earlier than due at index ' || index AS message FROM numbered
+WHERE closed < created + INTERVAL 90 DAYS ORDER BY id DESC LIMIT 1""",
     "cal_parameter_errors": f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND day(last_day(o_orderdate)) < 31)
   THEN {_NO_DATE} END AS error FROM orders""",
     "crm_non_transferred": f"WITH {HISTORY} SELECT case_id FROM history WHERE {IN_DAYS} GROUP BY 1 HAVING count(*) = 1",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings under which results are defined.
 SETTINGS = {
@@ -29,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")).rstrip("/")
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: computed once, with no lineage to lose."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors, once for each context."""
     context = spark.sparkContext

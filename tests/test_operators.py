@@ -12,7 +12,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rolloutframe.operators import crm, datasets, rewards, rollouts, search, sheets, toolcalls
+from rolloutframe.operators import crm, datasets, positions, rewards, rollouts, search, sheets, toolcalls
 from rolloutframe.operators.environments import Environment, Tool
 from rolloutframe.sources import tables, workspace, xlsx
 from rolloutframe.streaming import rollouts as streams
@@ -60,7 +60,12 @@ def test_filters(spark, cases):
     bad = crm.case_errors(cases, ["closed"], F.col("id")).first()
     assert (bad["position"], bad["missing"], bad["malformed"]) == (4, ["closed"], [])
     texts = spark.createDataFrame([(1, "2024-01-05T00:30:00.000+0000"), (2, "2024-01-32T00:30:00.000+0000"), (3, "soon")], "i int, created string")
-    assert tuple(crm.case_errors(texts, [], F.col("i"), times=["created"]).first()) == (2, [], ["created"])
+    layout = "Error: Invalid date format at index 1. Expected format: '%Y-%m-%dT%H:%M:%S.%f%z'"
+    assert tuple(crm.case_errors(texts, [], F.col("i"), times=["created"]).first()) == (2, 1, [], ["created"], layout)
+    assert tuple(crm.case_errors(texts.where("i < 2"), ["i"], F.col("i"), times=["created"]).first()) == (None, None, None, None, None)
+    assert bad["message"] == "Error: 'closed' not found in case record at index 3"
+    early = crm.case_errors(cases, ["id"], -F.col("id"), not_before=("created", "closed")).first()
+    assert (early["position"], early["message"]) == (-3, "Error: created is earlier than closed at index 1")
     items = [(1, 5, "Owner Assignment"), (2, 5, "Status")]
     history = spark.createDataFrame([(i, c, f, at(0), "b", "a") for i, c, f in items], "id int, case_id int, field string, created timestamp_ntz, new_value string, old_value string")
     assert [r[0] for r in crm.non_transferred(history, at(0), at(0)).collect()] == [5]
@@ -151,9 +156,47 @@ def test_search(spark):
 
 def test_splits(spark):
     rows = spark.range(11).withColumnRenamed("id", "k")
-    found = {r["k"]: r["split"] for r in datasets.split_tail(rows, "k", buckets=4).collect()}
+    found = {r["k"]: r["split"] for r in datasets.split_tail(rows, "k").collect()}
     assert [k for k, s in sorted(found.items()) if s == "test"] == [8, 9, 10]
     assert datasets.split_tail(rows.where("false"), "k").count() == 0
+    for kind, prefix in (("string", ""), ("string", "ex-")):
+        texts = rows.select(F.concat(F.lit(prefix), F.col("k").cast(kind)).alias("k"))
+        found = {r["k"]: r["split"] for r in datasets.split_tail(texts, "k").collect()}
+        assert sorted(k for k, s in found.items() if s == "test") == sorted(prefix + str(k) for k in (8, 9, 7))
+    mixed = datasets.train_and_test({"a": rows, "b": rows.where("k < 5")}, "k", seed=3)
+    assert sorted(r["split"] for r in mixed.collect()) == ["test"] * 4 + ["train"] * 12
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 1009, 5000])
+def test_shuffles_are_permutations(spark, n):
+    rows = spark.range(n).withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")))
+    found = [r["place"] for r in datasets.shuffled(rows, "id", 5).collect()]
+    assert sorted(found) == list(range(n))
+    again = positions.permuted(spark.range(n).withColumnRenamed("id", "position"), n, seed=6).orderBy("position").collect()
+    places = [r["place"] for r in again]
+    assert sorted(places) == list(range(n)) and (n < 100 or places != found)
+    if n >= 1000:  # no trace of the order: neighbours lie far apart, and few places stay
+        assert sum(abs(a - b) for a, b in zip(places, places[1:], strict=False)) / n > n / 4
+        assert sum(i == p for i, p in enumerate(places)) < 15
+
+
+def test_positions_of_any_order(spark):
+    """Nulls, ties, texts and several keys; no range holds more than its share, though one key has most rows."""
+    rows = spark.createDataFrame([(None if i % 10 == 0 else "hot" if i % 10 < 8 else f"k{i}", i % 3) for i in range(4000)], "k string, j int").repartition(5)
+    placed = positions.numbered(rows, "k", -F.col("j"), name="at", range_rows=300)
+    assert [r["at"] for r in placed.orderBy("at").collect()] == list(range(4000))
+    keys = [(r["k"] is not None, r["k"] or "", -r["j"]) for r in placed.orderBy("at").collect()]
+    assert keys == sorted(keys)
+    largest = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert placed.columns == ["k", "j", "at"] and largest <= 4000
+
+
+def test_dense_ranks(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("a", 1.0), ("a", None), (None, 2.0), (None, 5.0), ("b", 0.0)], "k string, v double")
+    assert sorted((r["k"] or "", -1.0 if r["v"] is None else r["v"], r["rank"]) for r in crm.ranked(rows, "v", "k").collect()) == [
+        ("", 2.0, 2), ("", 5.0, 1), ("a", -1.0, 3), ("a", 1.0, 2), ("a", 3.0, 1), ("a", 3.0, 1), ("b", 0.0, 1),
+    ]
+    assert sorted((-1.0 if r["v"] is None else r["v"], r["rank"]) for r in crm.ranked(rows, "v").collect()) == [(-1.0, 6), (0.0, 5), (1.0, 4), (2.0, 3), (3.0, 2), (3.0, 2), (5.0, 1)]
 
 
 def test_prompts(spark):
