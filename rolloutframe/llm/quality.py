@@ -6,11 +6,13 @@ the log odds of "bad" and of "toxic", with the base rate taken out. It is
 computed once and written with the rows. A site has a rate of its own for each, and so has each path of a
 site. The expected counts are summed per (host, path) in one grouped
 aggregation; a host's rate is shrunk toward the global rate and a path's toward
-its host's, by a weight that the spread between sites sets (method of moments).
-Evidence and the path's log odds add up to the posterior.
+its host's, each level by a weight of its own, which the spread between the hosts
+and that between the paths of a host set (method of moments). Evidence and the
+path's log odds add up to the posterior.
 
 The classifiers are fitted to a bounded sample: at most about ``SAMPLE_ROWS``
-labelled rows, chosen by a hash of the id. All else covers every row.
+labelled ids, chosen by a hash, and one document of each (of rows that repeat an
+id that with the least hash of its text). All else covers every row.
 
 Defined cases: a null text is an empty one; null hosts and paths are groups of
 their own; labels without a document, with a null id or null marks are not
@@ -40,6 +42,7 @@ _SYMBOLS = np.isin(np.arange(256), list(b"!*$%&#|=+<>{}[]^~@\\"))
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 _LETTER = (np.arange(256) >= 0x80) | _UPPER | ((np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A))
 SHAPES = 7
+LEAST_WEIGHT, LARGEST_WEIGHT = 20.0, 1e4
 NEVER = -30.0  # log odds of a mark that no sample shows
 
 
@@ -143,11 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
         .groupBy(F.col("doc_id").alias("_l"))
         .agg((1 - F.max("quality")).alias("bad"), F.max("toxic").alias("toxic"))
     )
-    share = min(1.0, sample_rows / max(1, labels.count()))
+    share = min(1.0, sample_rows / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(
         F.broadcast(marks), F.col("_id") == F.col("_l")
     )
+    # one document of each id, found where it is read: an id on many rows is one of the sample
+    rows = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_t"), "_t", "bad", "toxic")).alias("m")).select("m.*")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -200,6 +205,12 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _weight(noise: float, spread: float, groups: int, n: int) -> float:
+    """The rows that a level above counts for: noise of a row over the variance between groups, of which ``groups`` are free."""
+    between = max(0.0, (spread - groups * noise) / n)
+    return min(LARGEST_WEIGHT, max(LEAST_WEIGHT, noise / between - 1 if between else LARGEST_WEIGHT))
+
+
 def site_rates(scored: DataFrame, base: dict[str, float]) -> DataFrame:
     """(_host, _path, _bad_rate, _toxic_rate): shrunk rates of every path, from (_host, _path, _bad, _toxic)."""
     sums = [F.sum(_chance(F.col(f"_{h}") + F.lit(base[h]))).alias(h) for h in HEADS]
@@ -210,16 +221,17 @@ def site_rates(scored: DataFrame, base: dict[str, float]) -> DataFrame:
         *[F.sum(f"h_{h}").alias(h) for h in HEADS],
         *[F.sum(F.col(f"h_{h}") * F.col(f"h_{h}") / F.col("hn")).alias(f"{h}2") for h in HEADS],
     ).first()
+    inner = paths.agg(F.count(F.lit(1)).alias("k"), *[F.sum(F.col(h) * F.col(h) / F.col("n")).alias(f"{h}2") for h in HEADS]).first()
     rates = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_host"])).select(paths["*"], "hn", *[f"h_{h}" for h in HEADS])
     columns = []
     for h in HEADS:
         n = max(1, whole["n"] or 0)
         rate = min(1 - 1e-6, max(1e-6, (whole[h] or 0.0) / n))
-        noise = rate * (1 - rate)
-        between = max(0.0, ((whole[f"{h}2"] or 0.0) - n * rate * rate - max(0, whole["k"] - 1) * noise) / n)
-        weight = min(1e4, max(20.0, noise / between - 1 if between else 1e4))
+        by_host, by_path = whole[f"{h}2"] or 0.0, inner[f"{h}2"] or 0.0
+        weight = _weight(rate * (1 - rate), by_host - n * rate * rate, max(0, whole["k"] - 1), n)
+        own = _weight(max(0.0, rate - by_host / n), by_path - by_host, inner["k"] - whole["k"], n)
         host = (F.col(f"h_{h}") + weight * rate) / (F.col("hn") + weight)
-        columns.append(((F.col(h) + weight * host) / (F.col("n") + weight)).alias(f"_{h}_rate"))
+        columns.append(((F.col(h) + own * host) / (F.col("n") + own)).alias(f"_{h}_rate"))
     return rates.select("_host", "_path", *columns)
 
 
