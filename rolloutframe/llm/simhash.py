@@ -28,9 +28,9 @@ rows of a hot variant are spread by Spark's skew join. Before they expand,
 partners are dealt to as many tasks as their variants need.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
-other; a row with a null id gets the component of its fingerprint, null where
-all its ids are null; rows that repeat an id belong to the component of each
-of their texts on their own.
+other; a row with a null id links others as any row does and gets the component
+of its fingerprint, null where all ids of that component are null; rows that
+repeat an id belong to the component of each of their texts on their own.
 """
 
 from __future__ import annotations
@@ -165,9 +165,7 @@ def near_duplicates(
     fingerprint of the component: where ids repeat, components may share an id.
     """
     prints = stage(fingerprints(docs, id_col, text_col, shingle, row_col), "fingerprints")
-    nodes = stage(
-        prints.groupBy("fp").agg(F.min("id").alias("node")).where(F.col("node").isNotNull()), "nodes"
-    )
+    nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     # two fingerprints of one repeated id share an id: the fingerprint itself keeps them apart
     partners = stage(with_partner(nodes.select("fp")), "partners")
     roots = components(links(partners))
