@@ -7,11 +7,12 @@ prefix of length k (the place inside each hash keeps order). A conversation
 whose whole hash is a proper prefix of another one is anti-joined away, equal
 ones collapse onto the smallest id, and what is left is rendered.
 
-A conversation may hold a third of all rows: places and prefix hashes are
-windowed over runs of ``RUN`` turn numbers and shifted by small per-run sums,
-so no window holds a whole conversation. :func:`render_runs` gives the text of
-each run, so that no value holds a whole conversation either; joined to one
-value by :func:`format_chats`, a conversation may have 2 GB of text at most.
+A conversation may hold a third of all rows, and so may one turn number: places
+come from ranges of all rows in order, sampled bounds and summed sizes, and prefix
+hashes are windowed over runs of ``RUN`` places and shifted by small per-run sums,
+so no task holds a whole conversation. :func:`render_runs` gives the text of each
+run, so that no value holds a whole conversation either; joined to one value by
+:func:`format_chats`, a conversation may have 2 GB of text at most.
 
 Only DataFrame functions run here.
 
@@ -27,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.positions import numbered
 from .common import stage
 
 RUN = 256
 
 
 def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(c, place, role, text), places from 1 without gaps."""
+    """(c, run, place, role, text), places from 1 without gaps, runs of ``RUN`` places."""
     rows = (
         turns.where(F.col(conv).isNotNull())
         .select(
@@ -43,16 +45,11 @@ def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
             F.coalesce(F.col(text), F.lit("")).alias("text"),
         )
         .distinct()
-        .withColumn("run", F.floor(F.col("t") / RUN))
-    )
-    window = Window.partitionBy("c", "run").orderBy("t", "role", "text")
-    own = rows.withColumn("rank", F.row_number().over(window))
-    runs = rows.groupBy("c", "run").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("c").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("c", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return own.join(runs, ["c", "run"]).select(
-        "c", "run", (F.col("rank") + F.col("before")).alias("place"), "role", "text"
     )
+    ordered = numbered(stage(rows, "chat-rows"), "c", "t", "role", "text", name="at")
+    firsts = ordered.groupBy("c").agg(F.min("at").alias("first"))
+    place = F.col("at") - F.col("first") + 1
+    return ordered.join(firsts, "c").select("c", F.floor((place - 1) / RUN).alias("run"), place.alias("place"), "role", "text")
 
 
 def _prefixes(placed: DataFrame) -> DataFrame:

@@ -432,6 +432,15 @@ def test_simhash_finds_every_distance(spark):
     assert all((brute[i] == brute[0]) == (found.get(p, p) == found.get(signed[0], signed[0])) for i, p in enumerate(signed))
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """A text without an id lies within 3 bits of two that do not meet; a component of such rows alone has no name."""
+    prints = [(7, 0b0), (None, 0b111), (5, 0b111111), (None, 0b111), (None, 0xFF << 40), (None, 0xFE << 40), (9, -1), (9, 0b1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("id", "fp"))
+    rows = spark.createDataFrame(prints, "id long, fp long")
+    found = sorted((r["fp"], r["id"] or 0, r["component_id"]) for r in simhash.near_duplicates(rows, "id", "fp").collect())
+    assert found == sorted((fp, i or 0, None if fp >> 40 > 0 else 9 if fp == -1 else 5) for i, fp in prints)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r["root"] for r in components.components(edges).collect()} == {0}
@@ -579,7 +588,7 @@ def test_quality_of_odd_rows(docs, empty, spark):
 
 
 def shrunk_brute(sites, base):
-    """The rate of every (host, path): sums of expected marks, shrunk to the host's rate and that to the global one."""
+    """The rate of every (host, path): sums of expected marks, shrunk to the host's rate and that to the global one, each by its own weight."""
     expected = {s: [1 / (1 + np.exp(-(e + base))) for e in own] for s, own in sites.items()}
     hosts = {}
     for (host, _), own in expected.items():
@@ -587,11 +596,18 @@ def shrunk_brute(sites, base):
     n = sum(map(len, hosts.values()))
     rate = min(1 - 1e-6, max(1e-6, sum(map(sum, hosts.values())) / n))
     noise = rate * (1 - rate)
-    between = sum(len(h) * (sum(h) / len(h)) ** 2 for h in hosts.values())
-    between = max(0.0, (between - n * rate**2 - (len(hosts) - 1) * noise) / n)
-    weight = min(1e4, max(20.0, noise / between - 1 if between else 1e4))
-    host_rate = {h: (sum(own) + weight * rate) / (len(own) + weight) for h, own in hosts.items()}
-    return {s: (sum(own) + weight * host_rate[s[0]]) / (len(own) + weight) for s, own in expected.items()}
+    mean = {h: sum(own) / len(own) for h, own in hosts.items()}
+
+    def weight(noise, spread, free):
+        between = max(0.0, (spread - free * noise) / n)
+        return min(1e4, max(20.0, noise / between - 1 if between else 1e4))
+
+    above = weight(noise, sum(len(own) * (mean[h] - rate) ** 2 for h, own in hosts.items()), len(hosts) - 1)
+    within = sum(len(own) * mean[h] * (1 - mean[h]) for h, own in hosts.items()) / n
+    spread = sum(len(own) * (sum(own) / len(own) - mean[s[0]]) ** 2 for s, own in expected.items())
+    below = weight(within, spread, len(expected) - len(hosts))
+    host_rate = {h: (sum(own) + above * rate) / (len(own) + above) for h, own in hosts.items()}
+    return {s: (sum(own) + below * host_rate[s[0]]) / (len(own) + below) for s, own in expected.items()}
 
 
 def verdicts_brute(docs, labels):
@@ -627,6 +643,23 @@ def test_posteriors_equal_brute_force(spark):
     assert {i: (round(r["_p_bad"], 6), r["_keep"]) for i, r in found.items()} == {i: (r["p_bad"], r["keep"]) for i, r in digest.items()}
 
 
+def test_a_labelled_id_on_many_rows_is_one_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda border, index, shape, marks: seen.append(len(marks)))
+    rows = [(i if i < 200 else 7, f"text {i % 3000} of {'good' if i % 2 else 'bad'} words") for i in range(12_000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(7, 1, 0)] * 500, "doc_id long, quality int, toxic int")
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels, "doc_id", "text", sample_rows=200)
+    assert seen == [200]
+
+
+def test_paths_of_a_host_have_a_weight_of_their_own(spark):
+    """Paths that differ much keep their rates, although the hosts are alike."""
+    rows = [(f"h{h}", f"p{p}", 3.0 if p % 2 else -3.0, -9.0) for h in range(4) for p in range(6) for _ in range(60)]
+    scored = spark.createDataFrame(rows, "_host string, _path string, _bad double, _toxic double")
+    rates = {(r["_host"], r["_path"]): r["_bad_rate"] for r in quality.site_rates(scored, {"bad": 0.0, "toxic": 0.0}).collect()}
+    assert all((rate > 0.8) if path in ("p1", "p3", "p5") else (rate < 0.2) for (_, path), rate in rates.items())
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", -2.0, -9.0)] * 500 + [("foul", "p", 2.0, -9.0)] * 200 + [("small", "p", 2.0, -9.0)] + [(None, None, 0.0, 0.0)]
     scored = spark.createDataFrame(rows, "_host string, _path string, _bad double, _toxic double")
@@ -652,6 +685,16 @@ def chats_brute(rows):
     return sorted(out)
 
 
+def test_many_equal_turns_fill_runs_of_their_own(spark):
+    """All rows of a conversation share one turn or have none: runs stay small, and the texts are whole."""
+    rows = [("a", None, "user", f"said {i}") for i in range(900)] + [("b", 5, f"r{i % 7}", f"t {i}") for i in range(700)] + [("c", 1, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(4)
+    placed = chat._placed(turns, "conv_id", "turn", "role", "text")
+    runs = placed.groupBy("c", "run").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert tuple(runs) == (chat.RUN, 4 + 3 + 1)
+    assert sorted(map(tuple, chat.format_chats(turns).collect())) == chats_brute(rows)
+
+
 def test_chats(spark):
     r = random.Random(4)
     rows, talk = [], []
