@@ -3,15 +3,18 @@
 A completion is a text or an array of (role, content) messages, of which the
 last one counts. A reward that has no value (a null truth or metric) is NaN.
 
-Rewards given as Python functions are called row by row, in Arrow batches: they
-are the user's own code, and one that fails costs a NaN and no job.
+Rewards given as Python functions are called for each row of Arrow batches: they
+are the user's own code, and one that fails, or takes too long, costs a NaN and no
+job. Those that wait, for a judge or a sandbox, wait together.
 """
 
 from __future__ import annotations
 
 import asyncio
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from importlib import import_module
 
 import pandas as pd
@@ -130,35 +133,56 @@ def named_rewards(module: str, attribute: str = "reward_functions") -> dict[str,
     return found
 
 
-def _value(function: Callable, arguments: dict) -> float:
-    """A function's reward; NaN where it fails or gives no number."""
-    try:
-        found = function(**arguments)
-        if inspect.isawaitable(found):
-            found = asyncio.run(_awaited(found))
-        return float(found) if isinstance(found, (int, float)) else NAN
-    except Exception:  # the user's code may fail in any way
-        return NAN
+async def _value(function: Callable, arguments: dict, gate: asyncio.Semaphore, timeout: float | None, threads: ThreadPoolExecutor | None) -> float:
+    """A function's reward; NaN where it fails, gives no number or takes longer than ``timeout``."""
+    async with gate:
+        try:
+            if threads and not inspect.iscoroutinefunction(function):
+                call = asyncio.get_running_loop().run_in_executor(threads, partial(function, **arguments))
+                found = await asyncio.wait_for(call, timeout)
+            else:
+                found = function(**arguments)
+            if inspect.isawaitable(found):
+                found = await asyncio.wait_for(found, timeout)
+            return float(found) if isinstance(found, (int, float)) else NAN
+        except Exception:  # the user's code may fail in any way
+            return NAN
 
 
-async def _awaited(value):
-    return await value
+async def _gathered(
+    functions: dict[str, Callable], records: list[dict], concurrency: int, timeout: float | None, threads: ThreadPoolExecutor | None
+) -> list[dict]:
+    gate = asyncio.Semaphore(concurrency)
+    calls = [_value(f, record, gate, timeout, threads) for record in records for f in functions.values()]
+    values = iter(await asyncio.gather(*calls))
+    return [{name: next(values) for name in functions} for _ in records]
 
 
 def call_rewards(
-    rows: DataFrame, functions: dict[str, Callable], completion: str = "completion", truth: str = "ground_truth", extras: tuple[str, ...] = ()
+    rows: DataFrame, functions: dict[str, Callable], completion: str = "completion", truth: str = "ground_truth", extras: tuple[str, ...] = (),
+    concurrency: int = 64, timeout: float | None = None,
 ) -> DataFrame:
     """``rows`` with ``rewards``, a map of what each function returns, and their sum.
 
     A function takes completion, ground_truth and the ``extras`` by keyword; it
     may be a coroutine function. A null completion or truth is an empty text.
+
+    A task runs one event loop, in which up to ``concurrency`` calls are under way
+    at once. With a ``timeout``, in seconds for each call, plain functions run on
+    threads, since nothing else can outwait them; without one they run in turn.
     """
     names = {"completion": completion, "ground_truth": truth, **{e: e for e in extras}}
 
     @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
-    def call(given: pd.DataFrame) -> pd.Series:
-        records = given.to_dict("records")
-        return pd.Series([{name: _value(f, record) for name, f in functions.items()} for record in records], dtype=object)
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        threads = ThreadPoolExecutor(concurrency) if timeout is not None else None
+        try:
+            with asyncio.Runner() as loop:
+                for given in batches:
+                    yield pd.Series(loop.run(_gathered(functions, given.to_dict("records"), concurrency, timeout, threads)), dtype=object)
+        finally:
+            if threads:
+                threads.shutdown(wait=False, cancel_futures=True)
 
     def argument(name: str, column: str) -> Column:
         empty = name in ("completion", "ground_truth") and isinstance(rows.schema[column].dataType, T.StringType)

@@ -8,9 +8,11 @@ is one file, so its cells fit a task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.calendar import SERIAL_START, clock_text
 from ..functions.exact import equal_when_rounded
@@ -89,41 +91,49 @@ def _text(value: Column, raw: Column, kind: Column) -> Column:
     return F.when(kind == "time", clock_text(time_text(raw))).otherwise(value)
 
 
-def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles: bool = False) -> DataFrame:
-    """(workbook, matches, first_mismatch, message) for the cells ``wanted`` (workbook, sheet, row, col, ord, state).
+def _sheets(truth: DataFrame, output: DataFrame) -> DataFrame:
+    """(workbook, sheet, in_t, in_o, first, unread) of every sheet on either side; first: of the truth."""
+    def marks(cells: DataFrame, own: bool) -> DataFrame:
+        unread = F.coalesce(F.col("value_type") == UNREADABLE, F.lit(False))
+        first = F.coalesce(F.col("sheet_idx") == 0, F.lit(False)) if own else F.lit(False)
+        return cells.select("workbook", "sheet", F.lit(own).alias("in_t"), F.lit(not own).alias("in_o"), first.alias("first"), unread.alias("unread"))
+
+    both = marks(truth, True).unionByName(marks(output, False))
+    return both.groupBy("workbook", "sheet").agg(*[F.max(c).alias(c) for c in ("in_t", "in_o", "first", "unread")])
+
+
+def _asked(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``wanted`` with the sheets that ranges without one mean, and which sides have them."""
+    books = sheets.groupBy("workbook").agg(F.max(F.when(F.col("first"), F.col("sheet"))).alias("_first"), F.max("unread").alias("unread"))
+    named = wanted.join(books, "workbook", "left").withColumn("sheet", F.coalesce("sheet", "_first")).drop("_first")
+    sides = sheets.select("workbook", "sheet", "in_t", "in_o")
+    return named.join(sides, ["workbook", "sheet"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("unread", "in_t", "in_o")})
+
 
-    Numbers, also as text, are equal when they are rounded to two places; dates
-    are their whole days, times their hours and minutes; a missing cell equals an
-    empty one. A range without a sheet means the truth's first one. Nothing
-    matches in a sheet that either side lacks, a malformed range, or a workbook
-    that could not be read. ``styles`` also compares fills and font colours.
+def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles: bool = False, by: tuple[str, ...] = ("workbook",)) -> DataFrame:
+    """(*by, matches, first_mismatch, message) for the cells ``wanted`` (workbook, sheet, row, col, ord, state, *by).
 
-    All three inputs meet in one exchange by workbook; rounding, which is
-    Python's own, sees one row a workbook, with the few numbers that it decides.
+    ``by`` names what is judged: all ranges of a workbook together, or those of
+    each example. Numbers, also as text, are equal when they are rounded to two
+    places; dates are their whole days, times their hours and minutes; a missing
+    cell equals an empty one. A range without a sheet means the truth's first one.
+    Nothing matches in a sheet that either side lacks, a malformed range, or a
+    workbook that could not be read. ``styles`` also compares fills and font colours.
+
+    Wanted cells are the built side of hash joins, which each side's cells stream
+    by once; only differing cells meet by ``by``, and rounding, which is Python's
+    own, sees one row for each, with the few numbers that it decides. Both sides
+    are read twice, the second time for their sheets: write first what is costly
+    to parse.
     """
     shown = ["value", "value_type", *(["fill_fg", "fill_bg", "font_rgb"] if styles else [])]
     keys = ["workbook", "sheet", "row", "col"]
 
     def side(cells: DataFrame, name: str) -> DataFrame:
-        fills = [F.coalesce(F.col(c), F.lit(NO_FILL)).alias(c) if c.startswith("fill") else F.col(c) for c in shown]
-        return cells.select(*keys, F.lit(name).alias("side"), "sheet_idx", F.struct(*fills).alias("cell"), F.lit(None).cast(wanted.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("state"))
-
-    nothing = F.lit(None).cast(side(truth, "t").schema["cell"].dataType)
-    asked = wanted.select(*keys, F.lit("w").alias("side"), F.lit(None).cast("int").alias("sheet_idx"), nothing.alias("cell"), "ord", "state")
-    book = Window.partitionBy("workbook")
-    own = Window.partitionBy("workbook", "sheet")
-    first = F.max(F.when((F.col("side") == "t") & (F.col("sheet_idx") == 0), F.col("sheet"))).over(book)
-    unread = F.max((F.col("side") != "w") & (F.col("cell.value_type") == UNREADABLE)).over(book)
-    rows = (
-        asked.unionByName(side(truth, "t")).unionByName(side(output, "o"))
-        .withColumns({"_first": first, "_unread": F.coalesce(unread, F.lit(False))})
-        .withColumn("sheet", F.when(F.col("side") == "w", F.coalesce("sheet", "_first")).otherwise(F.col("sheet")))
-        .withColumns({f"_in_{x}": F.max(F.col("side") == x).over(own) for x in ("t", "o")})
-    )
-    pairs = rows.groupBy(*keys).agg(
-        F.min("ord").alias("ord"), F.max("state").alias("state"), F.max("_unread").alias("unread"), F.max("_in_t").alias("in_t"), F.max("_in_o").alias("in_o"),
-        *[F.max(F.when(F.col("side") == x, F.col("cell"))).alias(x) for x in ("t", "o")],
-    ).where(F.col("ord").isNotNull())
+        return cells.where(F.col("row").isNotNull()).select(*keys, F.struct(*shown).alias(name))
+
+    asked = _asked(wanted, _sheets(truth, output))
+    pairs = asked.hint("shuffle_hash").join(side(truth, "t"), keys, "left").hint("shuffle_hash").join(side(output, "o"), keys, "left")
     # cells of the same text need no number, but for NaN, which equals nothing; each column is computed once
     pairs = pairs.withColumn("same", F.col("t.value").eqNullSafe(F.col("o.value")) & F.col("t.value_type").eqNullSafe(F.col("o.value_type")))
     differs = {x: F.when(~F.col("same") | F.lower(f"{x}.value").contains("nan"), F.col(f"{x}.value")) for x in ("t", "o")}
@@ -132,13 +142,12 @@ def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles
         name: made for name, x in (("a", "t"), ("b", "o"))
         for name, made in ((name, _number(F.col(f"raw_{x}"), F.col(f"{x}.value_type"))), (f"text_{name}", _text(F.col(f"{x}.value"), F.col(f"raw_{x}"), F.col(f"{x}.value_type"))))
     })
-    numbers = [F.col("a"), F.col("b")]
     nan = F.coalesce(F.isnan("a") | F.isnan("b"), F.lit(False))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     neither = F.col("a").isNull() & F.col("b").isNull()
     alike = F.when(nan, False).when(F.col("same"), True).when(both, F.col("a") == F.col("b")).when(neither, F.col("text_a").eqNullSafe(F.col("text_b")))
     alike = F.coalesce(alike, F.lit(False))
-    close = both & ~nan & ~alike & (F.abs(numbers[0] - numbers[1]) <= 0.011)  # rounding alone can tell
+    close = both & ~nan & ~alike & (F.abs(F.col("a") - F.col("b")) <= 0.011)  # rounding alone can tell
     ref = F.concat(column_letters(F.col("col")), F.col("row").cast("string"))
     fill = F.lit(True)
     font = F.lit(True)
@@ -160,16 +169,18 @@ def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles
         .when(~font, F.concat(F.lit("Font color mismatch at "), ref))
     )
     ref = F.when((F.col("state") == "cell") & F.col("in_o") & F.col("in_t") & ~F.col("unread"), ref)
-    judged = pairs.select("workbook", "ord", ref.alias("ref"), message.alias("message"), *[n.alias(x) for n, x in zip(numbers, "ab", strict=True)], close.alias("close"), value_message.alias("unequal"))
+    judged = pairs.select(*by, "ord", ref.alias("ref"), message.alias("message"), "a", "b", close.alias("close"), value_message.alias("unequal"))
     failed = F.when(F.col("message").isNotNull(), F.struct("ord", "ref", "message"))
     unsure = F.when(F.col("close") & F.col("message").isNull(), F.struct("ord", "ref", F.col("unequal").alias("message"), "a", "b"))
-    found = judged.groupBy("workbook").agg(F.min(failed).alias("failed"), F.array_sort(F.collect_list(unsure)).alias("unsure"))
+    found = judged.where(F.col("close") | F.col("message").isNotNull()).groupBy(*by).agg(F.min(failed).alias("failed"), F.array_sort(F.collect_list(unsure)).alias("unsure"))
     found = found.withColumn("same", equal_when_rounded(F.col("unsure.a"), F.col("unsure.b")))
     open_ = F.filter(F.arrays_zip("unsure", "same"), lambda x: ~x["same"])
     late = F.get(open_, F.lit(0))["unsure"]
     worst = F.least("failed", F.when(late.isNotNull(), F.struct(late["ord"].alias("ord"), late["ref"].alias("ref"), late["message"].alias("message"))))
-    return found.select(
-        "workbook", worst.isNull().alias("matches"), worst["ref"].alias("first_mismatch"), F.coalesce(worst["message"], F.lit("All comparisons passed.")).alias("message")
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in by], worst.alias("worst"))
+    judgements = wanted.select(*by).distinct().join(found, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left")
+    return judgements.select(
+        *by, F.col("worst").isNull().alias("matches"), F.col("worst.ref").alias("first_mismatch"), F.coalesce("worst.message", F.lit("All comparisons passed.")).alias("message")
     )
 
 
@@ -226,8 +237,13 @@ def render_books(cells: DataFrame) -> DataFrame:
 
 
 def spreadsheet_reward(examples: DataFrame, truth: DataFrame, output: DataFrame) -> DataFrame:
-    """``examples`` (workbook, position, ...) with ``reward``: 1 where the output's cells match, 0 otherwise and without one."""
-    wanted = expand_ranges(examples.select("workbook", "position").distinct(), "position")
-    found = compare_cells(wanted, truth, output).select(F.col("workbook").alias("_w"), "matches")
-    joined = examples.join(found, F.col("workbook") == F.col("_w"), "left")
-    return joined.withColumn("reward", F.coalesce("matches", F.lit(False)).cast("double")).drop("_w", "matches")
+    """``examples`` (workbook, position, ...) with ``reward``: 1 where the output's cells at the position match, 0 otherwise.
+
+    Each example is judged on its own, also where several ask about one workbook;
+    a null workbook or position is 0.
+    """
+    key = ["workbook", "position"]
+    wanted = expand_ranges(examples.select(*key).distinct(), "position")
+    found = compare_cells(wanted, truth, output, by=("workbook", "position")).select(*[F.col(c).alias(f"_{c}") for c in key], "matches")
+    joined = examples.join(found, (F.col("workbook") == F.col("_workbook")) & (F.col("position") == F.col("_position")), "left")
+    return joined.withColumn("reward", F.coalesce("matches", F.lit(False)).cast("double")).drop("_workbook", "_position", "matches")

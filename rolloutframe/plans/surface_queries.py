@@ -6,6 +6,7 @@ oracles splice together from their columns in the same way.
 
 from __future__ import annotations
 
+import asyncio
 import io
 import uuid
 import zipfile
@@ -37,6 +38,11 @@ def _fails(id: int, **_) -> float | str:
     return 1 if id % 3 == 0 else [][id] if id % 3 == 1 else "no number"
 
 
+async def _waits(completion: str, id: int, **_) -> float:
+    await asyncio.sleep(60 if id % 500 == 0 else 0.02)
+    return len(completion) / 10
+
+
 def _longest(rollout_ids: list, completions: list, ground_truths: list) -> list[dict]:
     most = max(map(len, completions))
     return [{"longest": float(len(c) == most), "size": len(rollout_ids)} for c in completions]
@@ -49,6 +55,14 @@ def reward_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", r["equals"].alias("equals"), r["length"].alias("length"), F.isnan(r["fails"]).alias("failed"), F.isnan("total_reward").alias("no_total"))
 
 
+def reward_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewards that wait, together; those that wait a minute are given up."""
+    rows = _orders(spark, sf_dir).select("id", "completion", "truth")
+    scored = rewards.call_rewards(rows, {"waits": _waits, "equals": _equals}, truth="truth", extras=("id",), concurrency=500, timeout=5)
+    r = F.col("rewards")
+    return scored.select("id", F.when(~F.isnan(r["waits"]), r["waits"]).alias("waits"), r["equals"].alias("equals"), F.isnan("total_reward").alias("no_total"))
+
+
 def _variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollouts.variables(_log(spark, sf_dir))
 
@@ -98,10 +112,11 @@ def reward_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reward_spreadsheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two examples for each workbook, of which one may fail, and one for a workbook that is not there."""
     orders = t.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("workbook")).distinct()
-    lost = orders.select(F.concat(F.lit("x"), "workbook").alias("workbook"))
-    examples = orders.unionByName(lost).withColumn("position", F.lit("B1:B2"))
-    return sheets.spreadsheet_reward(examples, _cells(spark, sf_dir), _cells(spark, sf_dir, True)).select("workbook", "reward")
+    lost = orders.select(F.concat(F.lit("x"), "workbook").alias("workbook"), F.lit("A1").alias("position"))
+    asked = orders.select("workbook", F.explode(F.array(F.lit("B1:B2"), F.lit("A1,C1"))).alias("position"))
+    return sheets.spreadsheet_reward(asked.unionByName(lost), _cells(spark, sf_dir), _cells(spark, sf_dir, True)).select("workbook", "position", "reward")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +325,7 @@ def workbook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        reward_callable, reward_variable, reward_log, reward_group_hook, reward_stripped, reward_by_metric, reward_spreadsheet,
+        reward_callable, reward_concurrent, reward_variable, reward_log, reward_group_hook, reward_stripped, reward_by_metric, reward_spreadsheet,
         rollout_steps, rollout_histories, rollout_cut, rollout_repeated_ids, environment_play, environment_tools, tool_run, tool_catalogue, tool_text_parts,
         variable_names, example_extras, example_metadata, std_spreadsheet, std_question_answer, split_kept, dataset_round_trip, drop_null_columns,
         adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text,
@@ -333,6 +348,8 @@ _PROMPT = " || chr(10) || ".join(
 ORACLES = {
     "reward_callable": f"""WITH {_ORDERS} SELECT id, CAST(completion = truth AS DOUBLE) AS equals, length(completion) / 10.0 AS length,
   id % 3 <> 0 AS failed, id % 3 <> 0 AS no_total FROM o""",
+    "reward_concurrent": f"""WITH {_ORDERS} SELECT id, CASE WHEN id % 500 > 0 THEN length(completion) / 10.0 END AS waits,
+  CAST(completion = truth AS DOUBLE) AS equals, id % 500 = 0 AS no_total FROM o""",
     "reward_variable": f"""WITH {_LOG} SELECT DISTINCT rollout_id, CAST(rollout_id % 2 = 0 AND rollout_id % 5 <> 0 AS DOUBLE) AS reward
 FROM live WHERE tool = 'define_variable'""",
     "reward_log": f"""WITH {_LOG} SELECT DISTINCT rollout_id, CAST(rollout_id % 2 = 0 AND rollout_id % 5 <> 0 AS DOUBLE) AS reward
@@ -344,7 +361,8 @@ FROM live WHERE tool = 'append_log'""",
 SELECT id, id % 4 = 2 AS failed, CASE id % 4 WHEN 1 THEN 0.0 WHEN 2 THEN NULL
   ELSE round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) END AS reward FROM s""",
     "reward_spreadsheet": f"""WITH {_ITEMS}, o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), bad AS (SELECT l_orderkey AS k FROM i WHERE l_orderkey % 5 = 0 AND n = 2)
-SELECT CAST(k AS VARCHAR) AS workbook, CAST(k NOT IN (SELECT k FROM bad) AS DOUBLE) AS reward FROM o UNION ALL SELECT 'x' || k, 0.0 FROM o""",
+SELECT CAST(k AS VARCHAR) AS workbook, 'B1:B2' AS position, CAST(k NOT IN (SELECT k FROM bad) AS DOUBLE) AS reward FROM o
+UNION ALL SELECT CAST(k AS VARCHAR), 'A1,C1', 1.0 FROM o UNION ALL SELECT 'x' || k, 'A1', 0.0 FROM o""",
     "rollout_steps": f"""WITH {_STEPS} SELECT rollout_id, turn, CASE WHEN has_call THEN CASE WHEN turn % 7 = 3 THEN '' ELSE event_type END END AS name,
   CASE WHEN has_call THEN '{{"id":' || turn || '}}' END AS arguments,
   CASE WHEN turn % 7 <> 3 AND length(seen) > 8 THEN substring(seen, 1, 8) || '...' ELSE seen END AS observation,

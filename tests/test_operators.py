@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import asyncio
 import io
 import json
 import math
 import os
+import time
 import zipfile
 from datetime import datetime
 
@@ -191,6 +193,39 @@ def test_positions_of_any_order(spark):
     assert placed.columns == ["k", "j", "at"] and largest <= 4000
 
 
+def test_examples_of_one_workbook_are_judged_apart(spark):
+    cell = "workbook string, sheet string, sheet_idx int, row int, col int, value string, value_type string"
+    truth = spark.createDataFrame([("w", "S", 0, 1, 1, "5", "number"), ("w", "S", 0, 1, 2, "x", "string"), ("v", "S", 0, 1, 1, "1", "number")], cell)
+    output = spark.createDataFrame([("w", "S", 0, 1, 1, "5.0", "number"), ("w", "S", 0, 1, 2, "y", "string"), ("v", "S", 0, 1, 1, "1", "number")], cell)
+    asked = [("w", "A1", 1), ("w", "B1", 2), ("w", "A1:B1", 3), ("w", "A1,C9", 4), ("v", "A1", 5), ("u", "A1", 6), ("w", None, 7), ("w", "A1", 8), ("w", "?", 9)]
+    found = sheets.spreadsheet_reward(spark.createDataFrame(asked, "workbook string, position string, id int"), truth, output)
+    assert {r["id"]: r["reward"] for r in found.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0, 6: 0.0, 7: 0.0, 8: 1.0, 9: 0.0}
+
+
+async def _sleeps(completion, **_):
+    await asyncio.sleep(30 if completion == "forever" else 0.2)
+    return 1
+
+
+def _blocks(completion, **_):
+    time.sleep(20 if completion == "stuck" else 0.05)
+    return 2
+
+
+def test_rewards_wait_together(spark):
+    """1000 rewards of 0.2 s and 0.05 s, on two tasks, in a fraction of their sum; those out of time are NaN."""
+    rows = [("forever" if i % 300 == 7 else "stuck" if i % 400 == 9 else "ok",) for i in range(1000)]
+    given = spark.createDataFrame(rows, "completion string").withColumn("ground_truth", F.lit("")).repartition(2)
+    began = time.perf_counter()
+    found = rewards.call_rewards(given, {"sleeps": _sleeps, "blocks": _blocks}, concurrency=100, timeout=3).collect()
+    took = time.perf_counter() - began
+    assert took < 40  # one after another: 250 s, and 120 s for those that never end
+    for r in found:
+        assert math.isnan(r["rewards"]["sleeps"]) == (r["completion"] == "forever")
+        assert math.isnan(r["rewards"]["blocks"]) == (r["completion"] == "stuck")
+    assert sum(r["rewards"]["sleeps"] == 1.0 and r["rewards"]["blocks"] == 2.0 for r in found) == 1000 - 4 - 3
+
+
 def test_dense_ranks(spark):
     rows = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("a", 1.0), ("a", None), (None, 2.0), (None, 5.0), ("b", 0.0)], "k string, v double")
     assert sorted((r["k"] or "", -1.0 if r["v"] is None else r["v"], r["rank"]) for r in crm.ranked(rows, "v", "k").collect()) == [
