@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import truncated
+from ..functions.text import is_name, truncated
+from .positions import numbered
 from .toolcalls import first_call
 
+CHUNK = 4096
+
 
 def steps(turns: DataFrame, max_chars: int = 10_000) -> DataFrame:
     """The steps of rollouts from their raw turns: (rollout_id, turn, action, name, arguments, observation, reward, done).
@@ -78,6 +82,36 @@ def variables(log: DataFrame) -> DataFrame:
     return defined.groupBy("rollout_id", "name").agg(F.max_by("value", "seq").alias("value"))
 
 
+def name_error(name: Column, known: Column) -> Column:
+    """Why a variable cannot be read, null where it can."""
+    return F.when(~is_name(name), F.concat(F.lit("Invalid variable name: '"), F.coalesce(name, F.lit("")), F.lit("'"))).when(
+        ~known, F.concat(F.lit("Variable '"), name, F.lit("' not defined"))
+    )
+
+
+def variables_at(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(rollout_id, seq, name, value, error): what each ``get_variable`` call finds, as defined before it.
+
+    Rows are numbered by rollout, name and ``seq`` and looked up within chunks of
+    ``chunk`` rows; what holds at a chunk's start comes from the ends of those
+    before it, so a rollout with a third of all rows is never one task's.
+    """
+    calls = live_rows(log).where(F.col("tool").isin("define_variable", "get_variable")).select("rollout_id", "name", "seq", "tool", "value")
+    keys = ["_chunk", "rollout_id", "name"]
+    rows = numbered(calls, "rollout_id", "name", "seq", name="_at").withColumns({
+        "_chunk": F.floor(F.col("_at") / chunk),
+        "_set": F.when((F.col("tool") == "define_variable") & is_name(F.col("name")), F.struct(F.col("value").cast("double").alias("value"))),
+    })
+    ends = rows.groupBy(*keys).agg(F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("_at"))).alias("_end"))
+    before = Window.partitionBy("rollout_id", "name").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_e{k}") for k in keys], F.last("_end", ignorenulls=True).over(before).alias("_held"))
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.last("_set", ignorenulls=True).over(earlier)).where(F.col("tool") == "get_variable")
+    same = [F.col(k).eqNullSafe(F.col(f"_e{k}")) for k in keys]
+    found = rows.join(ends, same[0] & same[1] & same[2]).withColumn("_now", F.coalesce("_own", "_held"))
+    return found.select("rollout_id", "seq", "name", F.col("_now.value").alias("value"), name_error(F.col("name"), F.col("_now").isNotNull()).alias("error"))
+
+
 def success_rate(scored: DataFrame, success: Column, *keys: str) -> DataFrame:
     return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(success.cast("double")).alias("success_rate"))
 

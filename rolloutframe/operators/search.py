@@ -56,7 +56,8 @@ def search_articles(articles: DataFrame, term: str, limit: int = 10) -> DataFram
 
 def hit_list(hits: DataFrame) -> DataFrame:
     """One text: numbered titles and snippets, a blank line between; says so where there are none."""
-    entry = F.concat(F.col("rank").cast("string"), F.lit(". "), "title", F.lit("\n   "), "snippet")
+    title, snippet = (F.coalesce(c, F.lit("")) for c in ("title", "snippet"))
+    entry = F.concat(F.col("rank").cast("string"), F.lit(". "), title, F.lit("\n   "), snippet)
     listed = F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry"))))
     return hits.agg(
         F.when(F.count(F.lit(1)) == 0, F.lit("No results found."))
@@ -67,7 +68,7 @@ def hit_list(hits: DataFrame) -> DataFrame:
 
 def search_text(articles: DataFrame, term: str, limit: int = 10) -> DataFrame:
     """(text): the hits as a model reads them, or why there are none."""
-    if not term:
+    if not term or not term.strip():
         return articles.sparkSession.createDataFrame([("Error: Missing required parameter: 'q'",)], "text string")
     return hit_list(search_articles(articles, term, limit))
 

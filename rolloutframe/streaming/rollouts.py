@@ -29,19 +29,30 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 da
     )
 
 
-def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """All that is there now, through the stream, as a table: the newest row of each key."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_end(stream: DataFrame, keys: list[str], provider: str | None = None) -> DataFrame:
+    """All that is there now, through the stream, as a table: the newest row of each key.
+
+    ``provider``: the state store of this query, where it needs one of its own.
+    """
     spark = stream.sparkSession
+    before = spark.conf.get(STORE)
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/_b={number}")
 
-    query = (
-        stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
-    query.awaitTermination()
+    try:
+        spark.conf.set(STORE, provider or before)
+        query = (
+            stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").drop("_b")
     others = [c for c in stream.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("x"))

@@ -11,13 +11,15 @@ import time
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rolloutframe.operators import crm, datasets, positions, rewards, rollouts, search, sheets, toolcalls
+from rolloutframe.operators import crm, datasets, positions, rewards, rollouts, search, sheets, text_index, toolcalls
 from rolloutframe.operators.environments import Environment, Tool
 from rolloutframe.sources import tables, workspace, xlsx
 from rolloutframe.streaming import rollouts as streams
+from rolloutframe.streaming import state
 
 
 def at(hour, minute=0, month=10):
@@ -226,6 +228,122 @@ def test_rewards_wait_together(spark):
     assert sum(r["rewards"]["sleeps"] == 1.0 and r["rewards"]["blocks"] == 2.0 for r in found) == 1000 - 4 - 3
 
 
+CALLS = "rollout_id string, seq int, tool string, name string, value double"
+TURNS = [
+    [("a", 2, "get_variable", "x", None), ("a", 1, "define_variable", "x", 1.5), ("b", 1, "get_variable", "x", None), ("c", 1, "define_variable", "y", 2.0)],
+    [("a", 3, "get_variable", "x", None), ("a", 4, "define_variable", "x", 7.0), ("a", 5, "get_variable", "x", None), ("c", 2, None, None, None)],
+    [("a", 6, "get_variable", "2x", None), ("a", 7, "define_variable", "2x", 1.0), ("a", 8, "get_variable", "x", None), ("c", 3, "get_variable", "y", None),
+     ("b", 2, "define_variable", "x", None), ("b", 3, "get_variable", "x", None), ("b", 4, "error", None, None), ("b", 5, "get_variable", "x", None)],
+]
+FOUND = {
+    ("a", 2, "x", 1.5, None), ("b", 1, "x", None, "Variable 'x' not defined"), ("a", 3, "x", 1.5, None), ("a", 5, "x", 7.0, None),
+    ("a", 6, "2x", None, "Invalid variable name: '2x'"), ("a", 8, "x", 7.0, None), ("b", 3, "x", None, None),
+}
+
+
+def test_variables_at_the_call_in_batch(spark):
+    log = spark.createDataFrame([r for turns in TURNS for r in turns], CALLS).repartition(3)
+    for chunk in (1, 2, 4096):
+        assert {tuple(r) for r in rollouts.variables_at(log, chunk).collect()} == FOUND
+
+
+def test_variables_at_the_call_as_a_stream(spark, tmp_path):
+    """Three micro-batches see what the batch twin sees."""
+    for n, turns in enumerate(TURNS):
+        spark.createDataFrame(turns, CALLS).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        os.utime(next((tmp_path / "in" / str(n)).glob("*.parquet")), (n + 1, n + 1))
+    source = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    found = streams.run_to_end(state.variables_at(source), ["rollout_id", "seq"], state.PROVIDER)
+    assert {(r["rollout_id"], r["seq"], r["name"], r["value"], r["error"]) for r in found.collect()} == FOUND
+
+
+class _State:
+    """What a state of one key offers."""
+
+    def __init__(self):
+        self.held = {}
+
+    def exists(self):
+        return bool(self.held)
+
+    def update(self, value):
+        self.held = {(): value}
+
+    def clear(self):
+        self.held = {}
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+
+    def getValue(self, key):  # noqa: N802
+        return self.held[key]
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.held
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):  # noqa: N802
+        return _State()
+
+    getValueState = getMapState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, timer):  # noqa: N802
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):  # noqa: N802
+        self.timers.add(timer)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return 1000
+
+
+def test_silent_rollouts_lose_their_state():
+    processor, handle = state.Variables(idle=50), _Handle()
+    processor.init(handle)
+    ask = lambda rows: [list(f.itertuples(index=False, name=None)) for f in processor.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["rollout_id", "seq", "tool", "name", "value"])]), handle)]
+    assert ask([("a", 2, "get_variable", "x", None), ("a", 1, "define_variable", "x", 3.0)]) == [[("a", 2, "x", 3.0, None)]]
+    assert handle.timers == {1050}
+    assert list(processor.handleExpiredTimer(("a",), handle, None)) == []
+    assert ask([("a", 3, "get_variable", "x", None)]) == [[("a", 3, "x", None, "Variable 'x' not defined")]]
+    assert ask([("a", 4, None, None, None)]) == ask([("a", 5, "get_variable", "x", None)]) == [] and len(handle.timers) == 1
+
+
+def test_an_index_is_searched_without_the_texts(spark, tmp_path):
+    rows = [(1, "Red e-mail", "Über alles"), (2, "blue", None), (3, None, "RED redder 2nd"), (4, "", "E mail; red, red"), (5, "reddish", "mail")]
+    texts = spark.createDataFrame(rows, "id int, name string, body string")
+    text_index.add(texts.where("id < 4"), f"{tmp_path}/i", "id", {"name": F.col("name"), "body": F.col("body")})
+    text_index.add(texts.where("id >= 4"), f"{tmp_path}/i", "id", {"name": F.col("name"), "body": F.col("body")})
+    index = text_index.read(spark, f"{tmp_path}/i")
+    find = lambda text, *fields: {tuple(r) for r in text_index.search(index, text, fields).collect()}
+    assert find("red") == {(1, 1), (3, 1), (4, 2)}
+    assert find("RED*") == {(1, 1), (3, 2), (4, 2), (5, 1)}
+    assert find("e-mail red") == find("red AND E AND mail") == {(1, 3), (4, 4)}
+    assert find("über OR 2nd OR BLUE") == {(1, 1), (2, 1), (3, 1)}
+    assert find("red", "name") == {(1, 1)} and find("zzz") == set() and find("mail e*", "body") == {(4, 2)}
+    for blank in ("", "  ", " OR ", "AND", "*", None):
+        with pytest.raises(ValueError, match="cannot be empty"):
+            text_index.search(index, blank)
+    plan = text_index.search(index, "red ble*")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,ble)" in plan and "EqualTo(term,red)" in plan and plan.count("FileScan") == 1
+    objects = text_index.find({"A": index, "B": index}, "blue").collect()
+    assert sorted(map(tuple, objects)) == [("A", "2", 1), ("B", "2", 1)]
+
+
+def test_search_texts_always_say_something(spark):
+    hits = spark.createDataFrame([(1, None, "s"), (2, "t", None)], "rank int, title string, snippet string")
+    assert search.hit_list(hits).first()["text"] == "1. \n   s\n\n2. t\n   "
+    articles = spark.createDataFrame([(1, "a", "b")], "id int, title string, extract string")
+    for blank in ("", " \t", None):
+        assert search.search_text(articles, blank).first()["text"] == "Error: Missing required parameter: 'q'"
+
+
 def test_dense_ranks(spark):
     rows = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("a", 1.0), ("a", None), (None, 2.0), (None, 5.0), ("b", 0.0)], "k string, v double")
     assert sorted((r["k"] or "", -1.0 if r["v"] is None else r["v"], r["rank"]) for r in crm.ranked(rows, "v", "k").collect()) == [
