@@ -101,15 +101,18 @@ def reward_group_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewards.group_normalized(rows, "grp", "reward").select("id", F.round("advantage", 6).alias("advantage"))
 
 
-def tool_calls_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls, of which some are broken, lack a name, or have arguments of another kind."""
+def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, text) with calls, of which some are broken, lack a name, or have arguments of another kind."""
     key = F.col("event_id")
     name = F.when(key % 7 == 3, F.lit("")).otherwise(F.col("event_type"))
     arguments = F.when(key % 11 == 5, F.lit("[1]")).otherwise(F.col("props"))
     one = F.concat(F.lit('<tool_call>\n{"name": "'), name, F.lit('", "arguments": '), arguments, F.lit("}\n</tool_call>"))
     other = F.when(key % 13 == 2, F.lit("<tool_call>{oops</tool_call>")).when(key % 3 == 0, F.lit("<tool_call>7</tool_call>")).otherwise("")
-    rows = t.load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Let me see. "), one, other).alias("text"))
-    return toolcalls.calls(rows, "text").select("event_id", "call", "name", "arguments", "error")
+    return t.load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Let me see. "), one, other).alias("text"))
+
+
+def tool_calls_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.calls(call_rows(spark, sf_dir), "text").select("event_id", "call", "name", "arguments", "error")
 
 
 def search_products(spark: SparkSession, sf_dir: str) -> DataFrame:

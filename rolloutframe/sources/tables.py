@@ -42,6 +42,38 @@ def drop_null_columns(rows: DataFrame) -> DataFrame:
     return rows.drop(*[c for i, c in enumerate(rows.columns) if not counts[f"n{i}"]])
 
 
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row, n0, n1, …: the values of each column of a Parquet table, counted from its footers.
+
+    The plan is made under settings that push the counts into the scan; it reads no data.
+    """
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        rows = spark.read.parquet(path)
+        counts = rows.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(rows.columns)])
+        counts._jdf.queryExecution().executedPlan()  # planned now, under these settings
+        return counts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def load_without_null_columns(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table without the columns that hold no value at all.
+
+    Footers count flat columns; the nested ones are counted from the data.
+    """
+    rows = spark.read.parquet(path)
+    flat = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    if len(flat) < len(rows.columns):
+        return drop_null_columns(rows)
+    found = footer_counts(spark, path).first() if flat else ()
+    return rows.drop(*[c for c, n in zip(rows.columns, found, strict=True) if not n])
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases, each about one of its line items; a case closes when its last line item ships."""
     closed = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))

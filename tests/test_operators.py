@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rolloutframe.operators import crm, datasets, positions, rewards, rollouts, search, sheets, text_index, toolcalls
 from rolloutframe.operators.environments import Environment, Tool
-from rolloutframe.sources import tables, workspace, xlsx
+from rolloutframe.sources import sql_functions, tables, workspace, xlsx
 from rolloutframe.streaming import rollouts as streams
 from rolloutframe.streaming import state
 
@@ -344,6 +344,32 @@ def test_search_texts_always_say_something(spark):
         assert search.search_text(articles, blank).first()["text"] == "Error: Missing required parameter: 'q'"
 
 
+def test_counts_come_from_footers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, None, "x"), (2, None, 3.0, None)], "id int, nothing string, `a.b` double, s string")
+    rows.repartition(2).write.parquet(f"{tmp_path}/t")
+    counts = tables.footer_counts(spark, f"{tmp_path}/t")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(id)" in plan and tuple(counts.first()) == (2, 0, 1, 1)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    assert tables.load_without_null_columns(spark, f"{tmp_path}/t").columns == ["id", "a.b", "s"]
+    rows.withColumn("l", F.array("id")).write.parquet(f"{tmp_path}/u")
+    assert tables.load_without_null_columns(spark, f"{tmp_path}/u").columns == ["id", "a.b", "s", "l"]
+
+
+def test_tool_calls_in_sql(spark):
+    sql_functions.register_tool_calls(spark)
+    texts = ['<tool_call>{"name": "f", "arguments": {"id": 7, "to": "é", "more": [1, {"a": null}]}}</tool_call> <tool_call>{"name": "g"}</tool_call>',
+             '<tool_call>{"name": "f"}</tool_call><tool_call>{</tool_call>', "none", None, "<tool_call>[1]</tool_call>", '<tool_call>{"name": "h", "arguments": 3}</tool_call>']
+    spark.createDataFrame(list(enumerate(texts)), "i int, text string").createOrReplaceTempView("model_texts")
+    found = spark.sql("SELECT i, c.* FROM model_texts m, LATERAL tool_calls(m.text, 'id, to,more') c ORDER BY i, call").collect()
+    assert found[0].asDict() == {"i": 0, "call": 0, "name": "f", "arguments": '{"id":7,"to":"é","more":[1,{"a":null}]}', "error": None, "id": "7", "to": "é", "more": '[1,{"a":null}]'}
+    assert [(r["i"], r["name"], r["arguments"], r["error"]) for r in found[1:]] == [
+        (0, "g", "{}", None), (4, None, None, toolcalls.NOT_AN_OBJECT), (5, "h", "3", toolcalls.BAD_ARGUMENTS % "h"),
+    ]
+    plain = toolcalls.calls(spark.table("model_texts"), "text").orderBy("i", "call").collect()
+    assert [(r["i"], r["call"], r["name"], r["arguments"], r["error"]) for r in plain] == [(r["i"], r["call"], r["name"], r["arguments"], r["error"]) for r in found]
+
+
 def test_dense_ranks(spark):
     rows = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("a", 1.0), ("a", None), (None, 2.0), (None, 5.0), ("b", 0.0)], "k string, v double")
     assert sorted((r["k"] or "", -1.0 if r["v"] is None else r["v"], r["rank"]) for r in crm.ranked(rows, "v", "k").collect()) == [
