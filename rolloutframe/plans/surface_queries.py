@@ -23,7 +23,7 @@ from ..session import shared_folder
 from ..sources import tables as t
 from ..sources import workspace, xlsx
 from .data_queries import _ITEMS, _LOG, _cells, _log
-from .text_queries import _BARE, _ORDERS, _PARTS, _TOKENS, _XML, _orders, _parts
+from .text_queries import _BARE, _NORMAL, _ORDERS, _PARTS, _TOKENS, _XML, _orders, _parts
 
 
 def _equals(completion: str, ground_truth: str, **_) -> bool:
@@ -106,7 +106,7 @@ def reward_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reward_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metric = F.when(F.col("id") % 4 == 0, "exact_match").when(F.col("id") % 4 == 1, "unheard_of").when(F.col("id") % 4 == 2, F.lit(None).cast("string")).otherwise("exact_match")
+    metric = F.when(F.col("id") % 4 == 0, "exact_match").when(F.col("id") % 4 == 1, "unheard_of").when(F.col("id") % 4 == 2, F.lit(None).cast("string")).otherwise("fuzzy_match")
     found = rewards.by_metric(F.col("completion"), F.col("truths"), metric)
     return _parts(spark, sf_dir).select("id", F.round(F.when(~F.isnan(found), found), 6).alias("reward"), F.isnan(found).alias("failed"))
 
@@ -182,7 +182,10 @@ def environment_play(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def environment_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop().catalogue(spark).withColumn("has_prompt", F.lit(_shop().prompt()).startswith("Shop.\n\n# Tools"))
+    """The tools of an environment, how the prompt lists them, and how often each is called."""
+    called = t.load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n_calls"))
+    listed = F.lit(_shop().prompt()).contains(F.concat(F.lit('"name":"'), "name", F.lit('","description":"'), "description", F.lit('"')))
+    return called.join(_shop().catalogue(spark), "name").withColumn("in_prompt", listed)
 
 
 def tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +204,10 @@ def tool_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in ("x", "_y1", "1x", "", "a-b", "naïve", "x y", "Ω_2", "x\n")])
-    return t.load(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(names).alias("place", "name")).select("n_nationkey", "place", text.is_name(F.col("name")).alias("valid"))
+    """Which texts of parts could name a variable: names, brands, numbers, and names spliced in several ways."""
+    number, name = F.col("p_partkey").cast("string"), F.element_at(F.split("p_name", " "), 1)
+    names = F.array("p_name", "p_brand", number, F.concat(F.lit("_"), number), F.concat(name, F.lit("_"), number), F.concat(name, F.lit("é\n")), F.concat(F.lit("Ω"), name), F.lit(""))
+    return t.load(spark, sf_dir, "part").select("p_partkey", F.posexplode(names).alias("place", "name")).select("p_partkey", "place", text.is_name(F.col("name")).alias("valid"))
 
 
 def example_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +268,10 @@ def dataset_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_null_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.load(spark, sf_dir, "nation").select("n_nationkey", F.lit(None).cast("string").alias("nothing"), F.when(F.col("n_nationkey") == 3, "x").alias("some"))
+    """Line items' notes: one kind is never there, one is on a single order."""
+    rows = t.load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.when(F.col("l_quantity") < 0, F.col("l_linestatus")).alias("nothing"), F.when(F.col("l_orderkey") == 3, F.col("l_returnflag")).alias("some"), "l_linenumber",
+    )
     return t.drop_null_columns(rows)
 
 
@@ -309,8 +317,8 @@ def _workbook(name: str, number: int) -> bytes:
     return raw.getvalue()
 
 
-def workbook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook of each nation, written to a workspace, read back and rendered."""
+def _books(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a workbook of each nation, written as files of a workspace."""
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             books = [_workbook(n, int(k)) for n, k in zip(frame["n_name"], frame["n_nationkey"], strict=True)]
@@ -318,8 +326,42 @@ def workbook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = t.load(spark, sf_dir, "nation").select("n_name", "n_nationkey").mapInPandas(build, "rollout_id string, filename string, content binary")
     folder = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
-    workspace.download(rows, folder.removeprefix("file://")).write.format("noop").mode("overwrite").save()
-    return sheets.render_books(xlsx.read_cells(spark, folder))
+    workspace.download(rows, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def workbook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks written to a workspace, read back and rendered."""
+    return sheets.render_books(xlsx.read_cells(spark, _books(spark, sf_dir)))
+
+
+def workbook_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of one sheet of each workbook, by the data source."""
+    xlsx.register_source(spark)
+    cells = spark.read.format("xlsx").load(_books(spark, sf_dir))
+    return cells.where("sheet = 'Main' AND value_type IS NOT NULL").select("workbook", "ref", "value", "value_type", "formula")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and bytes as files of a rollout's workspace, downloaded to a folder and read back as files."""
+    texts = t.load(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("rollout_id"), F.concat(F.col("c_custkey").cast("string"), F.lit(".txt")).alias("filename"), F.concat_ws(", ", "c_name", "c_mktsegment").alias("text")
+    )
+    raw = texts.select("rollout_id", F.replace("filename", F.lit(".txt"), F.lit(".bin")).alias("filename"), F.unhex(F.md5("text")).alias("text"))
+    files = workspace.text_content(texts).unionByName(workspace.text_content(raw))
+    folder = f"{shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
+    workspace.download(files, folder).write.format("noop").mode("overwrite").save()
+    return workspace.files(spark, folder).select("rollout_id", "filename", F.sha2("content", 256).alias("sha256"))
+
+
+def tracker_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of log rows tracked by batch, and one batch written again: each row is there once."""
+    path = f"{shared_folder(spark)}/tracker-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(t.load(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    logs = lambda rows: rows.select(F.col("user_id").alias("rollout_id"), F.concat_ws(": ", "event_type", "props").alias("message"))
+    workspace.track_stream(logs(source), path, 5000).trigger(availableNow=True).start().awaitTermination()
+    workspace.track(logs(t.load(spark, sf_dir, "events")), 0, path, 5000)
+    return workspace.tracked(spark, path).groupBy("rollout_id").agg(F.count(F.lit(1)).alias("n"), F.max("message").alias("last"))
 
 
 QUERIES = {
@@ -328,7 +370,7 @@ QUERIES = {
         reward_callable, reward_concurrent, reward_variable, reward_log, reward_group_hook, reward_stripped, reward_by_metric, reward_spreadsheet,
         rollout_steps, rollout_histories, rollout_cut, rollout_repeated_ids, environment_play, environment_tools, tool_run, tool_catalogue, tool_text_parts,
         variable_names, example_extras, example_metadata, std_spreadsheet, std_question_answer, split_kept, dataset_round_trip, drop_null_columns,
-        adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text,
+        adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text, workbook_source, uploads, tracker_replayed,
     )
 }
 
@@ -357,9 +399,13 @@ FROM live WHERE tool = 'append_log'""",
     "reward_group_hook": """SELECT o_orderkey AS rollout_id, CAST(length(o_orderpriority) = max(length(o_orderpriority)) OVER w AS DOUBLE) AS longest,
   CAST(count(*) OVER w AS DOUBLE) AS size, CAST(0 AS BIGINT) AS n_default FROM orders WINDOW w AS (PARTITION BY o_custkey)""",
     "reward_stripped": "SELECT o_orderkey AS id, CAST(o_orderkey % 2 = 0 OR lower(o_orderpriority) = o_orderpriority AS DOUBLE) AS reward FROM orders",
-    "reward_by_metric": f"""WITH {_PARTS}, s AS (SELECT id, {_TOKENS.format('answer')} AS a, {_TOKENS.format("t1 || ' ' || t2")} AS b FROM p)
-SELECT id, id % 4 = 2 AS failed, CASE id % 4 WHEN 1 THEN 0.0 WHEN 2 THEN NULL
-  ELSE round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) END AS reward FROM s""",
+    "reward_by_metric": f"""WITH {_PARTS}, s AS (SELECT id, {_TOKENS.format('answer')} AS a, {_TOKENS.format("t1 || ' ' || t2")} AS b FROM p),
+n AS (SELECT id, string_split({_NORMAL.format('answer')}, ' ') AS x, string_split({_NORMAL.format('t1')}, ' ') AS y FROM p),
+cx AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(x) AS w FROM n) GROUP BY ALL), cy AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(y) AS w FROM n) GROUP BY ALL),
+both_ AS (SELECT cx.id, CAST(sum(least(cx.c, cy.c)) AS DOUBLE) AS m FROM cx JOIN cy ON cx.id = cy.id AND cx.w = cy.w GROUP BY 1),
+f AS (SELECT n.id, round(coalesce(2.0 * m / (len(x) + len(y)), 0.0), 6) AS f1 FROM n LEFT JOIN both_ USING (id))
+SELECT id, id % 4 = 2 AS failed, CASE id % 4 WHEN 1 THEN 0.0 WHEN 2 THEN NULL WHEN 3 THEN f1
+  ELSE round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) END AS reward FROM s JOIN f USING (id)""",
     "reward_spreadsheet": f"""WITH {_ITEMS}, o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), bad AS (SELECT l_orderkey AS k FROM i WHERE l_orderkey % 5 = 0 AND n = 2)
 SELECT CAST(k AS VARCHAR) AS workbook, 'B1:B2' AS position, CAST(k NOT IN (SELECT k FROM bad) AS DOUBLE) AS reward FROM o
 UNION ALL SELECT CAST(k AS VARCHAR), 'A1,C1', 1.0 FROM o UNION ALL SELECT 'x' || k, 'A1', 0.0 FROM o""",
@@ -379,7 +425,8 @@ UNION ALL SELECT CAST(k AS VARCHAR), 'A1,C1', 1.0 FROM o UNION ALL SELECT 'x' ||
 stops AS (SELECT rollout_id, min(turn) AS e FROM turns WHERE NOT has_call GROUP BY 1)
 SELECT rollout_id, turn, CASE WHEN has_call THEN event_type END AS name, CASE WHEN has_call THEN seen END AS observation,
   CASE WHEN has_call THEN 0.0 ELSE score END AS reward, NOT has_call AS done FROM turns LEFT JOIN stops USING (rollout_id) WHERE e IS NULL OR turn <= e""",
-    "environment_tools": "SELECT * FROM (VALUES ('click', 'Greets.', true), ('view', '', true)) v(name, description, has_prompt)",
+    "environment_tools": """SELECT event_type AS name, CASE event_type WHEN 'click' THEN 'Greets.' ELSE '' END AS description, count(*) AS n_calls, true AS in_prompt
+FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""",
     "tool_run": """SELECT event_id AS turn, CASE WHEN event_id % 7 = 3 THEN 'Error: Missing ' || chr(39) || 'name' || chr(39) || ' field in tool command.'
   WHEN event_type = 'click' THEN 'Hello, ' || event_id || '!' WHEN event_type = 'view' AND event_id % 2 = 0 THEN CAST(event_id * 2 AS VARCHAR)
   WHEN event_type = 'view' THEN 'Error: view failed.' WHEN event_type = 'signup' THEN 'ID ' || event_id
@@ -387,7 +434,9 @@ SELECT rollout_id, turn, CASE WHEN has_call THEN event_type END AS name, CASE WH
     "tool_catalogue": f"""SELECT DISTINCT event_type AS name, CASE WHEN event_type = 'click' THEN '' ELSE 'Does ' || event_type END AS description,
   {_PROMPT} AS prompt FROM events WHERE event_type IN ('click', 'purchase')""",
     "tool_text_parts": "SELECT o_orderkey AS id, o_orderstatus || chr(10) || o_orderpriority AS text FROM orders",
-    "variable_names": """SELECT n_nationkey, CAST(p AS INTEGER) AS place, p IN (0, 1, 5, 7) AS valid FROM nation, (SELECT unnest(range(9)) AS p)""",
+    "variable_names": r"""WITH n AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS w, p_name, p_brand FROM part),
+l AS (SELECT p_partkey, [p_name, p_brand, CAST(p_partkey AS VARCHAR), '_' || p_partkey, w || '_' || p_partkey, w || 'é' || chr(10), 'Ω' || w, ''] AS names FROM n)
+SELECT p_partkey, CAST(i AS INTEGER) AS place, regexp_full_match(names[i + 1], '[\p{L}_][\p{L}\p{N}_]*') AS valid FROM l, (SELECT unnest(range(8)) AS i)""",
     "example_extras": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 'ground_truth,priority,rollout_id,status' ELSE 'ground_truth,rollout_id,status' END AS kept,
   CASE WHEN o_orderkey % 3 > 0 THEN 'priority,status' ELSE 'status' END AS extras FROM orders""",
     "example_metadata": """SELECT o_orderkey AS id, CASE WHEN e THEN 'Use ' || o_orderkey || '.' END AS required, CASE WHEN e THEN 'a,b' ELSE '' END AS dependencies,
@@ -402,7 +451,7 @@ SELECT rollout_id, turn, CASE WHEN has_call THEN event_type END AS name, CASE WH
 FROM documents, (SELECT count(*) AS n FROM documents)""",
     "dataset_round_trip": """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status,
   CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= n - ceil(0.2 * n) THEN 'train' ELSE 'test' END AS split FROM orders, (SELECT count(*) AS n FROM orders)""",
-    "drop_null_columns": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'x' END AS some FROM nation",
+    "drop_null_columns": "SELECT l_orderkey, CASE WHEN l_orderkey = 3 THEN l_returnflag END AS some, l_linenumber FROM lineitem",
     "adhoc_sql": "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_custkey % 20 = 3 AND o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1",
     "id_ties": """WITH c AS (SELECT l_orderkey AS k, max(l_shipdate) AS closed FROM lineitem GROUP BY 1),
 m AS (SELECT o_custkey % 20 AS owner_id, round(CAST(sum(epoch_us(closed) - epoch_us(o_orderdate)) AS DOUBLE) / (count(*) * 6e7), 6) AS minutes
@@ -419,4 +468,11 @@ SELECT string_agg(rank || '. ' || title || chr(10) || '   ' || substring(plain,
     "workbook_text": """SELECT n_nationkey || '.xlsx' AS workbook, 'Sheet Name: Main' || chr(10) || 'A1: ' || n_name || chr(10) || CASE WHEN n_nationkey > 0 THEN 'B1: ' || n_nationkey || chr(10) ELSE '' END
   || 'C1: =B1*2 -> ' || (2 * n_nationkey) || chr(10) || chr(10) || 'A2: ' || strftime(DATE '1899-12-30' + CAST(45000 + n_nationkey AS INTEGER), '%Y-%m-%d 00:00:00') || chr(10)
   || chr(10) || 'Sheet Name: Void' AS text FROM nation""",
+    "workbook_source": """WITH n AS (SELECT n_nationkey || '.xlsx' AS workbook, n_nationkey AS k, n_name FROM nation)
+SELECT workbook, 'A1' AS ref, n_name AS value, 'string' AS value_type, NULL::VARCHAR AS formula FROM n
+UNION ALL SELECT workbook, 'B1', CAST(k AS VARCHAR), 'number', NULL FROM n UNION ALL SELECT workbook, 'C1', CAST(2 * k AS VARCHAR), 'number', '=B1*2' FROM n
+UNION ALL SELECT workbook, 'A2', CAST(45000 + k AS VARCHAR), 'date', NULL FROM n""",
+    "uploads": """WITH o AS (SELECT CAST(c_nationkey AS VARCHAR) AS rollout_id, c_custkey AS k, c_name || ', ' || c_mktsegment AS p FROM customer)
+SELECT rollout_id, k || '.txt' AS filename, sha256(p) AS sha256 FROM o UNION ALL SELECT rollout_id, k || '.bin', sha256(unhex(md5(p))) FROM o""",
+    "tracker_replayed": "SELECT user_id AS rollout_id, count(*) AS n, max(concat_ws(': ', event_type, props)) AS last FROM events GROUP BY 1",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from ..session import ship_package
+from .filesystem import written
 
 
 def files(spark: SparkSession, path: str, rollout: Column | None = None) -> DataFrame:
@@ -45,20 +47,37 @@ def write_splits(rows: DataFrame, path: str) -> None:
 def download(rows: DataFrame, folder: str) -> DataFrame:
     """Write (rollout_id, filename, content) below a folder that all executors share; (rollout_id, filename, path) of each.
 
-    Names that would leave the rollout's own folder are errors.
+    The folder is a path or a URI of any file system that Arrow reaches. Names
+    that would leave the rollout's own folder are errors; a null content is empty.
     """
+    ship_package(rows.sparkSession)
+
     def write(frames):
         for frame in frames:
-            paths = []
-            for rollout, name, content in zip(frame["rollout_id"], frame["filename"], frame["content"], strict=True):
-                own = Path(folder) / str(rollout)
-                target = (own / name).resolve()
-                if own.resolve() not in target.parents:
-                    raise ValueError(f"no file name: {name}")
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(content)
-                paths.append(str(target))
+            paths = [
+                written(f"{folder.rstrip('/')}/{rollout}", name, content or b"")
+                for rollout, name, content in zip(frame["rollout_id"], frame["filename"], frame["content"], strict=True)
+            ]
             yield frame[["rollout_id", "filename"]].assign(path=paths)
 
     kind = rows.schema["rollout_id"].dataType.simpleString()
     return rows.select("rollout_id", "filename", "content").mapInPandas(write, f"rollout_id {kind}, filename string, path string")
+
+
+def track(rows: DataFrame, batch: int, path: str, flush_k: int = 30) -> None:
+    """Write a batch of log rows as the folder of its number, in files of up to ``flush_k`` rows.
+
+    The folder is replaced as a whole, so a batch that is written again, after a
+    failure between its write and its commit, is there once.
+    """
+    rows.write.mode("overwrite").option("maxRecordsPerFile", flush_k).parquet(f"{path}/batch={batch}")
+
+
+def track_stream(stream: DataFrame, path: str, flush_k: int = 30) -> DataStreamWriter:
+    """A writer that appends a stream of log rows to ``path``, each row once; its checkpoint lies beside the batches."""
+    return stream.writeStream.option("checkpointLocation", f"{path}/_checkpoint").foreachBatch(lambda rows, batch: track(rows, batch, path, flush_k))
+
+
+def tracked(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a log, with the ``batch`` that each came in."""
+    return spark.read.parquet(path)

@@ -433,6 +433,54 @@ def test_workbooks(spark, book):
     assert [(r["value_type"], r["sheet"]) for r in broken] == [("unreadable", None)]
 
 
+def test_workbooks_as_a_data_source(spark, book):
+    """A partition for each sheet; filters on workbook and sheet choose partitions and leave the plan."""
+    xlsx.register_source(spark)
+    cells = spark.read.format("xlsx").load(book)
+    assert sorted(map(str, cells.collect())) == sorted(map(str, xlsx.read_cells(spark, book).collect()))
+    assert cells.rdd.getNumPartitions() == 2
+    one = cells.where("workbook = 'w.xlsx' AND sheet IN ('Sheet1', 'Sheet2') AND row = 6").select("ref", "value")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.rdd.getNumPartitions() == 1 and {tuple(r) for r in one.collect()} == {("D6", "2"), ("E6", None)}
+    assert "workbook" not in plan.split("Filter", 1)[1].split("\n")[0] and "row" in plan.split("Filter", 1)[1].split("\n")[0]
+    assert cells.where("sheet = 'none'").count() == 0 and cells.where("workbook <> 'w.xlsx'").count() == 1
+    few = spark.read.format("xlsx").schema("ref string, value string").load(book)
+    assert few.columns == ["ref", "value"] and few.count() == cells.count()
+
+
+@pytest.mark.parametrize(("spelled", "shown"), [("1E-3", "0.001"), ("10", "10"), ("10.0", "10.0"), ("1e2", "100.0"), ("-0.50", "-0.5"), ("1E+22", "1e+22")])
+def test_numbers_of_cells_are_shown_as_python_shows_them(spelled, shown):
+    assert xlsx._shown(spelled) == shown
+
+
+def test_downloads(spark, tmp_path):
+    rows = [("a", "x.txt", b"1"), ("a", "sub/y.bin", bytes(range(256))), ("b", "é x.txt", None)]
+    files = spark.createDataFrame(rows, "rollout_id string, filename string, content binary")
+    for folder in (f"file://{tmp_path}/u", f"{tmp_path}/p"):
+        found = {(r["rollout_id"], r["filename"]): r["path"] for r in workspace.download(files, folder).collect()}
+        for rollout, name, content in rows:
+            with open(found[rollout, name], "rb") as f:
+                assert f.read() == (content or b"")
+    for bad in ("../z", "/etc/z", "..", "s/../../z"):
+        with pytest.raises(Exception, match="no file name"):
+            workspace.download(spark.createDataFrame([("a", bad, b"")], files.schema), f"{tmp_path}/u").collect()
+
+
+def test_a_batch_written_again_is_there_once(spark, tmp_path):
+    schema = "rollout_id string, message string"
+    spark.createDataFrame([("a", f"m{i}") for i in range(70)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    run = lambda: workspace.track_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    run()
+    for name in ("0", ".0.crc"):
+        os.remove(tmp_path / "log" / "_checkpoint" / "commits" / name)  # lost between the write and its commit
+    run()
+    spark.createDataFrame([("b", "last")], schema).write.parquet(f"{tmp_path}/in/2")
+    run()
+    found = workspace.tracked(spark, f"{tmp_path}/log").collect()
+    assert len(found) == 71 and {r["batch"] for r in found} == {0, 1} and len({r["message"] for r in found}) == 71
+    assert len(list((tmp_path / "log" / "batch=0").glob("part-*.parquet"))) == 3  # 30 rows a file
+
+
 def test_rounding_dates_and_times(spark):
     def cell(value, kind):
         return spark.createDataFrame([("w", "S", 0, 1, 1, "A1", value, kind)], "workbook string, sheet string, sheet_idx int, row int, col int, ref string, value string, value_type string")
