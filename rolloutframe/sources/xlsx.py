@@ -188,7 +188,9 @@ class XlsxReader(DataSourceReader):
             found += [Sheet(path, s) for s in sheets if "sheet" not in self.wanted or s in self.wanted["sheet"]]
         return found
 
-    def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Sheet | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing is wanted
+            return
         schema = _arrow(SCHEMA)
         with opened(self.path, partition.path) as file:
             whole = file if partition.sheet is not None else io.BytesIO(file.read())
