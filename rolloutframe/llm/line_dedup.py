@@ -160,12 +160,14 @@ def dedup_lines(
         line_index(docs, id_col, text_col, min_chars).withColumn("batch", batch), "lines", "batch"
     )
     runs = LineRuns(spark, min_docs, fanout)
-    for number in reversed(range(len(set(cuts)) + 1)):
-        runs.add(index.where(F.col("batch") == number).select("id", "h1", "h2").distinct())
-    common = stage(
-        runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_id"), "common-lines"
-    )
-    runs.close()
+    try:
+        for number in reversed(range(len(set(cuts)) + 1)):
+            runs.add(index.where(F.col("batch") == number).select("id", "h1", "h2").distinct())
+        common = stage(
+            runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_id"), "common-lines"
+        )
+    finally:
+        runs.close()
     drops = (
         index.join(common, ["h1", "h2"])
         .where(F.col("id") != F.col("keep_id"))
