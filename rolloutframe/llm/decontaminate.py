@@ -13,7 +13,8 @@ before it is read (a larger single item is a part of its own). A benchmark of
 one part takes two scans of the documents, one to count and one to mark, and no
 document is shuffled. Of more parts, each is read, used and released in turn:
 the documents are written once with row numbers, every part writes the hits it
-finds (row, hit words, items), and these few rows are joined at the end.
+finds (row, hit words, items), and these rows are joined at the end, by broadcast
+where all of them are smaller than a part.
 
 Defined cases: a null text has no words; a very long text is marked whole; a
 null or repeated document id is a row like any other; rows that repeat an item
@@ -305,9 +306,12 @@ def mark_contaminated(
                 held = spark.sparkContext.broadcast(part)
                 found.append(stage(numbered.select("_t", "_r").mapInArrow(_hits(held), HITS), "hits"))
                 held.destroy()
-        hits = (union_all(found) if found else spark.createDataFrame([], HITS)).groupBy("row").agg(
-            F.collect_list("bits").alias("_bits"), F.collect_list("names").alias("_names")
-        )
+        hits = union_all(found) if found else spark.createDataFrame([], HITS)
+        size = F.octet_length("bits") + F.octet_length(F.array_join("names", ",")) + 64
+        few = (hits.agg(F.sum(size)).first()[0] or 0) <= part_bytes
+        hits = hits.groupBy("row").agg(F.collect_list("bits").alias("_bits"), F.collect_list("names").alias("_names"))
+        if few:  # then the texts stay where they are
+            hits = F.broadcast(hits)
         rows = numbered.join(hits, numbered["_r"] == hits["row"], "left").select(*taken.columns, "_bits", "_names")
         rows = rows.mapInArrow(_marker(None, len(kept), True), f"{carried}, {OUT}")
     return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *results)

@@ -230,7 +230,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, values)
     expected = marked_brute(values, [x for x in items if x[1]])
-    for part_bytes in (1 << 24, 200):
+    for part_bytes in (1 << 24, 200, 1000, 3000):
         found = decontaminate.mark_contaminated(docs, bench, part_bytes=part_bytes)
         assert sorted(map(tuple, found.collect())) == expected
     kept = decontaminate.mark_contaminated(docs, bench, keep_text=True)
