@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crm, datasets, rewards, rollouts, search, sheets, toolcalls
+from ..operators import crm, datasets, rewards, rollouts, search, sheets, toolcalls, workbooks
 from ..operators.environments import Environment, Tool
 from ..session import shared_folder
 from ..sources import tables as t
@@ -342,6 +342,32 @@ def workbook_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("sheet = 'Main' AND value_type IS NOT NULL").select("workbook", "ref", "value", "value_type", "formula")
 
 
+def spreadsheet_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rollouts on each customer's workbook: some lack an input, an output or the right cells."""
+    def build(shift: int):
+        def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                books = [_workbook(n, int(k) + shift * (int(k) % 3 == 0)) for n, k in zip(frame["c_name"], frame["c_custkey"], strict=True)]
+                yield frame[["c_custkey"]].assign(content=books)
+
+        return emit
+
+    customers = t.load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    books, changed = (customers.mapInPandas(build(x), "c_custkey long, content binary") for x in (0, 1))
+    key = F.col("c_custkey").cast("string")
+    each = customers.select(
+        F.explode(F.array(F.concat(F.lit("a"), key), F.concat(F.lit("b"), key))).alias("rollout_id"), F.col("c_custkey").alias("id"),
+        F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("in/"), key)).alias("input"), F.when(F.col("c_custkey") % 2 == 0, "A1:B1").otherwise("'Main'!A1,A2").alias("position"),
+    )
+    answers = books.select(F.concat(F.lit("1_"), key, F.lit("_answer.xlsx")).alias("filename"), "content")
+    begun = workbooks.start(each, books.select(F.concat(F.lit("in/"), key).alias("path"), "content"))
+    # rollouts a... hand in what they got, rollouts b... a changed copy of every third workbook
+    kept = begun.where("error IS NULL AND rollout_id LIKE 'a%'").select("rollout_id", F.replace("filename", F.lit("input"), F.lit("output")).alias("filename"), "content")
+    made = changed.select(F.concat(F.lit("b"), key).alias("rollout_id"), F.concat(F.lit("1_"), key, F.lit("_output.xlsx")).alias("filename"), "content")
+    scored = workbooks.reward(each, kept.unionByName(made), answers)
+    return scored.join(begun.select("rollout_id", "error"), "rollout_id").select("rollout_id", "position", "error", "reward")
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and bytes as files of a rollout's workspace, downloaded to a folder and read back as files."""
     texts = t.load(spark, sf_dir, "customer").select(
@@ -370,7 +396,7 @@ QUERIES = {
         reward_callable, reward_concurrent, reward_variable, reward_log, reward_group_hook, reward_stripped, reward_by_metric, reward_spreadsheet,
         rollout_steps, rollout_histories, rollout_cut, rollout_repeated_ids, environment_play, environment_tools, tool_run, tool_catalogue, tool_text_parts,
         variable_names, example_extras, example_metadata, std_spreadsheet, std_question_answer, split_kept, dataset_round_trip, drop_null_columns,
-        adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text, workbook_source, uploads, tracker_replayed,
+        adhoc_sql, id_ties, wiki_search_text, wiki_article_texts, workbook_text, workbook_source, spreadsheet_tasks, uploads, tracker_replayed,
     )
 }
 
@@ -379,14 +405,24 @@ _STEPS = """turns AS (SELECT user_id AS rollout_id, event_id AS turn, event_id %
     WHEN event_id % 17 <> 0 THEN 'ok ' || event_type END AS seen FROM events),
 stops AS (SELECT rollout_id, min(turn) AS e FROM turns WHERE NOT has_call OR seen IS NULL GROUP BY 1),
 steps AS (SELECT turns.*, NOT has_call OR seen IS NULL AS done FROM turns LEFT JOIN stops USING (rollout_id) WHERE e IS NULL OR turn <= e)"""
-_PROMPT = " || chr(10) || ".join(
-    ["'Be brief.'", "''", "'# Tools'", "''", "'You may call one or more functions to assist with the user query.'", "''",
-     "'You are provided with function signatures within <tools></tools> XML tags:'", "'<tools>'",
-     """'{"type":"function","function":{"name":"click","description":"","parameters":{"type":"object","required":[]},"strict":false}}'""",
-     """'{"type":"function","function":{"name":"purchase","description":"Does purchase","parameters":{"type":"object","required":[]},"strict":false}}'""",
-     "'</tools>'", "''", "'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:'", "'<tool_call>'",
-     """'{"name": <function-name>, "arguments": <args-json-object>}'""", "'</tool_call>'"]
-)
+# Fixed value: the prompt with the catalogue of two tools.
+_PROMPT_TEXT = """Be brief.
+
+# Tools
+
+You may call one or more functions to assist with the user query.
+
+You are provided with function signatures within <tools></tools> XML tags:
+<tools>
+{"type":"function","function":{"name":"click","description":"","parameters":{"type":"object","required":[]},"strict":false}}
+{"type":"function","function":{"name":"purchase","description":"Does purchase","parameters":{"type":"object","required":[]},"strict":false}}
+</tools>
+
+For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:
+<tool_call>
+{"name": <function-name>, "arguments": <args-json-object>}
+</tool_call>"""
+_PROMPT = f"'{_PROMPT_TEXT}'"
 ORACLES = {
     "reward_callable": f"""WITH {_ORDERS} SELECT id, CAST(completion = truth AS DOUBLE) AS equals, length(completion) / 10.0 AS length,
   id % 3 <> 0 AS failed, id % 3 <> 0 AS no_total FROM o""",
@@ -472,6 +508,9 @@ SELECT string_agg(rank || '. ' || title || chr(10) || '   ' || substring(plain,
 SELECT workbook, 'A1' AS ref, n_name AS value, 'string' AS value_type, NULL::VARCHAR AS formula FROM n
 UNION ALL SELECT workbook, 'B1', CAST(k AS VARCHAR), 'number', NULL FROM n UNION ALL SELECT workbook, 'C1', CAST(2 * k AS VARCHAR), 'number', '=B1*2' FROM n
 UNION ALL SELECT workbook, 'A2', CAST(45000 + k AS VARCHAR), 'date', NULL FROM n""",
+    "spreadsheet_tasks": """WITH r AS (SELECT x || c_custkey AS rollout_id, x, c_custkey AS k FROM customer, (VALUES ('a'), ('b')) v(x))
+SELECT rollout_id, CASE WHEN k % 2 = 0 THEN 'A1:B1' ELSE chr(39) || 'Main' || chr(39) || '!A1,A2' END AS position,
+  CASE WHEN k % 7 = 0 THEN 'an input file is required' END AS error, CAST(CASE WHEN x = 'a' THEN k % 7 > 0 ELSE k % 3 > 0 END AS DOUBLE) AS reward FROM r""",
     "uploads": """WITH o AS (SELECT CAST(c_nationkey AS VARCHAR) AS rollout_id, c_custkey AS k, c_name || ', ' || c_mktsegment AS p FROM customer)
 SELECT rollout_id, k || '.txt' AS filename, sha256(p) AS sha256 FROM o UNION ALL SELECT rollout_id, k || '.bin', sha256(unhex(md5(p))) FROM o""",
     "tracker_replayed": "SELECT user_id AS rollout_id, count(*) AS n, max(concat_ws(': ', event_type, props)) AS last FROM events GROUP BY 1",

@@ -20,6 +20,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import StructType
 
@@ -135,18 +136,23 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of every workbook below ``path``."""
-    ship_package(spark)
+def parse_cells(books: DataFrame) -> DataFrame:
+    """The cells of (workbook, content) rows; a null content is an unreadable workbook."""
+    ship_package(books.sparkSession)
     schema = _arrow(SCHEMA)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pylist(_readable(io.BytesIO(content), name.rsplit("/", 1)[-1]), schema)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_pylist(_readable(io.BytesIO(content.as_py() or b""), name.as_py()), schema)
+
+    return books.select("workbook", "content").mapInArrow(parse, SCHEMA)
 
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of every workbook below ``path``."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
-    return found.select("path", "content").mapInArrow(parse, SCHEMA)
+    return parse_cells(found.select(F.element_at(F.split("path", "/"), -1).alias("workbook"), "content"))
 
 
 @dataclass
