@@ -26,7 +26,12 @@ UNREADABLE = "unreadable"
 
 def column_number(letters: Column) -> Column:
     """A is 1, Z is 26, AA is 27."""
-    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 64))
+    def digit(i: int) -> Column:
+        return F.ascii(F.substring(F.upper(letters), i, 1)) - 64
+
+    n, two = F.length(letters), digit(1) * 26 + digit(2)
+    any_length = F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 64))
+    return F.when(n == 1, digit(1)).when(n == 2, two).when(n == 3, two * 26 + digit(3)).otherwise(any_length)
 
 
 def column_letters(n: Column) -> Column:
@@ -46,21 +51,23 @@ def expand_ranges(rows: DataFrame, position: str) -> DataFrame:
     Cells run down each column. ``state`` is ``cell``; a malformed range and one
     that ends before it starts give one row without a cell, ``bad`` and ``none``.
     """
-    each = rows.select(*rows.columns, F.posexplode(F.split(F.col(position), ",")).alias("_part", "_range"))
     pattern = r"^(?:'?([^'!]+)'?!)?([A-Za-z]+)(\d+)(?::([A-Za-z]+)(\d+))?$"
-    part = {i: F.regexp_extract("_range", pattern, i) for i in range(1, 6)}
-    ok = F.col("_range").rlike(pattern)
-    to_col, to_row = (F.when(part[a] == "", part[b]).otherwise(part[a]) for a, b in ((4, 2), (5, 3)))
-
-    low, high = part[3].try_cast("int"), to_row.try_cast("int")
-    left, right = column_number(part[2]), column_number(to_col)
+    each = rows.select(*rows.columns, F.posexplode(F.split(F.col(position), ",")).alias("_part", "_range"))
+    each = each.withColumns({f"_p{i}": F.regexp_extract("_range", pattern, i) for i in range(1, 6)})
+    # each step is a projection of its own, so that nothing is matched or counted twice
+    each = each.withColumns({
+        "_low": F.col("_p3").try_cast("int"), "_high": F.when(F.col("_p5") == "", F.col("_p3")).otherwise(F.col("_p5")).try_cast("int"),
+        "_left": column_number(F.col("_p2")), "_right": column_number(F.when(F.col("_p4") == "", F.col("_p2")).otherwise(F.col("_p4"))),
+    })
+    low, high, left, right = (F.col(c) for c in ("_low", "_high", "_left", "_right"))
+    ok = F.col("_p3") != ""  # the one part that every range has
     some = ok & (low <= high) & (left <= right)
 
     def span(a: Column, b: Column) -> Column:
         return F.when(some, F.sequence(a, F.greatest(a, b)))
 
     columns = each.select(
-        *rows.columns, "_part", F.when(part[1] != "", part[1]).alias("sheet"), span(low, high).alias("_rows"),
+        *rows.columns, "_part", F.when(F.col("_p1") != "", F.col("_p1")).alias("sheet"), span(low, high).alias("_rows"),
         F.when(some, "cell").when(ok & low.isNotNull() & high.isNotNull(), "none").otherwise("bad").alias("state"),
         F.explode_outer(span(left, right)).alias("col"),
     )
@@ -104,10 +111,14 @@ def _sheets(truth: DataFrame, output: DataFrame) -> DataFrame:
 
 def _asked(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
     """``wanted`` with the sheets that ranges without one mean, and which sides have them."""
-    books = sheets.groupBy("workbook").agg(F.max(F.when(F.col("first"), F.col("sheet"))).alias("_first"), F.max("unread").alias("unread"))
-    named = wanted.join(books, "workbook", "left").withColumn("sheet", F.coalesce("sheet", "_first")).drop("_first")
-    sides = sheets.select("workbook", "sheet", "in_t", "in_o")
-    return named.join(sides, ["workbook", "sheet"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("unread", "in_t", "in_o")})
+    known = F.struct("sheet", "in_t", "in_o")
+    books = sheets.groupBy("workbook").agg(
+        F.max(F.when(F.col("first"), F.col("sheet"))).alias("_first"), F.max("unread").alias("unread"), F.collect_list(known).alias("_known")
+    )
+    named = wanted.join(books, "workbook", "left").withColumn("sheet", F.coalesce("sheet", "_first"))
+    own = F.get(F.filter("_known", lambda x: x["sheet"] == F.col("sheet")), F.lit(0))
+    sides = named.withColumn("_own", own).withColumns({"in_t": F.col("_own.in_t"), "in_o": F.col("_own.in_o")})
+    return sides.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("unread", "in_t", "in_o")}).drop("_first", "_known", "_own")
 
 
 def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles: bool = False, by: tuple[str, ...] = ("workbook",)) -> DataFrame:
