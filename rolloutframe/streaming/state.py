@@ -9,14 +9,14 @@ the state of a rollout that has been silent for so long goes as well.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import ship_package
-
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -77,7 +77,8 @@ def variables_at(log: DataFrame, idle: int | None = None) -> DataFrame:
     such a stream looks at its clock for ever and ends only when it is stopped.
     The state store must be ``PROVIDER``.
     """
-    ship_package(log.sparkSession)
+    # the driver's own worker for state schemas has no added files, so the processor travels whole
+    register_pickle_by_value(sys.modules[__name__])
     kinds = dict(log.dtypes)
     rows = log.select("rollout_id", "seq", "tool", "name", log["value"].cast("double").alias("value"))
     return rows.groupBy("rollout_id").transformWithStateInPandas(

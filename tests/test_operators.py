@@ -7,12 +7,15 @@ import io
 import json
 import math
 import os
+import subprocess
+import sys
 import time
 import zipfile
 from datetime import datetime
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from rolloutframe.operators import crm, datasets, positions, rewards, rollouts, search, sheets, text_index, toolcalls
@@ -257,6 +260,14 @@ def test_variables_at_the_call_as_a_stream(spark, tmp_path):
     assert {(r["rollout_id"], r["seq"], r["name"], r["value"], r["error"]) for r in found.collect()} == FOUND
 
 
+def test_the_processor_needs_no_package_where_it_is_read(spark):
+    """The driver's worker for state schemas starts with PySpark alone."""
+    state.variables_at(spark.createDataFrame([], CALLS))
+    code = "import sys, pickle; print(type(pickle.load(sys.stdin.buffer)).__name__)"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(state.Variables()), cwd="/", env={}, capture_output=True, check=True)
+    assert done.stdout.strip() == b"Variables"
+
+
 class _State:
     """What a state of one key offers."""
 
