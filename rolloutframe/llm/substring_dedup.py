@@ -18,6 +18,12 @@ id is known to go. Such rows are spread by a salt; the task of the hash gets
 one mark, or the row of the least id, for each task of the scan. Each task reads
 its rows in a fixed order, so a task that is run again deals the same rows.
 
+A short key may also stand in many different long windows, around a very common
+passage. Long windows are dealt by their short keys, but where a sample of the
+documents shows more different runs of windows under one key than a task should
+hold: these windows are dealt one by one, each by the hashes of both. The sample
+decides where rows go, never which are compared.
+
 Defined cases: a null text has no words; rows with a null id are returned whole
 and cause no removal; rows that repeat an id are one document (they remove
 nothing from each other); texts shorter than a window are kept whole; a very
@@ -27,7 +33,7 @@ long text is read whole, in a slice of its own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import on_workers, stage
+from .common import on_workers, shuffle_parts, stage
 from .words import SLICE_BYTES, Words, mix, slices, sliding_min, words_of
 
 WINDOW, BASE_WORDS, SALTS, MOST_KNOWN = 13, 5, 4096, 1 << 16
+#: A key is hot with one different run for every HOT_SHARE documents (for as many as there are shuffle partitions, if more);
+#: SAMPLE documents for each of them are looked at, and the MOST_HOT hottest keys at most are split.
+HOT_SHARE, SAMPLE, MOST_HOT = 100, 50, 1 << 16
 _SECOND = 0x5851F42D4C957F2D
 
 
@@ -131,11 +140,50 @@ def _short_level(window: int, before: int | None, short: int, slice_bytes: int):
     return emit
 
 
-def _long_level(window: int, short: int, slice_bytes: int):
+def _window_runs(words: Words, window: int, starts: np.ndarray, doc: np.ndarray, key: np.ndarray, hot: np.ndarray):
+    """(hash of each window, first window of each run, windows of each run, its hash); a ``hot`` window is a run of its own."""
+    own = words.ngrams(window)[starts]
+    new = hot | np.append(True, (starts[1:] != starts[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+    new[1:] |= hot[:-1]
+    run = np.flatnonzero(new)
+    size = np.diff(np.append(run, len(starts)))
+    place = np.arange(len(starts)) - np.repeat(run, size)
+    whole = np.add.reduceat(mix(own + place.astype(np.uint64) * np.uint64(_SECOND)), run)
+    return own, run, size, whole
+
+
+def _named_runs(window: int, short: int, slice_bytes: int):
+    """(k, run): the short key and the hash of every run of long windows, once a slice."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text=0, most=slice_bytes):
+            words = words_of(batch.column(0))
+            starts, key = _short_keys(words, window, short)
+            if len(starts):
+                _, run, _, whole = _window_runs(words, window, starts, words.doc_of()[starts], key, np.zeros(len(starts), bool))
+                some = np.unique(np.stack([key[run], whole]).view(np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(some[0]), pa.array(some[1])], ["k", "run"])
+
+    return emit
+
+
+def hot_keys(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, hot_share: int = HOT_SHARE) -> list[int]:
+    """Short keys of the last short level around which a sample of ``docs`` (text) shows very many different runs of windows."""
+    share = max(hot_share, shuffle_parts(docs.sparkSession))
+    n, wanted = docs.count(), SAMPLE * share
+    sample = docs.select("text") if n <= wanted else docs.select("text").sample(wanted / n, seed=1)
+    short = (levels(window)[:-1] or [window])[-1]
+    runs = on_workers(sample).mapInArrow(_named_runs(window, short, slice_bytes), "k long, run long").distinct()
+    found = runs.groupBy("k").count().where(F.col("count") > max(1, min(n, wanted) // share))
+    return [r["k"] for r in found.orderBy(F.desc("count"), "k").limit(MOST_HOT).collect()]
+
+
+def _long_level(window: int, short: int, slice_bytes: int, hot_keys: np.ndarray):
     """Runs of long windows whose short key repeats; equal runs of a slice in one row.
 
     A run is the windows at consecutive words that chose the same short window,
-    with a hash for each. Equal windows have equal short keys, so the pair of
+    with a hash for each; under a hot key each window is a run, and k is made of
+    both hashes. Equal windows have equal short keys, so the pair of
     both hashes names a window. A row is (k, salt, gs, n, id, at, ids, ats): the
     places of the least document of a slice with the run (salt 0, with the
     hashes), or places known to go (under a salt, with the number of windows).
@@ -151,12 +199,9 @@ def _long_level(window: int, short: int, slice_bytes: int):
             starts, doc, key = starts[live], doc[live], key[live]
             if not len(starts):
                 continue
-            own = words.ngrams(window)[starts]
-            new = np.append(True, (starts[1:] != starts[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
-            run = np.flatnonzero(new)
-            size = np.diff(np.append(run, len(starts)))
-            place = np.arange(len(starts)) - np.repeat(run, size)
-            whole = np.add.reduceat(mix(own + place.astype(np.uint64) * np.uint64(_SECOND)), run)
+            hot = np.isin(key, hot_keys)
+            own, run, size, whole = _window_runs(words, window, starts, doc, key, hot)
+            key = np.where(hot, mix(key ^ mix(own)), key)
             order = np.lexsort((run, whole, key[run]))
             run, size, whole = run[order], size[order], whole[order]
             k = key[run]
@@ -245,8 +290,11 @@ def _survivors(keys: DataFrame) -> DataFrame:
     return repeated.select(F.explode(each).alias("id_"), "k").groupBy("id_").agg(F.collect_set("k").alias("keys"))
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(id_, starts): runs of windows to remove, (first word, windows). ``docs``: (id, text), dealt by id, none null."""
+def removed_windows(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, hot: Sequence[int] = ()) -> DataFrame:
+    """(id_, starts): runs of windows to remove, (first word, windows). ``docs``: (id, text), dealt by id, none null.
+
+    ``hot``: short keys whose windows are dealt one by one (``hot_keys``).
+    """
     kind = dict(docs.dtypes)["id"]
     steps = levels(window)
     order = ("id", F.xxhash64("text"))
@@ -264,7 +312,7 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SL
         before = short
     if before is None:
         return docs.sparkSession.createDataFrame([], f"id_ {kind}, starts array<struct<at int, n int>>")
-    runs = found.sortWithinPartitions(*order).mapInArrow(_long_level(window, before, slice_bytes), RUNS.format(kind))
+    runs = found.sortWithinPartitions(*order).mapInArrow(_long_level(window, before, slice_bytes, np.array(hot, np.int64).view(np.uint64)), RUNS.format(kind))
     # dealt by the short key, so that the long windows need no exchange of their own; places known to go have no hashes
     hashes = F.when(F.col("salt") == 0, F.col("gs")).otherwise(F.array(F.lit(None).cast("long")))
     each = runs.repartition("k", "salt").select("k", "salt", "n", "id", "at", "ids", "ats", F.posexplode(hashes).alias("off", "g"))
@@ -286,8 +334,9 @@ RUNS = "k long, salt int, gs array<long>, n int, id {0}, at int, ids array<{0}>,
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
+    hot_share: int = HOT_SHARE,
+) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept) of every row.
 
     ``kept``: the words left, joined by one space, as UTF-8 bytes. A word goes
@@ -296,7 +345,8 @@ def dedup_substrings(
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(docs.dtypes)["id"]
     dealt = docs.where(F.col("id").isNotNull()).repartition("id")
-    removed = removed_windows(dealt, window, slice_bytes)
+    hot = hot_keys(docs.where(F.col("id").isNotNull()), window, slice_bytes, hot_share)
+    removed = removed_windows(dealt, window, slice_bytes, hot)
     joined = dealt.join(removed.hint("shuffle_hash"), F.col("id") == F.col("id_"), "left").select("id", "text", "starts")
     whole = docs.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast(joined.schema["starts"].dataType).alias("starts"))
     # a union below the maps would name the columns of one reader's exchange apart, and it would not be shared

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -288,6 +289,33 @@ def test_no_candidate_survives(spark):
     assert [r["n_removed"] for r in found] == [0, 0, 0]
 
 
+def test_different_windows_around_a_hot_passage(spark):
+    """Long windows that share a hot short key, some of them repeated, are dealt one by one and found alike."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(40)}"
+    hot = " ".join(f"h{i}" for i in range(9))
+    around = [" ".join(word() for _ in range(3)) + f" {hot} " + " ".join(word() for _ in range(3)) for _ in range(60)]
+    values = [f"a{i} b{i} " + (r.choice(around) if i % 3 else f"{word()} {hot} {word()} {word()}") + f" {word()} c{i}" for i in range(600)]
+    expected = substrings_brute(values)
+    assert sum(x[2] > 0 for x in expected) > 200
+    docs = table(spark, values).select(F.col("doc_id").alias("id"), "text").repartition("id").cache()
+    hot = substring_dedup.hot_keys(docs, hot_share=20)
+    assert 0 < len(hot) < 10
+    spread = []
+    for keys in ([], hot):
+        found = substring_dedup.removed_windows(docs, hot=keys).select("id_", F.explode("starts").alias("x")).select("id_", "x.*").collect()
+        spread.append({(i, at + j) for i, at, n in found for j in range(n)})
+    assert spread[0] == spread[1] and len(spread[0]) > 200
+    # the hot keys' windows are dealt to many keys
+    emit = lambda keys: substring_dedup._long_level(13, 7, 1 << 20, np.array(keys, np.int64).view(np.uint64))
+    live = docs.limit(50).toPandas().assign(keys=lambda d: [hot] * len(d))
+    batch = pa.RecordBatch.from_pandas(live, preserve_index=False)
+    dealt = [{k for b in emit(keys)(iter([batch])) for k in b.column(0).to_pylist()} for keys in ([], hot)]
+    assert dealt[0] <= set(hot) and len(dealt[1]) > 10 * len(hot)
+    found = substring_dedup.dedup_substrings(table(spark, values), hot_share=20).select("id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, found.collect())) == expected
+
+
 def test_hot_passages(spark):
     """A passage in most documents, over many slices and tasks, also under names as ids."""
     r = random.Random(6)
