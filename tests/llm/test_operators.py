@@ -8,7 +8,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -307,10 +306,11 @@ def test_different_windows_around_a_hot_passage(spark):
         spread.append({(i, at + j) for i, at, n in found for j in range(n)})
     assert spread[0] == spread[1] and len(spread[0]) > 200
     # the hot keys' windows are dealt to many keys
-    emit = lambda keys: substring_dedup._long_level(13, 7, 1 << 20, np.array(keys, np.int64).view(np.uint64))
-    live = docs.limit(50).toPandas().assign(keys=lambda d: [hot] * len(d))
-    batch = pa.RecordBatch.from_pandas(live, preserve_index=False)
-    dealt = [{k for b in emit(keys)(iter([batch])) for k in b.column(0).to_pylist()} for keys in ([], hot)]
+    live = docs.withColumn("keys", F.array(*[F.lit(k) for k in hot]))
+    dealt = []
+    for keys in ([], hot):
+        emit = substring_dedup._long_level(13, 7, 1 << 20, np.array(keys, np.int64).view(np.uint64))
+        dealt.append({r["k"] for r in live.mapInArrow(emit, substring_dedup.RUNS.format("bigint")).select("k").distinct().collect()})
     assert dealt[0] <= set(hot) and len(dealt[1]) > 10 * len(hot)
     found = substring_dedup.dedup_substrings(table(spark, values), hot_share=20).select("id", "n_words", "n_removed", "kept_sha256")
     assert sorted(map(tuple, found.collect())) == expected
