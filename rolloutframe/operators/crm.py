@@ -92,7 +92,8 @@ def issue_counts(cases: DataFrame, start: date, end: date, items: Sequence | Dat
 
 def _mean(rows: DataFrame, key: str, unit_micros: float, name: str) -> DataFrame:
     took = micros_between(F.col("created"), F.col("closed"))
-    sums = rows.groupBy(key).agg(F.sum(took).alias("_sum"), F.count(took).alias("_n"))
+    # exact, and wider than a long, which the micros of some 300,000 years fill
+    sums = rows.groupBy(key).agg(F.sum(took.cast("decimal(20,0)")).alias("_sum"), F.count(took).alias("_n"))
     return sums.select(key, (F.col("_sum").cast("double") / (F.col("_n") * F.lit(unit_micros))).alias(name))
 
 

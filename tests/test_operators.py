@@ -47,6 +47,21 @@ def test_times(spark, cases):
         crm.average_handle_minutes(cases, strict=True).collect()
 
 
+def test_long_sums_of_times(spark):
+    """The micros of 40 cases of 9000 years are no long any more."""
+    long = [(i, 10, "a", datetime(500, 1, 1), datetime(9500, 1, 1)) for i in range(40)]
+    cases = spark.createDataFrame(long, "id int, account_id int, owner_id string, created timestamp_ntz, closed timestamp_ntz")
+    cases = cases.withColumns({c: F.lit("x") for c in ("order_item_id", "issue_id", "status")})
+    accounts = spark.createDataFrame([(10, "CA")], "id int, shipping_state string")
+    seconds = (datetime(9500, 1, 1) - datetime(500, 1, 1)).total_seconds()
+    assert [r[1] for r in crm.average_handle_minutes(cases, strict=True).collect()] == [seconds / 60]
+    assert [r[1] for r in crm.closure_seconds_by_region(cases, accounts).collect()] == [seconds]
+    history = spark.createDataFrame([], "id int, case_id int, field string, created timestamp_ntz, new_value string, old_value string")
+    sql_functions.register_questions(cases, history, accounts, "long")
+    assert spark.sql("SELECT minutes FROM long_average_handle_minutes()").first()[0] == seconds / 60
+    assert spark.sql("SELECT seconds FROM long_closure_seconds_by_region()").first()[0] == seconds
+
+
 def test_ties(spark):
     values = spark.createDataFrame([("1", 15.0), ("2", 10.0), ("3", 15.0)], "id string, value double")
     assert sorted(r["id"] for r in crm.extremes(values, "value").collect()) == ["1", "3"]
