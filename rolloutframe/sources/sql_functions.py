@@ -23,7 +23,7 @@ from ..session import ship_package
 _PERIOD = "start TIMESTAMP DEFAULT NULL, end TIMESTAMP DEFAULT NULL"
 _WITHIN = "(start IS NULL OR created >= start) AND (end IS NULL OR created < end)"
 _CLOSED = "(start IS NULL OR created >= start) AND (end IS NULL OR created <= end)"
-_TOOK = "unix_micros(CAST(closed AS TIMESTAMP)) - unix_micros(CAST(created AS TIMESTAMP))"
+_TOOK = "CAST(unix_micros(CAST(closed AS TIMESTAMP)) - unix_micros(CAST(created AS TIMESTAMP)) AS DECIMAL(20, 0))"  # a sum leaves a long
 
 
 def _listed(column: str, names: str) -> str:
@@ -45,9 +45,9 @@ def _functions(cases: str, history: str, accounts: str) -> dict[str, str]:
         f"issue_counts({_PERIOD}, items ARRAY<STRING> DEFAULT NULL)":
             f"SELECT issue_id, count(id) AS n_cases FROM {cases} WHERE {_CLOSED} AND {_listed('order_item_id', 'items')} GROUP BY issue_id",
         f"average_handle_minutes({_PERIOD})":
-            f"SELECT owner_id, sum({_TOOK}) / (count(*) * 6e7D) AS minutes FROM {cases} WHERE {_WITHIN} AND closed >= created GROUP BY owner_id",
+            f"SELECT owner_id, CAST(sum({_TOOK}) AS DOUBLE) / (count(*) * 6e7D) AS minutes FROM {cases} WHERE {_WITHIN} AND closed >= created GROUP BY owner_id",
         f"closure_seconds_by_region({_PERIOD})":
-            f"SELECT shipping_state, sum({_TOOK}) / (count(*) * 1e6D) AS seconds FROM {cases} c JOIN {accounts} a ON c.account_id = a.id"
+            f"SELECT shipping_state, CAST(sum({_TOOK}) AS DOUBLE) / (count(*) * 1e6D) AS seconds FROM {cases} c JOIN {accounts} a ON c.account_id = a.id"
             f" WHERE {_WITHIN} AND closed IS NOT NULL AND shipping_state <> '' GROUP BY shipping_state",
         f"month_counts({_PERIOD})": f"SELECT date_format(created, 'MMMM') AS month, count(*) AS n_cases FROM {cases} WHERE {_WITHIN} GROUP BY 1",
         f"agents_by_cases(most BOOLEAN DEFAULT true, {_PERIOD})":
