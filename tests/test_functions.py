@@ -45,6 +45,29 @@ def test_unescape(spark, values):
     assert column(spark, values, text.unescape) == [html.unescape(v) for v in values]
 
 
+def test_clean_html_replaces_closed_entities(spark):
+    values = ["<p>a &amp; b</p>&copy;&#39;&#x41;", "the&&amp;&ampp{margin:0}", "&am</p>p;&nope;&amp", "&", "", None, "x&lt;y&amp;lt;"]
+    expected = ["a & b©'A", "the&&&ampp{margin:0}", "&amp;&nope;&amp".replace("&amp;", "&"), "&", "", None, "x<y&lt;"]
+    assert column(spark, values, text.clean_html) == expected
+
+
+def test_evaluate_by_expression(spark):
+    """As Python has it row by row: several expressions, missing and null names, zeros, whole numbers without bounds."""
+    texts = ["(q + 2) * 3 - q / t", "q", "-t / 0", "7 / 2", "2 ** q", "z + 1", "1" + "0" * 400 + " * q", "q / (t - t)", "10000000000000001 - 10000000000000000", "q +", "1 / 0", None]
+    maps = [{"q": 1.5, "t": 0.5}, {"q": -2.0, "t": 0.0}, {"q": None, "t": 1.0}, {}, None, {"t": 4.0, "q": 7.0}]
+    rows = [(i, e, m) for i, (e, m) in enumerate((e, m) for e in texts for m in maps)]
+    frame = spark.createDataFrame(rows, "i int, e string, m map<string,double>").coalesce(1)
+    found = {r["i"]: r["v"] for r in frame.select("i", exact.evaluate(F.col("e"), F.col("m")).alias("v")).collect()}
+    expected = {i: None if e is None else exact.arithmetic(e, {k: v for k, v in (m or {}).items() if v is not None}) for i, e, m in rows}
+    assert found == expected and found[0] == (1.5 + 2) * 3 - 1.5 / 0.5 and found[48] == 1.0
+
+
+def test_noon_in_serial_days(spark):
+    noons = [datetime(2024, 1, d, h, 0, 0, u) for d, h, u in ((1, 12, 0), (2, 12, 0), (2, 12, 400_000), (2, 11, 999_999), (3, 0, 0))]
+    assert column(spark, noons, lambda x: calendar.serial_days(x, noon_up=True), "timestamp_ntz") == [45293.0, 45294.0, 45294.0, 45293.0, 45294.0]
+    assert column(spark, noons, calendar.serial_days, "timestamp_ntz") == [45292.0, 45294.0, 45294.0, 45293.0, 45294.0]
+
+
 def test_answers(spark):
     values = ["<answer> 4 </answer>", "x <ANSWER>\nA\nB</Answer> <answer>no</answer>", "none", None, "<answer>rock &amp; Roll</answer>"]
     assert column(spark, values, text.answer) == ["4", "a\nb", "", "", "rock & roll"]
