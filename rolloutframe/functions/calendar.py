@@ -89,10 +89,11 @@ def record_month(text: Column) -> Column:
     return F.date_format(_record_local(text), "MMMM")
 
 
-def serial_days(moment: Column) -> Column:
-    """A timestamp as whole spreadsheet days since the end of 1899, half to even."""
+def serial_days(moment: Column, noon_up: bool = False) -> Column:
+    """A timestamp as whole spreadsheet days since the end of 1899; noon goes to the even day, or to the next one."""
     seconds = F.unix_micros(moment.cast("timestamp")) - F.unix_micros(F.lit(SERIAL_START).cast("timestamp"))
-    return F.rint(F.floor(seconds / 1_000_000) / F.lit(86400.0))
+    whole = F.floor(seconds / 1_000_000)
+    return F.floor((whole + 43200) / 86400).cast("double") if noon_up else F.rint(whole / F.lit(86400.0))
 
 
 def clock_text(time: Column) -> Column:
