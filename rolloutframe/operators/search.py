@@ -5,6 +5,9 @@ A term matches where the lower-cased fields hold the lower-cased term.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +76,30 @@ def search_text(articles: DataFrame, term: str, limit: int = 10) -> DataFrame:
     return hit_list(search_articles(articles, term, limit))
 
 
-def article_texts(asked: DataFrame, articles: DataFrame, max_chars: int = 10_000, redirects: DataFrame | None = None) -> DataFrame:
+def article_texts(
+    asked: DataFrame, articles: DataFrame, max_chars: int = 10_000, redirects: DataFrame | None = None, within: tuple[str, ...] = ()
+) -> DataFrame:
     """``asked`` (title, ...) with ``text``: the article of each title, or why there is none.
 
-    ``redirects``: (title, target), followed once.
+    ``redirects``: (title, target), followed once; of several, the least target. All
+    three tables have the columns ``within``, and titles are looked up among rows
+    that are equal in them: other articles may share a title. Of those that do not
+    differ even there, the one of the least id counts.
     """
+    own = [f"_in{i}" for i in range(len(within))]
+
+    def met(title: str, key: str) -> Column:
+        return reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(within, own, strict=True)], F.col(title) == F.col(key))
+
+    def keyed(key: str) -> list[Column]:
+        return [F.col("title").alias(key), *[F.col(c).alias(k) for c, k in zip(within, own, strict=True)]]
+
     named = asked.withColumn("_wanted", F.col("title"))
     if redirects is not None:
-        moved = redirects.select(F.col("title").alias("_from"), F.col("target").alias("_to"))
-        named = named.join(moved, F.col("title") == F.col("_from"), "left").withColumn("_wanted", F.coalesce("_to", "title")).drop("_from", "_to")
-    pages = articles.groupBy(F.col("title").alias("_title")).agg(F.min_by(F.struct("extract"), "id").alias("_page"))
-    found = named.join(pages, F.col("_wanted") == F.col("_title"), "left")
+        moved = redirects.groupBy(*keyed("_from")).agg(F.min("target").alias("_to"))
+        named = named.join(moved, met("title", "_from"), "left").withColumn("_wanted", F.coalesce("_to", "title")).drop("_from", "_to", *own)
+    pages = articles.groupBy(*keyed("_title")).agg(F.min_by(F.struct("extract"), "id").alias("_page"))
+    found = named.join(pages, met("_wanted", "_title"), "left")
     extract = F.col("_page.extract")
     text = (
         F.when(F.coalesce(F.col("title"), F.lit("")) == "", "Error: Missing required parameter: 'title'")
@@ -91,7 +107,7 @@ def article_texts(asked: DataFrame, articles: DataFrame, max_chars: int = 10_000
         .when(extract.isNull(), F.format_string("Error: No extract found for '%s'", F.col("title")))
         .otherwise(truncated(extract, max_chars, ""))
     )
-    return found.withColumn("text", text).drop("_wanted", "_title", "_page")
+    return found.withColumn("text", text).drop("_wanted", "_title", "_page", *own)
 
 
 def get_article(articles: DataFrame, title: str, max_chars: int = 10_000) -> DataFrame:

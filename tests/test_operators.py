@@ -62,6 +62,16 @@ def test_long_sums_of_times(spark):
     assert spark.sql("SELECT seconds FROM long_closure_seconds_by_region()").first()[0] == seconds
 
 
+def test_articles_that_share_a_title(spark):
+    articles = spark.createDataFrame([(1, "t", "one"), (2, "t", "two"), (3, "u", None)], "id int, title string, extract string")
+    asked = spark.createDataFrame([(1, "t"), (2, "t"), (3, "u"), (4, "t"), (2, "old"), (5, "old")], "id int, title string")
+    moved = spark.createDataFrame([(2, "old", "t"), (2, "old", "z"), (5, "old", "t")], "id int, title string, target string")
+    found = sorted(tuple(r) for r in search.article_texts(asked, articles, 50, moved, within=("id",)).collect())
+    lost = "Error: No pages found for title '{}'".format
+    assert found == [(1, "t", "one"), (2, "old", "two"), (2, "t", "two"), (3, "u", "Error: No extract found for 'u'"), (4, "t", lost("t")), (5, "old", lost("old"))]
+    assert [r["text"] for r in search.article_texts(asked.where("title = 't'"), articles).collect()] == ["one"] * 3
+
+
 def test_ties(spark):
     values = spark.createDataFrame([("1", 15.0), ("2", 10.0), ("3", 15.0)], "id string, value double")
     assert sorted(r["id"] for r in crm.extremes(values, "value").collect()) == ["1", "3"]
