@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 from importlib import import_module
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ from pyspark.sql.window import Window
 from ..functions.text import answer, normalized, number, strip, tokens
 
 NAN = float("nan")
+AHEAD = 8  # batches of waiting rewards, besides the one that is awaited
 
 
 def completion_text(rows: DataFrame, column: str) -> Column:
@@ -149,10 +152,7 @@ async def _value(function: Callable, arguments: dict, gate: asyncio.Semaphore, t
             return NAN
 
 
-async def _gathered(
-    functions: dict[str, Callable], records: list[dict], concurrency: int, timeout: float | None, threads: ThreadPoolExecutor | None
-) -> list[dict]:
-    gate = asyncio.Semaphore(concurrency)
+async def _gathered(functions: dict[str, Callable], records: list[dict], gate: asyncio.Semaphore, timeout: float | None, threads: ThreadPoolExecutor | None) -> list[dict]:
     calls = [_value(f, record, gate, timeout, threads) for record in records for f in functions.values()]
     values = iter(await asyncio.gather(*calls))
     return [{name: next(values) for name in functions} for _ in records]
@@ -168,18 +168,32 @@ def call_rewards(
     may be a coroutine function. A null completion or truth is an empty text.
 
     A task runs one event loop, in which up to ``concurrency`` calls are under way
-    at once. With a ``timeout``, in seconds for each call, plain functions run on
-    threads, since nothing else can outwait them; without one they run in turn.
+    at once; those of the next ``AHEAD`` batches begin before the slowest of a batch
+    have ended. With a ``timeout``, in seconds for each call, rows are dealt to as many
+    tasks as there are cores, and plain functions run on threads, since nothing else
+    can outwait them; without one they run in turn.
     """
+    if timeout is not None:
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     names = {"completion": completion, "ground_truth": truth, **{e: e for e in extras}}
 
     @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         threads = ThreadPoolExecutor(concurrency) if timeout is not None else None
+        gate = asyncio.Semaphore(concurrency)
+
+        async def ended(batch: asyncio.Task) -> list[dict]:
+            return await batch
+
         try:
             with asyncio.Runner() as loop:
+                begun: deque[asyncio.Task] = deque()
                 for given in batches:
-                    yield pd.Series(loop.run(_gathered(functions, given.to_dict("records"), concurrency, timeout, threads)), dtype=object)
+                    begun.append(loop.get_loop().create_task(_gathered(functions, given.to_dict("records"), gate, timeout, threads)))
+                    if len(begun) > AHEAD:
+                        yield pd.Series(loop.run(ended(begun.popleft())), dtype=object)
+                while begun:
+                    yield pd.Series(loop.run(ended(begun.popleft())), dtype=object)
         finally:
             if threads:
                 threads.shutdown(wait=False, cancel_futures=True)
@@ -223,15 +237,24 @@ def group_rewards(
 
     It takes lists rollout_ids, completions and ground_truths and returns a map
     for each rollout; none means empty maps. A group is the rollouts of one
-    prompt, whose number the sampler sets, so it fits a task.
+    prompt, whose number the sampler sets, so it fits a task. Spark gathers the
+    groups, and Python gets many of them in each Arrow batch.
     """
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, rollout)}
-    schema = f"`{group}` {kinds[group]}, `{rollout}` {kinds[rollout]}, rewards map<string,double>"
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(rollout)
-        given = {"rollout_ids": frame[rollout].tolist(), "completions": frame[completion].tolist(), "ground_truths": frame[truth].tolist()}
-        found = function(**given) if function else [{} for _ in given["rollout_ids"]]
-        return pd.DataFrame({group: frame[group], rollout: frame[rollout], "rewards": [{k: float(v) for k, v in x.items()} for x in found]})
-
-    return rows.select(group, rollout, completion, truth).groupBy(group).applyInPandas(score, schema)
+    if function is None:
+        return rows.select(group, rollout, F.create_map().cast("map<string,double>").alias("rewards"))
+    kind = rows.schema[rollout].dataType.simpleString()
+
+    @F.arrow_udf(f"array<struct<rollout:{kind},rewards:map<string,double>>>")
+    def score(groups: pa.Array) -> pa.Array:
+        out = []
+        for own in groups.to_pylist():
+            own.sort(key=lambda r: (r["rollout"] is None, r["rollout"]))
+            ids, said, truths = ([r[k] for r in own] for k in ("rollout", "completion", "truth"))
+            found = function(rollout_ids=ids, completions=said, ground_truths=truths)
+            out.append([{"rollout": i, "rewards": [(k, float(v)) for k, v in x.items()]} for i, x in zip(ids, found, strict=True)])
+        rollouts = groups.type.value_type.field("rollout").type
+        return pa.array(out, pa.list_(pa.struct([("rollout", rollouts), ("rewards", pa.map_(pa.string(), pa.float64()))])))
+
+    each = F.struct(F.col(rollout).alias("rollout"), F.col(completion).alias("completion"), F.col(truth).alias("truth"))
+    gathered = rows.groupBy(group).agg(F.collect_list(each).alias("_own"))
+    return gathered.select(group, F.inline(score("_own"))).toDF(group, rollout, "rewards")

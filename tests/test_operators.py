@@ -256,6 +256,20 @@ def test_rewards_wait_together(spark):
     assert sum(r["rewards"]["sleeps"] == 1.0 and r["rewards"]["blocks"] == 2.0 for r in found) == 1000 - 4 - 3
 
 
+def test_waits_of_batches_overlap(spark):
+    """Batches of one row, of which nearly all are out of time: the waits of a task's seven or eight are one."""
+    rows = spark.range(60).select(F.when(F.col("id") % 10 != 5, "forever").otherwise("ok").alias("completion"), F.lit("").alias("ground_truth"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        began = time.perf_counter()
+        found = rewards.call_rewards(rows.repartition(8), {"sleeps": _sleeps}, timeout=4).collect()
+        assert time.perf_counter() - began < 12
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(math.isnan(r["rewards"]["sleeps"]) == (r["completion"] == "forever") for r in found) and len(found) == 60
+
+
 CALLS = "rollout_id string, seq int, tool string, name string, value double"
 TURNS = [
     [("a", 2, "get_variable", "x", None), ("a", 1, "define_variable", "x", 1.5), ("b", 1, "get_variable", "x", None), ("c", 1, "define_variable", "y", 2.0)],
@@ -593,6 +607,16 @@ def test_rewards_over_state_files_and_groups(spark):
     assert {tuple(r["rewards"]) for r in rewards.group_rewards(rows, "g").collect()} == {()}
 
 
+def test_groups_share_a_batch(spark):
+    """Many groups meet in one call of Python, and each is given alone, in order of its rollouts; a NaN stays one."""
+    rows = spark.createDataFrame([(i % 50 or None, i, str(i), None) for i in range(200)], "g int, rollout_id int, completion string, ground_truth string")
+    pids = lambda rollout_ids, completions, ground_truths: [{"at": i, "nan": float('nan')} for i, r in enumerate(rollout_ids) if completions[i] == str(r)]
+    found = rewards.group_rewards(rows.coalesce(1), "g", pids).collect()
+    at = {r["rollout_id"]: (r["g"], r["rewards"]["at"], math.isnan(r["rewards"]["nan"])) for r in found}
+    assert at == {i: (i % 50 or None, i // 50, True) for i in range(200)}
+    assert not any("FlatMapGroupsInPandas" in f._jdf.queryExecution().toString() for f in (rewards.group_rewards(rows, "g", pids), rewards.group_rewards(rows, "g")))
+
+
 def test_steps_of_raw_turns(spark):
     call = "<tool_call>{}</tool_call>".format
     turns = spark.createDataFrame(
@@ -620,6 +644,30 @@ def test_workspace_files(spark, tmp_path):
         workspace.download(outside, str(tmp_path / "w")).collect()
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """Files of several folders and depths, without a Spark file index, which would hold them all in the driver."""
+    expected = {("b", "y", b"2"), (tmp_path.name, "x", b"1"), ("c", "z", b"")} | {("d", f"{i}", b"%d" % i) for i in range(2500)}
+    for rollout, name, content in sorted(expected):
+        folder = {"c": tmp_path / "b" / "c", tmp_path.name: tmp_path}.get(rollout, tmp_path / rollout)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(content)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    found = workspace.files(spark, str(tmp_path))
+    assert {(r[0], r[1], bytes(r[2])) for r in found.collect()} == expected and found.count() == len(expected)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_of_files_are_not_broadcast(spark):
+    """However small Spark takes them to be: their sizes are guesses."""
+    from rolloutframe.operators import workbooks
+
+    each = spark.createDataFrame([("a", 1, "in", "A1")], "rollout_id string, id int, input string, position string")
+    files = spark.createDataFrame([("in", b"x")], "path string, content binary")
+    begun = workbooks.start(each, files)
+    assert [tuple(r) for r in begun.collect()] == [("a", "1_1_input.xlsx", b"x", None)]
+    assert "Broadcast" not in begun._jdf.queryExecution().executedPlan().toString()
+
+
 def test_datasets_of_documents(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps([{"id": 7, "x": "a"}, {"id": 8, "x": "b"}], indent=2))
     assert sorted(tuple(r) for r in tables.load_dataset(spark, str(tmp_path / "d.json"), "json").select("id", "x").collect()) == [("7", "a"), ("8", "b")]
