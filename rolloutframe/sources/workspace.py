@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import ship_package
-from .filesystem import written
+from .filesystem import entries, listed, opened, written
+
+LISTED, READ_BYTES = 1000, 1 << 24  # names and bytes of files in a batch
 
 
 def files(spark: SparkSession, path: str, rollout: Column | None = None) -> DataFrame:
-    """Files below ``path``; the folder that holds a file names its rollout."""
+    """Files below ``path``; the folder that holds a file names its rollout.
+
+    Each folder right below ``path`` is listed by a task and the names dealt to all
+    tasks, so that neither the driver nor Spark's file index holds a row a file.
+    Files are read one at a time.
+    """
     rollout = F.element_at(F.split("path", "/"), -2) if rollout is None else rollout
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(rollout.alias("rollout_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-    )
+    ship_package(spark)
+    own, folders = entries(path)
+
+    def listed_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names = [n for n in listed(path, "", folder) if not n.rsplit("/", 1)[-1].startswith((".", "_"))]
+                for i in range(0, len(names), LISTED):
+                    yield pa.RecordBatch.from_pydict({"path": names[i : i + LISTED]})
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+        for batch in batches:
+            held, size = [], 0
+            for name in batch.column(0).to_pylist():
+                with opened(path, name) as file:
+                    held.append({"path": name, "content": file.read()})
+                size += len(held[-1]["content"])
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    parallel = spark.sparkContext.defaultParallelism
+    named = spark.createDataFrame([(f,) for f in own], "path string")
+    if folders:
+        below = spark.createDataFrame([(f,) for f in folders], "path string").repartition(min(len(folders), 4 * parallel))
+        named = named.unionByName(below.mapInArrow(listed_below, "path string"))
+    found = named.repartition(4 * parallel).mapInArrow(contents, "path string, content binary")
+    return found.select(rollout.alias("rollout_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
 def text_content(rows: DataFrame, text: str = "text") -> DataFrame:
