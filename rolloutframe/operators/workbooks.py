@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from ..sources import xlsx
 from .sheets import spreadsheet_reward
 
@@ -24,7 +25,8 @@ def start(rollouts: DataFrame, inputs: DataFrame) -> DataFrame:
 
     ``inputs``: (path, content). A rollout without an input, or with one that is not there, has an error and no file.
     """
-    files = inputs.select(F.col("path").alias("input"), "content")
+    # Spark takes a file's content for 100 bytes; by that guess it would send all files through the driver as a broadcast
+    files = inputs.select(F.col("path").alias("input"), "content").hint("merge")
     found = rollouts.select("rollout_id", "id", "input").join(files, "input", "left")
     lost = F.when(F.coalesce(F.col("input"), F.lit("")) == "", NO_INPUT).when(F.col("content").isNull(), F.concat(F.lit("no such file: "), "input"))
     name = F.when(lost.isNull(), F.format_string(INPUT, F.col("id").cast("string")))
@@ -42,11 +44,12 @@ def reward(rollouts: DataFrame, workspace: DataFrame, answers: DataFrame) -> Dat
     or a position, and for files that cannot be read.
     """
     named = rollouts.select("rollout_id", "id", F.format_string(OUTPUT, F.col("id").cast("string")).alias("filename"))
-    output = _cells(workspace.join(named, ["rollout_id", "filename"], "left_semi"), F.col("rollout_id"))
+    own = workspace.join(named.hint("merge"), ["rollout_id", "filename"], "left_semi")
+    output = staged(_cells(own, F.col("rollout_id")), "output")  # cells are read twice, and files parsed once
     wanted = rollouts.select("id", F.format_string(ANSWER, F.col("id").cast("string")).alias("filename")).distinct()
-    truth = _cells(answers.join(wanted, "filename"), F.col("id")).withColumnRenamed("workbook", "_id")
+    truth = staged(_cells(answers.join(wanted.hint("merge"), "filename"), F.col("id")), "truth").withColumnRenamed("workbook", "_id")
     owners = rollouts.select(F.col("id").cast("string").alias("_id"), F.col("rollout_id").cast("string").alias("workbook")).distinct()
-    truth = truth.join(owners, "_id").select(*output.columns)
+    truth = truth.join(owners.hint("merge"), "_id").select(*output.columns)
     asked = rollouts.select(F.col("rollout_id").cast("string").alias("workbook"), "position", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(rollouts.columns)])
     found = spreadsheet_reward(asked, truth, output)
     return found.select(*[F.col(f"_o{i}").alias(c) for i, c in enumerate(rollouts.columns)], "reward")

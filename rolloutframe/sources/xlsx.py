@@ -37,6 +37,7 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 NO_CODE = r'"[^"]*"|\\.|_.|\[(?!h|hh|m|mm|s|ss)[^\]]*\]|(?i:general)'
 NO_STYLE = {"fill_fg": None, "fill_bg": None, "font_rgb": None, "bold": False, "italic": False, "underline": False, "dated": False}
+BATCH_CELLS = 4096
 _KINDS = {"s": "string", "inlineStr": "string", "str": "string", "b": "boolean", "e": "error"}
 
 
@@ -143,8 +144,13 @@ def parse_cells(books: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cells: list[dict] = []
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_pylist(_readable(io.BytesIO(content.as_py() or b""), name.as_py()), schema)
+                cells += _readable(io.BytesIO(content.as_py() or b""), name.as_py())
+                if len(cells) >= BATCH_CELLS:
+                    yield pa.RecordBatch.from_pylist(cells, schema)
+                    cells = []
+            yield pa.RecordBatch.from_pylist(cells, schema)
 
     return books.select("workbook", "content").mapInArrow(parse, SCHEMA)
 
