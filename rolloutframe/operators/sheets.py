@@ -227,14 +227,13 @@ def render(cells: DataFrame) -> DataFrame:
     lines = cells.select(
         "workbook", "sheet", "sheet_idx", "row", "col", F.concat("ref", F.lit(": "), shown, style).alias("line")
     ).where(F.col("line").isNotNull())
-    rows = lines.groupBy("workbook", "sheet", "sheet_idx", "row").agg(
-        F.array_sort(F.collect_list(F.struct("col", "line"))).alias("cells")
-    )
-    text = F.array_join(F.transform("cells", lambda c: c["line"]), "\n")
-    ordered = F.array_sort(F.collect_list(F.struct("row", text.alias("text"))))
-    return rows.groupBy("workbook", "sheet", "sheet_idx").agg(
-        F.array_join(F.transform(ordered, lambda r: F.concat(r["text"], F.lit("\n"))), "\n").alias("text")
-    )
+    keys = ["workbook", "sheet", "sheet_idx"]
+    # each step is a projection of its own, so that cells are sorted once
+    cells = lines.groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "line")).alias("_found"))
+    cells = cells.select(*keys, F.array_sort("_found").alias("_cells"))
+    cells = cells.select(*keys, "_cells", F.concat(F.slice("_cells", 1, 1), F.slice("_cells", F.lit(1), F.size("_cells") - 1)).alias("_before"))
+    shown = F.zip_with("_cells", "_before", lambda x, y: F.when(x["row"] == y["row"], x["line"]).otherwise(F.concat(F.lit("\n"), x["line"])))
+    return cells.select(*keys, F.concat(F.array_join(shown, "\n"), F.lit("\n")).alias("text"))
 
 
 def render_books(cells: DataFrame) -> DataFrame:
