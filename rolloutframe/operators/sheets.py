@@ -22,6 +22,7 @@ from ..functions.text import number
 WHITE_FILLS = ("00000000", "FFFFFFFF", "FFFFFF00")
 NO_FILL = "00000000"
 UNREADABLE = "unreadable"
+BLOCK_ROWS = 64  # of a sheet, by which ranges meet cells
 
 
 def column_number(letters: Column) -> Column:
@@ -45,34 +46,41 @@ def column_letters(n: Column) -> Column:
     )
 
 
-def expand_ranges(rows: DataFrame, position: str) -> DataFrame:
-    """``rows``, one for each cell of the comma-separated ranges: sheet (null: the first), row, col, ord, state.
+def split_ranges(rows: DataFrame, position: str) -> DataFrame:
+    """``rows``, one for each of the comma-separated ranges: sheet (null: the first), low, high, left, right, part, state.
 
-    Cells run down each column. ``state`` is ``cell``; a malformed range and one
-    that ends before it starts give one row without a cell, ``bad`` and ``none``.
+    ``state`` is ``cell``, ``bad`` for a malformed range, and ``none`` for one that ends before it starts.
     """
     pattern = r"^(?:'?([^'!]+)'?!)?([A-Za-z]+)(\d+)(?::([A-Za-z]+)(\d+))?$"
-    each = rows.select(*rows.columns, F.posexplode(F.split(F.col(position), ",")).alias("_part", "_range"))
-    each = each.withColumns({f"_p{i}": F.regexp_extract("_range", pattern, i) for i in range(1, 6)})
-    # each step is a projection of its own, so that nothing is matched or counted twice
+    each = rows.select(*rows.columns, F.posexplode(F.split(F.col(position), ",")).alias("part", "_range"))
+    # matched once: no part holds a "!", so what is no range stays as it is; each step is a projection of its own, so that nothing is counted twice
+    each = each.withColumn("_found", F.regexp_replace("_range", pattern, "$1!$2!$3!$4!$5"))
+    each = each.withColumn("_parts", F.when(F.col("_found") != F.col("_range"), F.split("_found", "!")))
+    each = each.withColumns({f"_p{i}": F.coalesce(F.get("_parts", F.lit(i - 1)), F.lit("")) for i in range(1, 6)})
     each = each.withColumns({
-        "_low": F.col("_p3").try_cast("int"), "_high": F.when(F.col("_p5") == "", F.col("_p3")).otherwise(F.col("_p5")).try_cast("int"),
-        "_left": column_number(F.col("_p2")), "_right": column_number(F.when(F.col("_p4") == "", F.col("_p2")).otherwise(F.col("_p4"))),
+        "low": F.col("_p3").try_cast("int"), "high": F.when(F.col("_p5") == "", F.col("_p3")).otherwise(F.col("_p5")).try_cast("int"),
+        "left": column_number(F.col("_p2")), "right": column_number(F.when(F.col("_p4") == "", F.col("_p2")).otherwise(F.col("_p4"))),
     })
-    low, high, left, right = (F.col(c) for c in ("_low", "_high", "_left", "_right"))
+    low, high, left, right = (F.col(c) for c in ("low", "high", "left", "right"))
     ok = F.col("_p3") != ""  # the one part that every range has
     some = ok & (low <= high) & (left <= right)
+    state = F.when(some, "cell").when(ok & low.isNotNull() & high.isNotNull(), "none").otherwise("bad")
+    return each.select(*rows.columns, F.when(F.col("_p1") != "", F.col("_p1")).alias("sheet"), low, high, left, right, "part", state.alias("state"))
 
-    def span(a: Column, b: Column) -> Column:
-        return F.when(some, F.sequence(a, F.greatest(a, b)))
 
-    columns = each.select(
-        *rows.columns, "_part", F.when(F.col("_p1") != "", F.col("_p1")).alias("sheet"), span(low, high).alias("_rows"),
-        F.when(some, "cell").when(ok & low.isNotNull() & high.isNotNull(), "none").otherwise("bad").alias("state"),
-        F.explode_outer(span(left, right)).alias("col"),
-    )
-    cells = columns.select(*rows.columns, "_part", "sheet", "col", F.explode_outer("_rows").alias("row"), "state")
-    return cells.select(*rows.columns, "sheet", "row", "col", F.struct("_part", "col", "row").alias("ord"), "state")
+def expand_ranges(rows: DataFrame, position: str) -> DataFrame:
+    """``rows``, one for each cell of the comma-separated ranges: sheet (null: the first), row, col, ord, state.
+
+    Cells run down each column. ``state`` is ``cell``; a malformed range and one
+    that ends before it starts give one row without a cell, ``bad`` and ``none``.
+    """
+    def span(a: str, b: str) -> Column:
+        return F.when(F.col("state") == "cell", F.sequence(a, F.greatest(a, b)))
+
+    each = split_ranges(rows, position)
+    columns = each.select(*rows.columns, "part", "sheet", span("low", "high").alias("_rows"), "state", F.explode_outer(span("left", "right")).alias("col"))
+    cells = columns.select(*rows.columns, "part", "sheet", "col", F.explode_outer("_rows").alias("row"), "state")
+    return cells.select(*rows.columns, "sheet", "row", "col", F.struct("part", "col", "row").alias("ord"), "state")
 
 
 def time_text(serial: Column) -> Column:
@@ -101,12 +109,14 @@ def _text(value: Column, raw: Column, kind: Column) -> Column:
 def _sheets(truth: DataFrame, output: DataFrame) -> DataFrame:
     """(workbook, sheet, in_t, in_o, first, unread) of every sheet on either side; first: of the truth."""
     def marks(cells: DataFrame, own: bool) -> DataFrame:
-        unread = F.coalesce(F.col("value_type") == UNREADABLE, F.lit(False))
-        first = F.coalesce(F.col("sheet_idx") == 0, F.lit(False)) if own else F.lit(False)
-        return cells.select("workbook", "sheet", F.lit(own).alias("in_t"), F.lit(not own).alias("in_o"), first.alias("first"), unread.alias("unread"))
+        """One number of bits for each cell, which is far cheaper to unite than a column for each."""
+        unread = F.when(F.col("value_type") == UNREADABLE, 8).otherwise(0)
+        first = F.when(F.col("sheet_idx") == 0, 4).otherwise(0) if own else F.lit(0)
+        return cells.select("workbook", "sheet", (F.lit(1 if own else 2) + first + unread).alias("marks"))
 
-    both = marks(truth, True).unionByName(marks(output, False))
-    return both.groupBy("workbook", "sheet").agg(*[F.max(c).alias(c) for c in ("in_t", "in_o", "first", "unread")])
+    both = marks(truth, True).unionByName(marks(output, False)).groupBy("workbook", "sheet").agg(F.bit_or("marks").alias("marks"))
+    names = {1: "in_t", 2: "in_o", 4: "first", 8: "unread"}
+    return both.select("workbook", "sheet", *[(F.col("marks").bitwiseAND(bit) != 0).alias(name) for bit, name in names.items()])
 
 
 def _asked(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -121,32 +131,29 @@ def _asked(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
     return sides.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("unread", "in_t", "in_o")}).drop("_first", "_known", "_own")
 
 
-def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles: bool = False, by: tuple[str, ...] = ("workbook",)) -> DataFrame:
-    """(*by, matches, first_mismatch, message) for the cells ``wanted`` (workbook, sheet, row, col, ord, state, *by).
-
-    ``by`` names what is judged: all ranges of a workbook together, or those of
-    each example. Numbers, also as text, are equal when they are rounded to two
-    places; dates are their whole days, times their hours and minutes; a missing
-    cell equals an empty one. A range without a sheet means the truth's first one.
-    Nothing matches in a sheet that either side lacks, a malformed range, or a
-    workbook that could not be read. ``styles`` also compares fills and font colours.
-
-    Wanted cells are the built side of hash joins, which each side's cells stream
-    by once; only differing cells meet by ``by``, and rounding, which is Python's
-    own, sees one row for each, with the few numbers that it decides. Both sides
-    are read twice, the second time for their sheets: write first what is costly
-    to parse.
+def _differing(truth: DataFrame, output: DataFrame, most: DataFrame, styles: bool) -> DataFrame:
+    """(workbook, sheet, _row, _col, ref, a, b, close, unequal, differs) of the cells that may not be equal.
+
+    ``differs`` says what does; where it is null, rounding tells whether ``unequal`` is said (``close``).
+
+    ``most`` has one row, the last row and column of any range: cells beyond are in none and stay where they are.
     """
     shown = ["value", "value_type", *(["fill_fg", "fill_bg", "font_rgb"] if styles else [])]
     keys = ["workbook", "sheet", "row", "col"]
 
     def side(cells: DataFrame, name: str) -> DataFrame:
-        return cells.where(F.col("row").isNotNull()).select(*keys, F.struct(*shown).alias(name))
+        near = cells.where((F.col("row") <= most.select("row").scalar()) & (F.col("col") <= most.select("col").scalar()))
+        return near.select(*keys, F.struct(*shown).alias(name))
 
-    asked = _asked(wanted, _sheets(truth, output))
-    pairs = asked.hint("shuffle_hash").join(side(truth, "t"), keys, "left").hint("shuffle_hash").join(side(output, "o"), keys, "left")
+    pairs = side(truth, "t").join(side(output, "o"), keys, "full")
+    fill, font = F.lit(True), F.lit(True)
+    if styles:
+        for c in ("fill_fg", "fill_bg"):
+            fill = fill & F.coalesce(f"t.{c}", F.lit(NO_FILL)).eqNullSafe(F.coalesce(f"o.{c}", F.lit(NO_FILL)))
+        font = F.col("t.font_rgb").eqNullSafe(F.col("o.font_rgb"))
     # cells of the same text need no number, but for NaN, which equals nothing; each column is computed once
-    pairs = pairs.withColumn("same", F.col("t.value").eqNullSafe(F.col("o.value")) & F.col("t.value_type").eqNullSafe(F.col("o.value_type")))
+    pairs = pairs.withColumns({"same": F.col("t.value").eqNullSafe(F.col("o.value")) & F.col("t.value_type").eqNullSafe(F.col("o.value_type")), "fill": fill, "font": font})
+    pairs = pairs.where(~(F.col("same") & F.col("fill") & F.col("font")) | F.lower("t.value").contains("nan"))
     differs = {x: F.when(~F.col("same") | F.lower(f"{x}.value").contains("nan"), F.col(f"{x}.value")) for x in ("t", "o")}
     pairs = pairs.withColumns({f"raw_{x}": number(v) for x, v in differs.items()})
     pairs = pairs.withColumns({
@@ -157,33 +164,67 @@ def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     neither = F.col("a").isNull() & F.col("b").isNull()
     alike = F.when(nan, False).when(F.col("same"), True).when(both, F.col("a") == F.col("b")).when(neither, F.col("text_a").eqNullSafe(F.col("text_b")))
-    alike = F.coalesce(alike, F.lit(False))
-    close = both & ~nan & ~alike & (F.abs(F.col("a") - F.col("b")) <= 0.011)  # rounding alone can tell
-    ref = F.concat(column_letters(F.col("col")), F.col("row").cast("string"))
-    fill = F.lit(True)
-    font = F.lit(True)
-    if styles:
-        for c in ("fill_fg", "fill_bg"):
-            fill = fill & F.coalesce(f"t.{c}", F.lit(NO_FILL)).eqNullSafe(F.coalesce(f"o.{c}", F.lit(NO_FILL)))
-        font = F.col("t.font_rgb").eqNullSafe(F.col("o.font_rgb"))
-    value_message = F.concat(
-        F.lit("Value mismatch at "), ref, F.lit(": expected "), F.coalesce("t.value", F.lit("None")), F.lit(", got "), F.coalesce("o.value", F.lit("None"))
+    pairs = pairs.withColumn("alike", F.coalesce(alike, F.lit(False)))
+    close = both & ~nan & ~F.col("alike") & (F.abs(F.col("a") - F.col("b")) <= 0.011)  # rounding alone can tell
+    pairs = pairs.where(~(F.col("alike") & F.col("fill") & F.col("font"))).withColumn("close", F.coalesce(close, F.lit(False)))
+    pairs = pairs.withColumn("ref", F.concat(column_letters(F.col("col")), F.col("row").cast("string")))
+    unequal = F.concat(F.lit("Value mismatch at "), "ref", F.lit(": expected "), F.coalesce("t.value", F.lit("None")), F.lit(", got "), F.coalesce("o.value", F.lit("None")))
+    message = (
+        F.when(~F.col("alike") & ~F.col("close"), unequal)
+        .when(~F.col("fill"), F.concat(F.lit("Fill color mismatch at "), "ref"))
+        .when(~F.col("font"), F.concat(F.lit("Font color mismatch at "), "ref"))
     )
+    return pairs.select("workbook", "sheet", F.col("row").alias("_row"), F.col("col").alias("_col"), "ref", "a", "b", "close", unequal.alias("unequal"), message.alias("differs"))
+
+
+def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame, styles: bool = False, by: tuple[str, ...] = ("workbook",)) -> DataFrame:
+    """(*by, matches, first_mismatch, message) for the cells ``wanted`` (workbook, sheet, *by, ...).
+
+    ``wanted`` has the ranges of ``split_ranges``, which are never expanded, or the
+    cells of ``expand_ranges``. ``by`` names what is judged: all ranges of a
+    workbook together, or those of each example. Numbers, also as text, are equal
+    when they are rounded to two places; dates are their whole days, times their
+    hours and minutes; a missing cell equals an empty one. A range without a sheet
+    means the truth's first one. Nothing matches in a sheet that either side lacks,
+    a malformed range, or a workbook that could not be read. ``styles`` also
+    compares fills and font colours.
+
+    The sides' cells meet once, without those past the last row and column of all
+    ranges; only cells that may differ meet ranges, by blocks of rows, and then
+    ``by``. Rounding, which is Python's own, sees one row for each, with the few
+    numbers that it decides. Both sides are read twice, the second time for their
+    sheets: write first what is costly to parse.
+    """
+    ranged = "low" in wanted.columns
+    valid = F.col("state") == "cell"
+    last = {"row": F.col("high" if ranged else "row"), "col": F.col("right" if ranged else "col")}
+    most = wanted.agg(*[F.max(F.when(valid, v)).alias(k) for k, v in last.items()])
+    found = _differing(truth, output, most, styles)
+    asked = _asked(wanted, _sheets(truth, output))
+    if ranged:
+        blocks = F.when(valid, F.sequence(F.expr(f"low div {BLOCK_ROWS}"), F.expr(f"greatest(low, high) div {BLOCK_ROWS}")))
+        asked = asked.select("*", F.struct("part", F.col("left").alias("col"), F.col("low").alias("row")).alias("ord"), F.explode_outer(blocks).alias("_block"))
+        found = found.withColumn("_block", F.expr(f"_row div {BLOCK_ROWS}"))
+        within = (asked["_block"] == found["_block"]) & F.col("_row").between(F.col("low"), F.col("high")) & F.col("_col").between(F.col("left"), F.col("right"))
+        ord_ = F.when(F.col("_row").isNotNull(), F.struct("part", F.col("_col").alias("col"), F.col("_row").alias("row"))).otherwise(F.col("ord"))
+    else:
+        within, ord_ = (F.col("row") == F.col("_row")) & (F.col("col") == F.col("_col")), F.col("ord")
+    met = asked.join(found, (asked["workbook"] == found["workbook"]) & (asked["sheet"] == found["sheet"]) & within, "left").drop(found["workbook"], found["sheet"])
     message = (
         F.when(F.col("unread"), "A workbook could not be read.")
         .when(F.col("state") == "bad", "A range is malformed.")
         .when(~F.col("in_o"), F.concat(F.lit("Worksheet '"), F.coalesce("sheet", F.lit("")), F.lit("' not found in output workbook.")))
         .when(~F.col("in_t"), F.concat(F.lit("Worksheet '"), F.coalesce("sheet", F.lit("")), F.lit("' not found.")))
         .when(F.col("state") == "none", F.lit(None))
-        .when(~alike & ~close, value_message)
-        .when(~fill, F.concat(F.lit("Fill color mismatch at "), ref))
-        .when(~font, F.concat(F.lit("Font color mismatch at "), ref))
+        .otherwise(F.col("differs"))
     )
-    ref = F.when((F.col("state") == "cell") & F.col("in_o") & F.col("in_t") & ~F.col("unread"), ref)
-    judged = pairs.select(*by, "ord", ref.alias("ref"), message.alias("message"), "a", "b", close.alias("close"), value_message.alias("unequal"))
+    ref = F.when(valid & F.col("in_o") & F.col("in_t") & ~F.col("unread"), F.col("ref"))
+    # messages are made before, with the few cells that differ: a longer step here is too long for the JVM to compile
+    met = met.withColumns({"message": message, "close": F.coalesce("close", F.lit(False))}).where(F.col("close") | F.col("message").isNotNull())
+    judged = met.select(*by, ord_.alias("ord"), ref.alias("ref"), "message", "a", "b", "close", "unequal")
     failed = F.when(F.col("message").isNotNull(), F.struct("ord", "ref", "message"))
     unsure = F.when(F.col("close") & F.col("message").isNull(), F.struct("ord", "ref", F.col("unequal").alias("message"), "a", "b"))
-    found = judged.where(F.col("close") | F.col("message").isNotNull()).groupBy(*by).agg(F.min(failed).alias("failed"), F.array_sort(F.collect_list(unsure)).alias("unsure"))
+    found = judged.groupBy(*by).agg(F.min(failed).alias("failed"), F.array_sort(F.collect_list(unsure)).alias("unsure"))
     found = found.withColumn("same", equal_when_rounded(F.col("unsure.a"), F.col("unsure.b")))
     open_ = F.filter(F.arrays_zip("unsure", "same"), lambda x: ~x["same"])
     late = F.get(open_, F.lit(0))["unsure"]
@@ -253,7 +294,7 @@ def spreadsheet_reward(examples: DataFrame, truth: DataFrame, output: DataFrame)
     a null workbook or position is 0.
     """
     key = ["workbook", "position"]
-    wanted = expand_ranges(examples.select(*key).distinct(), "position")
+    wanted = split_ranges(examples.select(*key).distinct(), "position")
     found = compare_cells(wanted, truth, output, by=("workbook", "position")).select(*[F.col(c).alias(f"_{c}") for c in key], "matches")
     joined = examples.join(found, (F.col("workbook") == F.col("_workbook")) & (F.col("position") == F.col("_position")), "left")
     return joined.withColumn("reward", F.coalesce("matches", F.lit(False)).cast("double")).drop("_workbook", "_position", "matches")

@@ -232,6 +232,21 @@ def test_examples_of_one_workbook_are_judged_apart(spark):
     assert {r["id"]: r["reward"] for r in found.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0, 6: 0.0, 7: 0.0, 8: 1.0, 9: 0.0}
 
 
+def test_ranges_are_compared_without_their_cells(spark):
+    """A whole sheet, of 17 billion cells, costs what its differing cells cost."""
+    cell = "workbook string, sheet string, sheet_idx int, row int, col int, value string, value_type string"
+    truth = spark.createDataFrame([("w", "S", 0, r, c, str(r * c), "number") for r in (1, 63, 64, 200) for c in (1, 3)], cell)
+    output = truth.withColumn("value", F.when((F.col("row") == 200) & (F.col("col") == 3), "x").when((F.col("row") == 64) & (F.col("col") == 3), "192.004").otherwise(F.col("value")))
+    output = output.unionByName(spark.createDataFrame([("w", "S", 0, 70, 2, "new", "string"), ("w", "T", 1, 1, 1, "1", "number")], cell))
+    asked = ["A1:XFD1048576", "A1:C69", "A71:C300", "S!C200,B70", "T!A1", "A1:B2,?", "C1:A1", "A64:C64"]
+    wanted = sheets.split_ranges(spark.createDataFrame([("w", p) for p in asked], "workbook string, position string"), "position")
+    found = sheets.compare_cells(wanted, truth, output, by=("workbook", "position")).collect()
+    assert {r["position"]: (r["matches"], r["first_mismatch"]) for r in found} == {
+        "A1:XFD1048576": (False, "B70"), "A1:C69": (True, None), "A71:C300": (False, "C200"), "S!C200,B70": (False, "C200"),
+        "T!A1": (False, None), "A1:B2,?": (False, None), "C1:A1": (True, None), "A64:C64": (True, None),
+    }
+
+
 async def _sleeps(completion, **_):
     await asyncio.sleep(30 if completion == "forever" else 0.2)
     return 1
