@@ -1,9 +1,10 @@
 """Full-text search over an inverted index: postings of (term, field, id, hits), sorted by term.
 
 A term is a run of letters and digits, lower-cased. The index is a folder of
-Parquet runs, each dealt to ranges of (term, id) and sorted, so that the filter of
-a search, equal terms and prefixes, is pushed into the scan and skips all other
-row groups; a term that every row holds is spread over as many ranges as it needs.
+Parquet runs, whose rows are dealt to files by id, with their texts: words are
+counted where they are and never exchanged. A file holds blocks of postings, each
+sorted by term, so that the filter of a search, equal terms and prefixes, is pushed
+into the scan and skips all other pages; a term that every row holds is in all files.
 A search reads postings alone, once, whatever the number of its terms, and unites
 them by id with a partial aggregation: each term sets a bit, and a clause matches
 where all its bits are set.
@@ -17,27 +18,75 @@ all of them.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import ship_package
 
 MOST_TERMS = 62  # one bit each
+BLOCK_BYTES = 1 << 24  # of the texts of a block
+OUT_ROWS = 1 << 16
 
 
 def terms(text: Column) -> Column:
-    """The terms of a text, with repeats; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """The terms of a text, with repeats, a space between them; empty for null."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of all batches in blocks of ``BLOCK_BYTES`` of text, or of one longer text."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES - size, "right")))
+            held.append(batch.slice(start, stop - start))
+            size += ends[stop - 1] - before
+            start = stop
+            if start < len(ends) or size >= BLOCK_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, field, id, hits) of rows (id, field, text), in each block by term."""
+    for rows in _blocks(batches):
+        said = pc.split_pattern(rows["text"].combine_chunks(), " ")
+        words = said.flatten().dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        keys = rank[words.indices.to_numpy()] * len(rows) + pc.list_parent_indices(said).to_numpy()
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        hits = np.diff(np.append(first, len(keys)))
+        for i in range(0, len(first), OUT_ROWS):
+            term, row = np.divmod(keys[first[i : i + OUT_ROWS]], len(rows))
+            own = rows.select(["field", "id"]).take(pa.array(row)).combine_chunks()
+            found = [words.dictionary.take(pa.array(order[term])), *(own[c].combine_chunks() for c in own.column_names), pa.array(hits[i : i + OUT_ROWS])]
+            yield pa.RecordBatch.from_arrays(found, ["term", "field", "id", "hits"])
 
 
 def add(rows: DataFrame, path: str, id_col: str, fields: dict[str, Column]) -> None:
     """Add a run with the postings of ``rows`` to the index; their ids are new to it."""
-    each = [F.struct(F.lit(name).alias("field"), terms(text).alias("terms")) for name, text in fields.items()]
-    said = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("x"))
-    words = said.select("id", F.col("x.field").alias("field"), F.explode("x.terms").alias("term"))
-    postings = words.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("hits"))
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").parquet(path)
+    each = [F.struct(F.lit(name).alias("field"), text.cast("string").alias("text")) for name, text in fields.items()]
+    dealt = rows.select(F.col(id_col).alias("id"), F.array(*each).alias("texts")).repartition("id")
+    said = dealt.select("id", F.explode("texts").alias("x")).select("id", F.col("x.field").alias("field"), terms(F.col("x.text")).alias("text"))
+    kinds = StructType().add("term", "string").add("field", "string").add("id", said.schema["id"].dataType).add("hits", "long")
+    ship_package(rows.sparkSession)
+    said.where("text <> ''").mapInArrow(_postings, kinds).write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

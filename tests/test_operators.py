@@ -14,6 +14,7 @@ import zipfile
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -401,6 +402,35 @@ def test_an_index_is_searched_without_the_texts(spark, tmp_path):
     assert sorted(map(tuple, objects)) == [("A", "2", 1), ("B", "2", 1)]
 
 
+def test_an_index_is_built_without_moving_its_words(spark, tmp_path):
+    """Texts are dealt once, a record each; words are counted where they are, in blocks of any size."""
+    texts = spark.range(50).select("id", F.concat_ws(" ", F.lit("all, ALL"), *[F.concat(F.lit(f"w{i}x"), F.col("id")) for i in range(40)]).alias("body"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index", "index")
+    text_index.add(texts, f"{tmp_path}/i", "id", {"body": F.col("body")})
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("index") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) <= 50
+    index = text_index.read(spark, f"{tmp_path}/i")
+    assert index.count() == 50 * 41 and {tuple(r) for r in text_index.search(index, "all w7x9").collect()} == {(9, 3)}
+
+
+def test_blocks_of_postings_hold_all_words(monkeypatch):
+    texts = ["b a b", "a", "long " * 30 + "a", "b", "c c a b"]
+    batch = pa.RecordBatch.from_pydict({"id": [5, 1, None, 2, 9], "field": ["f"] * 5, "text": [t.strip() for t in texts]})
+    most = {1000: 1, 12: 2, 1: 5}
+    for size, blocks in most.items():
+        monkeypatch.setattr(text_index, "BLOCK_BYTES", size)
+        assert len(list(text_index._blocks(iter([batch.slice(0, 2), batch.slice(2)])))) == blocks
+        for rows in (1, 1000):
+            monkeypatch.setattr(text_index, "OUT_ROWS", rows)
+            found = [tuple(r.values()) for b in text_index._postings(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+            want = [(w, "f", i, t.split().count(w)) for i, t in zip([5, 1, None, 2, 9], texts, strict=True) for w in set(t.split())]
+            assert sorted(map(str, found)) == sorted(map(str, want))
+            assert blocks > 1 or [f[0] for f in found] == sorted(f[0] for f in found)
+
+
 def test_search_texts_always_say_something(spark):
     hits = spark.createDataFrame([(1, None, "s"), (2, "t", None)], "rank int, title string, snippet string")
     assert search.hit_list(hits).first()["text"] == "1. \n   s\n\n2. t\n   "
