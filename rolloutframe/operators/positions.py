@@ -4,8 +4,10 @@ Rows are dealt to ranges of their order, whose bounds Spark samples, and written
 sorted within each; the sizes of the ranges before, a row each, are summed and
 added. So the number of ranges follows the number of rows, and no task holds more
 than its own range, whatever the keys are: numbers, texts, dates or several
-columns. Rows of equal keys are told apart by where they stood in the input, so a
-key that many rows share may be split over ranges as well.
+columns. Each range sends the driver its share of the sample and a task's result, so
+ranges smaller than ``RANGE_ROWS`` grow towards it once there are ``MOST_RANGES``.
+Rows of equal keys are told apart by where they stood in the input, so a key that
+many rows share may be split over ranges as well.
 
 A shuffle is a permutation of positions by a few rounds of arithmetic: it needs
 no exchange besides the numbering.
@@ -23,14 +25,20 @@ from pyspark.sql.window import Window
 from ..session import staged
 
 RANGE_ROWS = 1_000_000
+MOST_RANGES = 1000  # of fewer rows than that
 PRIME, ROUNDS, CANDIDATES = (1 << 31) - 1, 6, 1000
 _OFFSET_BITS = 33  # of monotonically_increasing_id: the rest is the partition
 
 
+def _ranges(n: int, range_rows: int) -> int:
+    """How many ranges ``n`` rows are dealt to: of ``range_rows``, or of up to ``RANGE_ROWS`` where there would be too many."""
+    return min(-(-n // range_rows), max(MOST_RANGES, -(-n // RANGE_ROWS)))
+
+
 def numbered(rows: DataFrame, *order: str | Column, name: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with their ``name``, from 0 without gaps, in ascending ``order`` (nulls first)."""
     keys = {f"__k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
-    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_rows))
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), _ranges(rows.count(), range_rows))
     tied = rows.withColumns({**keys, "__tie": F.monotonically_increasing_id()})
     dealt = tied.repartitionByRange(ranges, *keys, "__tie").sortWithinPartitions(*keys, "__tie").drop(*keys, "__tie")
     written = staged(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")

@@ -224,6 +224,18 @@ def test_positions_of_any_order(spark):
     assert placed.columns == ["k", "j", "at"] and largest <= 4000
 
 
+def test_small_ranges_grow_before_they_are_too_many(spark, monkeypatch):
+    """The number of ranges, each of which costs the driver memory, is held, and all rows are numbered; large ranges do not grow."""
+    rows = spark.range(4000).select((F.col("id") * 7919 % 4001).alias("k"), (F.col("id") % 9).alias("j")).repartition(5)
+    monkeypatch.setattr(positions, "MOST_RANGES", 20, raising=False)
+    for most, ranges in ((1_000_000, 20), (100, 40), (5, 400)):
+        monkeypatch.setattr(positions, "RANGE_ROWS", most)
+        placed = positions.numbered(rows, "j", -F.col("k"), name="at", range_rows=10)
+        assert ranges / 2 < len(placed.inputFiles()) <= ranges
+        found = placed.orderBy("at").collect()
+        assert [r["at"] for r in found] == list(range(4000)) and [(r["j"], -r["k"]) for r in found] == sorted((r["j"], -r["k"]) for r in rows.collect())
+
+
 def test_examples_of_one_workbook_are_judged_apart(spark):
     cell = "workbook string, sheet string, sheet_idx int, row int, col int, value string, value_type string"
     truth = spark.createDataFrame([("w", "S", 0, 1, 1, "5", "number"), ("w", "S", 0, 1, 2, "x", "string"), ("v", "S", 0, 1, 1, "1", "number")], cell)
